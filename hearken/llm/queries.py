@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import chat, language, lmscore, quality, sharding, simhash, toxicity
+from hearken.llm import chat, decontaminate, language, lmscore, quality, sharding, simhash, toxicity
 from hearken.llm.common import id_bucket, table
 
 
@@ -48,13 +48,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 3) != 1)
     return toxicity.score(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op9_decontamination, op10_toxicity)}
 
 
 def escaped_sql(column: str) -> str:
