@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import chat, decontaminate, language, lmscore, quality, sharding, simhash, toxicity
+from hearken.llm import chat, decontaminate, language, lmscore, quality, sharding, simhash, substring, toxicity
 from hearken.llm.common import id_bucket, table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), trusted)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_size(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op9_decontamination, op10_toxicity)}
 
 
 def escaped_sql(column: str) -> str:
