@@ -161,24 +161,29 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     return fit(x, found.column("lang").to_pylist())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns named in ``keep`` for every row.
+def labelled(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with __lang and __score, which must be new names; no shuffle.
 
     ``und`` with score 0 where the text is null, has no letter, or no language was learned.  Ties go to the name that sorts
     first.  Repeated rows are each predicted.  An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers per pair of languages
-    kept = [docs.schema[c] for c in keep]
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    names = [*docs.columns, "__lang", "__score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = sent.value.predict(lowered(batch.column(1)))
-            letter = batch.column(2).to_pylist()
+            labels, scores = sent.value.predict(lowered(batch.column(at)))
+            letter = batch.column(n).to_pylist()
             labels = [lang if ok and lang else "und" for lang, ok in zip(labels, letter)]
             scores = [float(s) if lang != "und" else 0.0 for s, lang in zip(scores, labels)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)
 
-    names = ["__id", "__lang", "__score", *(f.name for f in kept)]
-    given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"), *keep)
-    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), *kept])
-    return given.mapInArrow(run, schema).withColumnsRenamed({"__id": "doc_id", "__lang": "lang_pred", "__score": "score"})
+    given = docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    return given.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) for every row; see ``labelled``.  Other columns are not read."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return labelled(narrow, model).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

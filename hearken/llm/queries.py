@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import chat, decontaminate, language, lmscore, quality, sharding, simhash, substring, toxicity
+from hearken.llm import chat, decontaminate, language, lmscore, mixing, quality, sharding, simhash, substring, toxicity
 from hearken.llm.common import id_bucket, table
 
 
@@ -14,6 +14,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), trusted)
 
 
+#: Sources belong to domains by number: the first is the open web, the others are reference works and forums in turn.
+MIX = mixing.Plan(
+    domains={"src0": "web"} | {f"src{k}": ("forum", "reference")[k % 2] for k in range(1, 20)},
+    weights={("web",): 5, ("reference",): 3, ("forum",): 2} | {(d, lang): w for d in ("web", "reference", "forum") for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))},
+)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.select(docs, MIX).select(
+        "doc_id", F.col("__domain").alias("domain"), F.col("__language").alias("lang"), F.col("__source").alias("source"),
+        F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"), F.col("__taken").alias("taken_tokens"),
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -62,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op3_substring_dedup, op4_sharding, op5_language_id, op6_lm_scoring, op7_chat_formatting, op8_simhash, op9_decontamination, op10_toxicity)}
 
 
 def escaped_sql(column: str) -> str:

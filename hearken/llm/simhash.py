@@ -231,3 +231,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(named, reach))
     label = named.join(found, named["rep"] == found["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
     return marked.join(label, marked["fp"] == label["of_fp"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id.
+
+    Of rows that share that id one stays; rows with a null id belong to no component and all stay.  Columns pass through.
+    The texts meet a table of ids once, hashed on the ids' side so that the texts are not sorted.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, reach)
+    ids = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept"))
+    on_id = lambda kept: docs[id_col] == kept["__kept"]
+    once, often = ids.where("rows = 1").drop("rows"), ids.where("rows > 1").drop("rows")
+    out = docs.join(once.hint("shuffle_hash"), on_id(once), "left_semi")
+    if often.take(1):
+        out = out.unionByName(docs.join(often.hint("shuffle_hash"), on_id(often), "left_semi").dropDuplicates([id_col]))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
