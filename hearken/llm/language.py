@@ -22,7 +22,7 @@ from hearken.llm.common import as_bytes, pieces, starts_of
 #: Which languages are close: one list per family.  A language named nowhere is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
 #: Size of the hashed feature space, n-gram lengths, and labelled documents read per language and languages in all.
-BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES = 8192, (2, 3, 4), 800, 40
+BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES = 8192, (2, 3, 4), 600, 40
 GAP = b"\0\0\0\0"
 
 
@@ -91,33 +91,33 @@ class Model:
 def machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, cost: float = 30.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by accelerated gradient steps; classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    x1 = np.hstack((x, np.ones((len(x), 1), x.dtype)))
-    step = 1 / (2 * cost * float((weight * (x1**2).sum(axis=1)).sum()) + 1)
-    w = v = np.zeros(x1.shape[1], dtype=np.float32)
+    step = 1 / (2 * cost * float((weight * (1 + np.einsum("ij,ij->i", x, x))).sum()) + 1)
+    w = v = np.zeros(x.shape[1] + 1, dtype=np.float32)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        gradient = v - 2 * cost * (x1.T @ (weight * y * slack).astype(np.float32))
+        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        pull = (weight * y * slack).astype(np.float32)
+        gradient = v - 2 * cost * np.append(pull @ x, pull.sum())
         new = (v - step * gradient).astype(np.float32)
         v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w[:-1], float(w[-1])
 
 
-def fit(features: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
-    """``features``: n-gram frequencies of labelled documents."""
+def fit(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
+    """``x``: n-gram frequencies of labelled documents, which are scaled in place."""
     home = {lang: kind for kind, names in families.items() for lang in names}
     kind_of = np.array([home.get(lang, f"only {lang}") for lang in langs])
     lang_of = np.array(langs)
     known = {k: sorted(set(lang_of[kind_of == k])) for k in sorted(set(kind_of))}
-    scale = features.std(axis=0)
-    scale = np.where(scale > 0, np.sqrt(scale.max(initial=0) / np.maximum(scale, 1e-12)), 0) * 30
-    x = (features * scale).astype(np.float32)
+    spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(1, len(x)) - x.mean(axis=0, dtype=np.float64) ** 2))
+    scale = (np.where(spread > 0, np.sqrt(spread.max(initial=0) / np.maximum(spread, 1e-12)), 0) * 30).astype(np.float32)
+    x *= scale
     model = Model(known)
 
     def versus(left: str, right: str, a: np.ndarray, b: np.ndarray) -> None:
         rows = a | b
-        w, bias = machine(x[rows], np.where(a[rows], 1.0, -1.0))
-        model.machines.append((left, right, (w * scale).astype(np.float32), bias))
+        w, bias = machine(x if rows.all() else x[rows], np.where(a[rows], np.float32(1), np.float32(-1)))
+        model.machines.append((left, right, w * scale, bias))
 
     for a, b in combinations(sorted(known), 2):
         versus(f"family:{a}", f"family:{b}", kind_of == a, kind_of == b)
@@ -156,8 +156,11 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
 
     found = taken.select("doc_id", "lang", "text").mapInArrow(count, "doc_id long, lang string, at array<int>, freq array<float>").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.zeros((found.num_rows, BUCKETS), dtype=np.float32)
-    for i, (at, freq) in enumerate(zip(found.column("at").to_pylist(), found.column("freq").to_pylist())):
-        x[i, at] = freq
+    row = 0
+    for batch in found.to_batches():
+        for at, freq in zip(batch.column("at"), batch.column("freq")):
+            x[row, at.values.to_numpy()] = freq.values.to_numpy()
+            row += 1
     return fit(x, found.column("lang").to_pylist())
 
 
