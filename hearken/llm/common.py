@@ -81,23 +81,6 @@ def sum_rows(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered while the memory of them stays small."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, found: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        missing = set(found).difference(known)
-        known.update(zip(missing, map(xxhash.xxh64_intdigest, missing)))
-        return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     with np.errstate(over="ignore"):
@@ -106,6 +89,62 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Per byte a random value and whether it is white space; then powers of an odd number and their inverses, grown as needed.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_BASE = 0xD1342543DE82EF95
+#: Words of more bytes are hashed one by one: sums of powers repeat over very long ones.
+_LONG = 256
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+
+class WordHashes:
+    """64-bit hashes of all words of some texts at once, equal for equal words.
+
+    A word's hash is the sum of its bytes' values times powers by position, taken as a difference of running sums over the
+    whole buffer, and scrambled with its length.
+    """
+
+    def __init__(self, lower: bool = False):
+        self.values = (_BYTE[_LOWER] if lower else _BYTE).copy()
+        self.values[_SPACE] = 0
+        self.lower = lower
+        self.up = self.down = np.zeros(0, dtype=np.uint64)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in order, and each text's number of words."""
+        import xxhash
+
+        buffer = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+        n = len(buffer)
+        if n == 0:
+            return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+        if len(self.up) < n:
+            size = max(n, CHUNK_BYTES)
+            self.up, self.down = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
+        inside = ~_SPACE[buffer]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edges = np.concatenate(([0], edges))
+        start, end = edges[0::2], edges[1::2]  # the buffer ends in white space
+        with np.errstate(over="ignore"):
+            sums = np.cumsum(self.values[buffer] * self.up[:n])
+            before = np.where(start > 0, sums[start - 1], np.uint64(0))
+            hashes = mix((sums[end - 1] - before) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        for k in np.flatnonzero(end - start > _LONG).tolist():
+            word = buffer[start[k] : end[k]].tobytes()
+            hashes[k] = xxhash.xxh64_intdigest(word.lower() if self.lower else word)
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        return hashes, np.diff(np.searchsorted(start, bounds), prepend=0)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of the contracts; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0))

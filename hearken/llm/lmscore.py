@@ -30,10 +30,10 @@ END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def token_hashes(blobs: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (each text's words, then its end) and the bounds of the texts."""
-    split = [b.lower().split() for b in blobs]
-    bounds = starts_of(np.array([len(w) + 1 for w in split]))
-    flat = hashes([w for words in split for w in (*words, b"\0end")])
-    flat[bounds[1:] - 1] = END
+    found, counts = hashes(blobs)
+    bounds = starts_of(counts + 1)
+    flat = np.full(int(bounds[-1]), END)
+    flat[np.arange(len(found)) + np.repeat(np.arange(len(blobs)), counts)] = found
     return flat, bounds
 
 
@@ -149,7 +149,7 @@ def learn(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
     """(segment, bits, tokens, counts): each segment's part of the filter and its exact token counts; one pass and one shuffle."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [[], []], 0
+        hashes, held, size = WordHashes(lower=True), [[], []], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             sums = [summed(np.concatenate([h for h, _ in part]), np.concatenate([c for _, c in part])) for part in held]
@@ -210,7 +210,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast((Filter(shape, bits, int(total), int(distinct)), head_tokens, head_counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(lower=True)
         model, tokens_of_head, counts_of_head = sent.value
         logs = np.log10(counts_of_head + 1.0)
         for batch in batches:

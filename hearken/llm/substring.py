@@ -51,34 +51,35 @@ def unpacked(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def windows_of(texts: list[list[bytes]], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, own hash, key) of all windows of the texts.
 
     Long texts are cut into pieces that overlap by width - 1 words; hashes and keys depend on a window's words alone, so the cuts
     leave no trace.
     """
-    out = []
-
-    def done(group: list[tuple[int, int, list[bytes]]]) -> None:
-        flat = hashes([w for _, _, words in group for w in words])
-        sizes = [len(words) for _, _, words in group]
+    flat, counts = hashes(texts)
+    bounds, out = starts_of(counts), []
+    # Pieces: (text, first word, last word), those of one group next to each other.
+    pieces_of, size = [], 0
+    for i in range(len(texts)):
+        for at in range(0, max(0, int(counts[i]) - width + 1), PIECE - width + 1):
+            pieces_of.append((i, at, min(int(counts[i]), at + PIECE)))
+    groups: list[list[tuple[int, int, int]]] = [[]]
+    for piece in pieces_of:
+        if size + piece[2] - piece[1] > PIECE and groups[-1]:
+            groups.append([])
+            size = 0
+        groups[-1].append(piece)
+        size += piece[2] - piece[1]
+    for group in filter(None, groups):
+        text, first, last = (np.array(c) for c in zip(*group))
+        sizes = last - first
+        offset = starts_of(sizes)
         piece = np.repeat(np.arange(len(group)), sizes)
-        starts, own, key = windows(flat, piece, width)
-        which = piece[starts] if len(starts) else starts
-        text, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        out.append((text[which], starts - starts_of(np.array(sizes))[which] + offset[which], own, key))
-
-    group, size = [], 0
-    for i, words in enumerate(texts):
-        for at in range(0, max(0, len(words) - width + 1), PIECE - width + 1):
-            part = words[at : at + PIECE]
-            group.append((i, at, part))
-            size += len(part)
-            if size >= PIECE:
-                done(group)
-                group, size = [], 0
-    if group:
-        done(group)
+        words = flat[np.arange(int(offset[-1])) - offset[piece] + (bounds[text] + first)[piece]]
+        starts, own, key = windows(words, piece, width)
+        which = piece[starts]
+        out.append((text[which], starts - offset[which] + first[which], own, key))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -145,7 +146,7 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
             rows = batch.column(0).to_numpy()
             texts = [unzip.decompress(b) for b in batch.column(1).to_pylist()]
             for part in pieces(texts):
-                text, start, _, key = windows_of([t.split() for t in texts[part]], hashes, width)
+                text, start, _, key = windows_of(texts[part], hashes, width)
                 if not len(text):
                     continue
                 change = np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (start[1:] - start[:-1] != 1)))
@@ -204,7 +205,7 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
             wanted = [i for i, s in enumerate(stretches) if s]
             texts = [unzip.decompress(batch.column(2)[i].as_py()) for i in wanted]
             for part in pieces(texts):
-                text, start, own, _ = windows_of([t.split() for t in texts[part]], hashes, width)
+                text, start, own, _ = windows_of(texts[part], hashes, width)
                 if not len(text):
                     continue
                 begins = np.searchsorted(text, np.arange(part.stop - part.start))
