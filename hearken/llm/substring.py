@@ -98,30 +98,43 @@ def by_bucket(keys: np.ndarray, columns: list[np.ndarray], log2: int) -> Iterato
         yield b, packed([np.ascontiguousarray(c[cuts[b] : cuts[b + 1]]) for c in columns])
 
 
-def by_row(rows: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """Packed columns of each row number."""
+def by_row(rows: np.ndarray, columns: list[np.ndarray], shift: int) -> Iterator[tuple[int, bytes]]:
+    """Packed columns, row numbers first, of each row number or group of 2**shift neighbouring ones."""
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    rows, columns = rows[order], [c[order] for c in columns]
     if len(rows):
-        first, _ = groups_of(rows)
+        first, _ = groups_of(rows >> shift)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(rows)]):
-            yield int(rows[a]), packed([np.ascontiguousarray(c[order[a:b]]) for c in columns])
+            yield int(rows[a] >> shift), packed([np.ascontiguousarray(c[a:b]) for c in (rows, *columns)])
 
 
-EVIDENCE = "bucket long, sent binary, row long, found binary"
+#: Findings travel for 2**GROUP neighbouring rows together, then part.
+GROUP = 8
+EVIDENCE = "bucket long, sent binary, part long, found binary"
+
+
+def per_row(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(row, found) from findings (part, found) of groups of rows: one packed value per row."""
+
+    def parted(group: pa.Table) -> pa.Table:
+        columns = [np.concatenate(c) for c in zip(*(unpacked(b, ("<i8", *kinds)) for b in group.column("found").to_pylist()))]
+        lines = list(by_row(columns[0], columns[1:], 0))
+        return pa.table({"row": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
+
+    return found.groupBy("part").applyInArrow(parted, "row long, found binary")
 
 
 def batch_of(sent: list[tuple[int, bytes]], found: list[tuple[int, bytes]], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries for buckets, and findings for rows, which pass through a bucket of their row's choice."""
-    names = ["bucket", "sent", "row", "found"]
-    lines = [(b, blob, None, None) for b, blob in sent] + [(row % n_buckets, None, row, blob) for row, blob in found]
+    """Entries for buckets, and findings, which pass through a bucket that their rows choose."""
+    names = ["bucket", "sent", "part", "found"]
+    lines = [(b, blob, None, None) for b, blob in sent] + [(part % n_buckets, None, part, blob) for part, blob in found]
     for at in range(0, len(lines), 4096):
         part = list(zip(*lines[at : at + 4096]))
         yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary())], names)
 
 
 def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
-    """(row, found): stretches of windows (start, length) whose symbol two rows share."""
+    """(row, found): stretches of windows (row, start, length) whose symbol two rows share."""
     import zstandard
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +152,7 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
             flag = np.where(shared, 0, length).astype(np.uint16)
             yield from batch_of(
                 list(by_bucket(key[send], [key[send], row[send], start[send], flag[send]], log2)),
-                list(by_row(row[shared], [start[shared], length[shared]])), 1 << log2,
+                list(by_row(row[shared], [start[shared], length[shared]], GROUP)), 1 << log2,
             )
 
         for batch in batches:
@@ -162,7 +175,7 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
             yield from out()
 
     def settle(group: pa.Table) -> pa.Table:
-        lines = [(r, f) for r, f in zip(group.column("row").to_pylist(), group.column("found").to_pylist()) if r is not None]
+        lines = [(r, f) for r, f in zip(group.column("part").to_pylist(), group.column("found").to_pylist()) if r is not None]
         blobs = [b for b in group.column("sent").to_pylist() if b is not None]
         if blobs:
             key, row, start, length = (np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<i8", "<u4", "<u2")) for b in blobs)))
@@ -170,16 +183,17 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
             key, row, start, length = key[order], row[order], start[order], length[order]
             first, group_of = groups_of(key)
             shared = (np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first))[group_of] & (length > 0)
-            lines += by_row(row[shared], [start[shared], length[shared]])
-        return pa.table({"row": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
+            lines += by_row(row[shared], [start[shared], length[shared]], GROUP)
+        return pa.table({"part": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
 
-    return packed_docs.select("row", "zipped").mapInArrow(gather, EVIDENCE).groupBy("bucket").applyInArrow(settle, "row long, found binary")
+    found = packed_docs.select("row", "zipped").mapInArrow(gather, EVIDENCE).groupBy("bucket").applyInArrow(settle, "part long, found binary")
+    return per_row(found, ("<u4", "<u2"))
 
 
 def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
     """(row, found): starts of windows whose words also start in a document with a smaller id.
 
-    ``candidates``: row, id, zipped and ``stretches``, the packed findings of ``revealed`` for the row.
+    ``candidates``: row, id, zipped and ``found``, the packed findings of ``revealed`` for the row.
     """
     import zstandard
 
@@ -196,7 +210,7 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
             # One entry per window hash, document and row goes on, and each place in the row has its own.
             yield from batch_of(
                 list(by_bucket(own[send], [own[send], doc[send], row[send], start[send]], log2)),
-                list(by_row(row[later], [start[later]])), 1 << log2,
+                list(by_row(row[later], [start[later]], GROUP)), 1 << log2,
             )
 
         for batch in batches:
@@ -211,10 +225,9 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
                 begins = np.searchsorted(text, np.arange(part.stop - part.start))
                 marks = np.zeros(len(text) + 1, dtype=np.int64)
                 for k, i in enumerate(wanted[part]):
-                    for blob in stretches[i]:
-                        at, length = unpacked(blob, ("<u4", "<u2"))
-                        np.add.at(marks, begins[k] + at, 1)
-                        np.add.at(marks, begins[k] + at + length, -1)
+                    _, at, length = unpacked(stretches[i], ("<i8", "<u4", "<u2"))
+                    np.add.at(marks, begins[k] + at, 1)
+                    np.add.at(marks, begins[k] + at + length, -1)
                 chosen = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
                 which = np.array(wanted[part])[text[chosen]]
                 held.append((own[chosen], ids[which], rows[which], start[chosen].astype(np.uint32)))
@@ -226,7 +239,7 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
             yield from out()
 
     def settle(group: pa.Table) -> pa.Table:
-        lines = [(r, f) for r, f in zip(group.column("row").to_pylist(), group.column("found").to_pylist()) if r is not None]
+        lines = [(r, f) for r, f in zip(group.column("part").to_pylist(), group.column("found").to_pylist()) if r is not None]
         blobs = [b for b in group.column("sent").to_pylist() if b is not None]
         if blobs:
             own, doc, row, start = (np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<i8", "<i8", "<u4")) for b in blobs)))
@@ -234,10 +247,11 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
             own, doc, row, start = own[order], doc[order], row[order], start[order]
             first, group_of = groups_of(own)
             later = doc > np.minimum.reduceat(doc, first)[group_of]
-            lines += by_row(row[later], [start[later]])
-        return pa.table({"row": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
+            lines += by_row(row[later], [start[later]], GROUP)
+        return pa.table({"part": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
 
-    return candidates.mapInArrow(gather, EVIDENCE).groupBy("bucket").applyInArrow(settle, "row long, found binary")
+    found = candidates.mapInArrow(gather, EVIDENCE).groupBy("bucket").applyInArrow(settle, "part long, found binary")
+    return per_row(found, ("<u4",))
 
 
 def removed_mask(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -267,7 +281,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     whole = stored(given.mapInArrow(zipped, "row long, id long, zipped binary"))
 
     def with_findings(found: DataFrame) -> DataFrame:
-        gathered = found.groupBy("row").agg(F.collect_list("found").alias("found")).withColumnRenamed("row", "of_row")
+        gathered = found.withColumnRenamed("row", "of_row")
         return whole.join(gathered, whole["row"] == gathered["of_row"], "left").drop("of_row")
 
     flagged = verified(with_findings(revealed(whole, width, log2)), width, log2)
@@ -280,7 +294,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 words = unzip.decompress(blob.as_py()).split()
                 gone = 0
                 if found:
-                    mask = removed_mask(len(words), np.concatenate([unpacked(b, ("<u4",))[0] for b in found]).astype(np.int64), width)
+                    mask = removed_mask(len(words), unpacked(found, ("<i8", "<u4"))[1].astype(np.int64), width)
                     gone = int(mask.sum())
                     kept = b" ".join([w for w, m in zip(words, mask.tolist()) if not m])
                 else:
