@@ -1,0 +1,92 @@
+import json
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from hearken.functions.correct import Rule, checked, correct, enabled, rules_from_json
+
+# Reviewed corrections for calls in Korean.
+MONEY = ("금융", "입금", "이체", "송금", "은행", "통장", "대출", "잔액")
+RULES = (
+    Rule("domain-investigation-001", "검찰 청", "검찰청", "spacing of an authority", "spacing"),
+    Rule("domain-phishing-002", "보이스피시", "보이스피싱", "misheard term"),
+    Rule("domain-financial-006", "계절", "계좌", "misheard term near money", "typo", MONEY),
+    Rule("domain-financial-007", "모통장", "무통장", "misheard term near money", "typo", ("입금", "이체", "송금", "은행", "계좌", "통장", "대출")),
+    Rule("domain-investigation-003", "검찰촌", "검찰청", "misheard term near authorities", "typo", ("수사", "기관", "사칭", "검사", "경찰", "공무원")),
+)
+GOLDEN = [
+    ("보이스피시와 개인 정보가 언급되었습니다.", "보이스피싱와 개인 정보가 언급되었습니다.", ["domain-phishing-002"]),
+    ("계좌를 확인하겠습니다. 무통장 입금과 검찰청 안내를 이용하세요.", "계좌를 확인하겠습니다. 무통장 입금과 검찰청 안내를 이용하세요.", []),
+    ("금융기관 계절 확인", "금융기관 계좌 확인", ["domain-financial-006"]),
+    ("무통장 모통장 입금", "무통장 무통장 입금", ["domain-financial-007"]),
+    ("수사기관 검찰촌 안내", "수사기관 검찰청 안내", ["domain-investigation-003"]),
+    ("오늘은 계절 이야기를 들었습니다.", "오늘은 계절 이야기를 들었습니다.", []),
+    ("오늘은 모통장 이야기를 들었습니다.", "오늘은 무통장 이야기를 들었습니다.", ["domain-financial-007"]),
+    ("계절로 송금 계좌를 확인해 주세요.", "계좌로 송금 계좌를 확인해 주세요.", ["domain-financial-006"]),
+    ("  ", "  ", []),
+    (None, None, None),
+]
+
+
+def run(spark, values, rules, kinds=("typo",)):
+    rows = spark.createDataFrame([(k, v, "x") for k, v in enumerate(values)], "k int, v string, source string")
+    done = correct(rows, "v", rules, kinds).orderBy("k").collect()
+    return [(r.corrected, None if r.corrections is None else [c.rule_id for c in r.corrections]) for r in done]
+
+
+def test_goldens(spark):
+    assert run(spark, [g[0] for g in GOLDEN], RULES) == [(b, c) for _, b, c in GOLDEN]
+
+
+def test_rules_apply_in_order_and_by_kind(spark):
+    rules = (Rule("r1", "검찰 청이", "검찰청이", "s", "spacing"), Rule("r2", "대출 상환", "대출상환", "s", "typo"))
+    assert run(spark, ["검찰 청이 대출 상환을 요구했습니다."], rules, ("typo", "spacing")) == [("검찰청이 대출상환을 요구했습니다.", ["r1", "r2"])]
+    assert run(spark, ["검찰 청이"], rules) == [("검찰 청이", [])]
+
+
+def test_context_out_of_reach(spark):
+    rule = Rule("r", "보이스피시", "보이스피싱", "s", "typo", ("검찰",), 5)
+    assert run(spark, ["검찰 사칭에 관한 긴 설명입니다. 보이스피시 표현입니다."], (rule,))[0][1] == []
+
+
+def plain(s, source, target, terms, window):
+    out, at = "", 0
+    while (k := s.find(source, at)) >= 0:
+        near = s[max(0, k - window) : k + len(source) + window]
+        out += s[at:k] + (target if any(t in near for t in terms) else source)
+        at = k + len(source)
+    return out + s[at:]
+
+
+def test_contextual_rule_matches_plain_python(spark):
+    found = []
+
+    @settings(max_examples=400, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.text(alphabet="abXY😀 c", max_size=30))
+    def gather(s):
+        found.append(s)
+
+    gather()
+    for window in (1, 4):
+        got = run(spark, found, (Rule("r", "ab", "Q", "s", "typo", ("X", "cY"), window),))
+        assert [g[0] for g in got] == [plain(s, "ab", "Q", ("X", "cY"), window) for s in found]
+
+
+@pytest.mark.parametrize("bad", [
+    [Rule("r", " ", "x", "s")], [Rule("r", "a", "a", "s")], [Rule("r", "a", "b", "s"), Rule("r", "c", "d", "s")], [Rule("q", "a", "b", "s"), Rule("r", "a", "d", "s")],
+    [Rule("r", "a", "b", "")], [Rule("r", "a", "b", "s", "other")], [Rule("r", "a", "b", "s", "typo", (" ",))], [Rule("r", "a", "b", "s", "typo", ("x",), 0)],
+])
+def test_rejected_rule_sets(bad):
+    with pytest.raises(ValueError):
+        checked(bad)
+
+
+def test_rules_from_json():
+    entry = {"rule_id": "r", "source": "a", "target": "", "reason": "s", "context_terms": ["x"]}
+    assert rules_from_json(json.dumps([entry])) == (Rule("r", "a", "", "s", "typo", ("x",)),)
+    for wrong in ("{}", json.dumps([{**entry, "id": 1}]), json.dumps([{"source": "a"}])):
+        with pytest.raises(ValueError):
+            rules_from_json(wrong)
+    with pytest.raises(ValueError):
+        enabled([], ())
