@@ -22,7 +22,7 @@ from hearken.llm.common import as_bytes, pieces, starts_of
 #: Which languages are close: one list per family.  A language named nowhere is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
 #: Size of the hashed feature space, n-gram lengths, and labelled documents read per language and languages in all.
-BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES = 8192, (2, 3, 4), 600, 40
+BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES = 8192, (2, 3, 4), 400, 40
 GAP = b"\0\0\0\0"
 
 
@@ -109,7 +109,8 @@ def fit(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] =
     kind_of = np.array([home.get(lang, f"only {lang}") for lang in langs])
     lang_of = np.array(langs)
     known = {k: sorted(set(lang_of[kind_of == k])) for k in sorted(set(kind_of))}
-    spread = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", x, x, dtype=np.float64) / max(1, len(x)) - x.mean(axis=0, dtype=np.float64) ** 2))
+    squares = sum((x[at : at + 128] ** 2).sum(axis=0, dtype=np.float64) for at in range(0, len(x), 128))
+    spread = np.sqrt(np.maximum(0, squares / max(1, len(x)) - x.mean(axis=0, dtype=np.float64) ** 2))
     scale = (np.where(spread > 0, np.sqrt(spread.max(initial=0) / np.maximum(spread, 1e-12)), 0) * 30).astype(np.float32)
     x *= scale
     model = Model(known)
@@ -156,12 +157,14 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
 
     found = taken.select("doc_id", "lang", "text").mapInArrow(count, "doc_id long, lang string, at array<int>, freq array<float>").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.zeros((found.num_rows, BUCKETS), dtype=np.float32)
-    row = 0
+    row, batch, at, freq = 0, None, None, None
     for batch in found.to_batches():
         for at, freq in zip(batch.column("at"), batch.column("freq")):
             x[row, at.values.to_numpy()] = freq.values.to_numpy()
             row += 1
-    return fit(x, found.column("lang").to_pylist())
+    langs = found.column("lang").to_pylist()
+    del found, batch, at, freq
+    return fit(x, langs)
 
 
 def labelled(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
