@@ -1,0 +1,106 @@
+import math
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from hearken.llm import quality, sharding
+from hearken.llm.common import table
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_base(text):
+    text = text or ""
+    words = [w for w in text.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    often, covered = Counter(windows), set()
+    for k, w in enumerate(windows):
+        if often[w] > 1:
+            covered |= {k, k + 1, k + 2}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def check_base(rows):
+    for r in rows:
+        want = plain_base(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, r.text
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_base_rules_over_the_whole_table(spark):
+    docs, labels = table(spark, SMALL, "documents").select("doc_id", "text"), table(spark, SMALL, "labels")
+    got = quality.assess(docs, labels.where("quality = 1"))
+    check_base(got.join(docs, "doc_id").collect())
+
+
+def test_base_rules_on_odd_texts(spark):
+    texts = [None, "", "a", "a b c a b c", "x x x x x", "l1 #\nl1 #\n\n \nl1 #", "a b c\x85d", "🙂 <b>|é*", "a b c d e f g " * 30, "one two three " + " ".join(map(str, range(50))) + " one two three"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit("clash"))
+    got = quality.assess(rows, rows.where("doc_id = 8"))
+    check_base(got.join(rows, "doc_id").collect())
+    assert got.count() == len(texts) and got.where("llr is null").count() == 0
+    assert quality.assess(rows.where("false"), rows).count() == 0
+
+
+def test_ratio_against_plain_python(spark):
+    rules = quality.Rules(buckets=64, threshold=0.0)
+    texts = ["good words here and there " * 12, "good words again and again " * 12, "### $$$ junk ### junk " * 12, "mixed good ### words " * 12]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.assess(rows, rows.where("doc_id < 2"), rules).collect()}
+    words = sorted({w for t in texts for w in t.split()})
+    first = dict(zip(words, (r[0] for r in spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string").orderBy("k").select(F.xxhash64("w")).collect())))
+    pairs = sorted({p for t in texts for p in zip(t.split(), t.split()[1:])})
+    second = dict(zip(pairs, (r[0] for r in spark.createDataFrame([(k, first[a], first[b]) for k, (a, b) in enumerate(pairs)], "k int, a long, b long").orderBy("k").select(F.xxhash64("a", "b")).collect())))
+    grams = [[first[w] % 64 for w in t.split()] + [second[p] % 64 for p in zip(t.split(), t.split()[1:])] for t in texts]
+    raw, good = Counter(g for d in grams for g in d), Counter(g for d in grams[:2] for g in d)
+    n_raw, n_good = sum(raw.values()) + 64, sum(good.values()) + 64
+    for k, d in enumerate(grams):
+        want = sum(math.log((good[g] + 1) / n_good) - math.log((raw[g] + 1) / n_raw) for g in d) / len(d)
+        assert abs(got[k].llr - want) < 1e-9
+    assert got[0].llr > got[3].llr > got[2].llr
+
+
+def test_labels_are_told_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels")
+    got = quality.assess(table(spark, sf, "documents"), labels.where("quality = 1")).where("not base_failed").join(labels, "doc_id")
+    share = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.1
+
+
+def check_shards(rows, texts, shards, slack):
+    slots, sizes = {}, Counter()
+    for r in rows:
+        text = (texts[r.doc_id] or "").encode() if r.doc_id in texts else b""
+        assert r.size == len(text) + 16 and r.text_crc32 == zlib.crc32(text) and 0 <= r.shard < shards
+        slots.setdefault(r.shard, []).append(r.slot)
+        sizes[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean, largest = sum(sizes.values()) / shards, max((r.size for r in rows), default=0)
+    assert all(abs(sizes[k] - mean) <= slack * mean + largest for k in range(shards))
+
+
+def test_shards_of_the_whole_table(spark):
+    docs = table(spark, SMALL, "documents")
+    check_shards(sharding.shard_by_size(docs, 40).collect(), {r.doc_id: r.text for r in docs.collect()}, 40, 0.05)
+
+
+@pytest.mark.parametrize("case", ["copies", "giant", "few", "empty"])
+def test_shards_of_odd_tables(spark, case):
+    made = {
+        "copies": [(k, "same text" if k % 3 else f"text {k}") for k in range(3000)],
+        "giant": [(k, "x" * (100_000 if k == 7 else 50)) for k in range(300)],
+        "few": [(1, None), (2, ""), (2, ""), (None, "a")],
+        "empty": [],
+    }[case]
+    rows = sharding.shard_by_size(spark.createDataFrame(made, "doc_id long, text string").withColumn("k1", F.lit("clash")), 8).collect()
+    assert len(rows) == len(made)
+    if case == "few":
+        assert {(r.shard, r.slot) for r in rows}.__len__() == 4
+    else:
+        check_shards(rows, dict(made), 8, 0.05)
+        again = sharding.shard_by_size(spark.createDataFrame(made, "doc_id long, text string"), 8).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
