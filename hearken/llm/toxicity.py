@@ -15,22 +15,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import as_bytes, pieces, starts_of, sum_rows
+from hearken.llm.common import as_bytes, mix, pieces, starts_of, sum_rows
 
 #: Labelled documents per class, features, factors, the z value a feature must reach, and letters of a stem.
-PER_CLASS, FEATURES, FACTORS, Z, STEM = 6000, 8192, 8, 3.0, 5
+PER_CLASS, FEATURES, FACTORS, Z, STEM = 6000, 8192, 8, 7.0, 5
+#: A feature stands in six unlike toxic documents at least, and in as many as this share of them all; a stem's
+#: documents are toxic in this share of cases at least.
+SHARE, PURE = 0.01, 0.9
 
 
 def term_hashes(word: bytes) -> tuple[int, int]:
-    """Signed hashes of a word's term and stem, 0 where it has none."""
+    """Signed hashes of a word's term (even) and stem (odd), 0 where it has none."""
     import xxhash
 
     text = word.decode("utf-8", "replace").lower()
     inner = "".join(c for c in text if c.isalnum())
     if not inner:
         return 0, 0
-    term = xxhash.xxh64_intdigest(inner) - (1 << 63)
-    return term, (xxhash.xxh64_intdigest("stem " + inner[:STEM]) - (1 << 63) if len(inner) > STEM else 0)
+    term = (xxhash.xxh64_intdigest(inner) - (1 << 63)) & ~1
+    return term, ((xxhash.xxh64_intdigest("stem " + inner[:STEM]) - (1 << 63)) | 1 if len(inner) > STEM else 0)
 
 
 def terms_of(blob: bytes) -> np.ndarray:
@@ -93,7 +96,8 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: fl
     """Weighted logistic loss with Adam steps over all documents, from the features that tell the classes apart best.
 
     The bias is held near its start: most clean texts show no feature, and a bias that fits them ever better would let no single
-    term outweigh it.
+    term outweigh it.  In every other step each feature of a toxic text is left out by chance, so that a term which is telling
+    by itself learns to do without the company it keeps.
     """
     labels = np.asarray(labels, dtype=np.float64)
     empty = Machine(np.zeros(0, np.int64), -5.0, np.zeros(0), np.zeros((0, FACTORS)))
@@ -105,14 +109,18 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: fl
     seen, bad = np.bincount(where, minlength=len(names)), np.bincount(where, weights=labels[owner], minlength=len(names))
     expected = seen * positive / n
     z = np.abs(bad - expected) / np.sqrt(np.maximum(1e-9, expected * (1 - positive / n)))
-    z[seen < 3] = 0
+    z[(names % 2 != 0) & (bad < PURE * seen)] = 0  # a stem must speak for nearly all words that share it
+    # Copies of one text are one piece of evidence: likely copies share the smallest of their scrambled terms.
+    likeness = np.unique([mix(t.view(np.uint64)).min() if len(t) else 0 for t in terms], return_inverse=True)[1]
+    toxic = labels[owner] > 0
+    unlike = np.bincount(np.unique(where[toxic] * (likeness.max() + 1) + likeness[owner[toxic]]) // (likeness.max() + 1), minlength=len(names))
+    z[unlike < max(6, SHARE * len(np.unique(likeness[labels > 0])))] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     chosen = chosen[z[chosen] >= Z]
     new = np.full(len(names), -1)
     new[chosen] = np.arange(len(chosen))
     keep = new[where] >= 0
-    active, owner = new[where][keep], owner[keep]
-    bounds = np.searchsorted(owner, np.arange(n + 1))
+    all_active, all_owner = new[where][keep], owner[keep]
     rng = np.random.default_rng(5)
     model = Machine(names[chosen], -2.0, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS)))
     weight = np.where(labels > 0, 0.5 / positive, 0.5 / (n - positive)) * n
@@ -120,6 +128,9 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, rounds: int = 500, rate: fl
     bias = np.array([model.bias])
     for t in range(1, rounds + 1):
         model.bias = float(bias[0])
+        shown = rng.random(len(all_active)) < np.where((t % 2 == 0) & (labels[all_owner] > 0), 0.4, 1.0)
+        active, owner = all_active[shown], all_owner[shown]
+        bounds = np.searchsorted(owner, np.arange(n + 1))
         error = weight * (1 / (1 + np.exp(-np.clip(model.raw(active, bounds), -30, 30))) - labels) / n
         v = model.factors[active]
         together = sum_rows(v, bounds)
