@@ -51,7 +51,8 @@ def sampled_starts(rows: DataFrame, target: float, seed: int, within: list[str])
     draw = F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.where(draw < chance).select(*within, *KEY, (F.col("size") / chance).alias("weight"))
     before = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
-    part = F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0.0)) / F.lit(target))
+    # By the middle of its weight a row larger than a stretch opens one of its own, even after a small one.
+    part = F.floor((F.coalesce(F.sum("weight").over(before), F.lit(0.0)) + F.col("weight") / 2) / F.lit(target))
     first = drawn.withColumn("part", part).groupBy(*within, "part").agg(F.min(key()).alias("first"))
     return first.select("first.*")
 
