@@ -444,23 +444,54 @@ def rate_limit(spark, sf_dir):
     return jobs.rate_limited(requests(spark, sf_dir).select("owner_key", "request_id", "seconds"), most=5, window=86400.0).select("owner_key", "request_id", "allowed")
 
 
+STAGE_LIST_SQL = "[" + ", ".join(f"'{k}'" for k in display.STAGES) + "]"
+BASE_SQL = "[" + ", ".join(map(str, display.STAGES.values())) + "]"
+#: Events of a user as one job's log, and the walk over them; a refused event leaves the state as it is.
+JOBS_SQL = f"""
+WITH RECURSIVE e AS (SELECT 'job_' || user_id AS job_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'cancel' WHEN event_type = 'view' OR event_id % 4 = 0 THEN 'create' ELSE 'update' END AS op, (event_id * 7 + user_id) % 9 AS c,
+  ({STAGE_LIST_SQL})[1 + (event_id * 5 + user_id * 3) % 8] AS stage, CASE WHEN (event_id * 7 + user_id) % 9 = 1 THEN (event_id % 120)::INT END AS given FROM events),
+o AS (SELECT *, CASE WHEN c < 5 THEN 'running' WHEN c = 5 THEN 'completed' WHEN c = 6 THEN 'failed' WHEN c = 7 THEN 'queued' ELSE 'paused' END AS status, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k FROM e),
+w AS (SELECT job_id, NULL::BIGINT AS seq, 0::BIGINT AS k, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS now_status, NULL::VARCHAR AS now_stage, NULL::INT AS now_progress FROM o WHERE k = 1
+  UNION ALL SELECT job_id, seq, k, ok, CASE WHEN ok THEN next_status ELSE now_status END, CASE WHEN ok THEN next_stage ELSE now_stage END, CASE WHEN ok THEN next_progress ELSE now_progress END FROM (
+    SELECT *, CASE op WHEN 'create' THEN now_status IS NULL WHEN 'cancel' THEN coalesce(now_status IN ('queued', 'running'), false)
+      ELSE now_status IS NOT NULL AND status <> 'paused' AND (given IS NULL OR given <= 100)
+        AND (status = now_status OR (now_status = 'queued' AND status IN ('running', 'failed')) OR (now_status = 'running' AND status IN ('completed', 'failed'))) AND (status = 'failed' OR next_progress >= now_progress) END AS ok
+    FROM (SELECT o.job_id, o.seq, o.k, o.op, o.status, o.given, w.now_status, w.now_stage, w.now_progress,
+      CASE o.op WHEN 'create' THEN 'queued' WHEN 'cancel' THEN 'cancelled' ELSE o.status END AS next_status, CASE o.op WHEN 'create' THEN 'queued' WHEN 'cancel' THEN 'cancelled' ELSE o.stage END AS next_stage,
+      CASE o.op WHEN 'create' THEN 0 WHEN 'cancel' THEN w.now_progress ELSE coalesce(o.given, CASE WHEN o.status = 'failed' THEN w.now_progress ELSE ({BASE_SQL})[list_position({STAGE_LIST_SQL}, o.stage)] END) END AS next_progress
+      FROM w JOIN o ON o.job_id = w.job_id AND o.k = w.k + 1)))
+SELECT job_id, seq, accepted, now_status, now_stage, coalesce(now_progress, -1) AS now_progress FROM w WHERE k > 0
+"""
+
+
 def job_events(spark, sf_dir):
-    """Events of a user as one job's log: a create first, then moves named by the event's number."""
-    n = F.col("request_id")
-    base = requests(spark, sf_dir).select(F.concat(F.lit("job_"), F.col("owner_key")).alias("job_id"), n.alias("seq"), "event_type")
-    choice = F.pmod(F.xxhash64("seq"), F.lit(9))
-    op = F.when(F.col("seq") % 17 == 0, "cancel").when(F.col("event_type") == "view", "create").otherwise("update")
+    """Events of a user as one job's log, with moves named by the event's number."""
+    n, u = F.col("event_id"), F.col("user_id")
+    choice = (n * 7 + u) % 9
+    op = F.when(n % 17 == 0, "cancel").when((F.col("event_type") == "view") | (n % 4 == 0), "create").otherwise("update")
     status = F.when(choice < 5, "running").when(choice == 5, "completed").when(choice == 6, "failed").when(choice == 7, "queued").otherwise("paused")
-    stage = F.element_at(F.array(*map(F.lit, display.STAGES)), (F.pmod(F.xxhash64("job_id", "seq"), F.lit(8)) + 1).cast("int"))
-    return base.select("job_id", "seq", op.alias("op"), status.alias("status"), stage.alias("stage"), F.when(choice == 1, (F.col("seq") % 120).cast("int")).alias("progress"))
+    stage = F.element_at(F.array(*map(F.lit, display.STAGES)), ((n * 5 + u * 3) % 8 + 1).cast("int"))
+    events = table(spark, sf_dir, "events")
+    return events.select(F.concat(F.lit("job_"), u.cast("string")).alias("job_id"), n.alias("seq"), op.alias("op"), status.alias("status"), stage.alias("stage"), F.when(choice == 1, (n % 120).cast("int")).alias("progress"))
 
 
-@query()
+@query(JOBS_SQL)
 def job_states(spark, sf_dir):
-    return jobs.job_states(job_events(spark, sf_dir)).select("job_id", "seq", "accepted", "now_status", "now_stage", "now_progress")
+    return jobs.job_states(job_events(spark, sf_dir)).select("job_id", "seq", "accepted", "now_status", "now_stage", F.coalesce("now_progress", F.lit(-1)).alias("now_progress"))
 
 
-@query()
+ADMIT_SQL = """
+WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS owner_key, event_id AS n, epoch_us(ts) / 1e6 AS t, event_id % 3 = 0 AS finish, event_id % 19 = 0 AS broken, event_id % 23 <> 0 AS ready, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+w AS (SELECT owner_key, NULL::BIGINT AS n, 0::BIGINT AS k, NULL::VARCHAR AS outcome, []::DOUBLE[] AS log, false AS active FROM o WHERE k = 1
+  UNION ALL SELECT owner_key, n, k, outcome, CASE WHEN outcome IN ('released', 'not_held', 'AUDIO.EMPTY') THEN log WHEN outcome = 'SERVICE.RATE_LIMITED' THEN fresh ELSE list_append(fresh, t) END,
+    CASE WHEN finish THEN false WHEN outcome = 'queued' THEN true ELSE active END
+  FROM (SELECT *, CASE WHEN finish THEN CASE WHEN active THEN 'released' ELSE 'not_held' END WHEN broken THEN 'AUDIO.EMPTY' WHEN len(fresh) >= 5 THEN 'SERVICE.RATE_LIMITED' WHEN NOT ready THEN 'MODEL.NOT_READY' WHEN active THEN 'JOB.DUPLICATE' ELSE 'queued' END AS outcome
+    FROM (SELECT o.*, w.log, w.active, list_filter(w.log, lambda x: o.t - x < 86400) AS fresh FROM w JOIN o ON o.owner_key = w.owner_key AND o.k = w.k + 1)))
+SELECT owner_key, n AS request_id, outcome FROM w WHERE k > 0
+"""
+
+
+@query(ADMIT_SQL)
 def admissions(spark, sf_dir):
     asked = requests(spark, sf_dir).select(
         "owner_key", "seconds", "request_id", F.when(F.col("request_id") % 3 == 0, "finish").otherwise("analyze").alias("op"),
@@ -511,7 +542,12 @@ def redaction(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.redact(said, ("s3cr3t",)).alias("message"))
 
 
-@query()
+def padded_sql(byte: int) -> str:
+    """A blob of the padded key of HMAC for the secret below."""
+    return "'" + "".join(f"\\x{b ^ byte:02X}" for b in b"local-secret".ljust(64, b"\0")) + "'::BLOB"
+
+
+@query(f"SELECT address, sha256({padded_sql(0x5C)} || unhex(sha256({padded_sql(0x36)} || encode(address)))) AS owner_key FROM (SELECT DISTINCT '10.0.0.' || user_id % 256 AS address FROM events)")
 def owner_keys(spark, sf_dir):
     """Keyed digests of addresses."""
     address = F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))
