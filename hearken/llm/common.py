@@ -109,38 +109,43 @@ class WordHashes:
     """64-bit hashes of all words of some texts at once, equal for equal words.
 
     A word's hash is the sum of its bytes' values times powers by position, taken as a difference of running sums over the
-    whole buffer, and scrambled with its length.
+    whole buffer, and scrambled with its length.  ``skip`` lists bytes that do not count.
     """
 
-    def __init__(self, lower: bool = False):
+    def __init__(self, lower: bool = False, skip: bytes = b""):
         self.values = (_BYTE[_LOWER] if lower else _BYTE).copy()
-        self.values[_SPACE] = 0
-        self.lower = lower
+        self.counts = ~_SPACE & ~np.isin(np.arange(256), list(skip))
+        self.values[~self.counts] = 0
+        self.lower, self.skip = lower, skip
         self.up = self.down = np.zeros(0, dtype=np.uint64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words in order, and each text's number of words."""
+        """Hashes of the words in order, 0 for those of skipped bytes alone, and each text's number of words."""
         import xxhash
 
         buffer = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
         n = len(buffer)
         if n == 0:
             return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES)
+        if len(self.up) <= n:
+            size = max(n, CHUNK_BYTES) + 1
             self.up, self.down = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
         inside = ~_SPACE[buffer]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edges = np.concatenate(([0], edges))
         start, end = edges[0::2], edges[1::2]  # the buffer ends in white space
+        # The place of a byte is its number among the counted ones, or in the buffer if all count.
+        place = np.cumsum(self.counts[buffer]) if self.skip else np.arange(n)
         with np.errstate(over="ignore"):
-            sums = np.cumsum(self.values[buffer] * self.up[:n])
-            before = np.where(start > 0, sums[start - 1], np.uint64(0))
-            hashes = mix((sums[end - 1] - before) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+            sums = np.cumsum(self.values[buffer] * (self.up[place] if self.skip else self.up[:n]))
+            before, first = np.where(start > 0, sums[start - 1], np.uint64(0)), np.where(start > 0, place[start - 1], 0) if self.skip else start
+            size = place[end - 1] - first if self.skip else end - start
+            hashes = mix((sums[end - 1] - before) * self.down[first] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         for k in np.flatnonzero(end - start > _LONG).tolist():
-            word = buffer[start[k] : end[k]].tobytes()
+            word = buffer[start[k] : end[k]].tobytes().translate(None, self.skip)
             hashes[k] = xxhash.xxh64_intdigest(word.lower() if self.lower else word)
+        hashes[size == 0] = 0
         bounds = np.cumsum([len(t) + 1 for t in texts])
         return hashes, np.diff(np.searchsorted(start, bounds), prepend=0)
 

@@ -15,22 +15,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearken.llm.common import as_bytes, pieces, starts_of
+from hearken.llm.common import WordHashes, as_bytes, pieces, starts_of
 
 #: Parameters of BM25; share of an item's own score that retrieves it; share of word pairs that verifies a part.
 K1, B, RETRIEVE, VERIFY = 1.2, 0.75, 0.6, 0.5
+#: What rounding may take from a bound.
+SLACK = 1e-3
 #: Items per index; a larger set is searched in several passes.  Blocks per index.  Words that a passage advances at least.
 MAX_ITEMS, BLOCKS, STRIDE = 50_000, 64, 32
 MATCH = "array<struct<item_id:bigint,start:bigint,bm25:double,question_overlap:double,answer_overlap:double>>"
 
 
-def plain(word: bytes) -> str:
-    """Lower case, letters and digits only; an empty string for a word without any."""
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
+#: Bytes of a word that do not count: ASCII characters other than letters and digits.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def lowered(column: pa.Array) -> list[bytes]:
+    return [b or b"" for b in as_bytes(pc.utf8_lower(column))]
+
+
+def word_hashes() -> WordHashes:
+    """Hashes of words in lower case without marks; 0 for bare marks."""
+    return WordHashes(skip=MARKS)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -48,7 +59,7 @@ class Index:
     """Postings by term (items in block order), largest impacts by term and block, and each item's word pairs."""
 
     ids: list[int]
-    terms: dict[str, int]
+    hashes: np.ndarray
     offsets: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
@@ -59,14 +70,15 @@ class Index:
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> "Index":
-        parsed = []
-        for item, text in rows:
-            parts = [[w for w in map(plain, part.encode().split()) if w] for part in question_and_answer(text or "")]
-            if parts[0] or parts[1]:
-                parsed.append((item, parts))
+        halves = [half for _, text in rows for half in question_and_answer(text or "")]
+        found, counts = word_hashes()(lowered(pa.array(halves, pa.string())))
+        cuts = starts_of(counts)
+        split = [[h for h in found[cuts[k] : cuts[k + 1]].tolist() if h] for k in range(len(halves))]
+        parsed = [(item, split[2 * k : 2 * k + 2]) for k, (item, _) in enumerate(rows) if split[2 * k] or split[2 * k + 1]]
         parsed.sort(key=lambda x: (len(x[1][0]) + len(x[1][1]), x[0]))
-        terms: dict[str, int] = {}
-        coded = [[[terms.setdefault(w, len(terms)) for w in part] for part in parts] for _, parts in parsed]
+        terms = sorted({h for _, parts in parsed for part in parts for h in part})
+        number = {h: k for k, h in enumerate(terms)}
+        coded = [[[number[h] for h in part] for part in parts] for _, parts in parsed]
         n, lengths = len(coded), np.array([len(q) + len(a) for q, a in coded], dtype=float)
         mean = lengths.mean() if n else 1.0
         owner = np.concatenate([np.full(len(q) + len(a), i) for i, (q, a) in enumerate(coded)] or [np.zeros(0, int)]).astype(np.int64)
@@ -77,10 +89,10 @@ class Index:
         impact = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
         impact /= np.bincount(owner, weights=impact, minlength=n)[owner]
         block_of = np.arange(n) // max(1, -(-n // BLOCKS))
-        block_max = np.zeros((len(terms) + 1, int(block_of[-1]) + 1 if n else 1), dtype=np.float32)
+        block_max = np.zeros((len(terms), int(block_of[-1]) + 1 if n else 1), dtype=np.float32)
         np.maximum.at(block_max, (term, block_of[owner]), np.nextafter(impact.astype(np.float32), np.float32(np.inf)))
         pairs = [tuple(frozenset(zip(part, part[1:])) if len(part) > 1 else frozenset((t, t) for t in part) for part in parts) for parts in coded]
-        return cls([i for i, _ in parsed], terms, np.searchsorted(term, np.arange(len(terms) + 1)), owner, impact, block_of, block_max, pairs, max(STRIDE, int(lengths.max(initial=0))))
+        return cls([i for i, _ in parsed], np.array(terms, dtype=np.uint64), np.searchsorted(term, np.arange(len(terms) + 1)), owner, impact, block_of, block_max, pairs, max(STRIDE, int(lengths.max(initial=0))))
 
     def exact(self, terms: np.ndarray) -> np.ndarray:
         """Scores of all items for one passage of distinct terms."""
@@ -89,67 +101,71 @@ class Index:
 
 
 class Searcher:
-    """Finds the items in texts; remembers the terms of words while the memory of them stays small."""
-
-    def __init__(self, index: Index, most: int = 400_000):
-        self.index, self.most, self.known = index, most, {}
-
-    def coded(self, words: list[bytes]) -> np.ndarray:
-        """Term of each word: -1 for one that no item has, -2 for one without letters or digits."""
-        known, terms = self.known, self.index.terms
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            p = plain(w)
-            known[w] = terms.get(p, -1) if p else -2
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-
-    def passages(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Terms of each text without bare marks; owner of each stretch of ``stride`` words, and its distinct terms with bounds."""
-        stride = self.index.stride
-        flat, bounds = self.coded([w for words in texts for w in words]), starts_of(np.array([len(w) for w in texts]))
-        real = flat != -2
-        counts = np.concatenate(([0], np.cumsum(real)))[bounds]
+    """Finds the items in texts."""
+
+    def __init__(self, index: Index):
+        self.index, self.hashes = index, word_hashes()
+
+    def passages(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of all words but bare marks (-1 for no term) with the texts' bounds; bounds of each text's stretches of ``stride``
+        words; their distinct terms with bounds."""
+        stride, known = self.index.stride, self.index.hashes
+        flat, counts = self.hashes(texts)
+        real = flat != 0
+        bounds = np.concatenate(([0], np.cumsum(real)))[starts_of(counts)]
         flat = flat[real]
-        codes = [flat[counts[i] : counts[i + 1]] for i in range(len(texts))]
-        sizes = np.diff(counts)
-        stretches = -(-sizes // stride)
-        first = starts_of(stretches)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        stretch = first[:-1][owner] + (np.arange(len(flat)) - counts[:-1][owner]) // stride
-        hit = flat >= 0
-        width = len(self.index.terms) + 1
-        key = np.unique(stretch[hit] * width + flat[hit])
-        return codes, first, key % width, np.searchsorted(key // width, np.arange(int(first[-1]) + 1))
-
-    def matches(self, texts: list[list[bytes]]) -> list[list[tuple]]:
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        codes = np.where(known[at] == flat, at, -1)
+        sizes = np.diff(bounds)
+        first = starts_of(-(-sizes // stride))
+        hit = np.flatnonzero(codes >= 0)
+        owner = np.repeat(np.arange(len(texts)), sizes)[hit]
+        stretch = first[owner] + (hit - bounds[owner]) // stride
+        key = np.unique(stretch * len(known) + codes[hit])
+        return codes, bounds, first, key % len(known), np.searchsorted(key, np.arange(int(first[-1]) + 1) * len(known))
+
+    def matches(self, texts: list[bytes]) -> list[list[tuple]]:
         index = self.index
         found: list[dict[int, tuple]] = [{} for _ in texts]
         if not index.ids:
             return [[] for _ in texts]
-        codes, first, terms, bounds = self.passages(texts)
-        best = index.block_max.max(axis=1)
-        alone = np.concatenate((np.concatenate(([0.0], np.cumsum(best[terms], dtype=np.float64)))[bounds[1:]] - np.concatenate(([0.0], np.cumsum(best[terms], dtype=np.float64)))[bounds[:-1]], [0.0]))
+        codes, begins, first, terms, bounds = self.passages(texts)
+        best = np.concatenate(([0.0], np.cumsum(index.block_max.max(axis=1)[terms], dtype=np.float64)))[bounds]
+        alone = np.append(np.diff(best), 0.0)
         owner = np.repeat(np.arange(len(texts)), np.diff(first))
         follows = np.concatenate((owner[1:] == owner[:-1], [False])) if len(owner) else np.zeros(0, bool)
-        # A passage is a stretch and the next one of the same text.
-        likely = np.flatnonzero(alone[:-1] + np.where(follows, alone[1:], 0) >= RETRIEVE - 1e-6)
-        for p in likely.tolist():
+        # A passage is a stretch and the next one of the same text.  Bounds over both may count a term twice, which only raises
+        # them; the few passages that pass are bounded again by their distinct terms.
+        likely = np.flatnonzero(alone[:-1] + np.where(follows, alone[1:], 0) >= RETRIEVE - SLACK)
+        for p in likely[self.open_blocks(likely, follows, terms, bounds)].tolist():
             own = terms[bounds[p] : bounds[p + 1]]
             if follows[p]:
                 own = np.union1d(own, terms[bounds[p + 1] : bounds[p + 2]])
-            if not len(own):
-                continue
-            open_blocks = np.flatnonzero(index.block_max[own].sum(axis=0, dtype=np.float64) >= RETRIEVE - 1e-6)
+            open_blocks = np.flatnonzero(index.block_max[own].sum(axis=0, dtype=np.float64) >= RETRIEVE - SLACK)
             if not len(open_blocks):
                 continue
             scores = index.exact(own)
             scores[~np.isin(index.block_of, open_blocks)] = 0
             for item in np.flatnonzero(scores >= RETRIEVE - 1e-9).tolist():
                 start = int(p - first[owner[p]]) * index.stride
-                self.verified(found[owner[p]], item, float(scores[item]), start, codes[owner[p]][start : start + 2 * index.stride])
+                self.verified(found[owner[p]], item, float(scores[item]), start, codes[begins[owner[p]] + start : min(begins[owner[p]] + start + 2 * index.stride, begins[owner[p] + 1])])
         return [[(self.index.ids[i], *m) for i, m in sorted(f.items(), key=lambda x: index.ids[x[0]])] for f in found]
 
+    def open_blocks(self, likely: np.ndarray, follows: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which of the likely passages have a block that their largest impacts there can bring over the threshold."""
+        out = np.zeros(len(likely), dtype=bool)
+        for at in range(0, len(likely), 1024):
+            part = likely[at : at + 1024]
+            low, high = int(part[0]), int(min(part[-1] + 2, len(bounds) - 1))
+            ends = bounds[low : high + 1]
+            sums = np.zeros((high - low + 1, self.index.block_max.shape[1]), dtype=np.float32)
+            full = np.flatnonzero(np.diff(ends))
+            if len(full):
+                sums[full] = np.add.reduceat(self.index.block_max[terms[ends[0] : ends[-1]]], ends[full] - ends[0], axis=0)
+            total = sums[part - low] + np.where(follows[part][:, None], sums[np.minimum(part + 1 - low, high - low)], 0)
+            out[at : at + 1024] = total.max(axis=1) >= RETRIEVE - SLACK
+        return out
+
     def verified(self, found: dict[int, tuple], item: int, score: float, start: int, passage: np.ndarray) -> None:
         words = passage.tolist()
         seen = set(zip(words, words[1:])) | {(w, w) for w in words}
@@ -168,7 +184,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def search(docs: DataFrame, index: Index, text_col: str = "text", out: str = "matches") -> DataFrame:
     """``docs`` with one more column ``out``: the verified items of each text, best passage each, by item id.
 
-    ``start`` counts words that have a letter or digit.  Null and empty texts, and empty benchmarks, match nothing.  Items with
+    ``start`` counts words that are not bare marks.  Null and empty texts, and empty benchmarks, match nothing.  Items with
     equal texts all match.  All columns of ``docs`` pass through, repeated rows too; ``out`` must be a new name.
     """
     if out in docs.columns:
@@ -182,10 +198,10 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", out: str = "ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(sent.value)
         for batch in batches:
-            texts = [b or b"" for b in as_bytes(batch.column(at))]
+            texts = lowered(batch.column(at))
             rows: list[list[tuple]] = []
             for part in pieces(texts):
-                rows += searcher.matches([b.split() for b in texts[part]])
+                rows += searcher.matches(texts[part])
             found = [[dict(zip(names, m)) for m in ((i, s, b, q, a) for i, s, b, q, a in r)] for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
 

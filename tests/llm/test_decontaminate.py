@@ -19,7 +19,9 @@ def test_whole_items_are_found_over_the_whole_table(spark):
 
 def plain_retrieval(index, words):
     """Items over the threshold for each passage, scored one by one without blocks."""
-    terms = [index.terms.get(decontaminate.plain(w), -1) for w in words if decontaminate.plain(w)]
+    hashes, _ = decontaminate.word_hashes()([words])
+    number = {h: k for k, h in enumerate(index.hashes.tolist())}
+    terms = [number.get(h, -1) for h in hashes.tolist() if h]
     hits = set()
     for at in range(0, max(1, len(terms)), index.stride):
         own = {t for t in terms[at : at + 2 * index.stride] if t >= 0}
@@ -41,7 +43,7 @@ def test_blocks_lose_nothing():
     vocabulary = [f"w{k}" for k in range(400)]
     draw = lambda n: " ".join(vocabulary[int(k)] for k in rng.zipf(1.3, n) % 400)
     index = Index.build([(k, draw(rng.integers(1, 50))) for k in range(300)])
-    texts = [(draw(rng.integers(0, 300)) + " " + " ".join(index_text)).encode().split() for index_text in ([], ["w1"], [draw(30)])] * 20
+    texts = [(draw(rng.integers(0, 300)) + " " + " ".join(index_text)).encode() for index_text in ([], ["w1"], [draw(30)])] * 20
     rows = Searcher(index).matches(texts)
     assert [{m[0] for m in r} for r in rows] == [plain_retrieval(index, t) for t in texts] and any(rows)
 

@@ -87,3 +87,5 @@ def test_word_hashes_tell_words_apart():
     assert counts.tolist() == [len(t.split()) for t in texts] and len(set(hashes.tolist())) == len(set(words)) == len(words)
     lower, _ = WordHashes(lower=True)([b"AbC abc", "É é".encode()])
     assert lower[0] == lower[1] and lower[2] != lower[3]
+    marked, _ = WordHashes(skip=b".,")([b"word wo.rd, .word ., , word" + b" " + b"x" * 300 + b" " + b"x." * 300])
+    assert len(set(marked[[0, 1, 2, 5]].tolist())) == 1 and marked[3] == marked[4] == 0 and marked[6] == marked[7] != 0
