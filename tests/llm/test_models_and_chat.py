@@ -150,7 +150,8 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW conversations AS SELECT * FROM '/root/testdata/sf0.001/conversations.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
     columns = sorted(got.columns)
