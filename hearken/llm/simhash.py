@@ -6,7 +6,9 @@
    leaf; it also visits, as a guest, those leaves across a boundary which the triangle bound cannot rule out.
 4. Each leaf finds its exact pairs (home-home and home-guest), continuing the tree in memory where a leaf is large, and
    returns a spanning set of links only.
-5. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
+5. Several independent fingerprints can be asked for; then texts link if any of them lie within reach, which finds pairs that
+   one fingerprint of small reach misses.
+6. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -18,38 +20,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import as_bytes, stored
+from hearken.llm.common import as_bytes, mix, stored
 
 #: Fingerprints drawn for laying out the tree, and fingerprints that a leaf should hold.
 SAMPLE, LEAF = 20_000, 4096
 
 
-def fingerprint_of(text: bytes | None, width: int) -> int:
-    """Bits set in more than half of the shingles' hashes; 0 for a text without words."""
+def fingerprints_of(text: bytes | None, width: int, tables: int = 1) -> list[int]:
+    """Bits set in more than half of the shingles' hashes; 0 for a text without words.
+
+    The first fingerprint votes by the hashes themselves, further ones by scrambles of them.
+    """
     import xxhash
 
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return [0] * tables
     joined = [b" ".join(found)] if len(found) < width else list(map(b" ".join, zip(*(found[k:] for k in range(width)))))
-    votes = np.zeros(64, dtype=np.int64)
+    votes = np.zeros((tables, 64), dtype=np.int64)
     for at in range(0, len(joined), 1 << 16):
         part = joined[at : at + (1 << 16)]
         hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), dtype="<u8", count=len(part))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * votes > len(joined), bitorder="little")
-    return int(bits.view("<i8")[0])
+        for k in range(tables):
+            voting = hashes if k == 0 else mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+            votes[k] += np.unpackbits(voting.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(joined), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per input row; a null text counts as empty, with fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, ...): one row per input row; a null text counts as empty, with fingerprint 0."""
+    names = prints(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint_of(x, width) for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = [fingerprints_of(x, width, tables) for x in as_bytes(batch.column(1))]
+            columns = zip(*values) if values else [[]] * tables
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *names])
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def prints(tables: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, tables))]
 
 
 def distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
@@ -217,29 +230,42 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, tables: int = 1) -> DataFrame:
     """One row per input row: doc_id, fingerprint (hex), component_id (smallest id reachable through links, its own included).
 
+    With several ``tables`` texts link if any of as many independent fingerprints lie within reach; the first is returned.
     Null and empty texts share fingerprint 0 and are linked like others.  Repeated rows stay, in the same component.  A row
-    with a null id keeps its row and takes the component of the rows with ids that share its fingerprint, null if there are
-    none; a fingerprint of null ids alone forms no link.  Other columns of the input, whatever their names, are not read.
+    with a null id keeps its row and takes the component of the rows with ids that share its fingerprints, null if there are
+    none; fingerprints of null ids alone form no link.  Other columns of the input, whatever their names, are not read.
     An empty table gives an empty result.
     """
-    marked = stored(fingerprints(docs, id_col, text_col, width))
-    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    names = prints(tables)
+    marked = stored(fingerprints(docs, id_col, text_col, width, tables))
+    distinct = stored(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")))
     named = distinct.where("rep is not null")
-    found = components(links(named, reach))
-    label = named.join(found, named["rep"] == found["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(label, marked["fp"] == label["of_fp"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
+    edges = None
+    for name in names:
+        if tables == 1:
+            of_print = named.select(F.col(name).alias("fp"), "rep")
+            found = links(of_print, reach)
+        else:
+            of_print = stored(named.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("rep")))
+            shared = named.join(of_print.select(F.col("fp").alias("of_fp"), F.col("rep").alias("b")), F.col(name) == F.col("of_fp")).select(F.col("rep").alias("a"), "b")
+            found = links(of_print, reach).unionByName(shared)
+        edges = found if edges is None else edges.unionByName(found)
+    found = components(edges)
+    label = named.join(found, named["rep"] == found["node"], "left").select(*[F.col(n).alias(f"of_{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
+    joined = marked.join(label, [marked[n] == label[f"of_{n}"] for n in names], "left")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, tables: int = 1) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
     Of rows that share that id one stays; rows with a null id belong to no component and all stay.  Columns pass through.
     The texts meet a table of ids once, hashed on the ids' side so that the texts are not sorted.
     """
-    found = near_duplicates(docs, id_col, text_col, width, reach)
+    found = near_duplicates(docs, id_col, text_col, width, reach, tables)
     ids = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept"))
     on_id = lambda kept: docs[id_col] == kept["__kept"]
     once, often = ids.where("rows = 1").drop("rows"), ids.where("rows > 1").drop("rows")

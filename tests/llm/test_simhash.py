@@ -98,3 +98,26 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 60).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(200, 100), (300, 100)], "a long, b long"))
     got = {r.node: r.component for r in simhash.components(chain).collect()}
     assert got == {**{k: 1 for k in range(2, 61)}, 200: 100, 300: 100}
+
+
+def test_several_fingerprints_find_more(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(500)]
+    rows, copies = [], []
+    for k in range(60):
+        text = [words[i] for i in rng.integers(0, 500, 150)]
+        edited = list(text)
+        for i in rng.integers(0, 150, 2):
+            edited[i] = "edited"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def paired(**how):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, **how).collect()}
+        assert all(c in (i, i - i % 2) for i, c in got.items())  # nothing but the copies is linked
+        return {i for i, c in got.items() if c != i}
+
+    one, more = paired(reach=2), paired(reach=3, tables=6)
+    assert one <= more and len(more) > 40 > len(one)
+    same = sorted(map(tuple, simhash.near_duplicates(frame, tables=1).collect()))
+    assert same == plain_components(rows)
