@@ -24,6 +24,8 @@ FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr",
 #: Size of the hashed feature space, n-gram lengths, and labelled documents read per language and languages in all.
 BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES = 8192, (2, 3, 4), 400, 40
 GAP = b"\0\0\0\0"
+#: Bytes of text at a time; each takes about fifty bytes of memory.
+PIECE_BYTES = 1 << 20
 
 
 def hashed_grams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ class Model:
     def margins(self, blobs: list[bytes]) -> np.ndarray:
         """A row per text, a column per machine, from frequencies of n-grams."""
         out = np.zeros((len(blobs), len(self.machines)))
-        for part in pieces(blobs):
+        for part in pieces(blobs, PIECE_BYTES):
             grams, bounds = hashed_grams(blobs[part])
             size = np.maximum(1, bounds[1:] - bounds[:-1]) * len(ORDERS)
             for m, (_, _, weights, bias) in enumerate(self.machines):
