@@ -6,10 +6,13 @@ tests and benchmarks, not a trained model; a real one is a pandas UDF that retur
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.functions.expr import let
 
@@ -47,3 +50,33 @@ def lexicon_scorer(terms: Iterable[str], weight: float = 24.0, offset: float = 2
         return let(found, lambda w: F.array(F.lit(0.0), weight * F.size(F.filter(w, lambda t: F.array_contains(known, t))) / F.greatest(F.size(w), F.lit(1)) - offset))
 
     return scorer
+
+
+def logit_rows(raw: Sequence, n: int) -> np.ndarray:
+    """What a model returned for n texts as n rows of two; a batch axis around a single row is taken off."""
+    rows = np.asarray(raw, dtype=np.float64)
+    rows = rows.reshape(n, -1) if rows.ndim != 2 else rows
+    if rows.shape != (n, 2):
+        raise ValueError(f"a model must return {n} rows of two logits, not {rows.shape}")
+    return rows
+
+
+def model_scorer(load: Callable[[], Callable[[list[str]], Sequence]], batch: int = 8) -> Callable[[Column], Column]:
+    """A tile scorer from a Python model.  ``load`` runs once per task; the model gets up to ``batch`` texts at a time.
+
+    Rows with null tiles are not scored.  A blank text is an error.
+    """
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for tiles in series:
+            flat = [t for row in tiles if row is not None for t in row]
+            if any(not t or not t.strip() for t in flat):
+                raise ValueError("a text to score must not be blank")
+            parts = [logit_rows(model(flat[at : at + batch]), len(flat[at : at + batch])) for at in range(0, len(flat), batch)]
+            done = iter(np.concatenate(parts).tolist() if parts else [])
+            yield pd.Series([None if row is None else [next(done) for _ in row] for row in tiles])
+
+    # The annotations are text in this module; the decorator needs the types themselves.
+    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.ArrayType(T.ArrayType(T.DoubleType())))

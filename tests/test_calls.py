@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule
-from hearken.functions.scoring import SUSPECT
+from hearken.functions.scoring import SUSPECT, logit_rows, model_scorer
 from hearken.operators import calls
 from hearken.plans.engine import Engine
 
@@ -83,3 +83,21 @@ def test_numbered(spark):
 def test_one_shuffle(spark):
     plan = calls.analyze(chunks(spark, [("a", 0, "s600")]), (), READ)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_python_model(spark):
+    """A model behind the plug-in: batches of eight at most, unusable chunks left out."""
+
+    def load():
+        def model(texts):
+            assert 0 < len(texts) <= 8 and "@" not in "".join(texts)
+            return [[0.0, float(len(t.split()))] for t in texts]
+
+        return model
+
+    rows = [("a", k, " ".join(f"w{k}x{i}" for i in range(300))) for k in range(12)] + [("a", 12, "@@@ ###"), ("b", 0, "@@@ ###")]
+    got = {r.call_id: r for r in calls.analyze(chunks(spark, rows), (), model_scorer(load)).collect()}
+    assert got["a"].label == SUSPECT and got["a"].quality.excluded_chunk_count == 1 and got["b"].label is None
+    with pytest.raises(ValueError):
+        logit_rows([[1.0, 2.0, 3.0]], 1)
+    assert logit_rows([[[1.0, 2.0]]], 1).tolist() == [[1.0, 2.0]]
