@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of characters other than these six.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Bytes of text that one numpy step handles at a time.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one numpy step handles at a time; each takes about fifty bytes of memory.
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
