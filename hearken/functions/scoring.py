@@ -1,16 +1,17 @@
 """Scores of a binary classifier, and a stand-in for one.
 
 A scorer is a function from a text column to a column of two logits.  ``lexicon_scorer`` is a deterministic surrogate for
-tests and benchmarks, not a trained model; a real one is a pandas UDF that returns an array of two doubles.
+tests and benchmarks, not a trained model; a real one goes into a ``ModelScorer``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,22 +62,33 @@ def logit_rows(raw: Sequence, n: int) -> np.ndarray:
     return rows
 
 
-def model_scorer(load: Callable[[], Callable[[list[str]], Sequence]], batch: int = 8) -> Callable[[Column], Column]:
-    """A tile scorer from a Python model.  ``load`` runs once per task; the model gets up to ``batch`` texts at a time.
+@dataclass(frozen=True)
+class ModelScorer:
+    """Scores tiles with a Python model.  ``load`` runs once per task; the model gets up to ``batch`` texts at a time.
 
-    Rows with null tiles are not scored.  A blank text is an error.
+    It works on whole rows, as a step of its own in the plan.  Rows with null tiles are not scored.  A blank text is an error.
     """
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for tiles in series:
-            flat = [t for row in tiles if row is not None for t in row]
-            if any(not t or not t.strip() for t in flat):
-                raise ValueError("a text to score must not be blank")
-            parts = [logit_rows(model(flat[at : at + batch]), len(flat[at : at + batch])) for at in range(0, len(flat), batch)]
-            done = iter(np.concatenate(parts).tolist() if parts else [])
-            yield pd.Series([None if row is None else [next(done) for _ in row] for row in tiles])
-
-    # The annotations are text in this module; the decorator needs the types themselves.
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, T.ArrayType(T.ArrayType(T.DoubleType())))
+    load: Callable[[], Callable[[list[str]], Sequence]]
+    batch: int = 8
+
+    def add(self, df: DataFrame, tiles: Column, out: str) -> DataFrame:
+        """``df`` with the logits of an array of texts."""
+        given = df.withColumn(out, tiles)
+        at, load, batch = len(given.columns) - 1, self.load, self.batch
+        pairs = pa.list_(pa.list_(pa.float64()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = load()
+            for rows in batches:
+                texts = rows.column(at).to_pylist()
+                flat = [t for row in texts if row is not None for t in row]
+                if any(not t or not t.strip() for t in flat):
+                    raise ValueError("a text to score must not be blank")
+                parts = [logit_rows(model(flat[k : k + batch]), len(flat[k : k + batch])) for k in range(0, len(flat), batch)]
+                done = iter(np.concatenate(parts).tolist() if parts else [])
+                made = pa.array([None if row is None else [next(done) for _ in row] for row in texts], pairs)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:at], made], rows.schema.names)
+
+        logits = T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))
+        return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], logits]))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from hearken.functions import quality, text
 from hearken.functions.correct import Rule, correct
 from hearken.functions.expr import let
-from hearken.functions.scoring import NORMAL, SUSPECT, classified
+from hearken.functions.scoring import NORMAL, SUSPECT, ModelScorer, classified
 from hearken.operators.tiling import token_tiles
 
 #: Chunks whose mean is a call's score, evidence segments, and the score from which a call is suspect.
@@ -37,7 +37,7 @@ def rolled_up(logits: Column) -> Column:
     return F.when(F.size(logits) > 0, let(F.transform(logits, classified), over))
 
 
-def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
+def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
     """Adds normalized, corrected, corrections, quality and result to rows with a transcript; no shuffle.
 
     Unusable chunks keep their row and have no result.  A blank or null transcript is unusable (``strict``: an error).
@@ -48,7 +48,10 @@ def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer |
         done = done.withColumn("normalized", F.when(F.col("normalized") != "", F.col("normalized")).otherwise(F.raise_error(F.lit("a transcript must not be blank"))))
     done = correct(done, "normalized", rules, kinds).withColumn("quality", quality.check(F.col("corrected"), gate))
     tiles = token_tiles(F.when(F.col("quality.usable"), F.col("corrected")))
-    return done.withColumn("result", rolled_up(scorer(tiles)) if scorer else F.lit(None).cast("struct<label:string,label_id:int,suspicion_score:double>"))
+    if scorer is None:
+        return done.withColumn("result", F.lit(None).cast("struct<label:string,label_id:int,suspicion_score:double>"))
+    logits = scorer.add(done, tiles, "__logits") if isinstance(scorer, ModelScorer) else done.withColumn("__logits", scorer(tiles))
+    return logits.withColumn("result", rolled_up(F.col("__logits"))).drop("__logits")
 
 
 def rolled_up_calls(rows: DataFrame) -> DataFrame:
@@ -87,12 +90,12 @@ def rolled_up_calls(rows: DataFrame) -> DataFrame:
     )
 
 
-def analyze(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
+def analyze(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
     """Calls from chunks (call_id, chunk_index, start, end, transcript)."""
     return rolled_up_calls(prepared(chunks, rules, scorer, gate, kinds, strict))
 
 
-def analyze_whole(transcripts: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",)) -> DataFrame:
+def analyze_whole(transcripts: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",)) -> DataFrame:
     """The path for calls that come as one transcript (call_id, transcript): no segments, and the label of the tiles' roll-up.
 
     Here raw_transcript is the normalised text.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from hearken.functions.correct import Rule, checked
 from hearken.functions.quality import Gate
+from hearken.functions.scoring import ModelScorer
 from hearken.operators import calls
 from hearken.sources.audio import audio_chunks
 
@@ -18,12 +19,12 @@ Transcriber = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Engine:
-    """Holds what a deployment plugs in.  ``scorer`` maps arrays of texts to arrays of logit pairs; ``transcriber`` adds texts.
+    """Holds what a deployment plugs in.  ``scorer`` maps arrays of texts to arrays of logit pairs, or wraps a Python model; ``transcriber`` adds texts.
 
     Neither is shipped: both are trained models.  Without a scorer the engine is not ready to analyse.
     """
 
-    scorer: calls.TileScorer | None = None
+    scorer: calls.TileScorer | ModelScorer | None = None
     transcriber: Transcriber | None = None
     rules: tuple[Rule, ...] = ()
     kinds: tuple[str, ...] = ("typo",)

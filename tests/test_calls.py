@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule
-from hearken.functions.scoring import SUSPECT, logit_rows, model_scorer
+from hearken.functions.scoring import SUSPECT, ModelScorer, logit_rows
 from hearken.operators import calls
 from hearken.plans.engine import Engine
 
@@ -96,7 +96,7 @@ def test_python_model(spark):
         return model
 
     rows = [("a", k, " ".join(f"w{k}x{i}" for i in range(300))) for k in range(12)] + [("a", 12, "@@@ ###"), ("b", 0, "@@@ ###")]
-    got = {r.call_id: r for r in calls.analyze(chunks(spark, rows), (), model_scorer(load)).collect()}
+    got = {r.call_id: r for r in calls.analyze(chunks(spark, rows), (), ModelScorer(load)).collect()}
     assert got["a"].label == SUSPECT and got["a"].quality.excluded_chunk_count == 1 and got["b"].label is None
     with pytest.raises(ValueError):
         logit_rows([[1.0, 2.0, 3.0]], 1)
