@@ -24,7 +24,7 @@ MAX_BYTES, HEAD, PROBES, PER_DOUBLING = 32 << 20, 65_536, 2, 2
 #: Weight of the pair estimate against the single-token estimate.
 PAIR_WEIGHT = 0.6
 #: Distinct grams that a task gathers before it hands them on, and text bytes per segment.
-GATHER, SEGMENT_BYTES = 1_500_000, 4 << 20
+GATHER, SEGMENT_BYTES = 500_000, 4 << 20
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
