@@ -52,7 +52,9 @@ def test_toxicity_of_held_out_documents(spark):
 
 
 def test_toxicity_edges(spark):
-    rows = [(k, "you are an idiot my friend" if k % 4 == 0 else "you are a kind friend", int(k % 4 == 0)) for k in range(80)] + [(90, None, None), (91, "", None), (92, "IDIOT!", None)]
+    rng = np.random.default_rng(3)
+    other = lambda: " ".join(f"word{x}" for x in rng.integers(0, 5000, 12))  # noqa: E731  copies would be one piece of evidence
+    rows = [(k, f"you are {'an idiot' if k % 4 == 0 else 'a kind'} friend {other()}", int(k % 4 == 0)) for k in range(80)] + [(90, None, None), (91, "", None), (92, "IDIOT!", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
     model = toxicity.train(frame, frame, F.lit(True), label_col="label")
     got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
@@ -68,11 +70,11 @@ def test_pairs_of_terms_say_what_single_ones_do_not():
     terms, labels = [], []
     for _ in range(800):
         a, b = rng.random(2) < 0.5
-        terms.append(np.array(sorted([1] * int(a) + [2] * int(b) + [int(x) for x in rng.integers(10, 30, 3)]), dtype=np.int64))
+        terms.append(np.array(sorted([2] * int(a) + [4] * int(b) + [2 * int(x) for x in rng.integers(10, 5000, 8)]), dtype=np.int64))  # terms are even
         labels.append(int(a and b))
     model = toxicity.fit([np.unique(t) for t in terms], np.array(labels))
     score = lambda *f: 1 / (1 + np.exp(-model.raw(np.searchsorted(model.features, f), np.array([0, len(f)]))[0]))
-    assert score(1, 2) > 0.7 and score(1) < 0.5 and score(2) < 0.5
+    assert score(2, 4) > 0.7 and score(2) < 0.5 and score(4) < 0.5
 
 
 # ---- chat -------------------------------------------------------------------------------------------------------------------
