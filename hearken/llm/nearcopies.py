@@ -1,0 +1,115 @@
+"""Near copies by an exact measure: texts whose sets of word shingles have a Jaccard similarity of at least a bound.
+
+1. Each text becomes its set of distinct shingle hashes, in one pass; equal sets collapse to one node, named by a hash of the set.
+2. Bands of min-hashes propose candidates: two sets of similarity 0.8 share one of the bands but for about 3 in 100,000.
+3. Within a bucket every set is compared with a hub.  The hub's order differs between bands, so a hub that is itself not
+   similar enough in one band is not the only one a set meets; the number of candidates grows with the sets, not with pairs.
+4. Each candidate is checked on the sets themselves; the links that hold become components.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hearken.llm.common import WordHashes, as_bytes, mix, pieces, starts_of, stored
+from hearken.llm.simhash import components, kept_of
+
+#: Bands, min-hashes in each, and orders among which the bands choose their hubs.
+BANDS, ROWS, ORDERS = 20, 4, 4
+_ODD = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_TIMES, _FLIP = _ODD[: BANDS * ROWS] | np.uint64(1), _ODD[BANDS * ROWS :]
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``width`` words; of a shorter text, that of the whole text."""
+    if not len(words):
+        return words
+    n = min(width, len(words))
+    total = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            total = mix(total * np.uint64(0xD1342543DE82EF95) + words[k : len(words) - n + 1 + k])
+    return np.unique(total)
+
+
+def bands_of(found: np.ndarray) -> np.ndarray:
+    """A key per band from the least of the set's scrambled hashes."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(found), 2048):
+            np.minimum(least, ((found[at : at + 2048, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
+        keys = np.zeros(BANDS, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            keys = mix(keys * np.uint64(0xD1342543DE82EF95) + row)
+    return keys
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = False) -> DataFrame:
+    """(doc_id, node, size, bands), or (doc_id, node, hashes): one row per input row; texts without words share node 0 and have no bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(lower=True)
+        for batch in batches:
+            texts = [b or b"" for b in as_bytes(batch.column(1))]
+            for part in pieces(texts):
+                words, counts = hashes(texts[part])
+                bounds = starts_of(counts)
+                found = [shingle_set(words[a:b], width) for a, b in zip(bounds[:-1], bounds[1:])]
+                with np.errstate(over="ignore"):
+                    node = np.array([mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s)))[()] if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
+                bands = [] if whole else [bands_of(s).view(np.int64) if len(s) else [] for s in found]
+                columns = [batch.column(0)[part], pa.array(node), *([pa.array([s.tobytes() for s in found], pa.binary())] if whole else [pa.array([len(s) for s in found], pa.int64()), pa.array(bands, pa.list_(pa.int64()))])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", *(["hashes"] if whole else ["size", "bands"])])
+
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, node long, hashes binary" if whole else "doc_id long, node long, size long, bands array<long>")
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by comparing the sets; only texts in a pair are read for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    asked = stored(nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    texts = docs.join(asked.select(F.col("rep").alias("__rep")).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__rep"), "left_semi")
+    held = stored(sets(texts, id_col, text_col, width, True).select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    one = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per input row: the smallest id reachable through links of similarity ``least`` or more.
+
+    Null texts and those without words are equal.  A row with a null id takes the component of the rows with ids whose sets
+    equal its own, null if there are none, and forms no link.
+    """
+    marked = stored(sets(docs, id_col, text_col, width))
+    nodes = stored(marked.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands")))
+    at = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    hubs = at.groupBy("band", "key").agg(F.min_by(F.struct("node", "size"), F.xxhash64("node", F.col("band") % ORDERS)).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Sets of too different sizes cannot be similar enough.
+    met = at.join(hubs, ["band", "key"]).where(F.col("node") != F.col("hub.node")).where(F.least("size", "hub.size") >= least * F.greatest("size", "hub.size") - 1e-9)
+    pairs = stored(met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+    found = components(similar(pairs, nodes, docs, id_col, text_col, width, least))
+    rooted = nodes.select("node", "rep").join(found.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = rooted.join(firsts, "root").select(F.col("node").alias("of_node"), "component_id")
+    return marked.select("doc_id", "node").join(label, F.col("node") == F.col("of_node"), "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id."""
+    return kept_of(docs, near_copies(docs, id_col, text_col, width, least), id_col)

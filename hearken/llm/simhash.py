@@ -263,9 +263,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each component: that of the smallest id.
 
     Of rows that share that id one stays; rows with a null id belong to no component and all stay.  Columns pass through.
+    """
+    return kept_of(docs, near_duplicates(docs, id_col, text_col, width, reach, tables), id_col)
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` to keep, given (doc_id, component_id).
+
     The texts meet a table of ids once, hashed on the ids' side so that the texts are not sorted.
     """
-    found = near_duplicates(docs, id_col, text_col, width, reach, tables)
     ids = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept"))
     on_id = lambda kept: docs[id_col] == kept["__kept"]
     once, often = ids.where("rows = 1").drop("rows"), ids.where("rows > 1").drop("rows")
