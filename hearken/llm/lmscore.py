@@ -2,8 +2,9 @@
 
 Training counts of single tokens and token pairs are summed per segment of the hash space.  Each segment's reducer keeps the
 exact token counts (a table) and writes its own stretch of the filter, in which a gram with quantised count q is present at
-levels 1 to q.  The filter has a size set by the input up to ``MAX_BYTES`` and is broadcast; a count is read back by probing
-level after level until one is missing.  The exact unigram base score takes the ``HEAD`` most frequent tokens from a table of
+levels 1 to q.  The filter grows with the input and stays in its segments: pieces of text send their distinct grams to the
+segments and get levels back; a count is read by probing level after level until one is missing or the segment's largest is
+reached.  The exact unigram base score takes the ``HEAD`` most frequent tokens from a table of
 that size and joins the rest.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from hearken.llm.common import WordHashes, as_bytes, mix, pieces, starts_of, stored, sum_rows
 
-#: Largest filter, tokens in the broadcast table of exact counts, probes per level, levels per doubling of a count.
-MAX_BYTES, HEAD, PROBES, PER_DOUBLING = 32 << 20, 65_536, 2, 2
+#: Tokens in the broadcast table of exact counts, probes per level, levels per doubling of a count, largest level of any count.
+HEAD, PROBES, PER_DOUBLING, TOP = 65_536, 2, 2, 128
 #: Weight of the pair estimate against the single-token estimate.
 PAIR_WEIGHT = 0.6
 #: Distinct grams that a task gathers before it hands them on, and text bytes per segment.
@@ -75,8 +76,8 @@ class Shape:
 
     @classmethod
     def for_bytes(cls, text_bytes: int) -> "Shape":
-        segments = max(6, min(16, (text_bytes // SEGMENT_BYTES).bit_length()))
-        total = max(segments + 6, min((MAX_BYTES * 8).bit_length() - 1, (2 * text_bytes).bit_length()))
+        segments = max(6, min(24, (text_bytes // SEGMENT_BYTES).bit_length()))
+        total = max(segments + 6, (2 * text_bytes).bit_length())
         return cls(segments, total - segments)
 
     def segment(self, grams: np.ndarray) -> np.ndarray:
@@ -105,48 +106,56 @@ def filled(shape: Shape, grams: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def levels(bits: np.ndarray, shape: Shape, grams: np.ndarray, base: np.ndarray, top: int) -> np.ndarray:
+    """Quantised counts, 0 for what is absent; each gram's segment starts at ``base`` and holds no level above ``top``."""
+    out, alive, level = np.zeros(len(grams), dtype=np.int64), np.arange(len(grams)), 1
+    while len(alive) and level <= top:
+        hit = np.ones(len(alive), dtype=bool)
+        for place in shape.places(grams[alive], level):
+            at = base[alive] + place
+            hit &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        out[alive] = level
+        level += 1
+    return out
+
+
 @dataclass
 class Filter:
-    """The whole filter, with what the smoothing needs: all training tokens and distinct ones."""
+    """The whole filter in one piece, with all training tokens and distinct ones."""
 
     shape: Shape
     bits: np.ndarray
     total: int
     distinct: int
+    top: int = TOP
 
     def level(self, grams: np.ndarray) -> np.ndarray:
-        """Quantised counts, 0 for what is absent."""
-        out, alive, level = np.zeros(len(grams), dtype=np.int64), np.arange(len(grams)), 1
         base = self.shape.segment(grams).astype(np.uint64) << np.uint64(self.shape.bits_log2)
-        while len(alive):
-            hit = np.ones(len(alive), dtype=bool)
-            for place in self.shape.places(grams[alive], level):
-                at = base[alive] + place
-                hit &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            out[alive] = level
-            level += 1
-        return out
-
-    def log10(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 of each token's smoothed probability.
-
-        A quantised count stands for the smallest count of its class in a numerator and for the largest in a denominator, so
-        the probabilities after a context do not add up to more than one but for false positives.
-        """
-        pairs, before = pair_hashes(tokens, bounds)
-        known, which = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        single = self.level(known)
-        low, high = np.where(single > 0, 2.0 ** ((single - 1) / PER_DOUBLING), 0.0), 2.0 ** (single / PER_DOUBLING)
-        pair_known, pair_which = np.unique(pairs, return_inverse=True)
-        pair = self.level(pair_known)
-        pair_low = np.where(pair > 0, 2.0 ** ((pair - 1) / PER_DOUBLING), 0.0)[pair_which]
-        alone = (low[which[: len(tokens)]] + 1) / (self.total + self.distinct + 1)
-        return np.log10(PAIR_WEIGHT * np.minimum(1.0, pair_low / high[which[len(tokens) :]]) + (1 - PAIR_WEIGHT) * alone)
+        return levels(self.bits, self.shape, grams, base, self.top)
+
+
+def grams_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """All that a piece asks for, distinct and in order, and so by segment: tokens, their predecessors and pairs."""
+    pairs, before = pair_hashes(tokens, bounds)
+    return np.unique(np.concatenate((tokens, before, pairs)))
+
+
+def log10(tokens: np.ndarray, bounds: np.ndarray, grams: np.ndarray, level: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of each token's smoothed probability, from the levels of ``grams_of`` the piece.
+
+    A quantised count stands for the smallest count of its class in a numerator and for the largest in a denominator, so
+    the probabilities after a context do not add up to more than one but for false positives.
+    """
+    pairs, before = pair_hashes(tokens, bounds)
+    low, high = np.where(level > 0, 2.0 ** ((level - 1) / PER_DOUBLING), 0.0), 2.0 ** (level / PER_DOUBLING)
+    of = lambda x: np.searchsorted(grams, x)
+    alone = (low[of(tokens)] + 1) / (total + distinct + 1)
+    return np.log10(PAIR_WEIGHT * np.minimum(1.0, low[of(pairs)] / high[of(before)]) + (1 - PAIR_WEIGHT) * alone)
 
 
 def learn(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
-    """(segment, bits, tokens, counts): each segment's part of the filter and its exact token counts; one pass and one shuffle."""
+    """(segment, bits, top, tokens, counts): each segment's part of the filter, its largest level and exact token counts; one pass and one shuffle."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(lower=True), [[], []], 0
@@ -181,11 +190,11 @@ def learn(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
             parts.append(summed(np.concatenate([h for h, _ in both]), np.concatenate([c for _, c in both])))
         bits = filled(shape, np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
         real = parts[0][0] != START
-        columns = {"segment": [group.column("segment")[0].as_py()], "bits": [bits], "tokens": [parts[0][0][real].view(np.int64)], "counts": [parts[0][1][real].astype(np.int64)]}
-        return pa.table(columns, schema=pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+        columns = {"segment": [group.column("segment")[0].as_py()], "bits": [bits], "top": [max(int(quantised(c).max(initial=0)) for _, c in parts)], "tokens": [parts[0][0][real].view(np.int64)], "counts": [parts[0][1][real].astype(np.int64)]}
+        return pa.table(columns, schema=pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("top", pa.int64()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(gather, "segment long, singles binary, pairs binary").groupBy("segment").applyInArrow(build, "segment long, bits binary, tokens array<long>, counts array<long>")
+    return texts.mapInArrow(gather, "segment long, singles binary, pairs binary").groupBy("segment").applyInArrow(build, "segment long, bits binary, top long, tokens array<long>, counts array<long>")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,37 +212,63 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     head = counts.orderBy(F.desc("count"), "token").limit(HEAD).toArrow()
     order = np.argsort(head.column("token").to_numpy().view(np.uint64))
     head_tokens, head_counts = head.column("token").to_numpy().view(np.uint64)[order], head.column("count").to_numpy()[order]
-    size = 1 << max(0, shape.bits_log2 - 3)
-    bits = np.zeros(size << shape.segment_log2, dtype=np.uint8)
-    for row in learned.select("segment", "bits").toArrow().to_pylist():  # MAX_BYTES in all
-        bits[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(row["bits"], dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast((Filter(shape, bits, int(total), int(distinct)), head_tokens, head_counts))
+    total, distinct = int(total), int(distinct)
+    sent = docs.sparkSession.sparkContext.broadcast((head_tokens, head_counts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
-        model, tokens_of_head, counts_of_head = sent.value
-        logs = np.log10(counts_of_head + 1.0)
         for batch in batches:
             texts = [b or b"" for b in as_bytes(batch.column(2))]
             for part in pieces(texts):
                 tokens, bounds = token_hashes(texts[part], hashes)
-                at = np.minimum(np.searchsorted(tokens_of_head, tokens), max(0, len(tokens_of_head) - 1))
-                in_head = tokens_of_head[at] == tokens if len(tokens_of_head) else np.zeros(len(tokens), dtype=bool)
-                head_sum = sum_rows(np.where(in_head, logs[at], 0.0) if len(logs) else np.zeros(len(tokens)), bounds)
-                known = sum_rows(in_head.astype(np.float64), bounds)
-                rest = np.flatnonzero(~in_head)
-                rest_bounds = np.searchsorted(rest, bounds)
-                rest_list = pa.ListArray.from_arrays(pa.array(rest_bounds, pa.int32()), pa.array(tokens[rest].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[part], batch.column(1)[part], pa.array(np.diff(bounds).astype(np.int64)), pa.array(known.astype(np.int64)),
-                        pa.array(head_sum), pa.array(sum_rows(model.log10(tokens, bounds), bounds)), rest_list,
-                    ],
-                    ["row", "doc_id", "n_tokens", "known", "head_sum", "score", "rest"],
-                )
+                ids, rows = batch.column(1)[part].to_pylist(), batch.column(0)[part].to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:1]), pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([bounds.astype(np.int64)], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary())], ["piece", "rows", "ids", "bounds", "words"])
+
+    def read(piece: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(piece["words"], dtype=np.uint64), np.array(piece["bounds"], dtype=np.int64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                piece = batch.slice(k, 1).to_pylist()[0]
+                grams = grams_of(*read(piece))
+                edges = np.searchsorted(shape.segment(grams), np.arange((1 << shape.segment_log2) + 1))
+                held = np.flatnonzero(np.diff(edges))
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), piece["piece"])), pa.array([grams[edges[s] : edges[s + 1]].tobytes() for s in held], pa.binary())], ["segment", "piece", "grams"])
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        found = []
+        for blob in asked.column("grams").to_pylist():
+            grams = np.frombuffer(blob, dtype=np.uint64)
+            level = np.zeros(len(grams), dtype=np.int64)
+            if part.num_rows:
+                level = levels(np.frombuffer(part.column("bits")[0].as_buffer(), dtype=np.uint8), shape, grams, np.zeros(len(grams), dtype=np.uint64), part.column("top")[0].as_py())
+            found.append(level.astype(np.uint8).tobytes())
+        return pa.table({"piece": asked.column("piece"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+
+    def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens_of_head, counts_of_head = sent.value
+        logs = np.log10(counts_of_head + 1.0)
+        piece = held.to_pylist()[0]
+        tokens, bounds = read(piece)
+        level = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), dtype=np.uint8).astype(np.int64)
+        score = sum_rows(log10(tokens, bounds, grams_of(tokens, bounds), level, total, distinct), bounds)
+        at = np.minimum(np.searchsorted(tokens_of_head, tokens), max(0, len(tokens_of_head) - 1))
+        in_head = tokens_of_head[at] == tokens if len(tokens_of_head) else np.zeros(len(tokens), dtype=bool)
+        head_sum = sum_rows(np.where(in_head, logs[at], 0.0) if len(logs) else np.zeros(len(tokens)), bounds)
+        known = sum_rows(in_head.astype(np.float64), bounds)
+        rest = np.flatnonzero(~in_head)
+        rest_list = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds), pa.int32()), pa.array(tokens[rest].view(np.int64)))
+        return pa.table({
+            "row": pa.array(piece["rows"], pa.int64()), "doc_id": pa.array(piece["ids"], pa.int64()), "n_tokens": np.diff(bounds).astype(np.int64), "known": known.astype(np.int64),
+            "head_sum": head_sum, "score": score, "rest": rest_list,
+        })
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    passed = stored(given.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, head_sum double, score double, rest array<long>"))
+    held = stored(given.mapInArrow(cut, "piece long, rows array<long>, ids array<long>, bounds array<long>, words binary"))
+    asked = held.select("piece", "bounds", "words").mapInArrow(ask, "segment long, piece long, grams binary")
+    answers = asked.groupBy("segment").cogroup(learned.select("segment", "bits", "top").groupBy("segment")).applyInArrow(answer, "piece long, segment long, levels binary")
+    passed = stored(held.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, "row long, doc_id long, n_tokens long, known long, head_sum double, score double, rest array<long>"))
     rest = passed.select("row", F.explode("rest").alias("token"))
     found = rest.join(counts, "token").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("count") + 1.0)).alias("rest_sum"))
     joined = passed.drop("rest").join(found, "row", "left")

@@ -89,3 +89,12 @@ def test_word_hashes_tell_words_apart():
     assert lower[0] == lower[1] and lower[2] != lower[3]
     marked, _ = WordHashes(skip=b".,")([b"word wo.rd, .word ., , word" + b" " + b"x" * 300 + b" " + b"x." * 300])
     assert len(set(marked[[0, 1, 2, 5]].tolist())) == 1 and marked[3] == marked[4] == 0 and marked[6] == marked[7] != 0
+
+
+def test_filter_follows_the_input_and_probing_ends():
+    sizes = [lmscore.Shape.for_bytes(n << 20) for n in (128, 1024, 30 << 10)]
+    assert all(1 << (s.segment_log2 + s.bits_log2) >= 2 * (n << 20) for s, n in zip(sizes, (128, 1024, 30 << 10)))
+    assert max(s.bits_log2 for s in sizes) <= 25  # more segments, not larger ones
+    shape = lmscore.Shape(6, 6)
+    full = lmscore.Filter(shape, np.full(512, 255, dtype=np.uint8), 10, 3, 4)
+    assert full.level(np.arange(100, dtype=np.uint64)).max() == 4
