@@ -18,6 +18,9 @@ START, MIDDLE, END = "<|turn|>", "<|text|>", "<|done|>"
 #: backslash of the text itself is doubled.
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 TURNS = "array<struct<role:string,text:string>>"
+#: A variant holds no string above some 20 million characters and 128 MB in all; shorter records than this cannot reach that.
+LONG = 8_000_000
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
 
 
 @dataclass(frozen=True)
@@ -32,8 +35,16 @@ class Fields:
         return [tuple(sorted(needed + [f for k, f in enumerate(optional) if mask >> k & 1])) for mask in range(1 << len(optional))]
 
     def canonical(self, record: Column) -> Column:
+        return self.made({field: F.try_variant_get(record, F.lit(f"$.{field}"), "string") for _, field, _ in self.turns})
+
+    def of_text(self, record: Column) -> Column:
+        """The same from the JSON text, of any length."""
+        read = F.from_json(record, "struct<" + ",".join(f"`{field}`:string" for _, field, _ in self.turns) + ">", ANY_LENGTH)
+        return self.made({field: read[field] for _, field, _ in self.turns})
+
+    def made(self, values: dict[str, Column]) -> Column:
         made = [
-            F.when(F.lit(required) | F.try_variant_get(record, F.lit(f"$.{field}"), "string").isNotNull(), F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(record, F.lit(f"$.{field}"), "string"), F.lit("")).alias("text")))
+            F.when(F.lit(required) | values[field].isNotNull(), F.struct(F.lit(role).alias("role"), F.coalesce(values[field], F.lit("")).alias("text")))
             for role, field, required in self.turns
         ]
         return F.filter(F.array(*made), lambda t: t.isNotNull())
@@ -53,7 +64,13 @@ class Messages:
         return [tuple(sorted(base + more)) for more in ((), (f"{self.field}[].{self.role}",), (f"{self.field}[].{self.text}",), (f"{self.field}[].{self.role}", f"{self.field}[].{self.text}"))]
 
     def canonical(self, record: Column) -> Column:
-        found = F.try_variant_get(record, F.lit(f"$.{self.field}"), f"array<struct<{self.role}:string,{self.text}:string>>")
+        return self.made(F.try_variant_get(record, F.lit(f"$.{self.field}"), f"array<struct<{self.role}:string,{self.text}:string>>"))
+
+    def of_text(self, record: Column) -> Column:
+        """The same from the JSON text, of any length."""
+        return self.made(F.from_json(record, f"struct<`{self.field}`:array<struct<`{self.role}`:string,`{self.text}`:string>>>", ANY_LENGTH)[self.field])
+
+    def made(self, found: Column) -> Column:
         renamed = lambda r: F.coalesce(*[F.when(r == a, F.lit(b)) for a, b in self.roles], r, F.lit(""))
         return F.transform(found, lambda m: F.struct(renamed(m[self.role]).alias("role"), F.coalesce(m[self.text], F.lit("")).alias("text")))
 
@@ -99,14 +116,19 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tup
     """Adds ``layout_print`` (fingerprint) and ``turns`` (array of role, text) to records of JSON text.
 
     A null or broken record, and one of no known layout, has null turns, so the caller can count or route it; an empty array of
-    messages gives no turns.  Null texts and roles inside a turn become empty.
+    messages gives no turns.  Null texts and roles inside a turn become empty.  A record too long for a variant is read from its
+    text; its layout shows once long runs without quotes, backslashes and brackets, which stand inside strings, are cut out.
+    One whose layout cannot be read even so is an error.
     """
-    parsed = records.withColumn("__v", F.try_parse_json(record_col)).withColumn("layout_print", fingerprint(field_paths(F.schema_of_variant("__v"))))
-    turns = F.lit(None).cast(TURNS)
+    text = F.col(record_col)
+    parsed = records.withColumn("__v", F.try_parse_json(record_col)).withColumn("__long", F.col("__v").isNull() & (F.length(text) > LONG))
+    bare = F.try_parse_json(F.regexp_replace(text, r'[^"\\{}\[\]]{64,}+', ""))
+    parsed = parsed.withColumn("__shape", F.when(F.col("__long"), bare).otherwise(F.col("__v"))).withColumn("layout_print", fingerprint(field_paths(F.schema_of_variant("__shape"))))
+    turns = F.when(F.col("__long") & F.col("__shape").isNull() & F.from_json(text, "map<string,string>", ANY_LENGTH).isNotNull(), F.raise_error(F.lit("the layout of a record is too long to read")).cast(TURNS))
     for layout in layouts:
         known = [fingerprint(F.array(*map(F.lit, p))) for p in layout.paths()]
-        turns = F.when(F.col("layout_print").isin(*known), layout.canonical(F.col("__v"))).otherwise(turns)
-    return parsed.withColumn("turns", F.when(F.col("__v").isNotNull(), turns)).drop("__v")
+        turns = F.when(F.col("layout_print").isin(*known), F.when(F.col("__long"), layout.of_text(text)).otherwise(layout.canonical(F.col("__v")))).otherwise(turns)
+    return parsed.withColumn("turns", F.when(F.col("__v").isNotNull() | F.col("__long"), turns)).drop("__v", "__long", "__shape")
 
 
 def escaped(text: Column) -> Column:
