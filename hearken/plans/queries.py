@@ -234,6 +234,18 @@ def whole_call_analysis(spark, sf_dir):
     return done.select("call_id", F.col("classification_status").alias("status"), "label", same_float(F.col("suspicion_score")).alias("score"), F.md5("raw_transcript").alias("raw_digest"))
 
 
+WHOLE_SQL = SCORED_SQL.replace(CHUNKS_SQL, f"SELECT call_id, 0 AS chunk_index, 0.0 AS start, 0.0 AS end_s, string_agg(said, ' ' ORDER BY chunk_index, said) AS said FROM ({CHUNKS_SQL}) GROUP BY call_id")
+
+
+@query(WHOLE_SQL + "SELECT call_id, CASE WHEN usable THEN 'classified' ELSE 'skipped' END AS status, CASE WHEN score > 0.5 THEN 'voice_phishing' WHEN score IS NOT NULL THEN 'normal' END AS label, round(score, 6) AS score, md5(normal) AS raw_digest FROM rows")
+def whole_transcript_analysis(spark, sf_dir):
+    """The single-transcript path, over all turns of each call in their order."""
+    turns = chunks(spark, sf_dir).select("call_id", F.struct("chunk_index", F.coalesce("transcript", F.lit("")).alias("said")).alias("m"))
+    whole = turns.groupBy("call_id").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("call_id", F.array_join(F.transform("ms", lambda m: m["said"]), " ").alias("transcript"))
+    done = calls.analyze_whole(whole, CALL_RULES, calls.per_tile(lexicon_scorer(LEXICON)))
+    return done.select("call_id", F.col("classification_status").alias("status"), "label", same_float(F.col("suspicion_score")).alias("score"), F.md5("raw_transcript").alias("raw_digest"))
+
+
 @query("SELECT conv_id AS call_id, turn * 30.0::DOUBLE AS start, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS chunk_index, count(*) OVER (PARTITION BY conv_id) AS total_chunks FROM conversations")
 def chunk_numbers(spark, sf_dir):
     return calls.numbered(chunks(spark, sf_dir).select("call_id", "start")).select("call_id", "start", "chunk_index", "total_chunks")
