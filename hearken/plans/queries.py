@@ -324,6 +324,13 @@ def mean_cer(spark, sf_dir):
     return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"))
 
 
+@query()
+def mean_cer_all(spark, sf_dir):
+    """Over all samples; those in other letters than ASCII have no SQL, as the dialect's distance counts bytes."""
+    means = evaluation.mean_error_rates(evaluation.error_rates(stt_pairs(spark, sf_dir)))
+    return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"))
+
+
 STT_RULES = (Rule("s-1", "asion", "ation", "slip of a consonant"), Rule("s-2", " tha ", " the ", "slip of a vowel"), Rule("s-3", "ing ", "in ", "a harmful rule"))
 
 

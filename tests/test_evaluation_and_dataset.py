@@ -116,3 +116,26 @@ def test_settings_and_manifests(spark, tmp_path):
     assert len(files.model_manifest_problems({}, "b", "a", [])) == 5
     (tmp_path / "rules.json").write_text('[{"rule_id": "r", "source": "a", "target": "b", "reason": "s"}]')
     assert files.load_rules(spark, str(tmp_path / "rules.json"))[0].rule_id == "r"
+
+
+def test_mean_cer_of_all_samples(spark, tmp_path):
+    """Against brute force by code points, with letters beyond ASCII."""
+    from hearken.plans import queries
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    said = [(1, 0, "la nation des élèves"), (1, 1, "für the Nationen über"), (2, 1, "계좌 ation 확인 the 요청"), (3, 0, "plain the station"), (5, 0, "même nation")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    bare = lambda t: "".join(x for x in t if x.isalnum())
+    rates = []
+    for c, t, x in said:
+        heard = x if c % 5 == 0 else x.replace("ation", "asion").replace(" the ", " " if t % 2 == 0 else " tha ")
+        rates.append(distance(bare(x), bare(heard)) / len(bare(x)))
+    got = queries.QUERIES["mean_cer_all"](spark, str(tmp_path)).first()
+    assert got.n_samples == 5 and abs(got.mean_cer - sum(rates) / 5) < 1e-6
