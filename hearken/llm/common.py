@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearken.session import shared_folder
+
 #: Words are maximal runs of characters other than these six.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -32,24 +34,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or None
-    if folder is None:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="hearken-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives the loss of executors."""
+    """Write a frame to the shared folder and read it back: cuts lineage and survives the loss of executors.
+
+    The files go with ``dropped``, or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hearken-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return back
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of stored frames that no result still to be computed reads."""
+    for df in frames:
+        df._stored_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._stored_at, True)
 
 
 def pieces(blobs: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
@@ -96,6 +98,8 @@ _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256
 _BASE = 0xD1342543DE82EF95
 #: Words of more bytes are hashed one by one: sums of powers repeat over very long ones.
 _LONG = 256
+_SPACE_BYTES = [c.encode() for c in SPACES]
+_SPACE_RUN = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -120,9 +124,35 @@ class WordHashes:
         self.up = self.down = np.zeros(0, dtype=np.uint64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words in order, 0 for those of skipped bytes alone, and each text's number of words."""
+        """Hashes of the words in order, 0 for those of skipped bytes alone, and each text's number of words.
+
+        A text above ``CHUNK_BYTES`` is hashed piece by piece, cut between words, so that memory beside the result stays bounded.
+        """
+        if sum(map(len, texts)) <= 2 * CHUNK_BYTES:
+            return self.at_once(texts)
+        hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
+        short = [k for k, t in enumerate(texts) if len(t) <= CHUNK_BYTES]
+        done = {}
+        for part in pieces([texts[k] for k in short]):
+            own = short[part]
+            found, counts[own] = self.at_once([texts[k] for k in own])
+            done.update(zip(own, np.split(found, np.cumsum(counts[own])[:-1])))
+        for k, text in enumerate(texts):
+            if k not in done:
+                found = [self.at_once([p])[0] if len(p) <= CHUNK_BYTES else np.array([self.one(p)], dtype=np.uint64) for p in between_words(text)]
+                done[k] = np.concatenate(found)
+                counts[k] = len(done[k])
+            hashes.append(done.pop(k))
+        return np.concatenate(hashes), counts
+
+    def one(self, word: bytes) -> int:
+        """The hash of one long word."""
         import xxhash
 
+        word = word.translate(None, self.skip)
+        return xxhash.xxh64_intdigest(word.lower() if self.lower else word) if word else 0
+
+    def at_once(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buffer = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
         n = len(buffer)
         if n == 0:
@@ -143,13 +173,25 @@ class WordHashes:
             size = place[end - 1] - first if self.skip else end - start
             hashes = mix((sums[end - 1] - before) * self.down[first] + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         for k in np.flatnonzero(end - start > _LONG).tolist():
-            word = buffer[start[k] : end[k]].tobytes().translate(None, self.skip)
-            hashes[k] = xxhash.xxh64_intdigest(word.lower() if self.lower else word)
+            hashes[k] = self.one(buffer[start[k] : end[k]].tobytes())
         hashes[size == 0] = 0
         bounds = np.cumsum([len(t) + 1 for t in texts])
         return hashes, np.diff(np.searchsorted(start, bounds), prepend=0)
 
 
+def between_words(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """Pieces of at most ``limit`` bytes, cut at white space; a word that is longer is a piece by itself."""
+    at = 0
+    while len(text) - at > limit:
+        end = max(text.rfind(c, at, at + limit) for c in _SPACE_BYTES) + 1
+        if end <= 0:
+            found = _SPACE_RUN.search(text, at)
+            end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of the contracts; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0))

@@ -1,14 +1,14 @@
-"""SimHash near-duplicates: 64-bit fingerprints, linked through a vantage-point tree over Hamming distance.
-
-1. Each text becomes a fingerprint (majority bits over XXH64 of word shingles), in one pass over Arrow batches.
-2. Equal fingerprints collapse to one row with the smallest document id, so groups of copies of any size cost one row.
-3. A vantage-point tree is laid out on the driver over a bounded sample of fingerprints.  Every fingerprint has one home
-   leaf; it also visits, as a guest, those leaves across a boundary which the triangle bound cannot rule out.
-4. Each leaf finds its exact pairs (home-home and home-guest), continuing the tree in memory where a leaf is large, and
-   returns a spanning set of links only.
-5. Several independent fingerprints can be asked for; then texts link if any of them lie within reach, which finds pairs that
-   one fingerprint of small reach misses.
-6. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
+"""SimHash near-duplicates: 64-bit fingerprints, linked through vantage-point trees over Hamming distance (see ``vptree``).
+
+``near_duplicates`` links texts by one fingerprint of word shingles alone.  ``near_copies`` finds the texts whose sets of word
+shingles are similar enough:
+
+1. Each text becomes a few independent fingerprints over its distinct words.  An edit that leaves four fifths of the five-word
+   shingles changes few words, so these fingerprints move few bits, while those of shingles would move too many for a tree.
+2. Texts with equal sets of shingles collapse to one node, so groups of exact copies of any size cost one row.
+3. For each fingerprint a tree finds the nodes within reach; each leaf returns a minimum spanning forest of its links.
+4. Each link is checked on the sets of shingles themselves.
+5. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -20,189 +20,182 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import as_bytes, mix, stored
-
-#: Fingerprints drawn for laying out the tree, and fingerprints that a leaf should hold.
-SAMPLE, LEAF = 20_000, 4096
+from hearken.llm import vptree
+from hearken.llm.common import WordHashes, as_bytes, between_words, dropped, mix, pieces, starts_of, stored
 
+#: Fingerprints per text of ``near_copies`` and the bits in which one of them may differ.
+TABLES, REACH = 6, 3
+#: A byte's bits, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+_SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: An odd number for each place in a shingle.
+_TIMES = mix(np.arange(101, 165, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-def fingerprints_of(text: bytes | None, width: int, tables: int = 1) -> list[int]:
-    """Bits set in more than half of the shingles' hashes; 0 for a text without words.
 
-    The first fingerprint votes by the hashes themselves, further ones by scrambles of them.
-    """
+def fingerprint_of(text: bytes | None, width: int) -> int:
+    """Bits set in more than half of the shingles' hashes, as a signed number; 0 for a text without words."""
     import xxhash
 
-    found = (text or b"").lower().split()
-    if not found:
-        return [0] * tables
-    joined = [b" ".join(found)] if len(found) < width else list(map(b" ".join, zip(*(found[k:] for k in range(width)))))
-    votes = np.zeros((tables, 64), dtype=np.int64)
-    for at in range(0, len(joined), 1 << 16):
-        part = joined[at : at + (1 << 16)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), dtype="<u8", count=len(part))
-        for k in range(tables):
-            voting = hashes if k == 0 else mix(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
-            votes[k] += np.unpackbits(voting.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(joined), axis=1, bitorder="little").view("<i8").ravel().tolist()
+    votes, n, tail = np.zeros(64, dtype=np.int64), 0, []
+    for piece in between_words((text or b"").lower()):
+        found = tail + piece.split()
+        joined = list(map(b" ".join, zip(*(found[k:] for k in range(width)))))
+        for at in range(0, len(joined), 1 << 16):
+            part = joined[at : at + (1 << 16)]
+            votes += bits_of(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in part), dtype="<u8", count=len(part))).sum(axis=0, dtype=np.int64)
+        n, tail = n + len(joined), found[max(0, len(found) - width + 1) :]
+    if not n and tail:
+        votes, n = bits_of(np.array([xxhash.xxh64_intdigest(b" ".join(tail), 42)], dtype="<u8"))[0], 1
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+
 
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...): one row per input row; a null text counts as empty, with fingerprint 0."""
-    names = prints(tables)
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(doc_id, fp): one row per input row; a null text counts as empty, with fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprints_of(x, width, tables) for x in as_bytes(batch.column(1))]
-            columns = zip(*values) if values else [[]] * tables
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint_of(x, width) for x in as_bytes(batch.column(1))], pa.int64())], ["doc_id", "fp"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return given.mapInArrow(run, "doc_id long, fp long")
 
 
-def prints(tables: int) -> list[str]:
-    return ["fp", *(f"fp{k}" for k in range(1, tables))]
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (hex), component_id (smallest id reachable through links, its own included).
 
+    Null and empty texts share fingerprint 0 and are linked like others.  Repeated rows stay, in the same component.  A row
+    with a null id keeps its row and takes the component of the rows with ids that share its fingerprint, null if there are
+    none; fingerprints of null ids alone form no link.  Other columns of the input, whatever their names, are not read.
+    An empty table gives an empty result.
+    """
+    marked = stored(fingerprints(docs, id_col, text_col, width))
+    named = stored(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    points = named.select(F.lit(0).cast("long").alias("tab"), "fp", F.col("rep").alias("name"), F.lit(0).cast("long").alias("size"), F.array("fp").alias("prints"))
+    found = components(vptree.links(points, 1, reach))
+    label = named.join(found, named["rep"] == found["node"], "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component_id"))
+    joined = marked.join(label, marked["fp"] == label["of_fp"], "left")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-def distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ vantage)
 
+def shingle_sets(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of all runs of ``width`` words of each text; of a shorter text, that of the whole text."""
 
-def split_of(points: np.ndarray) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius that divide the points best, of a few tried; None where none divides them."""
-    best = None
-    for k in range(8):
-        vantage = points[(k * 7919 + 13) % len(points)]
-        d = distance(points, vantage)
-        radius = int(np.median(d))
-        for r in {radius, max(radius - 1, 0)}:
-            inside = int((d <= r).sum())
-            near = int(((d > r) & (d <= r + 2)).sum())
-            if 0 < inside < len(points):
-                score = max(inside, len(points) - inside) + near
-                if best is None or score < best[0]:
-                    best = (score, vantage, r)
-    return best and best[1:]
+    def summed(part: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(max(0, len(part) - n + 1), n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                total += part[k : len(part) - n + 1 + k] * _TIMES[k % len(_TIMES)]
+        return mix(total)
 
+    whole = summed(words, width)
+    return [np.unique(whole[a : b - width + 1]) if b - a >= width else summed(words[a:b], int(b - a))[: b - a] for a, b in zip(bounds[:-1], bounds[1:])]
 
-def layout(points: np.ndarray, per_point: float, leaf: int) -> list:
-    """A tree as nested lists [vantage, radius, inside, outside]; a leaf is an empty list."""
-    if len(points) * per_point <= leaf or len(points) < 32:
-        return []
-    split = split_of(points)
-    if split is None:
-        return []
-    inside = distance(points, split[0]) <= split[1]
-    return [split[0], split[1], layout(points[inside], per_point, leaf), layout(points[~inside], per_point, leaf)]
 
+def bit_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each run of at most 255 hashes that starts at ``first``; a byte of a lane counts one bit."""
+    return np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], first, axis=0).view(np.uint8).reshape(len(first), 64)
 
-def routed(tree: list, points: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """(leaf, indexes of points, whether it is their home).  Any two points within reach meet in the home leaf of one.
 
-    At a node, points at home go to one side.  Those outside also visit the inside when within reach of the boundary; a
-    guest visits each side that the triangle bound leaves open.  Guests from inside are not needed outside, as the pair is
-    met from the other end.
-    """
-    leaves = iter(range(1 << 62))
-
-    def walk(node: list, home: np.ndarray, guest: np.ndarray) -> Iterator[tuple[int, np.ndarray, bool]]:
-        if not node:
-            at = next(leaves)
-            yield at, home, True
-            yield at, guest, False
-            return
-        vantage, radius, inner, outer = node
-        h, g = distance(points[home], vantage).astype(int), distance(points[guest], vantage).astype(int)
-        yield from walk(inner, home[h <= radius], np.concatenate((home[(h > radius) & (h <= radius + reach)], guest[g <= radius + reach])))
-        yield from walk(outer, home[h > radius], guest[g > radius - reach])
-
-    yield from walk(tree, np.arange(len(points)), np.arange(0))
-
-
-def near_pairs(home: np.ndarray, guest: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i in home, j in home + guest) within reach; j counts guests from len(home).  Memory stays bounded."""
-    points = np.concatenate((home, guest))
-
-    def compared(h: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        vantage = points[h[0]]
-        dh, dq = distance(points[h], vantage).astype(int), distance(points[q], vantage).astype(int)
-        h, q = h[np.argsort(dh, kind="stable")], q[np.argsort(dq, kind="stable")]
-        edge_h, edge_q = np.searchsorted(np.sort(dh), np.arange(70)), np.searchsorted(np.sort(dq), np.arange(70))
-        for d in range(65):
-            rows, near = q[edge_q[d] : edge_q[d + 1]], h[edge_h[max(0, d - reach)] : edge_h[d + reach + 1]]
-            step = max(1, (1 << 20) // max(1, len(near)))
-            for at in range(0, len(rows) if len(near) else 0, step):
-                part = rows[at : at + step]
-                j, i = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[near][None, :]) <= reach)
-                keep = near[i] != part[j]
-                yield near[i][keep], part[j][keep]
-
-    def walk(h: np.ndarray, g: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not len(h):
-            return
-        split = split_of(points[h]) if len(h) > LEAF and depth < 40 else None
-        if split is None:
-            yield from compared(h, np.concatenate((h, g)))
-            return
-        dh, dg = distance(points[h], split[0]).astype(int), distance(points[g], split[0]).astype(int)
-        yield from walk(h[dh <= split[1]], np.concatenate((h[(dh > split[1]) & (dh <= split[1] + reach)], g[dg <= split[1] + reach])), depth + 1)
-        yield from walk(h[dh > split[1]], g[dg > split[1] - reach], depth + 1)
-
-    yield from walk(np.arange(len(home)), np.arange(len(home), len(points)), 0)
-
-
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The root of each of n points once all pairs are joined."""
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)], dtype=np.int64)
-
-
-def links(distinct: DataFrame, reach: int, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """(a, b) of representatives: enough links to connect all fingerprints within reach of each other.
-
-    ``distinct`` has one row (fp, rep) per fingerprint.  The driver sees ``sample`` fingerprints at most.
-    """
-    total = distinct.count()
-    drawn = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], dtype=np.int64).view(np.uint64)
-    tree = layout(drawn, total / max(1, len(drawn)), leaf) if len(drawn) else []
+def word_prints(words: list[np.ndarray]) -> np.ndarray:
+    """A row of ``TABLES`` fingerprints per text: bits set in more than half of the scrambled hashes of its distinct words."""
+    found = [np.unique(w) for w in words]
+    sizes = np.array([len(w) for w in found], dtype=np.int64)
+    flat = np.concatenate([*found, np.zeros(0, np.uint64)])
+    runs = -(-sizes // 255)
+    owner = np.repeat(np.arange(len(words)), runs)
+    begin = starts_of(sizes)[owner] + 255 * (np.arange(len(owner)) - starts_of(runs)[owner])
+    votes = np.zeros((TABLES, len(words), 64), dtype=np.int64)
+    for at in range(0, len(owner), 256):
+        own, first = owner[at : at + 256], begin[at : at + 256]
+        part = flat[first[0] : begin[at + 256] if at + 256 < len(owner) else len(flat)]
+        text = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        for k in range(TABLES):
+            votes[k, own[text]] += np.add.reduceat(bit_counts(mix(part ^ _SEEDS[k]), first - first[0]), text, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > sizes[None, :, None], axis=2, bitorder="little").view("<i8")[:, :, 0].T
+
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = False) -> DataFrame:
+    """(doc_id, node, size, prints), or (doc_id, node, hashes): one row per input row; texts without words share node 0 and size 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(lower=True)
         for batch in batches:
-            points = batch.column(0).to_numpy().view(np.uint64)
-            for at, rows, home in routed(tree, points, reach):
-                if len(rows):
-                    taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), at)), *taken.columns, pa.array(np.full(len(rows), home))], ["leaf", "fp", "rep", "home"])
+            texts = [b or b"" for b in as_bytes(batch.column(1))]
+            for part in pieces(texts):
+                flat, counts = hashes(texts[part])
+                bounds = starts_of(counts)
+                words = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                found = shingle_sets(flat, bounds, width)
+                with np.errstate(over="ignore"):
+                    node = np.array([mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s)))[()] if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
+                if whole:
+                    more = [pa.array([s.tobytes() for s in found], pa.binary())]
+                else:
+                    more = [pa.array([len(s) for s in found], pa.int64()), pa.array(list(word_prints(words)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(node), *more], ["doc_id", "node", *(["hashes"] if whole else ["size", "prints"])])
 
-    def joined(group: pa.Table) -> pa.Table:
-        fp, rep, home = (group.column(k).to_numpy() for k in ("fp", "rep", "home"))
-        rep = np.concatenate((rep[home], rep[~home]))
-        fp = np.concatenate((fp[home], fp[~home])).view(np.uint64)
-        n = int(home.sum())
-        root = spanning(len(rep), near_pairs(fp[:n], fp[n:], reach))
-        moved = root != np.arange(len(root))
-        return pa.table({"a": rep[moved], "b": rep[root[moved]]})
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, "doc_id long, node long, hashes binary" if whole else "doc_id long, node long, size long, prints array<long>")
 
-    return distinct.select("fp", "rep").mapInArrow(route, "leaf long, fp long, rep long, home boolean").groupBy("leaf").applyInArrow(joined, "a long, b long")
 
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by comparing the sets; only texts in a pair are read for them."""
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    asked = stored(nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    texts = docs.join(asked.select(F.col("rep").alias("__rep")).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__rep"), "left_semi")
+    held = stored(sets(texts, id_col, text_col, width, True).select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    one = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    true = stored(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
+    dropped(asked, held)
+    return true
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) per input row: the smallest id reachable through links of similarity ``least`` or more.
+
+    Similarity is that of Jaccard between sets of ``width``-word shingles, A-Z lower-cased.  Null texts and those without words
+    are equal.  Repeated rows stay, in one component.  A row with a null id takes the component of the rows with ids whose
+    sets equal its own, null if there are none, and forms no link.  An empty table gives an empty result.
+    """
+    marked = stored(sets(docs, id_col, text_col, width))
+    nodes = stored(marked.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prints").alias("prints")))
+    following = F.get("prints", F.pmod(F.col("tab") + 1, F.lit(TABLES)).cast("int")).alias("then")
+    at = nodes.where("size > 0").select(F.posexplode("prints").alias("tab", "fp"), "node", "size", "prints").select("*", following)
+    # Nodes that share two fingerprints meet a tree's leaf as one of them, another in each table, and link to it.
+    hub = F.min_by(F.struct(F.col("node").alias("name"), "size", "prints"), F.xxhash64("node", "tab"))
+    points = stored(at.groupBy(F.col("tab").cast("long").alias("tab"), "fp", "then").agg(hub.alias("hub"), F.count("*").alias("n")).select("tab", "fp", "then", "hub.*", "n"))
+    shared = points.where("n > 1").select(*[F.col(k).alias(f"of_{k}") for k in ("tab", "fp", "then", "size")], F.col("name").alias("b"))
+    same = [F.col(k) == F.col(f"of_{k}") for k in ("tab", "fp", "then")]
+    met = at.join(shared, same).where(F.col("node") != F.col("b")).where(F.least("size", "of_size") >= least * F.greatest("size", "of_size") - 1e-9)
+    found = vptree.links(points, TABLES, REACH, least).unionByName(met.select(F.col("node").alias("a"), "b"))
+    pairs = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    true = similar(pairs, nodes, docs, id_col, text_col, width, least)
+    rooted = nodes.select("node", "rep").join(components(true).withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    label = stored(rooted.join(firsts, "root").select(F.col("node").alias("of_node"), "component_id"))
+    dropped(points, pairs, true)
+    return marked.select("doc_id", "node").join(label, F.col("node") == F.col("of_node"), "left").select("doc_id", "component_id")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach, by rounds of large and small stars.
 
-    Every group is reduced by a minimum, which combines before the shuffle; no neighbourhood is collected.
+    Every group is reduced by a minimum, which combines before the shuffle; no neighbourhood is collected.  The rounds, whose
+    number grows with the logarithm of the longest path, end when nothing changes.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -217,65 +210,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    was = state(now)
-    for _ in range(rounds if was[0] else 0):
-        now = stored(star(star(now, True), False))
-        is_now = state(now)
-        if is_now == was:
-            break
-        was = is_now
-    else:
-        if was[0]:
-            raise RuntimeError(f"components were still changing after {rounds} rounds")
+    was, is_now = None, state(now)
+    while is_now[0] and is_now != was:
+        after = stored(star(star(now, True), False))
+        dropped(now)
+        now, was, is_now = after, is_now, state(after)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, tables: int = 1) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (hex), component_id (smallest id reachable through links, its own included).
-
-    With several ``tables`` texts link if any of as many independent fingerprints lie within reach; the first is returned.
-    Null and empty texts share fingerprint 0 and are linked like others.  Repeated rows stay, in the same component.  A row
-    with a null id keeps its row and takes the component of the rows with ids that share its fingerprints, null if there are
-    none; fingerprints of null ids alone form no link.  Other columns of the input, whatever their names, are not read.
-    An empty table gives an empty result.
-    """
-    names = prints(tables)
-    marked = stored(fingerprints(docs, id_col, text_col, width, tables))
-    distinct = stored(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    named = distinct.where("rep is not null")
-    edges = None
-    for name in names:
-        if tables == 1:
-            of_print = named.select(F.col(name).alias("fp"), "rep")
-            found = links(of_print, reach)
-        else:
-            of_print = stored(named.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("rep")))
-            shared = named.join(of_print.select(F.col("fp").alias("of_fp"), F.col("rep").alias("b")), F.col(name) == F.col("of_fp")).select(F.col("rep").alias("a"), "b")
-            found = links(of_print, reach).unionByName(shared)
-        edges = found if edges is None else edges.unionByName(found)
-    found = components(edges)
-    label = named.join(found, named["rep"] == found["node"], "left").select(*[F.col(n).alias(f"of_{n}") for n in names], F.coalesce("component", "rep").alias("component_id"))
-    joined = marked.join(label, [marked[n] == label[f"of_{n}"] for n in names], "left")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, reach: int = 2, tables: int = 1) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id.
-
-    Of rows that share that id one stays; rows with a null id belong to no component and all stay.  Columns pass through.
-    """
-    return kept_of(docs, near_duplicates(docs, id_col, text_col, width, reach, tables), id_col)
-
-
-def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` to keep, given (doc_id, component_id).
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id.
 
-    The texts meet a table of ids once, hashed on the ids' side so that the texts are not sorted.
+    Of rows that share that id one stays; rows with a null id belong to no group and all stay.  Columns pass through.
     """
-    ids = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).withColumnRenamed("doc_id", "__kept"))
-    on_id = lambda kept: docs[id_col] == kept["__kept"]
-    once, often = ids.where("rows = 1").drop("rows"), ids.where("rows > 1").drop("rows")
-    out = docs.join(once.hint("shuffle_hash"), on_id(once), "left_semi")
+    found = near_copies(docs, id_col, text_col, width, least)
+    # Few rows go, so their ids are what the texts meet, hashed on the ids' side so that the texts are not sorted.
+    seen = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    odd = stored(seen.where("__id <> component_id or rows > 1"))
+    on_id = F.col(id_col).cast("long") == F.col("__id")
+    out = docs.join(odd.select("__id").hint("shuffle_hash"), on_id, "left_anti")
+    often = odd.where("__id = component_id and rows > 1").select("__id")
     if often.take(1):
-        out = out.unionByName(docs.join(often.hint("shuffle_hash"), on_id(often), "left_semi").dropDuplicates([id_col]))
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+        once = docs.join(often.hint("shuffle_hash"), on_id, "left_semi").dropDuplicates([id_col])
+        out = out.unionByName(once)
+    return out

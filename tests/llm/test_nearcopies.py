@@ -1,29 +1,84 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-import corpus_pipeline
+from hearken.llm import simhash
+from hearken.llm.common import table
 
 
 def shingles(text):
     words = text.lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_stage_finds_all_pairs_of_similarity_eight_tenths(spark):
+def true_links(texts):
+    """Pairs of different sets with a similarity of 0.8 or more, by comparing all that share a shingle."""
+    sets, at = {i: shingles(t) for i, t in texts}, {}
+    for i, s in sets.items():
+        for g in s:
+            at.setdefault(g, []).append(i)
+    out = {}
+    for i, s in sets.items():
+        for j in {j for g in s for j in at[g] if j < i}:
+            shared = len(s & sets[j])
+            if shared >= 0.8 * (len(s) + len(sets[j]) - shared):
+                out[j, i] = shared / (len(s) + len(sets[j]) - shared)
+    return out
+
+
+def test_recall_on_copies_with_changed_words(spark):
     """Copies with 1 to 6 changed words, on both sides of the bound, against brute force."""
     rng = np.random.default_rng(11)
-    rows, want, links = [], set(), 0
-    for k in range(120):
+    texts = []
+    for k in range(200):
         text = [f"w{i}" for i in rng.integers(0, 500, 150)]
         edited = list(text)
         for i in rng.choice(150, 1 + k % 6, replace=False):
             edited[i] = "edited"
-        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
-        a, b = map(shingles, (rows[-2][1], rows[-1][1]))
-        near = len(a & b) / len(a | b) >= 0.8
-        want |= {2 * k} if near else {2 * k, 2 * k + 1}
-        links += near
-    assert 40 < links < 100
-    rows += [(900, None), (901, " "), (902, "two words"), (903, "TWO  words"), (904, "two others")]
-    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
-    assert got == want | {900, 902, 904}
+        texts += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
+    want = true_links(texts)
+    texts += [(900, None), (901, " "), (902, "two words"), (903, "TWO  words"), (904, "two others")]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert len(want) > 80 and (got[900], got[901], got[902], got[903], got[904]) == (900, 900, 902, 902, 904)
+    found = [got[a] == got[b] for a, b in want]
+    assert sum(found) >= 0.9 * len(found)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(200) if (2 * k, 2 * k + 1) not in want)
+
+
+def test_recall_on_a_whole_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    want = true_links(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    for low, high in ((0.8, 0.95), (0.95, 1.01)):
+        of = [got[a] == got[b] for (a, b), j in want.items() if low <= j < high]
+        assert len(of) > 5 and sum(of) >= 0.9 * len(of)
+    # Nothing but links joins documents.
+    root = {i: i for i, _ in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in want:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    blank = min((i for i, t in texts if not t.split()), default=None)
+    assert all(got[i] >= (find(i) if t.split() else blank) for i, t in texts)
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    """Every copy differs from the original in a word of its own, so that all are unlike sets in one dense cluster."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join([*words[:k], f"other{k}", *words[k + 1 :]])) for k in range(400)] + [(1000, " ".join(words)), (2000, "nothing like the others at all")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert got.pop(2000) == 2000 and set(got.values()) == {0}
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame.withColumn("rep", F.lit(1))).collect()) == [0, 2000]
+
+
+def test_odd_rows(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (5, text), (3, text + " tail"), (3, text + " tail"), (None, "alone"), (8, None), (9, "")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, 3), (5, 3), (3, 3), (3, 3), (None, None), (8, 8), (9, 8)], key=str)
