@@ -54,6 +54,11 @@ def dropped(*frames: DataFrame) -> None:
         df._stored_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df._stored_at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that the executors delete their files now."""
+    spark._jvm.System.gc()
+
+
 def pieces(blobs: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Slices of consecutive texts that hold about ``limit`` bytes each; a longer text stands alone."""
     start = total = 0
@@ -192,6 +197,22 @@ def between_words(text: bytes, limit: int = CHUNK_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named by their places, so that no helper column can clash with one of them."""
+    return docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+
+
+def named(docs: DataFrame, like: DataFrame, added: dict[str, str] | None = None) -> DataFrame:
+    """The columns of ``like`` under their names again; ``added`` columns after them, in place of any that have their names."""
+    old = [F.col(f"_{k}").alias(c) for k, c in enumerate(like.columns) if c not in (added or {}).values()]
+    return docs.select(*old, *[F.col(a).alias(b) for a, b in (added or {}).items()])
+
+
+def at_place(docs: DataFrame, name: str) -> str:
+    """The name that a column has after ``numbered``."""
+    return f"_{docs.columns.index(name)}"
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of the contracts; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n, F.lit(0))

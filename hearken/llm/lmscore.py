@@ -1,31 +1,31 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training counts of single tokens and token pairs are summed per segment of the hash space.  Each segment's reducer keeps the
-exact token counts (a table) and writes its own stretch of the filter, in which a gram with quantised count q is present at
-levels 1 to q.  The filter grows with the input and stays in its segments: pieces of text send their distinct grams to the
-segments and get levels back; a count is read by probing level after level until one is missing or the segment's largest is
-reached.  The exact unigram base score takes the ``HEAD`` most frequent tokens from a table of
-that size and joins the rest.
+Training counts of single tokens and token pairs are summed per segment of the hash space.  Each segment's reducer keeps its exact
+token counts and writes its own stretch of the filter, in which a gram with quantised count q is present at levels 1 to q.  A
+stretch has as many bits as its entries need for one stated error, whatever the input.  The filter grows with the input and
+stays in its segments: pieces of text send their distinct grams to the segments and get levels back; a count is read by
+probing level after level until one is missing or the segment's largest is reached.
+
+The ``HEAD`` most frequent tokens travel in a table of that size; the exact counts of other tokens come back with the levels.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import WordHashes, as_bytes, mix, pieces, starts_of, stored, sum_rows
+from hearken.llm.common import WordHashes, as_bytes, dropped, mix, pieces, released, starts_of, stored, sum_rows
 
-#: Tokens in the broadcast table of exact counts, probes per level, levels per doubling of a count, largest level of any count.
-HEAD, PROBES, PER_DOUBLING, TOP = 65_536, 2, 2, 128
+#: Tokens in the broadcast table of exact counts, probes per level, error per level, levels per doubling of a count.
+HEAD, PROBES, ERROR, PER_DOUBLING = 65_536, 4, 0.02, 2
 #: Weight of the pair estimate against the single-token estimate.
 PAIR_WEIGHT = 0.6
-#: Distinct grams that a task gathers before it hands them on, and text bytes per segment.
-GATHER, SEGMENT_BYTES = 500_000, 4 << 20
+#: Distinct grams that a task gathers before it hands them on, text bytes per segment, and text bytes per piece.
+GATHER, SEGMENT_BYTES, PIECE_BYTES = 2_000_000, 8 << 20, 8 << 20
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,117 +57,111 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first)
 
 
-def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Byte planes of both columns; sorted hashes share their leading bytes, so the planes compress well."""
-    return hashes.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of all values by their significance: those that are mostly alike lie together and compress well."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
 
+def steps(ordered: np.ndarray) -> bytes:
+    return planes(np.diff(ordered, prepend=ordered.dtype.type(0)))
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(blob, dtype=np.uint8).reshape(16, -1)
-    return (np.ascontiguousarray(half.T).view(np.uint64).ravel() for half in (planes[:8], planes[8:]))
+
+def from_steps(blob: bytes, kind: type) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumsum(from_planes(blob, kind), dtype=kind)
 
 
-@dataclass(frozen=True)
-class Shape:
-    """Sizes of the filter: a power of two of segments, each with a power of two of bits."""
+class Segments:
+    """A power of two of segments of the hash space; inside one, a gram goes by its next 32 bits.
+
+    A segment's some million grams share them by chance in less than one case of a thousand, far below the filter's error.
+    """
 
-    segment_log2: int
-    bits_log2: int
+    def __init__(self, text_bytes: int):
+        self.log2 = max(4, min(30, (text_bytes // SEGMENT_BYTES).bit_length()))
 
-    @classmethod
-    def for_bytes(cls, text_bytes: int) -> "Shape":
-        segments = max(6, min(24, (text_bytes // SEGMENT_BYTES).bit_length()))
-        total = max(segments + 6, (2 * text_bytes).bit_length())
-        return cls(segments, total - segments)
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(64 - self.log2)).astype(np.int64)
 
-    def segment(self, grams: np.ndarray) -> np.ndarray:
-        return (grams >> np.uint64(64 - self.segment_log2)).astype(np.int64)
+    def inner(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams >> np.uint64(32 - self.log2)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    def places(self, grams: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """Bit positions within the segment, one array per probe."""
-        with np.errstate(over="ignore"):
-            for probe in range(PROBES):
-                seed = np.uint64((level * PROBES + probe) * 0x9E3779B97F4A7C15 % 2**64)
-                yield mix(grams + seed) & np.uint64((1 << self.bits_log2) - 1)
+    def cuts(self, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The segments that occur in ordered grams, and where each begins, with the end."""
+        held, first = np.unique(self.of(ordered), return_index=True)
+        return held, np.append(first, len(ordered))
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(PER_DOUBLING * np.log2(np.maximum(1, counts.astype(np.float64))) + 1e-9).astype(np.int64)
 
 
-def filled(shape: Shape, grams: np.ndarray, counts: np.ndarray) -> bytes:
-    """One segment's bits."""
-    bits, level, q = np.zeros(1 << shape.bits_log2, dtype=np.uint8), 1, quantised(counts)
+def place(grams: np.ndarray, level: int, probe: int, n_bits: int) -> np.ndarray:
+    """The bit that each gram has at a level, for one of its probes."""
+    with np.errstate(over="ignore"):
+        seed = np.uint64((level * PROBES + probe + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        return mix(grams.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + seed) % np.uint64(n_bits)
+
+
+def filled(grams: np.ndarray, q: np.ndarray) -> bytes:
+    """A segment's bits for grams of quantised counts ``q``: as many as keep the error per level at ``ERROR``."""
+    per_entry = -PROBES / np.log(1 - ERROR ** (1 / PROBES))
+    bits = np.zeros(8 * max(8, int(np.ceil(per_entry * q.sum() / 8))), dtype=np.uint8)
+    level = 1
     while len(grams):
-        for place in shape.places(grams, level):
-            bits[place] = 1
+        for probe in range(PROBES):
+            bits[place(grams, level, probe, len(bits))] = 1
         keep = q > level
         grams, q, level = grams[keep], q[keep], level + 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def levels(bits: np.ndarray, shape: Shape, grams: np.ndarray, base: np.ndarray, top: int) -> np.ndarray:
-    """Quantised counts, 0 for what is absent; each gram's segment starts at ``base`` and holds no level above ``top``."""
-    out, alive, level = np.zeros(len(grams), dtype=np.int64), np.arange(len(grams)), 1
+def levels(bits: np.ndarray, grams: np.ndarray, top: int) -> np.ndarray:
+    """Quantised counts by probing, 0 for what is absent; no level above ``top`` is stored."""
+    out, alive, level = np.zeros(len(grams), dtype=np.uint8), np.arange(len(grams)), 1
     while len(alive) and level <= top:
-        hit = np.ones(len(alive), dtype=bool)
-        for place in shape.places(grams[alive], level):
-            at = base[alive] + place
-            hit &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        alive = alive[hit]
+        for probe in range(PROBES):
+            at = place(grams[alive], level, probe, 8 * len(bits))
+            alive = alive[(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
         out[alive] = level
         level += 1
     return out
 
 
-@dataclass
-class Filter:
-    """The whole filter in one piece, with all training tokens and distinct ones."""
-
-    shape: Shape
-    bits: np.ndarray
-    total: int
-    distinct: int
-    top: int = TOP
-
-    def level(self, grams: np.ndarray) -> np.ndarray:
-        base = self.shape.segment(grams).astype(np.uint64) << np.uint64(self.shape.bits_log2)
-        return levels(self.bits, self.shape, grams, base, self.top)
-
-
-def grams_of(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """All that a piece asks for, distinct and in order, and so by segment: tokens, their predecessors and pairs."""
-    pairs, before = pair_hashes(tokens, bounds)
-    return np.unique(np.concatenate((tokens, before, pairs)))
-
-
-def log10(tokens: np.ndarray, bounds: np.ndarray, grams: np.ndarray, level: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of each token's smoothed probability, from the levels of ``grams_of`` the piece.
+def log10(level: dict[str, np.ndarray], total: int, distinct: int) -> np.ndarray:
+    """log10 of each token's smoothed probability, from the levels of the tokens, their predecessors and the pairs.
 
     A quantised count stands for the smallest count of its class in a numerator and for the largest in a denominator, so
     the probabilities after a context do not add up to more than one but for false positives.
     """
-    pairs, before = pair_hashes(tokens, bounds)
-    low, high = np.where(level > 0, 2.0 ** ((level - 1) / PER_DOUBLING), 0.0), 2.0 ** (level / PER_DOUBLING)
-    of = lambda x: np.searchsorted(grams, x)
-    alone = (low[of(tokens)] + 1) / (total + distinct + 1)
-    return np.log10(PAIR_WEIGHT * np.minimum(1.0, low[of(pairs)] / high[of(before)]) + (1 - PAIR_WEIGHT) * alone)
+    low = lambda q: np.where(q > 0, 2.0 ** ((q.astype(np.float64) - 1) / PER_DOUBLING), 0.0)
+    alone = (low(level["token"]) + 1) / (total + distinct + 1)
+    after = np.minimum(1.0, low(level["pair"]) / 2.0 ** (level["before"].astype(np.float64) / PER_DOUBLING))
+    return np.log10(PAIR_WEIGHT * after + (1 - PAIR_WEIGHT) * alone)
 
 
-def learn(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
-    """(segment, bits, top, tokens, counts): each segment's part of the filter, its largest level and exact token counts; one pass and one shuffle."""
+def learn(docs: DataFrame, text_col: str, segments: Segments) -> DataFrame:
+    """(segment, bits, top, tokens, counts, total, distinct): each segment's part of the filter, its largest level, its exact
+    token counts and their sums; one pass and one shuffle."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(lower=True), [[], []], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sums = [summed(np.concatenate([h for h, _ in part]), np.concatenate([c for _, c in part])) for part in held]
-            cuts = [np.searchsorted(shape.segment(h), np.arange((1 << shape.segment_log2) + 1)) for h, _ in sums]
-            rows = []
-            for s in range(1 << shape.segment_log2):
-                if any(cut[s + 1] > cut[s] for cut in cuts):
-                    rows.append((s, *(packed(h[cut[s] : cut[s + 1]], c[cut[s] : cut[s + 1]]) for (h, c), cut in zip(sums, cuts))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["segment", "singles", "pairs"])
+            rows: dict[int, list] = {}
+            for kind, part in enumerate(held):
+                grams, counts = summed(np.concatenate([h for h, _ in part]), np.concatenate([c for _, c in part]))
+                found, cuts = segments.cuts(grams)
+                for s, a, b in zip(found.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    row = rows.setdefault(s, [s, b"", b"", b"", b""])
+                    row[1 + 2 * kind : 3 + 2 * kind] = steps(grams[a:b] if kind == 0 else segments.inner(grams[a:b])), planes(counts[a:b].astype(np.uint32))
+            columns = list(zip(*rows.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["segment", "singles", "single_counts", "pairs", "pair_counts"])
 
         for batch in batches:
             texts = [b or b"" for b in as_bytes(batch.column(0))]
@@ -184,17 +178,44 @@ def learn(docs: DataFrame, text_col: str, shape: Shape) -> DataFrame:
             yield from out()
 
     def build(group: pa.Table) -> pa.Table:
-        parts = []
-        for name in ("singles", "pairs"):
-            both = [tuple(unpacked(b)) for b in group.column(name).to_pylist()]
-            parts.append(summed(np.concatenate([h for h, _ in both]), np.concatenate([c for _, c in both])))
-        bits = filled(shape, np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
-        real = parts[0][0] != START
-        columns = {"segment": [group.column("segment")[0].as_py()], "bits": [bits], "top": [max(int(quantised(c).max(initial=0)) for _, c in parts)], "tokens": [parts[0][0][real].view(np.int64)], "counts": [parts[0][1][real].astype(np.int64)]}
-        return pa.table(columns, schema=pa.schema([("segment", pa.int64()), ("bits", pa.binary()), ("top", pa.int64()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+        def of(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            grams = [from_steps(b, kind) for b in group.column(name).to_pylist() if b]
+            counts = [from_planes(b, np.uint32).astype(np.uint64) for b in group.column(f"{name[:-1]}_counts").to_pylist() if b]
+            return summed(np.concatenate([np.zeros(0, kind), *grams]), np.concatenate([np.zeros(0, np.uint64), *counts]))
+
+        (singles, counts), (pairs, pair_counts) = of("singles", np.uint64), of("pairs", np.uint32)
+        q = np.concatenate((quantised(counts), quantised(pair_counts)))
+        bits = filled(np.concatenate((segments.inner(singles), pairs)), q)
+        real = singles != START
+        return pa.table({"segment": [group.column("segment")[0].as_py()], "bits": pa.array([bits], pa.binary()), "top": [int(q.max(initial=0))], "tokens": pa.array([steps(singles[real])], pa.binary()), "counts": pa.array([planes(counts[real])], pa.binary()), "total": [int(counts[real].sum())], "distinct": [int(real.sum())]})
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(gather, "segment long, singles binary, pairs binary").groupBy("segment").applyInArrow(build, "segment long, bits binary, top long, tokens array<long>, counts array<long>")
+    made = texts.mapInArrow(gather, "segment long, singles binary, single_counts binary, pairs binary, pair_counts binary")
+    return made.groupBy("segment").applyInArrow(build, "segment long, bits binary, top long, tokens binary, counts binary, total long, distinct long")
+
+
+def head_of(learned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens in order, with their counts: ``HEAD`` of them at most."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tokens, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens, counts = from_steps(tokens, np.uint64), from_planes(counts, np.uint64).astype(np.int64)
+                keep = np.argsort(-counts, kind="stable")[:HEAD]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "count"])
+
+    head = learned.select("tokens", "counts").mapInArrow(most, "token long, count long").orderBy(F.desc("count"), "token").limit(HEAD).toArrow()
+    tokens = head.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], head.column("count").to_numpy()[order]
+
+
+def place_of(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in an ordered array, and whether it does."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return at, ordered[at] == values
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,73 +225,89 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     without entries gives each token the chance 1 of 1) and score follows the smoothing alone.  Repeated rows each count and
     are each scored.  Other columns are not read.  An empty table gives an empty result.
     """
+    import zstandard
+
+    spark = docs.sparkSession
     text_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    shape = Shape.for_bytes(text_bytes)
-    learned = stored(learn(docs.where(train), text_col, shape))
-    counts = learned.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("count"))
-    total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("count"), "token").limit(HEAD).toArrow()
-    order = np.argsort(head.column("token").to_numpy().view(np.uint64))
-    head_tokens, head_counts = head.column("token").to_numpy().view(np.uint64)[order], head.column("count").to_numpy()[order]
-    total, distinct = int(total), int(distinct)
-    sent = docs.sparkSession.sparkContext.broadcast((head_tokens, head_counts))
+    segments = Segments(text_bytes)
+    learned = stored(learn(docs.where(train), text_col, segments))
+    released(spark)
+    total, distinct = map(int, learned.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first())
+    sent = spark.sparkContext.broadcast(head_of(learned))  # HEAD tokens at most
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(lower=True)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             texts = [b or b"" for b in as_bytes(batch.column(2))]
-            for part in pieces(texts):
-                tokens, bounds = token_hashes(texts[part], hashes)
-                ids, rows = batch.column(1)[part].to_pylist(), batch.column(0)[part].to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:1]), pa.array([rows], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([bounds.astype(np.int64)], pa.list_(pa.int64())), pa.array([tokens.tobytes()], pa.binary())], ["piece", "rows", "ids", "bounds", "words"])
+            for part in pieces(texts, PIECE_BYTES):
+                rows = batch.column(0)[part.start : part.stop].to_pylist()
+                sizes = np.array([len(t) for t in texts[part]], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:1], pa.int64()), pa.array([batch.column(1)[part.start : part.stop].to_pylist()], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([press.compress(b"".join(texts[part]))], pa.binary())], ["piece", "ids", "sizes", "zipped"])
+
+    def read(sizes: np.ndarray, zipped: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ends = starts_of(sizes).tolist()
+        whole = zstandard.ZstdDecompressor().decompress(zipped, max_output_size=max(1, ends[-1]))
+        return token_hashes([whole[a:b] for a, b in zip(ends[:-1], ends[1:])], WordHashes(lower=True))
 
-    def read(piece: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(piece["words"], dtype=np.uint64), np.array(piece["bounds"], dtype=np.int64)
+    def wanted(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct singles outside the head and the distinct pairs of a piece, in order."""
+        singles = np.unique(np.concatenate((tokens, [START])))
+        return singles[~place_of(singles, sent.value[0])[1]], np.unique(pair_hashes(tokens, bounds)[0])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                piece = batch.slice(k, 1).to_pylist()[0]
-                grams = grams_of(*read(piece))
-                edges = np.searchsorted(shape.segment(grams), np.arange((1 << shape.segment_log2) + 1))
-                held = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), piece["piece"])), pa.array([grams[edges[s] : edges[s + 1]].tobytes() for s in held], pa.binary())], ["segment", "piece", "grams"])
+            for piece, sizes, zipped in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                rows: dict[int, list] = {}
+                for kind, grams in enumerate(wanted(*read(sizes.values.to_numpy(), zipped.as_py()))):
+                    found, cuts = segments.cuts(grams)
+                    for s, a, b in zip(found.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                        rows.setdefault(s, [s, piece, b"", b""])[2 + kind] = steps(grams[a:b] if kind == 0 else segments.inner(grams[a:b]))
+                columns = list(zip(*rows.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], ["segment", "piece", "singles", "pairs"])
 
     def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
-        found = []
-        for blob in asked.column("grams").to_pylist():
-            grams = np.frombuffer(blob, dtype=np.uint64)
-            level = np.zeros(len(grams), dtype=np.int64)
-            if part.num_rows:
-                level = levels(np.frombuffer(part.column("bits")[0].as_buffer(), dtype=np.uint8), shape, grams, np.zeros(len(grams), dtype=np.uint64), part.column("top")[0].as_py())
-            found.append(level.astype(np.uint8).tobytes())
-        return pa.table({"piece": asked.column("piece"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+        singles = [from_steps(b, np.uint64) for b in asked.column("singles").to_pylist()]
+        pairs = [from_steps(b, np.uint32) for b in asked.column("pairs").to_pylist()]
+        flat = np.concatenate([np.zeros(0, np.uint64), *singles])
+        level, counts = np.zeros(len(flat) + sum(map(len, pairs)), dtype=np.uint8), np.zeros(len(flat), dtype=np.uint64)
+        if part.num_rows:
+            bits = np.frombuffer(part.column("bits")[0].as_buffer(), dtype=np.uint8)
+            level = levels(bits, np.concatenate([segments.inner(flat), *pairs]), part.column("top")[0].as_py())
+            at, known = place_of(flat, from_steps(part.column("tokens")[0].as_py(), np.uint64))
+            held = from_planes(part.column("counts")[0].as_py(), np.uint64)
+            counts = np.where(known, held[at], 0).astype(np.uint64) if len(held) else counts
+        ends, pair_ends = starts_of(np.array([len(s) for s in singles])).tolist(), (len(flat) + starts_of(np.array([len(p) for p in pairs]))).tolist()
+        out = [(level[a:b].tobytes(), planes(counts[a:b]), level[c:d].tobytes()) for a, b, c, d in zip(ends[:-1], ends[1:], pair_ends[:-1], pair_ends[1:])]
+        return pa.table({"piece": asked.column("piece"), "segment": asked.column("segment"), **{name: pa.array([r[k] for r in out], pa.binary()) for k, name in enumerate(("single_levels", "single_counts", "pair_levels"))}})
 
     def finish(held: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens_of_head, counts_of_head = sent.value
-        logs = np.log10(counts_of_head + 1.0)
-        piece = held.to_pylist()[0]
-        tokens, bounds = read(piece)
-        level = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), dtype=np.uint8).astype(np.int64)
-        score = sum_rows(log10(tokens, bounds, grams_of(tokens, bounds), level, total, distinct), bounds)
-        at = np.minimum(np.searchsorted(tokens_of_head, tokens), max(0, len(tokens_of_head) - 1))
-        in_head = tokens_of_head[at] == tokens if len(tokens_of_head) else np.zeros(len(tokens), dtype=bool)
-        head_sum = sum_rows(np.where(in_head, logs[at], 0.0) if len(logs) else np.zeros(len(tokens)), bounds)
-        known = sum_rows(in_head.astype(np.float64), bounds)
-        rest = np.flatnonzero(~in_head)
-        rest_list = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds), pa.int32()), pa.array(tokens[rest].view(np.int64)))
+        head, head_counts = sent.value
+        tokens, bounds = read(held.column("sizes")[0].values.to_numpy(), held.column("zipped")[0].as_py())
+        pairs, before = pair_hashes(tokens, bounds)
+        singles, distinct_pairs = wanted(tokens, bounds)
+        answers = answers.sort_by("segment")
+        told = {name: b"".join(answers.column(name).to_pylist()) for name in ("single_levels", "pair_levels")}
+        single_levels = np.frombuffer(told["single_levels"], dtype=np.uint8)
+        single_counts = np.concatenate([np.zeros(0, np.uint64), *(from_planes(b, np.uint64) for b in answers.column("single_counts").to_pylist())])
+        # One table of all singles of the piece: the head's and those asked for.
+        known, order = np.concatenate((head, singles)), np.argsort(np.concatenate((head, singles)), kind="stable")
+        known, level_of = known[order], np.concatenate((quantised(head_counts), single_levels))[order]
+        count_of = np.concatenate((head_counts.astype(np.float64), single_counts.astype(np.float64)))[order]
+        at = np.searchsorted(known, tokens)
+        level = {"token": level_of[at], "before": level_of[np.searchsorted(known, before)], "pair": np.frombuffer(told["pair_levels"], dtype=np.uint8)[np.searchsorted(distinct_pairs, pairs)]}
+        count = count_of[at]
         return pa.table({
-            "row": pa.array(piece["rows"], pa.int64()), "doc_id": pa.array(piece["ids"], pa.int64()), "n_tokens": np.diff(bounds).astype(np.int64), "known": known.astype(np.int64),
-            "head_sum": head_sum, "score": score, "rest": rest_list,
+            "doc_id": pa.array(held.column("ids")[0].as_py(), pa.int64()), "n_tokens": np.diff(bounds).astype(np.int64), "n_known": sum_rows((count > 0).astype(np.float64), bounds).astype(np.int64),
+            "base": sum_rows(np.log10(count + 1), bounds), "score": sum_rows(log10(level, total, distinct), bounds),
         })
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = stored(given.mapInArrow(cut, "piece long, rows array<long>, ids array<long>, bounds array<long>, words binary"))
-    asked = held.select("piece", "bounds", "words").mapInArrow(ask, "segment long, piece long, grams binary")
-    answers = asked.groupBy("segment").cogroup(learned.select("segment", "bits", "top").groupBy("segment")).applyInArrow(answer, "piece long, segment long, levels binary")
-    passed = stored(held.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, "row long, doc_id long, n_tokens long, known long, head_sum double, score double, rest array<long>"))
-    rest = passed.select("row", F.explode("rest").alias("token"))
-    found = rest.join(counts, "token").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("count") + 1.0)).alias("rest_sum"))
-    joined = passed.drop("rest").join(found, "row", "left")
-    base = F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
-    return joined.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    held = stored(given.mapInArrow(cut, "piece long, ids array<long>, sizes array<long>, zipped binary"))
+    asked = held.select("piece", "sizes", "zipped").mapInArrow(ask, "segment long, piece long, singles binary, pairs binary")
+    parts = learned.select("segment", "bits", "top", "tokens", "counts")
+    answers = stored(asked.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(answer, "piece long, segment long, single_levels binary, single_counts binary, pair_levels binary"))
+    dropped(learned)
+    released(spark)
+    done = held.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
+    return done.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

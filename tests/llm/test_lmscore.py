@@ -29,7 +29,7 @@ def learn(i):
 
 def test_base_over_the_whole_table(spark, monkeypatch):
     docs = table(spark, SMALL, "documents").select("doc_id", "text")
-    monkeypatch.setattr(lmscore, "HEAD", 500)  # most distinct tokens are joined
+    monkeypatch.setattr(lmscore, "HEAD", 500)  # most distinct tokens are asked for
     assert digest(lmscore.score(docs, id_bucket("doc_id", 7) != 2)) == plain([tuple(r) for r in docs.collect()], learn)
 
 
@@ -48,20 +48,52 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got.s > got.b and got.m <= 0
 
 
-def filled(shape, grams, counts):
-    where = shape.segment(grams)
-    return b"".join(lmscore.filled(shape, grams[where == k], counts[where == k]) for k in range(1 << shape.segment_log2))
-
-
 def test_filter_gives_back_quantised_counts():
     rng = np.random.default_rng(0)
-    grams = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2))
-    counts = rng.integers(1, 1000, len(grams)).astype(np.uint64)
-    shape = lmscore.Shape.for_bytes(1 << 24)
-    model = lmscore.Filter(shape, np.frombuffer(filled(shape, grams, counts), np.uint8), int(counts.sum()), len(grams))
-    level, want = model.level(grams), lmscore.quantised(counts)
-    assert (level >= want).all() and (level == want).mean() > 0.9
-    assert (model.level(grams + np.uint64(1)) > 0).mean() < 0.1
+    grams = np.unique(rng.integers(0, 2**31, 20_000).astype(np.uint32) * np.uint32(2))
+    q = lmscore.quantised(rng.integers(1, 1000, len(grams)))
+    bits = np.frombuffer(lmscore.filled(grams, q), np.uint8)
+    level = lmscore.levels(bits, grams, int(q.max()))
+    assert (level >= q).all() and (level == q).mean() > 1 - 2 * lmscore.ERROR
+    assert (lmscore.levels(bits, grams + np.uint32(1), int(q.max())) > 0).mean() < 1.5 * lmscore.ERROR
+
+
+def test_error_is_the_same_at_every_size():
+    """A hundred times the grams get a hundred times the bits."""
+    rng = np.random.default_rng(1)
+    for n in (2_000, 200_000):
+        grams = np.unique(rng.integers(0, 2**31, n).astype(np.uint32) * np.uint32(2))
+        bits = np.frombuffer(lmscore.filled(grams, np.ones(len(grams), np.int64)), np.uint8)
+        assert 0.5 * lmscore.ERROR < (lmscore.levels(bits, grams + np.uint32(1), 1) > 0).mean() < 1.5 * lmscore.ERROR
+        assert 8 < 8 * len(bits) / len(grams) < 9
+
+
+def test_probing_a_full_filter_ends():
+    assert lmscore.levels(np.full(512, 255, dtype=np.uint8), np.arange(100, dtype=np.uint32), 4).tolist() == [4] * 100
+
+
+def test_segments_part_the_hash_space():
+    rng = np.random.default_rng(2)
+    grams = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    for text_bytes in (0, 1 << 30, 1 << 50):
+        segments = lmscore.Segments(text_bytes)
+        held, cuts = segments.cuts(grams)
+        assert (np.repeat(held, np.diff(cuts)) == (grams >> np.uint64(64 - segments.log2)).astype(np.int64)).all()
+        inner = segments.inner(grams)
+        assert all((np.diff(inner[a:b].astype(np.int64)) >= 0).all() for a, b in zip(cuts[:-1], cuts[1:]))
+    assert (lmscore.from_steps(lmscore.steps(grams), np.uint64) == grams).all()
+
+
+def test_several_pieces_and_segments_give_the_same(spark, monkeypatch):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text")
+    fold = id_bucket("doc_id", 7) != 2
+    want = {r.doc_id: (r.n_known, round(r.score, 0)) for r in lmscore.score(docs, fold).collect()}
+    monkeypatch.setattr(lmscore, "PIECE_BYTES", 10_000)
+    monkeypatch.setattr(lmscore, "SEGMENT_BYTES", 1_000)
+    monkeypatch.setattr(lmscore, "GATHER", 3_000)
+    got = {r.doc_id: (r.n_known, r.score) for r in lmscore.score(docs, fold).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) <= 2 + 0.02 * abs(want[i][1]) for i in want)
 
 
 def test_score_against_plain_smoothing(spark):
@@ -89,12 +121,3 @@ def test_word_hashes_tell_words_apart():
     assert lower[0] == lower[1] and lower[2] != lower[3]
     marked, _ = WordHashes(skip=b".,")([b"word wo.rd, .word ., , word" + b" " + b"x" * 300 + b" " + b"x." * 300])
     assert len(set(marked[[0, 1, 2, 5]].tolist())) == 1 and marked[3] == marked[4] == 0 and marked[6] == marked[7] != 0
-
-
-def test_filter_follows_the_input_and_probing_ends():
-    sizes = [lmscore.Shape.for_bytes(n << 20) for n in (128, 1024, 30 << 10)]
-    assert all(1 << (s.segment_log2 + s.bits_log2) >= 2 * (n << 20) for s, n in zip(sizes, (128, 1024, 30 << 10)))
-    assert max(s.bits_log2 for s in sizes) <= 25  # more segments, not larger ones
-    shape = lmscore.Shape(6, 6)
-    full = lmscore.Filter(shape, np.full(512, 255, dtype=np.uint8), 10, 3, 4)
-    assert full.level(np.arange(100, dtype=np.uint64)).max() == 4
