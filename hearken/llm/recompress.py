@@ -12,7 +12,6 @@ import numpy as np
 
 from hearken.llm.common import mix
 
-ROUNDS = 2
 FAR = 1 << 40
 
 
@@ -62,13 +61,16 @@ class Level:
         return Level(name[keep], left[keep], right[keep], self.piece[keep])
 
 
-def levels(words: np.ndarray, piece: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
+def levels(words: np.ndarray, piece: np.ndarray, width: int) -> list[Level]:
+    """Rounds until no symbol rests inside ``width`` words any more, or nothing changes."""
     at = np.arange(len(words))
     now, out = Level(words, at, at + 1, piece), []
-    for k in range(rounds):
-        now = now.runs().pairs(0x51ED270B + 977 * k)
+    while True:
+        after = now.runs().pairs(0x51ED270B + 977 * len(out))
+        if len(after.name) == len(now.name) or not (after.right - after.left <= width).any():
+            return out
+        now = after
         out.append(now)
-    return out
 
 
 def rolling(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,8 @@ def inverse_powers(n: int) -> np.ndarray:
     return out
 
 
-def windows(words: np.ndarray, piece: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows of ``width`` words inside a piece, their own hashes, and the key of the symbol each one rests on.
+def windows(words: np.ndarray, piece: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all windows of ``width`` words inside a piece, and the key of the symbol each one rests on.
 
     Windows of equal words have equal keys: the key names the highest symbol whose footing lies inside the window (of several,
     that with the longest footing, then by hash), hashed with its footing.  A window that holds no such symbol is its own key.
@@ -105,21 +107,21 @@ def windows(words: np.ndarray, piece: np.ndarray, width: int) -> tuple[np.ndarra
     n = len(words)
     starts = np.flatnonzero(piece[: max(0, n - width + 1)] == piece[width - 1 :]) if n >= width else np.zeros(0, np.int64)
     if not len(starts):
-        return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return starts, np.zeros(0, np.uint64)
     prefix, _ = rolling(words)
     inverse = inverse_powers(n)
     own = stretch_hashes(prefix, inverse, starts, starts + width)
     best = np.zeros(n, dtype=np.uint64)
-    for depth, level in enumerate(levels(words, piece), 1):
+    for depth, level in enumerate(levels(words, piece, width), 1):
         size = level.right - level.left
         fits = np.flatnonzero((size <= width) & (level.left >= 0) & (level.right <= n))
         left, size = level.left[fits], size[fits]
         hashed = stretch_hashes(prefix, inverse, left, left + size) ^ mix(level.name[fits])
-        rank = np.uint64(depth) << np.uint64(60) | size.astype(np.uint64) << np.uint64(55) | hashed >> np.uint64(9)
+        rank = np.uint64(min(depth, 15)) << np.uint64(60) | size.astype(np.uint64) << np.uint64(55) | hashed >> np.uint64(9)
         for shift in range(width):
             use = (size + shift <= width) & (left >= shift)
             if not use.any():
                 break
             np.maximum.at(best, left[use] - shift, rank[use])
     key = best[starts]
-    return starts, own, np.where(key > 0, mix(key), mix(own ^ np.uint64(0x5851F42D4C957F2D)))
+    return starts, np.where(key > 0, mix(key), mix(own ^ np.uint64(0x5851F42D4C957F2D)))

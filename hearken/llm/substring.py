@@ -3,7 +3,8 @@
 1. Texts are written once, compressed, with a row number.
 2. Every window is keyed by the highest recompressed symbol that rests inside it (see ``recompress``).  Neighbouring windows
    share keys, so a stretch of windows costs one entry.  Keys that two rows share reveal where repeats can be.
-3. Only windows on shared keys are compared exactly, by the hash of their words: each learns the smallest document with it.
+3. Only windows on shared keys are compared, by a 128-bit digest of the words themselves: each learns the smallest document
+   with its words.  Two different windows of 1e13 share a digest with a chance below one in a trillion.
 4. The flagged windows return to their texts, and the words that they cover are removed.
 
 Entries travel in packed, sorted columns per bucket of the hash space.  A task first settles what it can see itself: of all
@@ -51,11 +52,11 @@ def unpacked(blob: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def windows_of(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, own hash, key) of all windows of the texts.
+def windows_of(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, key) of all windows of the texts.
 
-    Long texts are cut into pieces that overlap by width - 1 words; hashes and keys depend on a window's words alone, so the cuts
-    leave no trace.
+    Long texts are cut into pieces that overlap by width - 1 words; keys depend on a window's words alone, so the cuts leave no
+    trace.
     """
     flat, counts = hashes(texts)
     bounds, out = starts_of(counts), []
@@ -77,11 +78,11 @@ def windows_of(texts: list[bytes], hashes: WordHashes, width: int) -> tuple[np.n
         offset = starts_of(sizes)
         piece = np.repeat(np.arange(len(group)), sizes)
         words = flat[np.arange(int(offset[-1])) - offset[piece] + (bounds[text] + first)[piece]]
-        starts, own, key = windows(words, piece, width)
+        starts, key = windows(words, piece, width)
         which = piece[starts]
-        out.append((text[which], starts - offset[which] + first[which], own, key))
+        out.append((text[which], starts - offset[which] + first[which], key))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -91,11 +92,20 @@ def groups_of(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(sorted_keys)]))))
 
 
+def equal_groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``groups_of`` for rows sorted by several columns."""
+    change = np.zeros(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    first = np.flatnonzero(np.concatenate(([True], change)))
+    return first, np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(columns[0])]))))
+
+
 def by_bucket(keys: np.ndarray, columns: list[np.ndarray], log2: int) -> Iterator[tuple[int, bytes]]:
-    """Packed columns of each bucket; ``keys`` are sorted and come first in the columns."""
-    cuts = np.searchsorted((keys >> np.uint64(64 - log2)).astype(np.int64), np.arange((1 << log2) + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        yield b, packed([np.ascontiguousarray(c[cuts[b] : cuts[b + 1]]) for c in columns])
+    """Packed columns of each bucket that occurs; ``keys`` are sorted and come first in the columns."""
+    held, first = np.unique((keys >> np.uint64(64 - log2)).astype(np.int64), return_index=True)
+    for b, at, end in zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
+        yield b, packed([np.ascontiguousarray(c[at:end]) for c in columns])
 
 
 def by_row(rows: np.ndarray, columns: list[np.ndarray], shift: int) -> Iterator[tuple[int, bytes]]:
@@ -159,7 +169,7 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
             rows = batch.column(0).to_numpy()
             texts = [unzip.decompress(b) for b in batch.column(1).to_pylist()]
             for part in pieces(texts):
-                text, start, _, key = windows_of(texts[part], hashes, width)
+                text, start, key = windows_of(texts[part], hashes, width)
                 if not len(text):
                     continue
                 change = np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1]) | (start[1:] - start[:-1] != 1)))
@@ -190,6 +200,15 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
     return per_row(found, ("<u4", "<u2"))
 
 
+def digests(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
+    """(n, 2): the 128-bit digests of the windows of words that begin at ``starts``."""
+    import xxhash
+
+    words = text.split()
+    made = b"".join([xxhash.xxh3_128_digest(b" ".join(words[s : s + width])) for s in starts.tolist()])
+    return np.frombuffer(made, dtype=np.uint64).reshape(-1, 2)
+
+
 def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
     """(row, found): starts of windows whose words also start in a document with a smaller id.
 
@@ -198,39 +217,28 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
     import zstandard
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unzip, held, size = WordHashes(), zstandard.ZstdDecompressor(), [], 0
+        unzip, held, size = zstandard.ZstdDecompressor(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            own, doc, row, start = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(own, kind="stable")
-            own, doc, row, start = own[order], doc[order], row[order], start[order]
-            first, group = groups_of(own)
-            later = doc > np.minimum.reduceat(doc, first)[group]
+            own, more, doc, row, start, later = judged([np.concatenate(c) for c in zip(*held)])
             send = ~later
-            # One entry per window hash, document and row goes on, and each place in the row has its own.
+            # One entry per window, document and row goes on, and each place in the row has its own.
             yield from batch_of(
-                list(by_bucket(own[send], [own[send], doc[send], row[send], start[send]], log2)),
+                list(by_bucket(own[send], [own[send], more[send], doc[send], row[send], start[send]], log2)),
                 list(by_row(row[later], [start[later]], GROUP)), 1 << log2,
             )
 
         for batch in batches:
-            rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            stretches = batch.column(3).to_pylist()
-            wanted = [i for i, s in enumerate(stretches) if s]
-            texts = [unzip.decompress(batch.column(2)[i].as_py()) for i in wanted]
-            for part in pieces(texts):
-                text, start, own, _ = windows_of(texts[part], hashes, width)
-                if not len(text):
+            rows, ids, stretches = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+            for i, packed_stretches in enumerate(stretches):
+                if not packed_stretches:
                     continue
-                begins = np.searchsorted(text, np.arange(part.stop - part.start))
-                marks = np.zeros(len(text) + 1, dtype=np.int64)
-                for k, i in enumerate(wanted[part]):
-                    _, at, length = unpacked(stretches[i], ("<i8", "<u4", "<u2"))
-                    np.add.at(marks, begins[k] + at, 1)
-                    np.add.at(marks, begins[k] + at + length, -1)
-                chosen = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
-                which = np.array(wanted[part])[text[chosen]]
-                held.append((own[chosen], ids[which], rows[which], start[chosen].astype(np.uint32)))
+                _, at, length = unpacked(packed_stretches, ("<i8", "<u4", "<u2"))
+                begin, end = at.astype(np.int64), at.astype(np.int64) + length
+                marks = np.bincount(begin, minlength=int(end.max()) + 1) - np.bincount(end, minlength=int(end.max()) + 1)
+                chosen = np.flatnonzero(np.cumsum(marks) > 0)
+                found = digests(unzip.decompress(batch.column(2)[i].as_py()), chosen, width)
+                held.append((found[:, 0], found[:, 1], np.full(len(chosen), ids[i]), np.full(len(chosen), rows[i]), chosen.astype(np.uint32)))
                 size += len(chosen)
                 if size > GATHER:
                     yield from out()
@@ -238,15 +246,18 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
         if size:
             yield from out()
 
+    def judged(columns: list[np.ndarray]) -> list[np.ndarray]:
+        """The columns in the order of the digests, and which windows stand in a smaller document too."""
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        first, group = equal_groups(*columns[:2])
+        return [*columns, columns[2] > np.minimum.reduceat(columns[2], first)[group]]
+
     def settle(group: pa.Table) -> pa.Table:
         lines = [(r, f) for r, f in zip(group.column("part").to_pylist(), group.column("found").to_pylist()) if r is not None]
         blobs = [b for b in group.column("sent").to_pylist() if b is not None]
         if blobs:
-            own, doc, row, start = (np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<i8", "<i8", "<u4")) for b in blobs)))
-            order = np.argsort(own, kind="stable")
-            own, doc, row, start = own[order], doc[order], row[order], start[order]
-            first, group_of = groups_of(own)
-            later = doc > np.minimum.reduceat(doc, first)[group_of]
+            _, _, _, row, start, later = judged([np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<u8", "<i8", "<i8", "<u4")) for b in blobs))])
             lines += by_row(row[later], [start[later]], GROUP)
         return pa.table({"part": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
 
@@ -277,7 +288,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    log2 = max(4, min(16, (total // BUCKET_BYTES).bit_length()))
+    log2 = max(4, min(40, (total // BUCKET_BYTES).bit_length()))
     whole = stored(given.mapInArrow(zipped, "row long, id long, zipped binary"))
 
     def with_findings(found: DataFrame) -> DataFrame:
