@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hearken.llm import chat, language, queries, toxicity
+from hearken.llm import chat, common, language, queries, toxicity
 from hearken.llm.common import table
 
 MID = "/root/testdata/sf0.01"
@@ -33,15 +33,81 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(frame.where("doc_id < 4"), one).collect()} == {"en"}
 
 
-def test_family_comes_first():
-    rng = np.random.default_rng(0)
-    x = np.abs(rng.normal(size=(40, 64))).astype(np.float32)
-    langs = ["en", "de", "fr", "xx"] * 10
-    for k in range(4):
-        x[k::4, k] += 5
-    model = language.fit(x, langs)
-    assert model.families == {"germanic": ["de", "en"], "only xx": ["xx"], "romance": ["fr"]}
-    assert {(a, b) for a, b, _, _ in model.machines} == {("family:germanic", "family:only xx"), ("family:germanic", "family:romance"), ("family:only xx", "family:romance"), ("de", "en")}
+def test_lessons_cover_families_and_relatives():
+    two = language.lessons({"germanic": ["de", "en"], "romance": ["fr"]}, 10)
+    assert {(a, b) for a, b, *_ in two} == {("family:germanic", "family:romance"), ("de", "en")}
+    many = language.lessons({"germanic": ["de", "en"], "romance": ["fr"], "only xx": ["xx"]}, 10)
+    assert {(a, b) for a, b, *_ in many} == {("family:germanic", ""), ("family:romance", ""), ("family:only xx", ""), ("de", "en")}
+    assert {(lang, side) for a, b, lang, side, _ in many if a == "family:romance"} == {("fr", 1), ("de", -1), ("en", -1), ("xx", -1)}
+
+
+def test_more_languages_than_forty(spark):
+    """Each language has letters of its own; the rarest is learned as well."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(48):
+        letters = "".join(chr(0x400 + 8 * k + j) for j in range(6))
+        for j in range(3 if k else 2):
+            rows.append((len(rows), " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40)), f"l{k:02}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame, F.lit(True), "doc_id", "text", "lang", per_language=20)
+    assert len(model.families) == 48 and len(model.machines) == 48
+    got = {r.doc_id: r.lang_pred for r in language.identify(frame, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows) and got[0] == "l00"
+
+
+def test_rows_of_one_id_teach_once(spark):
+    """Ten thousand rows share an id; the sample stays bounded and the other rows are still learned from."""
+    same = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the cat and the dog "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rows = [(100 + k, t, lang) for k, (t, lang) in enumerate([("the house and this garden", "en"), ("der hund und die katze nicht", "de")] * 5)]
+    frame = same.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = language.train(frame, F.lit(True), "doc_id", "text", "lang", per_language=4)
+    assert set(model.machines) == {("de", "en")}
+    assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "die katze und der hund")], "doc_id long, text string"), model).collect()} == {"de"}
+
+
+def test_predictions_against_plain_sums(spark):
+    """Margins, votes and products worked out text by text and n-gram by n-gram."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, F.lit(True), "doc_id", "text", "lang", per_language=30)
+    rows = [r for r in docs.collect() if r.text and len(r.text) < 1500][:60] + [(0, "É", "fr"), (0, "ab", "en")]
+    blobs = [r[1].lower().encode() for r in rows]
+    labels, scores = model.predict(blobs)
+    for blob, label, score in zip(blobs, labels, scores):
+        padded, sums, n = blob + language.GAP, {k: 0.0 for k in model.machines}, 0
+        for at in range(len(padded)):
+            for size in language.ORDERS:
+                gram = (padded + language.GAP)[at : at + size]
+                code = int.from_bytes(gram, "little")
+                bucket = ((code * 0x9E3779B1 + (size - 1) * 0x1EBCA6B) % 2**32) >> 19
+                n += 1
+                for key, (weights, _) in model.machines.items():
+                    sums[key] += float(weights[bucket])
+        p = {k: 1 / (1 + np.exp(-3 * (s / n + model.machines[k][1]))) for k, s in sums.items()}
+        g = p["family:germanic", "family:romance"]
+        chances = {"de": g * p["de", "en"], "en": g * (1 - p["de", "en"]), "es": (1 - g) * p["es", "fr"], "fr": (1 - g) * (1 - p["es", "fr"])}
+        family = ("de", "en") if g >= 0.5 else ("es", "fr")
+        want = max(family, key=lambda k: chances[k])
+        assert label == want and abs(score - chances[want]) < 1e-5
+
+
+def test_language_of_texts_in_pieces(monkeypatch, spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, F.lit(True), "doc_id", "text", "lang", per_language=30)
+    blobs = [r.text.lower().encode() for r in docs.where("length(text) > 2000").limit(20).collect()]
+    whole, scores = model.predict(blobs)
+    monkeypatch.setattr(common.between_words, "__defaults__", (500,))
+    parts, near = model.predict(blobs)
+    assert whole == parts and np.abs(scores - near).max() < 0.05
+
+
+def test_columns_of_any_name(spark):
+    rows = [(k, t, lang, "x", 1, 2.0) for k, (t, lang) in enumerate([("the cat and the dog with this", "en"), ("der hund und die katze nicht", "de")] * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, __lang string, __letter int, __score double")
+    model = language.train(frame, F.lit(True), "doc_id", "text", "lang")
+    assert language.labelled(frame, model).columns == ["doc_id", "text", "lang", "__letter", "__lang", "__score"]
+    kept = language.labelled(frame, model, least=0.0)
+    assert kept.dtypes == frame.dtypes and {r["__lang"] for r in kept.collect()} == {"x"}
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -77,6 +143,63 @@ def test_pairs_of_terms_say_what_single_ones_do_not():
     assert score(2, 4) > 0.7 and score(2) < 0.5 and score(4) < 0.5
 
 
+def test_exclusive_or_of_two_terms_is_learned():
+    """Neither term tells anything alone."""
+    rng = np.random.default_rng(8)
+    terms, labels = [], []
+    for _ in range(1200):
+        a, b = rng.random(2) < 0.5
+        terms.append(np.unique([2] * int(a) + [4] * int(b) + [2 * int(x) for x in rng.integers(10, 3000, 8)]).astype(np.int64))
+        labels.append(int(a != b))
+    model = toxicity.fit(terms, np.array(labels))
+    assert {2, 4} <= set(model.features.tolist())
+    score = lambda *f: 1 / (1 + np.exp(-model.raw(np.searchsorted(model.features, f), np.array([0, len(f)]))[0]))
+    assert min(score(2), score(4)) > 0.7 > 0.3 > max(score(2, 4), score())
+
+
+def test_a_rare_insult_is_a_feature():
+    """It stands in 30 of 3,000 toxic texts and in no clean one."""
+    rng = np.random.default_rng(9)
+    filler = lambda: [2 * int(x) for x in rng.integers(10, 4000, 12)]
+    terms = [np.unique([*filler(), *([4] if k < 30 else [6])]).astype(np.int64) for k in range(3000)] + [np.unique(filler()).astype(np.int64) for _ in range(3000)]
+    model = toxicity.fit(terms, np.array([1] * 3000 + [0] * 3000))
+    assert {4, 6} <= set(model.features.tolist()) and len(model.features) < 20
+    score = lambda *f: 1 / (1 + np.exp(-model.raw(np.searchsorted(model.features, f), np.array([0, len(f)]))[0]))
+    assert score(4) > 0.7 and score(6) > 0.7 and score() < 0.2
+
+
+def test_machine_against_a_loop_over_pairs():
+    rng = np.random.default_rng(12)
+    model = toxicity.Machine(np.arange(40) * 2, -0.3, rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)))
+    sets = [np.sort(rng.choice(40, n, replace=False)) for n in (0, 1, 2, 7, 40)]
+    got = model.raw(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for value, s in zip(got, sets):
+        want = model.bias + sum(model.linear[i] for i in s) + sum(float(model.factors[i] @ model.factors[j]) for i in s for j in s if i < j)
+        assert abs(value - want) < 1e-9
+
+
+def test_scores_of_texts_against_their_terms(spark):
+    """Each text's score from its distinct terms and stems, one by one."""
+    docs, labels = table(spark, MID, "documents"), table(spark, MID, "labels")
+    model = toxicity.train(docs, labels, F.lit(True))
+    place = {int(h): k for k, h in enumerate(model.features)}
+    rows = docs.select("doc_id", "text").limit(300).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text in rows:
+        active = sorted({place[h] for w in (text or "").encode().split() for h in toxicity.term_hashes(w) if h in place})
+        raw = model.bias + sum(model.linear[k] for k in active) + sum(float(model.factors[a] @ model.factors[b]) for a in active for b in active if a < b)
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-9
+
+
+def test_repeated_labelled_rows_teach_once(spark):
+    same = spark.range(5_000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("idiot "), F.col("id").cast("string")).alias("text"))
+    other = spark.createDataFrame([(10 + k, f"{'idiot' if k % 2 else 'friend'} word{k} thing{k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (3, 0), (3, None)] + [(10 + k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(same.unionByName(other), labels, F.lit(True))
+    got = {r.doc_id: r.score for r in toxicity.score(other, model).collect()}
+    assert min(got[10 + k] for k in range(1, 60, 2)) > 0.7 > 0.3 > max(got[10 + k] for k in range(0, 60, 2))
+
+
 # ---- chat -------------------------------------------------------------------------------------------------------------------
 
 
