@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearken.llm.common import stored, words
+from hearken.llm.common import at_place, named, numbered, stored, words
 
-#: The tree's levels, the most leaves a tree may have, and rows per stretch of a leaf's order.
+#: The tree's levels, leaves up to which their rows are broadcast, and rows per stretch of a leaf's order.
 LEVELS = ("domain", "language", "source_name")
-MAX_LEAVES, STRETCH = 20_000, 50_000
+BROADCAST_LEAVES, STRETCH = 20_000, 50_000
 UNKNOWN = "unknown"
 
 
@@ -103,33 +103,24 @@ def order_key(epoch: Column, seed: int, doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch, doc_id, text)
 
 
-def select(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` with __domain, __language, __source, __epoch, __tokens and __taken, a row per document and epoch that takes it.
+def ends_of(narrow: DataFrame, plan: Plan) -> tuple[DataFrame, int]:
+    """(of_domain, of_language, of_source_name, whole, rest, last_key, last_start) of every leaf, and the number of leaves.
 
-    __taken is the document's tokens but for the last document of a prefix, which is cut to the budget.  Null languages and
-    sources are ``unknown``; a null text has no tokens and goes with its place in the order.  Rows equal in id and text
-    share one place in the order and go together.  Columns pass through; those named above must be new.  An empty table
-    gives an empty result.
+    A leaf takes ``whole`` epochs, then the documents of one more up to ``last_key``, which starts at token ``last_start`` of
+    ``rest``.  The driver holds a row per leaf, as the plan does.
     """
-    text = F.col(text_col).cast("string")
-    marked = docs.select(*leaf_columns(docs, plan, lang_col, source_col), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.size(words(text)).cast("long").alias("tokens"))
-    narrow = stored(marked)
-    sums = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).limit(MAX_LEAVES + 1).collect()
-    if len(sums) > MAX_LEAVES:
-        raise ValueError(f"the tree has more than {MAX_LEAVES} leaves; map sources to fewer names")
+    sums = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()
     leaves = {tuple(r[k] for k in LEVELS): r.tokens for r in sums}
     rows = []
     for path, budget in budgets(leaves, plan).items():
         whole = budget // leaves[path] if leaves[path] else 0
         rows.append((*path, whole, budget - whole * leaves[path]))
-    spark = docs.sparkSession
-    planned = spark.createDataFrame(rows, ", ".join(f"of_{k} string" for k in LEVELS) + ", whole long, rest long")
-    on_leaf = lambda frame: [frame[k] == F.col(f"of_{k}") for k in LEVELS]
+    planned = narrow.sparkSession.createDataFrame(rows, ", ".join(f"of_{k} string" for k in LEVELS) + ", whole long, rest long")
 
     # The last document of each prefix.  A leaf's order is cut into stretches by the leading bits of the keys, so that no task
     # orders more than a stretch of a leaf.
     stretches = max(0, (max([r.rows for r in sums], default=0) // STRETCH).bit_length())
-    partial = narrow.join(F.broadcast(planned.where("rest > 0")), on_leaf(narrow)).select(*LEVELS, "tokens", "rest", order_key(F.col("whole"), plan.seed, F.col("id"), F.col("hash")).alias("key"))
+    partial = on_leaf(narrow, planned.where("rest > 0"), len(rows)).select(*LEVELS, "tokens", "rest", order_key(F.col("whole"), plan.seed, F.col("id"), F.col("hash")).alias("key"))
     cut = F.shiftright("key", 64 - stretches) if stretches else F.lit(0)
     placed = partial.withColumn("stretch", cut.cast("long"))
     totals = placed.groupBy(*LEVELS, "stretch").agg(F.sum("tokens").alias("held"))
@@ -142,13 +133,34 @@ def select(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
         crossing.withColumn("start", F.col("begun") + F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).where("start < rest")
         .groupBy(*LEVELS).agg(F.max(F.struct("key", "start")).alias("last"))
     )
-    ends = stored(planned.join(last, [F.col(f"of_{k}") == F.col(k) for k in LEVELS], "left").select(*[f"of_{k}" for k in LEVELS], "whole", "rest", F.col("last.key").alias("last_key"), F.col("last.start").alias("last_start")))
+    ends = planned.join(last, [F.col(f"of_{k}") == F.col(k) for k in LEVELS], "left")
+    return stored(ends.select(*[f"of_{k}" for k in LEVELS], "whole", "rest", F.col("last.key").alias("last_key"), F.col("last.start").alias("last_start"))), len(rows)
+
+
+def on_leaf(docs: DataFrame, leaves: DataFrame, n: int) -> DataFrame:
+    """Rows with LEVELS joined with a row per leaf, which is broadcast as long as there are few."""
+    return docs.join(F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves, [docs[k] == F.col(f"of_{k}") for k in LEVELS])
+
 
-    named = docs.select("*", *[c.alias(f"__{k}") for c, k in zip(leaf_columns(docs, plan, lang_col, source_col), ("domain", "language", "source"))], F.size(words(text)).cast("long").alias("__tokens"))
-    key = order_key(F.col("whole"), plan.seed, F.col(id_col).cast("long"), F.xxhash64(text))
-    met = named.join(F.broadcast(ends), [F.col(f"__{a}") == F.col(f"of_{b}") for a, b in zip(("domain", "language", "source"), LEVELS)])
+def select(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", columns: bool = True) -> DataFrame:
+    """``docs`` with __domain, __language, __source, __epoch, __tokens and __taken, a row per document and epoch that takes it.
+
+    __taken is the document's tokens but for the last document of a prefix, which is cut to the budget.  Null languages and
+    sources are ``unknown``; a null text has no tokens and goes with its place in the order.  Rows equal in id and text
+    share one place in the order and go together.  Columns pass through, whatever their names; those that have one of the names
+    above are replaced, unless ``columns`` is False: then none is added.  An empty table gives an empty result.
+    """
+    flat = numbered(docs)
+    id_at, text_at, lang_at, source_at = (at_place(docs, c) for c in (id_col, text_col, lang_col, source_col))
+    text = F.col(text_at).cast("string")
+    leaf = leaf_columns(flat, plan, lang_at, source_at)
+    narrow = stored(flat.select(*leaf, F.col(id_at).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.size(words(text)).cast("long").alias("tokens")))
+    ends, n = ends_of(narrow, plan)
+    met = on_leaf(flat.select("*", *leaf, F.size(words(text)).cast("long").alias("tokens")), ends, n)
+    key = order_key(F.col("whole"), plan.seed, F.col(id_at).cast("long"), F.xxhash64(text))
     in_prefix = (F.col("rest") > 0) & (key <= F.col("last_key"))
-    passes = F.col("whole") + in_prefix.cast("long")
-    taken = F.when((F.col("__epoch") == F.col("whole")) & (key == F.col("last_key")), F.least(F.col("__tokens"), F.col("rest") - F.col("last_start"))).otherwise(F.col("__tokens"))
-    out = met.where(F.coalesce(passes, F.lit(0)) > 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(passes, F.col("whole")) - 1)))
-    return out.withColumn("__taken", taken).drop(*[f"of_{k}" for k in LEVELS], "whole", "rest", "last_key", "last_start")
+    passes = F.coalesce(F.col("whole") + in_prefix.cast("long"), F.col("whole"))
+    cut = (F.col("epoch") == F.col("whole")) & (key == F.col("last_key"))
+    out = met.withColumn("passes", passes).where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
+    out = out.withColumn("taken", F.when(cut, F.least(F.col("tokens"), F.col("rest") - F.col("last_start"))).otherwise(F.col("tokens")))
+    return named(out, docs, {"domain": "__domain", "language": "__language", "source_name": "__source", "epoch": "__epoch", "tokens": "__tokens", "taken": "__taken"} if columns else None)
