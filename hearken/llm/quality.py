@@ -22,13 +22,13 @@ SYMBOLS = r"[#*$%&|<>]"
 class Rules:
     """Limits of the base rules and of the likelihood ratio.
 
-    buckets: size of the hashed n-gram space.  trusted_docs: at most so many trusted documents shape the target
-    distribution; the raw distribution covers every document.  smoothing: pseudo-count per bucket.  threshold: a document
+    buckets: size of the hashed n-gram space.  broadcast_ids: trusted ids up to which their list is broadcast; beyond it
+    documents and ids are joined by a shuffle of the documents' buckets.  smoothing: pseudo-count per bucket.  threshold: a document
     is kept if its mean log ratio per n-gram is at least this.
     """
 
     buckets: int = 10_000
-    trusted_docs: int = 20_000
+    broadcast_ids: int = 1_000_000
     smoothing: float = 1.0
     threshold: float = -0.06
     min_words: int = 50
@@ -78,13 +78,14 @@ def base_columns(text: Column, found: Column, windows: Column) -> dict[str, Colu
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, rules: Rules) -> list[float]:
     """log p_trusted - log p_raw of every bucket, with ``docs`` (doc_id, text) and ``trusted`` (doc_id)."""
-    chosen = trusted.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.trusted_docs).select(F.col("doc_id").alias("trusted_id"))
-    hashed = docs.select("doc_id", hashes(words(F.col("text"))).alias("h"))
-    flagged = hashed.join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")  # at most trusted_docs ids
-    grams = F.concat(F.col("h"), joined_with_next(F.col("h"), F.col("h"), 1))
+    chosen = trusted.where("doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    few = chosen.limit(rules.broadcast_ids + 1).count() <= rules.broadcast_ids
+    h = hashes(words(F.col("text")))
+    grams = let(h, lambda x: F.transform(F.concat(x, joined_with_next(x, x, 1)), lambda g: F.pmod(g, F.lit(rules.buckets)).cast("int")))
+    flagged = docs.select("doc_id", grams.alias("grams")).join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("trusted_id"), "left")
     counted = (
-        flagged.select(F.col("trusted_id").isNotNull().alias("good"), F.explode(grams).alias("gram"))
-        .groupBy(F.pmod("gram", F.lit(rules.buckets)).alias("bucket"))
+        flagged.select(F.col("trusted_id").isNotNull().alias("good"), F.explode("grams").alias("bucket"))
+        .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count_if("good").alias("good"))
         .collect()  # as many rows as buckets
     )
