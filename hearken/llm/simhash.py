@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearken.llm import vptree
-from hearken.llm.common import WordHashes, as_bytes, between_words, dropped, mix, pieces, starts_of, stored
+from hearken.llm.common import WordHashes, as_bytes, at_place, between_words, dropped, mix, named, numbered, pieces, starts_of, stored
 
 #: Fingerprints per text of ``near_copies`` and the bits in which one of them may differ.
 TABLES, REACH = 6, 3
@@ -118,8 +118,8 @@ def word_prints(words: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * votes > sizes[None, :, None], axis=2, bitorder="little").view("<i8")[:, :, 0].T
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool = False) -> DataFrame:
-    """(doc_id, node, size, prints), or (doc_id, node, hashes): one row per input row; texts without words share node 0 and size 0."""
+def sets(docs: DataFrame, width: int, whole: bool = False) -> DataFrame:
+    """(doc_id, node, size, prints), or (doc_id, node, hashes), of (doc_id, text): one row per input row; texts without words share node 0 and size 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
@@ -138,11 +138,10 @@ def sets(docs: DataFrame, id_col: str, text_col: str, width: int, whole: bool =
                     more = [pa.array([len(s) for s in found], pa.int64()), pa.array(list(word_prints(words)), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(node), *more], ["doc_id", "node", *(["hashes"] if whole else ["size", "prints"])])
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(run, "doc_id long, node long, hashes binary" if whole else "doc_id long, node long, size long, prints array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, hashes binary" if whole else "doc_id long, node long, size long, prints array<long>")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, by comparing the sets; only texts in a pair are read for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +154,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, te
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     asked = stored(nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    texts = docs.join(asked.select(F.col("rep").alias("__rep")).hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__rep"), "left_semi")
-    held = stored(sets(texts, id_col, text_col, width, True).select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    texts = docs.join(asked.select("rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
+    held = stored(sets(texts, width, True).select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
     one = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
     both = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
     true = stored(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
@@ -171,7 +170,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are equal.  Repeated rows stay, in one component.  A row with a null id takes the component of the rows with ids whose
     sets equal its own, null if there are none, and forms no link.  An empty table gives an empty result.
     """
-    marked = stored(sets(docs, id_col, text_col, width))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = stored(sets(docs, width))
     nodes = stored(marked.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prints").alias("prints")))
     following = F.get("prints", F.pmod(F.col("tab") + 1, F.lit(TABLES)).cast("int")).alias("then")
     at = nodes.where("size > 0").select(F.posexplode("prints").alias("tab", "fp"), "node", "size", "prints").select("*", following)
@@ -183,7 +183,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = at.join(shared, same).where(F.col("node") != F.col("b")).where(F.least("size", "of_size") >= least * F.greatest("size", "of_size") - 1e-9)
     found = vptree.links(points, TABLES, REACH, least).unionByName(met.select(F.col("node").alias("a"), "b"))
     pairs = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    true = similar(pairs, nodes, docs, id_col, text_col, width, least)
+    true = similar(pairs, nodes, docs, width, least)
     rooted = nodes.select("node", "rep").join(components(true).withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = stored(rooted.join(firsts, "root").select(F.col("node").alias("of_node"), "component_id"))
@@ -225,12 +225,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_copies(docs, id_col, text_col, width, least)
     # Few rows go, so their ids are what the texts meet, hashed on the ids' side so that the texts are not sorted.
-    seen = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
-    odd = stored(seen.where("__id <> component_id or rows > 1"))
-    on_id = F.col(id_col).cast("long") == F.col("__id")
-    out = docs.join(odd.select("__id").hint("shuffle_hash"), on_id, "left_anti")
-    often = odd.where("__id = component_id and rows > 1").select("__id")
+    seen = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    odd = stored(seen.where("doc_id <> component_id or rows > 1").withColumnRenamed("doc_id", "id"))
+    flat, id_at = numbered(docs), at_place(docs, id_col)
+    on_id = F.col(id_at).cast("long") == F.col("id")
+    out = flat.join(odd.select("id").hint("shuffle_hash"), on_id, "left_anti")
+    often = odd.where("id = component_id and rows > 1").select("id")
     if often.take(1):
-        once = docs.join(often.hint("shuffle_hash"), on_id, "left_semi").dropDuplicates([id_col])
-        out = out.unionByName(once)
-    return out
+        out = out.unionByName(flat.join(often.hint("shuffle_hash"), on_id, "left_semi").dropDuplicates([id_at]))
+    return named(out, docs)
