@@ -1,59 +1,58 @@
-"""Edit-distance metrics of transcripts."""
+"""Edit-distance metrics of transcripts.
+
+One Arrow step per pair of texts composes, cleans and codes them: Spark has no built-in for NFKC, and one character per distinct
+word lets the built-in distance apply to words.  The distances themselves run in the JVM.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearken.functions.expr import let
 from hearken.functions.text import SPEAKERS
 
-
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Compatibility composition; Spark has no built-in for it."""
-    return text.str.normalize("NFKC")
+_SPEAKER = re.compile(r"(?:" + "|".join(SPEAKERS) + r")\s*:\s*")
+_NOTE, _OTHER = re.compile(r"\([^)]*\)"), re.compile(r"[\W_]+")
+#: The first code of a word; those from here on but for the surrogates, a million and more, can each be one character.
+_FIRST = 0x10000
+READY = T.StructType([T.StructField(name, T.StringType()) for name in ("reference", "hypothesis", "reference_words", "hypothesis_words")])
 
 
-def metric_text(text: Column, spaces: bool = False, compose: bool = True) -> Column:
-    """Letters and digits only, single spaces between words or none.  ``compose`` False for texts known to be composed."""
-    text = F.coalesce(text, F.lit(""))
-    if compose:
-        text = nfkc(text)
-    text = F.regexp_replace(text, r"(?U)(?:" + "|".join(SPEAKERS) + r")\s*:\s*", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), r"[^\p{L}\p{N}]+", " ")
-    text = F.trim(text)
-    return text if spaces else F.replace(text, F.lit(" "), F.lit(""))
+def metric_text(text: str | None) -> str:
+    """Composed, without speakers and notes, letters and digits only, single spaces between words."""
+    text = _NOTE.sub(" ", _SPEAKER.sub(" ", unicodedata.normalize("NFKC", text or "")))
+    return _OTHER.sub(" ", text).strip()
 
 
-def rate(distance: Column, reference_size: Column, hypothesis_size: Column) -> Column:
-    """Distance per unit of the reference; 0 or 1 where the reference is empty."""
-    return F.when(reference_size == 0, F.when(hypothesis_size == 0, 0.0).otherwise(1.0)).otherwise(distance / reference_size)
-
+def coded(words: list[str], codes: dict[str, int]) -> str:
+    """A character per word: its number among the words seen so far."""
+    return "".join([chr(_FIRST + codes.setdefault(w, len(codes))) for w in words])
 
-def cer(reference: Column, hypothesis: Column, compose: bool = True) -> Column:
-    r, h = metric_text(reference, compose=compose), metric_text(hypothesis, compose=compose)
-    return rate(F.levenshtein(r, h), F.length(r), F.length(h))
 
+@F.pandas_udf(READY)
+def ready(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    rows = []
+    for r, h in zip(reference, hypothesis):
+        left, right = metric_text(r).split(), metric_text(h).split()
+        if left == right:
+            rows.append(("".join(left), "".join(left), "w" * len(left), "w" * len(left)))
+            continue
+        codes: dict[str, int] = {}
+        rows.append(("".join(left), "".join(right), coded(left, codes), coded(right, codes)))
+    return pd.DataFrame(rows, columns=READY.names)
 
-def coded(tokens: Column, names: Column) -> Column:
-    """One character per token, by its place among the distinct tokens, so that the built-in distance applies to words.
 
-    The plane of private characters from U+F0000 and the rest of the upper planes hold up to 900,000 distinct tokens.
-    """
-    place = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, t) + 65536), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, place), "")
-
-
-def word_distance(left: Column, right: Column) -> Column:
-    def measured(x: Column) -> Column:
-        return F.levenshtein(coded(x["l"], x["names"]), coded(x["r"], x["names"]))
-
-    return let(F.struct(left.alias("l"), right.alias("r"), F.array_union(left, right).alias("names")), measured)
+def rate(reference: Column, hypothesis: Column) -> Column:
+    """Distance per unit of the reference; 0 or 1 where the reference is empty."""
+    empty = F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)
+    return F.when(reference == hypothesis, 0.0).when(F.length(reference) == 0, empty).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))
 
 
-def wer(reference: Column, hypothesis: Column, compose: bool = True) -> Column:
-    r, h = (F.array_remove(F.split(metric_text(x, spaces=True, compose=compose), " "), "") for x in (reference, hypothesis))
-    return rate(word_distance(r, h), F.size(r), F.size(h))
+def rates(pair: Column) -> dict[str, Column]:
+    """cer and wer of a column of ``ready``."""
+    return {"cer": rate(pair["reference"], pair["hypothesis"]), "wer": rate(pair["reference_words"], pair["hypothesis_words"])}

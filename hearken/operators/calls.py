@@ -113,11 +113,13 @@ def analyze_whole(transcripts: DataFrame, rules: Iterable[Rule] = (), scorer: Ti
 def evidence(rows: DataFrame, k: int = EVIDENCE) -> DataFrame:
     """The k highest-scored usable chunks of each call as rows with their rank, for calls of any length.
 
-    The limit on the rank lets Spark cut each task's rows to k per call before the shuffle.
+    Unusable chunks have no score and go by that, so the gate is not evaluated again in a filter.  The limit on the rank lets
+    Spark cut each task's rows to k per call before the shuffle, so few texts travel.
     """
-    order = Window.partitionBy("call_id").orderBy(F.desc("result.suspicion_score"), "chunk_index")
-    usable = rows.where("quality.usable").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return usable.select("call_id", "rank", "chunk_index", "start", "end", F.col("corrected").alias("transcript"), F.col("result.suspicion_score").alias("suspicion_score"))
+    order = Window.partitionBy("call_id").orderBy(F.desc_nulls_last("score"), "chunk_index")
+    scored = rows.select("call_id", "chunk_index", "start", "end", F.col("corrected").alias("transcript"), F.col("result.suspicion_score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).where("score is not null")
+    return ranked.select("call_id", "rank", "chunk_index", "start", "end", "transcript", F.col("score").alias("suspicion_score"))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule, correct
-from hearken.functions.metrics import cer, wer
+from hearken.functions.metrics import rates, ready
 from hearken.functions.scoring import NORMAL, SUSPECT
 
 
@@ -38,8 +38,15 @@ def parsed_case(spec: Column) -> Column:
     return F.when((path != "") & (label != ""), F.struct(path.alias("path"), label.alias("label")))
 
 
-def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", compose: bool = True) -> DataFrame:
-    return pairs.withColumn("cer", cer(F.col(reference), F.col(hypothesis), compose)).withColumn("wer", wer(F.col(reference), F.col(hypothesis), compose))
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one file would be one task: its rows are dealt out where they are fewer parts than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
+    """``pairs`` with cer and wer."""
+    return spread(pairs).withColumn("__pair", ready(F.col(reference), F.col(hypothesis))).withColumns(rates(F.col("__pair"))).drop("__pair")
 
 
 def mean_error_rates(rated: DataFrame) -> DataFrame:
@@ -47,13 +54,18 @@ def mean_error_rates(rated: DataFrame) -> DataFrame:
     return rated.agg(F.count("*").alias("sample_count"), F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"))
 
 
-def corrected_pairs(pairs: DataFrame, rules: Iterable[Rule], kinds: Iterable[str] = ("typo",), compose: bool = True) -> DataFrame:
-    """Per sample: rates before and after correction, and the ids of the rules that changed it.  No text leaves."""
+def corrected_pairs(pairs: DataFrame, rules: Iterable[Rule], kinds: Iterable[str] = ("typo",)) -> DataFrame:
+    """Per sample: rates before and after correction, and the ids of the rules that changed it.  No text leaves.
+
+    Samples that no rule changed keep their rates; only the others are measured again.
+    """
     full = F.when((F.coalesce("sample_id", F.lit("")) != "") & (F.coalesce("reference", F.lit("")) != "") & (F.coalesce("hypothesis", F.lit("")) != ""), F.col("hypothesis"))
-    checked = pairs.withColumn("hypothesis", F.coalesce(full, F.raise_error(F.lit("a pair needs sample_id, reference and hypothesis"))))
-    fixed = correct(checked, "hypothesis", rules, kinds)
-    r, h, c = F.col("reference"), F.col("hypothesis"), F.col("corrected")
-    return fixed.select("sample_id", cer(r, h, compose).alias("raw_cer"), cer(r, c, compose).alias("corrected_cer"), wer(r, h, compose).alias("raw_wer"), wer(r, c, compose).alias("corrected_wer"), F.transform("corrections", lambda x: x["rule_id"]).alias("rules"))
+    checked = spread(pairs).withColumn("hypothesis", F.coalesce(full, F.raise_error(F.lit("a pair needs sample_id, reference and hypothesis"))))
+    fixed = correct(checked, "hypothesis", rules, kinds).withColumn("raw", ready(F.col("reference"), F.col("hypothesis"))).withColumn("after", ready(F.col("reference"), F.col("corrected")))
+    raw = fixed.withColumns({f"raw_{k}": c for k, c in rates(F.col("raw")).items()})
+    same = F.size("corrections") == 0
+    done = raw.withColumns({f"corrected_{k}": F.when(same, F.col(f"raw_{k}")).otherwise(c) for k, c in rates(F.col("after")).items()})
+    return done.select("sample_id", "raw_cer", "corrected_cer", "raw_wer", "corrected_wer", F.transform("corrections", lambda x: x["rule_id"]).alias("rules"))
 
 
 def correction_summary(samples: DataFrame) -> DataFrame:

@@ -38,11 +38,16 @@ def error_codes(spark) -> DataFrame:
     return spark.createDataFrame(list(ERRORS), "error_code string, status_code int, stage string, retryable boolean")
 
 
-def fold_in_order(df: DataFrame, key: str, order: list[str], initial: Callable[[], object], step: Callable[[object, dict], tuple], columns: str) -> DataFrame:
-    """``df`` with new ``columns``: what ``step(state, row)`` returns for each row of a key, in order."""
+def fold_in_order(df: DataFrame, key: str, order: list[str], used: list[str], initial: Callable[[], object], step: Callable[[object, dict], tuple], columns: str) -> DataFrame:
+    """``df`` with new ``columns``: what ``step(state, row)`` returns for each row of a key, in order.
+
+    Only the key and the ``used`` columns become Python objects; those that ``df`` lacks are null.
+    """
     fields = T._parse_datatype_string(columns).fields
     schema = T.StructType([*df.schema.fields, *fields])
     kinds = [T.StructType([f]) for f in fields]
+    read = [key, *(c for c in used if c in df.columns)]
+    absent = dict.fromkeys(c for c in used if c not in df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,10 +56,10 @@ def fold_in_order(df: DataFrame, key: str, order: list[str], initial: Callable[[
         last, state = object(), None
         for batch in batches:
             made = []
-            for row in batch.to_pylist():
+            for row in batch.select(read).to_pylist():
                 if row[key] != last:
                     last, state = row[key], initial()
-                made.append(step(state, row))
+                made.append(step(state, row | absent))
             added = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *(f.name for f in fields)])
 
@@ -77,55 +82,60 @@ def rate_limited(requests: DataFrame, most: int = 10, window: float = 60.0, key:
         log.append(now)
         return (True,)
 
-    return fold_in_order(requests, key, [seconds, tie], deque, step, "allowed boolean")
+    return fold_in_order(requests, key, [seconds, tie], [seconds], deque, step, "allowed boolean")
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """Job events (job_id, seq, op, status, stage, progress) with the verdict on each and the job's state after it.
+    """Job events (job_id, seq, op, status, stage, progress, result, error, metadata) with the verdict on each and the job's state
+    after it.
 
     op is create, update or cancel.  An update to the same status is no move; progress defaults to the stage's, stays for failed and
-    cancelled jobs, and may not fall otherwise.  Refused events leave the state as it is.
+    cancelled jobs, and may not fall otherwise.  The result is kept of an update to completed and the error of one to failed, any
+    other move clears them; metadata (a map) stays until an update brings some.  Refused events leave the state as it is.
+    The columns result, error and metadata may be missing.
     """
-
-    def initial() -> dict:
-        return {"status": None, "stage": None, "progress": None}
+    names = ("status", "stage", "progress", "result", "error", "metadata")
 
     def step(job: dict, row: dict) -> tuple:
-        return (verdict(job, row), job["status"], job["stage"], job["progress"])
+        change = moved(job, row)
+        job.update(change or {})
+        return (change is not None, *(job[n] for n in names))
 
-    def verdict(job: dict, row: dict) -> bool:
+    def moved(job: dict, row: dict) -> dict | None:
+        """What an event changes; None if it is refused."""
+        known = job["status"] is not None
         if row["op"] == "create":
-            if job["status"] is None:
-                job.update(status="queued", stage="queued", progress=0)
-                return True
-            return False
-        if job["status"] is None:
-            return False
+            return None if known else {"status": "queued", "stage": "queued", "progress": 0, "metadata": []}
         if row["op"] == "cancel":
-            if job["status"] in ("queued", "running"):
-                job.update(status="cancelled", stage="cancelled")
-                return True
-            return False
+            return {"status": "cancelled", "stage": "cancelled", "result": None, "error": None} if "cancelled" in MOVES.get(job["status"], ()) else None
         status, stage, given = row["status"], row["stage"], row["progress"]
         ended = status in ("failed", "cancelled")
-        if status not in MOVES or stage not in (*STAGES, "failed", "cancelled") or (given is not None and not 0 <= given <= 100):
-            return False
-        if status != job["status"] and status not in MOVES[job["status"]]:
-            return False
+        legal = known and status in MOVES and stage in (*STAGES, "failed", "cancelled") and (given is None or 0 <= given <= 100)
+        if not legal or (status != job["status"] and status not in MOVES[job["status"]]):
+            return None
         progress = given if given is not None else job["progress"] if ended else STAGES.get(stage, job["progress"])
         if progress < job["progress"] and not ended:
-            return False
-        job.update(status=status, stage=stage, progress=progress)
-        return True
+            return None
+        kept = {"result": row["result"] if status == "completed" else None, "error": row["error"] if status == "failed" else None}
+        return {"status": status, "stage": stage, "progress": progress, **kept} | ({"metadata": row["metadata"]} if row["metadata"] is not None else {})
+
+    columns = "accepted boolean, now_status string, now_stage string, now_progress int, now_result string, now_error string, now_metadata map<string,string>"
+    return fold_in_order(events, "job_id", ["seq"], ["op", *names], lambda: dict.fromkeys(names), step, columns)
+
 
-    return fold_in_order(events, "job_id", ["seq"], initial, step, "accepted boolean, now_status string, now_stage string, now_progress int")
+def latest_jobs(states: DataFrame) -> DataFrame:
+    """(job_id, status, stage, progress, result, error_code, metadata): the state of each job after its last event; unknown jobs are left out."""
+    state = F.struct("seq", *[F.col(f"now_{a}").alias(b) for a, b in (("status", "status"), ("stage", "stage"), ("progress", "progress"), ("result", "result"), ("error", "error_code"))])
+    last = states.groupBy("job_id").agg(F.max(state).alias("s"), F.max_by("now_metadata", "seq").alias("metadata"))
+    return last.select("job_id", "s.status", "s.stage", "s.progress", "s.result", "s.error_code", "metadata").where("status is not null")
 
 
 def admissions(requests: DataFrame, most: int = 10, window: float = 60.0) -> DataFrame:
-    """Requests (owner_key, seconds, request_id, op, error, ready) with ``outcome``.
+    """Requests (owner_key, seconds, request_id, job_id, op, error, ready) with ``outcome``.
 
-    op ``analyze`` asks for a job, ``finish`` ends the owner's active one.  The checks come in a fixed order: the upload's own
-    ``error``, the rate limit (which a request uses up even if it is refused later), readiness, an active job.
+    op ``analyze`` asks for the job ``job_id``, ``finish`` gives up the lock that this job holds; another job's lock stays.  The
+    checks come in a fixed order: the upload's own ``error``, the rate limit (which a request uses up even if it is refused
+    later), readiness, an active job.
     """
     from collections import deque
 
@@ -134,7 +144,9 @@ def admissions(requests: DataFrame, most: int = 10, window: float = 60.0) -> Dat
 
     def step(state: dict, row: dict) -> tuple:
         if row["op"] == "finish":
-            held, state["active"] = state["active"] is not None, None
+            held = state["active"] is not None and state["active"] == row["job_id"]
+            if held:
+                state["active"] = None
             return ("released" if held else "not_held",)
         if row["error"]:
             return (row["error"],)
@@ -148,10 +160,10 @@ def admissions(requests: DataFrame, most: int = 10, window: float = 60.0) -> Dat
             return ("MODEL.NOT_READY",)
         if state["active"] is not None:
             return ("JOB.DUPLICATE",)
-        state["active"] = row["request_id"]
+        state["active"] = row["job_id"]
         return ("queued",)
 
-    return fold_in_order(requests, "owner_key", ["seconds", "request_id"], initial, step, "outcome string")
+    return fold_in_order(requests, "owner_key", ["seconds", "request_id"], ["seconds", "request_id", "job_id", "op", "error", "ready"], initial, step, "outcome string")
 
 
 def shown_progress(reports: DataFrame, progress: str = "progress", stage: str = "stage") -> DataFrame:

@@ -117,7 +117,7 @@ judged AS (SELECT *, substr(t, greatest(0, pos - 12)::BIGINT + 1, (pos + 17 - gr
 {name} AS (SELECT doc_id, string_agg(CASE WHEN k = 1 THEN '' WHEN near LIKE '% of %' OR near LIKE '%ere%' THEN ' is ' ELSE ' was ' END || gap, '' ORDER BY k) AS t FROM judged GROUP BY doc_id)
 """
 CORRECTED_SQL = (
-    "WITH c0 AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), c1 AS (SELECT doc_id, replace(t, ' the and ', ' the, and ') AS t FROM c0), c2 AS (SELECT doc_id, replace(t, 'ation', 'ation(s)') AS t FROM c1), "
+    "WITH c0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c1 AS (SELECT doc_id, replace(t, ' the and ', ' the, and ') AS t FROM c0), c2 AS (SELECT doc_id, replace(t, 'ation', 'ation(s)') AS t FROM c1), "
     + CONTEXT_SQL.format(source="c2", name="c3") + ", c4 AS (SELECT doc_id, replace(t, ' of of ', ' of ') AS t FROM c3) "
 )
 
@@ -128,7 +128,7 @@ CORRECTED_SQL = (
 )
 def domain_correct(spark, sf_dir):
     """Ordered rules, one of them contextual, one of a kind that is off."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return correct(docs, "text", RULES).select("doc_id", F.md5("corrected").alias("digest"), F.array_join(F.transform("corrections", lambda c: c["rule_id"]), ",").alias("rules"))
 
 
@@ -138,7 +138,7 @@ RATIO_SQL = r"length(regexp_replace(regexp_replace(t, '\s+', '', 'g'), '[^가-
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, {GATED_SQL} AS t FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, {GATED_SQL} AS t FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 e AS (SELECT doc_id, {RATIO_SQL} AS ratio, regexp_extract_all(t, '[가-힣A-Za-z0-9]+') AS tokens FROM d),
 m AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS w FROM e) GROUP BY ALL) GROUP BY doc_id),
 f AS (SELECT e.doc_id, ratio, CASE WHEN ratio IS NULL THEN 'empty_transcript' WHEN 1 - ratio > 0.4 THEN 'low_valid_ratio'
@@ -147,12 +147,12 @@ SELECT doc_id, reason IS NULL AS usable, reason, round(coalesce(ratio, 0), 6) AS
 """)
 def quality_gate(spark, sf_dir):
     n = F.col("doc_id")
-    t = F.col("text")
+    t = F.coalesce("text", F.lit(""))
     made = (
         F.when(n % 6 == 0, t).when(n % 6 == 1, F.concat(F.lit("x " * 5), F.substring(t, 1, 1))).when(n % 6 == 2, F.concat(F.expr("repeat('#', int(4 + doc_id % 50))"), F.lit("ab")))
         .when(n % 6 == 3, "...!").when(n % 6 == 4, "   ").otherwise(F.concat(t, F.expr("repeat(' §', int(doc_id % 400))")))
     )
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", quality.check(made).alias("q"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", quality.check(made).alias("q"))
     return docs.select("doc_id", "q.usable", "q.reason", same_float(F.col("q.ratio")).alias("ratio"))
 
 
@@ -196,16 +196,25 @@ def flat_calls(done: DataFrame) -> DataFrame:
         "call_id", "label", same_float(F.col("suspicion_score")).alias("score"), F.size("reference_segments").cast("long").alias("n_segments"), first["start"].alias("first_start"), first["end"].alias("first_end"),
         F.md5("raw_transcript").alias("raw_digest"), F.md5("corrected_transcript").alias("corrected_digest"), F.size("corrections").cast("long").alias("n_corrections"),
         F.col("classification_status").alias("status"), F.col("quality.usable").alias("all_usable"), F.col("quality.reason").alias("reason"), F.col("quality.excluded_chunk_count").alias("excluded"),
+        F.array_join(F.transform("corrections", lambda c: c["rule_id"]), ",").alias("rules"), same_float(F.col("quality.score"), 3).alias("quality_score"), F.md5("guidance").alias("guidance_digest"),
+        F.md5(F.array_join(F.transform("reference_segments", lambda c: c["transcript"]), "|")).alias("segments_digest"),
     )
 
 
-CALLS_SQL = SCORED_SQL + """
-SELECT call_id, CASE WHEN score >= 0.5 THEN 'voice_phishing' WHEN score IS NOT NULL THEN 'normal' END AS label, round(score, 6) AS score, n_segments, first_start, first_end, raw_digest, corrected_digest, n_corrections, status, all_usable, reason, excluded
-FROM (SELECT call_id, avg(score) FILTER (WHERE rk <= 5 AND usable) AS score, count(*) FILTER (WHERE rk <= 3 AND usable) AS n_segments, max(start) FILTER (WHERE rk = 1 AND usable)::DOUBLE AS first_start, max(end_s) FILTER (WHERE rk = 1 AND usable)::DOUBLE AS first_end,
+CALLS_SQL = (
+    SCORED_SQL
+    + """
+SELECT call_id, CASE WHEN score >= 0.5 THEN 'voice_phishing' WHEN score IS NOT NULL THEN 'normal' END AS label, round(score, 6) AS score, n_segments, first_start, first_end, raw_digest, corrected_digest, n_corrections, status, all_usable, reason, excluded,
+  rules, round(quality_score, 3) AS quality_score, md5('"""
++ calls.GUIDANCE
++ """') AS guidance_digest, segments_digest
+FROM (SELECT call_id, coalesce(string_agg(nullif(concat_ws(',', CASE WHEN contains(t, 'ation') THEN 'c-1' END, CASE WHEN replace(t, 'ation', 'ation(s)') LIKE '% of of %' THEN 'c-2' END), ''), ',' ORDER BY chunk_index), '') AS rules,
+  round(avg(round(r, 4)), 4) AS quality_score, md5(coalesce(string_agg(fixed, '|' ORDER BY rk) FILTER (WHERE rk <= 3 AND usable), '')) AS segments_digest, avg(score) FILTER (WHERE rk <= 5 AND usable) AS score, count(*) FILTER (WHERE rk <= 3 AND usable) AS n_segments, max(start) FILTER (WHERE rk = 1 AND usable)::DOUBLE AS first_start, max(end_s) FILTER (WHERE rk = 1 AND usable)::DOUBLE AS first_end,
   md5(string_agg(said, ' ' ORDER BY chunk_index)) AS raw_digest, md5(string_agg(fixed, ' ' ORDER BY chunk_index)) AS corrected_digest, sum(fixes)::BIGINT AS n_corrections,
   CASE WHEN bool_or(usable) THEN 'classified' ELSE 'skipped' END AS status, bool_and(usable) AS all_usable,
   CASE WHEN NOT bool_or(usable) THEN 'all_chunks_unusable' WHEN NOT bool_and(usable) THEN 'some_chunks_unusable' END AS reason, count(*) FILTER (WHERE NOT usable) AS excluded FROM rows GROUP BY call_id)
 """
+)
 
 
 @query(CALLS_SQL)
@@ -226,19 +235,11 @@ def chunk_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("call_id", "chunk_index", F.col("quality.usable").alias("usable"), same_float(F.col("result.suspicion_score")).alias("score"), F.col("result.label").alias("label"))
 
 
-@query(SCORED_SQL + "SELECT call_id, CASE WHEN usable THEN 'classified' ELSE 'skipped' END AS status, CASE WHEN score > 0.5 THEN 'voice_phishing' WHEN score IS NOT NULL THEN 'normal' END AS label, round(score, 6) AS score, md5(normal) AS raw_digest FROM rows WHERE chunk_index = 0")
-def whole_call_analysis(spark, sf_dir):
-    """The single-transcript path, over the first turn of each call."""
-    first = chunks(spark, sf_dir).where("chunk_index = 0").select("call_id", "transcript")
-    done = calls.analyze_whole(first, CALL_RULES, calls.per_tile(lexicon_scorer(LEXICON)))
-    return done.select("call_id", F.col("classification_status").alias("status"), "label", same_float(F.col("suspicion_score")).alias("score"), F.md5("raw_transcript").alias("raw_digest"))
-
-
 WHOLE_SQL = SCORED_SQL.replace(CHUNKS_SQL, f"SELECT call_id, 0 AS chunk_index, 0.0 AS start, 0.0 AS end_s, string_agg(said, ' ' ORDER BY chunk_index, said) AS said FROM ({CHUNKS_SQL}) GROUP BY call_id")
 
 
 @query(WHOLE_SQL + "SELECT call_id, CASE WHEN usable THEN 'classified' ELSE 'skipped' END AS status, CASE WHEN score > 0.5 THEN 'voice_phishing' WHEN score IS NOT NULL THEN 'normal' END AS label, round(score, 6) AS score, md5(normal) AS raw_digest FROM rows")
-def whole_transcript_analysis(spark, sf_dir):
+def whole_call_analysis(spark, sf_dir):
     """The single-transcript path, over all turns of each call in their order."""
     turns = chunks(spark, sf_dir).select("call_id", F.struct("chunk_index", F.coalesce("transcript", F.lit("")).alias("said")).alias("m"))
     whole = turns.groupBy("call_id").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("call_id", F.array_join(F.transform("ms", lambda m: m["said"]), " ").alias("transcript"))
@@ -258,10 +259,15 @@ def audio_tiles(spark, sf_dir):
     return tiles.select("doc_id", F.col("tile").cast("long").alias("tile"), "t.first", "t.last", same_float(F.col("t.start")).alias("start"), same_float(F.col("t.end")).alias("end_s"))
 
 
-@query("SELECT doc_id, len(w) AS n_tokens, CASE WHEN len(w) <= 126 THEN 1 ELSE (len(w) + 125) // 126 END AS n_tiles FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)")
+@query("""
+WITH w AS (SELECT doc_id, said, list_filter(string_split_regex(said, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, coalesce(text, '') AS said FROM documents)),
+t AS (SELECT doc_id, len(w) AS n_tokens, CASE WHEN len(w) <= 126 THEN [said] ELSE list_transform(range(0, len(w), 126), lambda k: array_to_string(w[k + 1:k + 126], ' ')) END AS tiles FROM w)
+SELECT doc_id, n_tokens, len(tiles) AS n_tiles, md5(array_to_string(tiles, '|')) AS digest FROM t
+""")
 def token_tiles(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.size(tiling.split_words(F.col("text"))).cast("long").alias("n_tokens"), F.size(tiling.token_tiles(F.col("text"))).cast("long").alias("n_tiles"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("said"))
+    tiles = docs.select("doc_id", F.size(tiling.split_words(F.col("said"))).cast("long").alias("n_tokens"), tiling.token_tiles(F.col("said")).alias("tiles"))
+    return tiles.select("doc_id", "n_tokens", F.size("tiles").cast("long").alias("n_tiles"), F.md5(F.array_join("tiles", "|")).alias("digest"))
 
 
 @query("SELECT event_id, round(exp(a - m) / (exp(a - m) + exp(b - m)), 6) AS p0, round(exp(b - m) / (exp(a - m) + exp(b - m)), 6) AS p1, CASE WHEN b > a THEN 'voice_phishing' ELSE 'normal' END AS label, (b > a)::INT AS label_id FROM (SELECT event_id, a, b, greatest(a, b) AS m FROM (SELECT event_id, value AS a, (user_id % 7) * 20.0 AS b FROM events))")
@@ -299,48 +305,76 @@ def stt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("sample_id"), F.col("text").alias("reference"), F.when(F.col("conv_id") % 5 == 0, F.col("text")).otherwise(heard).alias("hypothesis"))
 
 
-@query()
-def error_rates(spark, sf_dir):
-    """Character and word error rates per sample; the dialect's own distance counts bytes, so tests compare with brute force."""
-    rated = evaluation.error_rates(stt_pairs(spark, sf_dir))
-    return rated.select("sample_id", same_float(F.col("cer")).alias("cer"), same_float(F.col("wer")).alias("wer"))
+def cleaned_sql(column: str) -> str:
+    """Metric text of a column; the compatibility composition is the identity on the tables' texts."""
+    return rf"trim(regexp_replace(regexp_replace({column}, '\([^)]*\)', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-ASCII_SQL = r"(SELECT conv_id || '-' || turn AS sample_id, text AS reference, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(replace(text, 'ation', 'asion'), ' the ', CASE WHEN turn % 2 = 0 THEN ' ' ELSE ' tha ' END) END AS hypothesis FROM conversations WHERE length(text) > 0 AND NOT regexp_matches(text, '[^\x00-\x7F]'))"
+SLIPS_SQL = "SELECT conv_id, turn, text AS reference, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(replace(text, 'ation', 'asion'), ' the ', CASE WHEN turn % 2 = 0 THEN ' ' ELSE ' tha ' END) END AS hypothesis FROM conversations WHERE length(text) > 0"
 
 
-def bare_sql(c: str) -> str:
-    return rf"replace(trim(regexp_replace(regexp_replace({c}, '\([^)]*\)', ' ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ', '')"
+def rated_sql(pairs: str) -> str:
+    """Rates of pairs (sample_id, version, reference, hypothesis).
 
+    The dialect's distance counts bytes, so every letter beyond ASCII that occurs is first renamed to a byte that no cleaned text
+    holds.  The distance of words is a walk over the reference's words with one row of the table of distances as its state.
+    """
+    return f"""
+WITH RECURSIVE given AS ({pairs}),
+clean AS (SELECT sample_id, version, {cleaned_sql("reference")} AS r, {cleaned_sql("hypothesis")} AS h FROM given),
+letters AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS wide, coalesce(string_agg(chr((CASE WHEN k < 32 THEN k WHEN k < 47 THEN k + 1 ELSE k + 45 END)::INT), '' ORDER BY c), '') AS narrow
+  FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(string_split(r || h, '')) AS c FROM clean) WHERE ord(c) > 127)),
+bare AS (SELECT sample_id, version, translate(replace(r, ' ', ''), wide, narrow) AS rc, translate(replace(h, ' ', ''), wide, narrow) AS hc,
+  list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM clean, letters),
+walk AS (SELECT sample_id, version, 0 AS i, rw, hw, range(0, len(hw) + 1) AS d FROM bare WHERE rw <> hw
+  UNION ALL SELECT sample_id, version, i, rw, hw, list_transform(range(1, len(s) + 1), lambda j: j + list_min(s[1:j])) FROM (
+    SELECT sample_id, version, i, rw, hw, list_transform(c, lambda x, k: x - k) AS s FROM (
+      SELECT sample_id, version, i + 1 AS i, rw, hw, list_prepend(i + 1, list_transform(range(1, len(hw) + 1), lambda j: least(d[j + 1] + 1, d[j] + (CASE WHEN hw[j] = rw[i + 1] THEN 0 ELSE 1 END)))) AS c FROM walk WHERE i < len(rw)))),
+ends AS (SELECT sample_id, version, d[len(hw) + 1] AS wd FROM walk WHERE i = len(rw)),
+rated AS (SELECT b.sample_id, b.version,
+  CASE WHEN length(rc) = 0 THEN (length(hc) > 0)::INT ELSE levenshtein(rc, hc)::DOUBLE / length(rc) END AS cer,
+  CASE WHEN len(rw) = 0 THEN (len(hw) > 0)::INT ELSE coalesce(wd, 0)::DOUBLE / len(rw) END AS wer FROM bare b LEFT JOIN ends e ON e.sample_id = b.sample_id AND e.version = b.version)
+"""
 
-@query(f"""
-SELECT count(*) AS n_samples, round(avg(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0 ELSE 1 END ELSE levenshtein(r, h)::DOUBLE / length(r) END), 6) AS mean_cer
-FROM (SELECT {bare_sql("reference")} AS r, {bare_sql("hypothesis")} AS h FROM {ASCII_SQL})
-""")
-def mean_cer(spark, sf_dir):
-    """Over the samples in ASCII, where both engines' distances agree."""
-    pairs = stt_pairs(spark, sf_dir).where(~F.col("reference").rlike(r"[^\x00-\x7F]"))
-    means = evaluation.mean_error_rates(evaluation.error_rates(pairs, compose=False))
-    return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"))
+
+RAW_SQL = rated_sql(f"SELECT conv_id || '-' || turn AS sample_id, 'raw' AS version, reference, hypothesis FROM ({SLIPS_SQL})")
 
 
-@query()
-def mean_cer_all(spark, sf_dir):
-    """Over all samples; those in other letters than ASCII have no SQL, as the dialect's distance counts bytes."""
+@query(RAW_SQL + "SELECT sample_id, round(cer, 6) AS cer, round(wer, 6) AS wer FROM rated")
+def error_rates(spark, sf_dir):
+    """Character and word error rates of every sample."""
+    rated = evaluation.error_rates(stt_pairs(spark, sf_dir))
+    return rated.select("sample_id", same_float(F.col("cer")).alias("cer"), same_float(F.col("wer")).alias("wer"))
+
+
+@query(RAW_SQL + "SELECT count(*) AS n_samples, round(avg(cer), 6) AS mean_cer, round(avg(wer), 6) AS mean_wer FROM rated")
+def mean_error_rates(spark, sf_dir):
+    """Means over all samples."""
     means = evaluation.mean_error_rates(evaluation.error_rates(stt_pairs(spark, sf_dir)))
-    return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"))
+    return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"), same_float(F.col("mean_wer")).alias("mean_wer"))
 
 
 STT_RULES = (Rule("s-1", "asion", "ation", "slip of a consonant"), Rule("s-2", " tha ", " the ", "slip of a vowel"), Rule("s-3", "ing ", "in ", "a harmful rule"))
+STEPS_SQL = f"SELECT *, replace(h1, ' tha ', ' the ') AS h2, replace(replace(h1, ' tha ', ' the '), 'ing ', 'in ') AS h3 FROM (SELECT *, replace(hypothesis, 'asion', 'ation') AS h1 FROM ({SLIPS_SQL}))"
+FIXED_SQL = rated_sql(f"SELECT conv_id || '-' || turn AS sample_id, 'raw' AS version, reference, hypothesis FROM ({STEPS_SQL}) UNION ALL SELECT conv_id || '-' || turn, 'fixed', reference, h3 FROM ({STEPS_SQL})") + f"""
+, fired AS (SELECT conv_id || '-' || turn AS sample_id, list_filter([CASE WHEN hypothesis <> h1 THEN 's-1' END, CASE WHEN h1 <> h2 THEN 's-2' END, CASE WHEN h2 <> h3 THEN 's-3' END], lambda x: x IS NOT NULL) AS rules FROM ({STEPS_SQL})),
+sample AS (SELECT sample_id, rules, a.cer AS raw_cer, a.wer AS raw_wer, b.cer AS fixed_cer, b.wer AS fixed_wer FROM fired JOIN rated a USING (sample_id) JOIN rated b USING (sample_id) WHERE a.version = 'raw' AND b.version = 'fixed')
+"""
 
 
-@query()
+@query(FIXED_SQL + """
+SELECT count(*) AS sample_count, count(*) FILTER (len(rules) > 0) AS changed_sample_count, round(avg(raw_cer), 6) AS average_raw_cer, round(avg(fixed_cer), 6) AS average_corrected_cer, round(avg(raw_wer), 6) AS average_raw_wer,
+  round(avg(fixed_wer), 6) AS average_corrected_wer, round(avg(fixed_cer - raw_cer), 6) AS cer_delta, round(avg(fixed_wer - raw_wer), 6) AS wer_delta FROM sample
+""")
 def correction_impact(spark, sf_dir):
     samples = evaluation.corrected_pairs(stt_pairs(spark, sf_dir), STT_RULES)
     return evaluation.correction_summary(samples).select(*[F.col(c) if c.endswith("count") else same_float(F.col(c)).alias(c) for c in ("sample_count", "changed_sample_count", "average_raw_cer", "average_corrected_cer", "average_raw_wer", "average_corrected_wer", "cer_delta", "wer_delta")])
 
 
-@query()
+@query(FIXED_SQL + """
+SELECT rule_id, count(*) AS application_count, count(*) AS sample_count, count(*) FILTER (better) AS improved_sample_count, count(*) FILTER (NOT better AND worse) AS worsened_sample_count, count(*) FILTER (NOT better AND NOT worse) AS unchanged_sample_count
+FROM (SELECT unnest(rules) AS rule_id, fixed_cer < raw_cer OR fixed_wer < raw_wer AS better, fixed_cer > raw_cer OR fixed_wer > raw_wer AS worse FROM sample) GROUP BY rule_id
+""")
 def rule_impact(spark, sf_dir):
     return evaluation.rule_impact(evaluation.corrected_pairs(stt_pairs(spark, sf_dir), STT_RULES))
 
@@ -420,23 +454,36 @@ def missing_text(spark, sf_dir):
     return sounds.join(texts, ["folder", "key"], "left_anti").select(F.col("path").alias("audio"))
 
 
-def grouped(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(stem().alias("stem"), F.col("doc_id").cast("string").alias("identifier"))
-    return dataset.split_groups(docs.select("identifier", text.source_group(F.col("stem")).alias("source_group")), dataset.Ratios(0.8, 0.1, 0.1), 42)
+RATIOS = dataset.Ratios(0.8, 0.1, 0.1)
+SEED = 42
 
 
-@query(f"SELECT count(DISTINCT source_group) AS n_groups, count(*) AS n_pairs, 0::BIGINT AS leaking_groups, 3::BIGINT AS n_splits FROM (SELECT {GROUP_SQL} AS source_group FROM (SELECT {STEM_SQL} AS stem FROM documents))")
+@query(f"""
+WITH RECURSIVE g AS (SELECT source_group, n, row_number() OVER (ORDER BY md5('{SEED}:' || source_group)) AS k FROM (SELECT source_group, count(*) AS n FROM (SELECT {GROUP_SQL} AS source_group FROM (SELECT {STEM_SQL} AS stem FROM documents)) GROUP BY 1)),
+t AS (SELECT greatest(sum(n) * 0.8::DOUBLE, 1) AS a, greatest(sum(n) * 0.1::DOUBLE, 1) AS b FROM g),
+w AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS source_group, 0::BIGINT AS n, NULL::INT AS s, 0::BIGINT AS x, 0::BIGINT AS y, 0::BIGINT AS z
+  UNION ALL SELECT k, source_group, n, s, x + CASE WHEN s = 0 THEN n ELSE 0 END, y + CASE WHEN s = 1 THEN n ELSE 0 END, z + CASE WHEN s = 2 THEN n ELSE 0 END FROM (
+    SELECT g.k, g.source_group, g.n, x, y, z, CASE WHEN g.k <= 3 THEN g.k::INT - 1 WHEN x / a <= y / b AND x / a <= z / b THEN 0 WHEN y / b <= z / b THEN 1 ELSE 2 END AS s FROM w JOIN g ON g.k = w.k + 1, t))
+SELECT source_group, n, (['train', 'validation', 'test'])[s + 1] AS split, k - 1 AS position FROM w WHERE k > 0
+""")
 def grouped_split(spark, sf_dir):
-    """The split's invariants: every pair placed, no group in two splits."""
-    per_group = grouped(spark, sf_dir).groupBy("source_group").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"), F.collect_set("split").alias("names"))
-    return per_group.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_pairs"), F.count_if(F.col("splits") > 1).alias("leaking_groups"), F.size(F.array_distinct(F.flatten(F.collect_set("names")))).cast("long").alias("n_splits"))
+    """The split of every group: whole groups in a seeded order, each to the split that is least filled."""
+    docs = table(spark, sf_dir, "documents").select(stem().alias("stem"), F.col("doc_id").cast("string").alias("identifier"))
+    done = dataset.split_groups(docs.select("identifier", text.source_group(F.col("stem")).alias("source_group")), RATIOS, SEED, by_hash=True)
+    return done.groupBy("source_group", "split", "position").agg(F.count("*").alias("n")).select("source_group", "n", "split", "position")
 
 
-@query("SELECT count(*) AS n_pairs, floor(count(*) * 0.8)::BIGINT AS least_train FROM documents")
+@query(f"""
+WITH o AS (SELECT doc_id::VARCHAR AS identifier, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id)) - 1 AS k, count(*) OVER () AS n FROM documents),
+c AS (SELECT *, greatest(1, floor(n * 0.8::DOUBLE)) AS a, greatest(1, floor(n * 0.1::DOUBLE)) AS b, n * 0.8::DOUBLE - greatest(1, floor(n * 0.8::DOUBLE)) AS fa, n * 0.1::DOUBLE - greatest(1, floor(n * 0.1::DOUBLE)) AS fb FROM o),
+s AS (SELECT *, greatest(0, n - a - 2 * b) AS spare FROM c),
+e AS (SELECT identifier, k, a + CASE WHEN spare > 0 AND (fa >= fb OR spare > 2) THEN 1 ELSE 0 END AS a, b + CASE WHEN spare > 0 AND (fb > fa OR spare > 1) THEN 1 ELSE 0 END AS b FROM s)
+SELECT identifier, CASE WHEN k < a THEN 'train' WHEN k < a + b THEN 'validation' ELSE 'test' END AS split FROM e
+""")
 def random_split(spark, sf_dir):
+    """The split of every pair: a seeded order, cut by exact sizes."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("identifier"))
-    done = dataset.split_pairs(docs, dataset.Ratios(0.8, 0.1, 0.1), 42)
-    return done.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("split") == "train").alias("least_train"))
+    return dataset.split_by_hash(docs, RATIOS, SEED).select("identifier", "split")
 
 
 # ---- jobs and requests ------------------------------------------------------------------------------------------------------
@@ -468,19 +515,21 @@ BASE_SQL = "[" + ", ".join(map(str, display.STAGES.values())) + "]"
 #: Events of a user as one job's log, and the walk over them; a refused event leaves the state as it is.
 JOBS_SQL = f"""
 WITH RECURSIVE e AS (SELECT 'job_' || user_id AS job_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'cancel' WHEN event_type = 'view' OR event_id % 4 = 0 THEN 'create' ELSE 'update' END AS op, (event_id * 7 + user_id) % 9 AS c,
-  ({STAGE_LIST_SQL})[1 + (event_id * 5 + user_id * 3) % 8] AS stage, CASE WHEN (event_id * 7 + user_id) % 9 = 1 THEN (event_id % 120)::INT END AS given FROM events),
+  ({STAGE_LIST_SQL})[1 + (event_id * 5 + user_id * 3) % 8] AS stage, CASE WHEN (event_id * 7 + user_id) % 9 = 1 THEN (event_id % 120)::INT END AS given,
+  'r' || event_id AS result, CASE WHEN event_id % 2 = 0 THEN 'JOB.NOT_FOUND' ELSE 'ANALYSIS.FAILED' END AS error, CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR END AS details FROM events),
 o AS (SELECT *, CASE WHEN c < 5 THEN 'running' WHEN c = 5 THEN 'completed' WHEN c = 6 THEN 'failed' WHEN c = 7 THEN 'queued' ELSE 'paused' END AS status, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k FROM e),
-w AS (SELECT job_id, NULL::BIGINT AS seq, 0::BIGINT AS k, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS now_status, NULL::VARCHAR AS now_stage, NULL::INT AS now_progress FROM o WHERE k = 1
-  UNION ALL SELECT job_id, seq, k, ok, CASE WHEN ok THEN next_status ELSE now_status END, CASE WHEN ok THEN next_stage ELSE now_stage END, CASE WHEN ok THEN next_progress ELSE now_progress END FROM (
+w AS (SELECT job_id, NULL::BIGINT AS seq, 0::BIGINT AS k, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS now_status, NULL::VARCHAR AS now_stage, NULL::INT AS now_progress, NULL::VARCHAR AS now_result, NULL::VARCHAR AS now_error, NULL::VARCHAR AS now_details FROM o WHERE k = 1
+  UNION ALL SELECT job_id, seq, k, ok, CASE WHEN ok THEN next_status ELSE now_status END, CASE WHEN ok THEN next_stage ELSE now_stage END, CASE WHEN ok THEN next_progress ELSE now_progress END,
+    CASE WHEN ok THEN CASE WHEN next_status = 'completed' AND op = 'update' THEN result END ELSE now_result END, CASE WHEN ok THEN CASE WHEN next_status = 'failed' AND op = 'update' THEN error END ELSE now_error END, CASE WHEN ok AND op = 'update' THEN coalesce(details, now_details) ELSE now_details END FROM (
     SELECT *, CASE op WHEN 'create' THEN now_status IS NULL WHEN 'cancel' THEN coalesce(now_status IN ('queued', 'running'), false)
       ELSE now_status IS NOT NULL AND status <> 'paused' AND (given IS NULL OR given <= 100)
         AND (status = now_status OR (now_status = 'queued' AND status IN ('running', 'failed')) OR (now_status = 'running' AND status IN ('completed', 'failed'))) AND (status = 'failed' OR next_progress >= now_progress) END AS ok
-    FROM (SELECT o.job_id, o.seq, o.k, o.op, o.status, o.given, w.now_status, w.now_stage, w.now_progress,
+    FROM (SELECT o.job_id, o.seq, o.k, o.op, o.status, o.given, o.result, o.error, o.details, w.now_status, w.now_stage, w.now_progress, w.now_result, w.now_error, w.now_details,
       CASE o.op WHEN 'create' THEN 'queued' WHEN 'cancel' THEN 'cancelled' ELSE o.status END AS next_status, CASE o.op WHEN 'create' THEN 'queued' WHEN 'cancel' THEN 'cancelled' ELSE o.stage END AS next_stage,
       CASE o.op WHEN 'create' THEN 0 WHEN 'cancel' THEN w.now_progress ELSE coalesce(o.given, CASE WHEN o.status = 'failed' THEN w.now_progress ELSE ({BASE_SQL})[list_position({STAGE_LIST_SQL}, o.stage)] END) END AS next_progress
       FROM w JOIN o ON o.job_id = w.job_id AND o.k = w.k + 1)))
-SELECT job_id, seq, accepted, now_status, now_stage, coalesce(now_progress, -1) AS now_progress FROM w WHERE k > 0
 """
+STATES_SQL = JOBS_SQL + "SELECT job_id, seq, accepted, now_status, now_stage, coalesce(now_progress, -1) AS now_progress, coalesce(now_result, '-') AS now_result, coalesce(now_error, '-') AS now_error, coalesce(now_details, '-') AS now_details FROM w WHERE k > 0"
 
 
 def job_events(spark, sf_dir):
@@ -491,20 +540,23 @@ def job_events(spark, sf_dir):
     status = F.when(choice < 5, "running").when(choice == 5, "completed").when(choice == 6, "failed").when(choice == 7, "queued").otherwise("paused")
     stage = F.element_at(F.array(*map(F.lit, display.STAGES)), ((n * 5 + u * 3) % 8 + 1).cast("int"))
     events = table(spark, sf_dir, "events")
-    return events.select(F.concat(F.lit("job_"), u.cast("string")).alias("job_id"), n.alias("seq"), op.alias("op"), status.alias("status"), stage.alias("stage"), F.when(choice == 1, (n % 120).cast("int")).alias("progress"))
+    return events.select(F.concat(F.lit("job_"), u.cast("string")).alias("job_id"), n.alias("seq"), op.alias("op"), status.alias("status"), stage.alias("stage"), F.when(choice == 1, (n % 120).cast("int")).alias("progress"), F.concat(F.lit("r"), n.cast("string")).alias("result"), F.when(n % 2 == 0, "JOB.NOT_FOUND").otherwise("ANALYSIS.FAILED").alias("error"), F.when(n % 3 == 0, F.create_map(F.lit("details"), n.cast("string"))).alias("metadata"))
 
 
-@query(JOBS_SQL)
+@query(STATES_SQL)
 def job_states(spark, sf_dir):
-    return jobs.job_states(job_events(spark, sf_dir)).select("job_id", "seq", "accepted", "now_status", "now_stage", F.coalesce("now_progress", F.lit(-1)).alias("now_progress"))
+    """Every event's verdict and the job's state after it, with what it holds as result, error and details."""
+    shown = lambda c: F.coalesce(c, F.lit("-"))
+    done = jobs.job_states(job_events(spark, sf_dir))
+    return done.select("job_id", "seq", "accepted", "now_status", "now_stage", F.coalesce("now_progress", F.lit(-1)).alias("now_progress"), shown(F.col("now_result")).alias("now_result"), shown(F.col("now_error")).alias("now_error"), shown(F.col("now_metadata")["details"]).alias("now_details"))
 
 
 ADMIT_SQL = """
-WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS owner_key, event_id AS n, epoch_us(ts) / 1e6 AS t, event_id % 3 = 0 AS finish, event_id % 19 = 0 AS broken, event_id % 23 <> 0 AS ready, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
-w AS (SELECT owner_key, NULL::BIGINT AS n, 0::BIGINT AS k, NULL::VARCHAR AS outcome, []::DOUBLE[] AS log, false AS active FROM o WHERE k = 1
+WITH RECURSIVE o AS (SELECT user_id::VARCHAR AS owner_key, event_id AS n, epoch_us(ts) / 1e6 AS t, event_id % 3 = 0 AS finish, event_id % 19 = 0 AS broken, event_id % 23 <> 0 AS ready, event_id % 4 AS job, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events),
+w AS (SELECT owner_key, NULL::BIGINT AS n, 0::BIGINT AS k, NULL::VARCHAR AS outcome, []::DOUBLE[] AS log, NULL::BIGINT AS active FROM o WHERE k = 1
   UNION ALL SELECT owner_key, n, k, outcome, CASE WHEN outcome IN ('released', 'not_held', 'AUDIO.EMPTY') THEN log WHEN outcome = 'SERVICE.RATE_LIMITED' THEN fresh ELSE list_append(fresh, t) END,
-    CASE WHEN finish THEN false WHEN outcome = 'queued' THEN true ELSE active END
-  FROM (SELECT *, CASE WHEN finish THEN CASE WHEN active THEN 'released' ELSE 'not_held' END WHEN broken THEN 'AUDIO.EMPTY' WHEN len(fresh) >= 5 THEN 'SERVICE.RATE_LIMITED' WHEN NOT ready THEN 'MODEL.NOT_READY' WHEN active THEN 'JOB.DUPLICATE' ELSE 'queued' END AS outcome
+    CASE WHEN outcome = 'released' THEN NULL WHEN outcome = 'queued' THEN job ELSE active END
+  FROM (SELECT *, CASE WHEN finish THEN CASE WHEN active = job THEN 'released' ELSE 'not_held' END WHEN broken THEN 'AUDIO.EMPTY' WHEN len(fresh) >= 5 THEN 'SERVICE.RATE_LIMITED' WHEN NOT ready THEN 'MODEL.NOT_READY' WHEN active IS NOT NULL THEN 'JOB.DUPLICATE' ELSE 'queued' END AS outcome
     FROM (SELECT o.*, w.log, w.active, list_filter(w.log, lambda x: o.t - x < 86400) AS fresh FROM w JOIN o ON o.owner_key = w.owner_key AND o.k = w.k + 1)))
 SELECT owner_key, n AS request_id, outcome FROM w WHERE k > 0
 """
@@ -513,7 +565,7 @@ SELECT owner_key, n AS request_id, outcome FROM w WHERE k > 0
 @query(ADMIT_SQL)
 def admissions(spark, sf_dir):
     asked = requests(spark, sf_dir).select(
-        "owner_key", "seconds", "request_id", F.when(F.col("request_id") % 3 == 0, "finish").otherwise("analyze").alias("op"),
+        "owner_key", "seconds", "request_id", (F.col("request_id") % 4).alias("job_id"), F.when(F.col("request_id") % 3 == 0, "finish").otherwise("analyze").alias("op"),
         F.when(F.col("request_id") % 19 == 0, "AUDIO.EMPTY").alias("error"), (F.col("request_id") % 23 != 0).alias("ready"),
     )
     return jobs.admissions(asked, most=5, window=86400.0).select("owner_key", "request_id", "outcome")
@@ -541,18 +593,17 @@ def error_codes(spark, sf_dir):
     return jobs.error_codes(spark)
 
 
-JOB_STATUS_SQL = "(['queued', 'running', 'completed', 'failed', 'cancelled'])[1 + (event_id % 5)::INT]"
-
-
-@query(f"SELECT event_id, CASE WHEN s = 'failed' THEN CASE WHEN event_id % 2 = 0 THEN 'JOB.NOT_FOUND' ELSE 'ANALYSIS.FAILED' END WHEN s <> 'completed' THEN 'JOB.NOT_COMPLETED' END AS error_code, CASE WHEN s = 'completed' THEN event_type END AS result, (event_id % 3 = 0)::BIGINT AS n_details FROM (SELECT *, {JOB_STATUS_SQL} AS s FROM events)")
+@query(JOBS_SQL + """
+, last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS back FROM w WHERE k > 0)
+SELECT job_id, now_status AS status, now_stage AS stage, now_progress AS progress, CASE WHEN now_status = 'failed' THEN coalesce(now_error, 'ANALYSIS.FAILED') WHEN now_status <> 'completed' THEN 'JOB.NOT_COMPLETED' END AS error_code,
+  CASE WHEN now_status = 'completed' THEN now_result END AS result, now_details AS details FROM last WHERE back = 1 AND now_status IS NOT NULL
+""")
 def job_views(spark, sf_dir):
-    """What result and status requests return."""
-    n = F.col("event_id")
-    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "completed", "failed", "cancelled"))), (n % 5 + 1).cast("int"))
-    details = F.when(n % 3 == 0, F.create_map(F.lit("total_chunks"), F.lit("3"))).otherwise(F.create_map().cast("map<string,string>"))
-    rows = table(spark, sf_dir, "events").select(n.alias("job_id"), status.alias("status"), F.lit("classifying").alias("stage"), F.lit(65).alias("progress"), F.when(n % 2 == 0, "JOB.NOT_FOUND").alias("error_code"), F.col("event_type").alias("result"), details.alias("metadata"))
-    seen = jobs.status_view(rows).select("job_id", F.size(F.map_keys("progress_details")).cast("long").alias("n"))
-    return jobs.result_view(rows).join(seen, "job_id").select(F.col("job_id").alias("event_id"), "error_code", "result", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_details"))
+    """What result and status requests return for every job after its last event."""
+    latest = jobs.latest_jobs(jobs.job_states(job_events(spark, sf_dir)))
+    told = jobs.result_view(latest).select(F.col("job_id").alias("of_job"), "error_code", "result")
+    seen = jobs.status_view(latest).join(told, F.col("job_id") == F.col("of_job"))
+    return seen.select("job_id", "status", "stage", "progress", "error_code", "result", F.col("progress_details")["details"].alias("details"))
 
 
 @query("SELECT event_id, 'see [REDACTED] and [REDACTED]' AS message FROM events")

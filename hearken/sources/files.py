@@ -18,7 +18,7 @@ TARGETS = ["q_proj", "v_proj"]
 
 def text_of(spark: SparkSession, path: str) -> str:
     """One small file as text."""
-    return spark.read.option("wholetext", "true").text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def load_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
@@ -59,9 +59,13 @@ def model_manifest_problems(found: dict[str, Any], base_model: str, adapter_mode
     return problems + ([] if "model.bin" in files else ["model.bin is missing"])
 
 
-def write_manifest(split: DataFrame, path: str) -> None:
-    """JSON lines in the manifest's order, characters as they are."""
-    manifest(split).coalesce(1).write.json(path)
+def write_manifest(split: DataFrame, path: str, one_file: bool = False) -> None:
+    """JSON lines in the manifest's order, characters as they are.
+
+    The order runs through the part files by name, so no task holds all transcripts; ``one_file`` sends them through one.
+    """
+    rows = manifest(split)
+    (rows.coalesce(1) if one_file else rows).write.json(path)
 
 
 def write_issues(pairs: DataFrame, path: str) -> bool:
@@ -74,6 +78,7 @@ def write_issues(pairs: DataFrame, path: str) -> bool:
 
 
 def write_transcripts(calls: DataFrame, path: str) -> None:
-    """Per call: its transcript as text and its segments as JSON lines, in folders named by the call."""
+    """Per call a folder ``call_id=...`` in ``transcripts``, its stripped transcript as text, and one in ``segments``, its segments as
+    JSON lines in their order."""
     calls.select("call_id", F.trim("raw_transcript").alias("value")).write.partitionBy("call_id").text(f"{path}/transcripts")
     calls.select("call_id", F.explode("reference_segments").alias("s")).select("call_id", "s.*").write.partitionBy("call_id").json(f"{path}/segments")

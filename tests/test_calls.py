@@ -109,7 +109,7 @@ def test_whole_transcripts_hold_all_turns(spark, tmp_path):
 
     said = [(0, 0, "hello there"), (0, 2, "with that from with that"), (0, 1, "again hello"), (2, 4, "nothing"), (2, 5, "to see")]
     spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.call_id: r for r in queries.QUERIES["whole_transcript_analysis"](spark, str(tmp_path)).collect()}
+    got = {r.call_id: r for r in queries.QUERIES["whole_call_analysis"](spark, str(tmp_path)).collect()}
     digest = lambda t: spark.range(1).select(F.md5(F.lit(t))).first()[0]
     assert got[0].raw_digest == digest("hello there again hello with that from with that") and got[0].label == SUSPECT
     assert got[2].raw_digest == digest("nothing to see") and got[2].label == "normal"

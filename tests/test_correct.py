@@ -74,12 +74,12 @@ def test_contextual_rule_matches_plain_python(spark):
 
 
 @pytest.mark.parametrize("bad", [
-    [Rule("r", " ", "x", "s")], [Rule("r", "a", "a", "s")], [Rule("r", "a", "b", "s"), Rule("r", "c", "d", "s")], [Rule("q", "a", "b", "s"), Rule("r", "a", "d", "s")],
-    [Rule("r", "a", "b", "")], [Rule("r", "a", "b", "s", "other")], [Rule("r", "a", "b", "s", "typo", (" ",))], [Rule("r", "a", "b", "s", "typo", ("x",), 0)],
+    [("r", " ", "x", "s")], [("r", "a", "a", "s")], [("r", "a", "b", "s"), ("r", "c", "d", "s")], [("q", "a", "b", "s"), ("r", "a", "d", "s")],
+    [("r", "a", "b", "")], [("r", "a", "b", "s", "other")], [("r", "a", "b", "s", "typo", (" ",))], [("r", "a", "b", "s", "typo", ("x",), 0)],
 ])
 def test_rejected_rule_sets(bad):
     with pytest.raises(ValueError):
-        checked(bad)
+        checked(Rule(*fields) for fields in bad)
 
 
 def test_rules_from_json():

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,14 +84,59 @@ def test_split_counts():
             dataset.Ratios(*wrong)
 
 
+def test_split_counts_follow_the_law():
+    """Whole parts of the shares, at least one each; what is left goes by the largest fractions; a surplus stays."""
+    for parts in ((80, 10, 10), (50, 25, 25), (34, 33, 33), (98, 1, 1), (60, 39, 1), (1, 1, 98)):
+        ratios = dataset.Ratios(*(p / 100 for p in parts))
+        for total in range(3, 400):
+            got, shares = dataset.split_counts(total, ratios), [total * p / 100 for p in parts]
+            least = [max(1, int(total * r)) for r in ratios.values]
+            assert sum(got) == max(total, sum(least)) and all(a <= b <= a + 1 for a, b in zip(least, got))
+            # No split that got one more had a smaller fraction than one that did not.
+            more = [x - a for x, a, b in zip(shares, least, got) if b > a]
+            rest = [x - a for x, a, b in zip(shares, least, got) if b == a]
+            assert not more or not rest or min(more) >= max(rest) - 1e-9
+
+
+def test_groups_go_to_the_emptiest_split(spark):
+    """Each group after the third goes where the ratio of held to wanted pairs is least, the first of equal ones."""
+    sizes = [1 + (7 * k) % 5 for k in range(60)]
+    pairs = spark.createDataFrame([(f"g{g:02}-{i}", f"g{g:02}") for g, n in enumerate(sizes) for i in range(n)], "identifier string, source_group string")
+    for parts, seed, by_hash in (((0.8, 0.1, 0.1), 3, False), ((0.4, 0.3, 0.3), 4, True)):
+        done = {r.source_group: (r.position, r.split) for r in dataset.split_groups(pairs, dataset.Ratios(*parts), seed, by_hash).collect()}
+        assert sorted(p for p, _ in done.values()) == list(range(60))
+        held, wanted = [0, 0, 0], [p * sum(sizes) for p in parts]
+        for position, name in sorted((p, g) for g, (p, _) in done.items()):
+            k = dataset.SPLITS.index(done[name][1])
+            if position < 3:
+                assert k == position
+            else:
+                assert [h / w for h, w in zip(held, wanted)].index(min(h / w for h, w in zip(held, wanted))) == k
+            held[k] += sizes[int(name[1:])]
+
+
+def test_split_by_hash_cuts_at_exact_places(spark):
+    import hashlib
+
+    for n in (3, 10, 333):
+        pairs = spark.createDataFrame([(f"p{k}",) for k in range(n)], "identifier string")
+        got = {r.identifier: r.split for r in dataset.split_by_hash(pairs, dataset.Ratios(0.8, 0.1, 0.1), 5).collect()}
+        order = sorted(got, key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
+        train, validation, _ = dataset.split_counts(n, dataset.Ratios(0.8, 0.1, 0.1))
+        assert [got[i] for i in order] == (["train"] * train + ["validation"] * validation + ["test"] * n)[:n]
+
+
 def test_grouped_split(spark, tmp_path):
     pairs = spark.createDataFrame([(f"g{k // 3}__chunk_{k}", f"g{k // 3}__chunk_{k}.wav", "t.txt", "안녕") for k in range(12)], "identifier string, audio string, text string, transcript string")
     done = dataset.split_groups(dataset.with_group(pairs), dataset.Ratios(0.5, 0.25, 0.25), 1).cache()
     assert done.count() == 12 and done.select("split").distinct().count() == 3
     assert done.groupBy("source_group").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     files.write_manifest(done, str(tmp_path / "m"))
-    lines = spark.read.text(str(tmp_path / "m")).collect()
-    assert len(lines) == 12 and '"split":"train"' in lines[0].value and "안녕" in lines[0].value
+    lines = [json.loads(line) for part in sorted((tmp_path / "m").glob("part-*")) for line in part.read_text().splitlines()]
+    place = {r.identifier: (dataset.SPLITS.index(r.split), r.position, r.identifier) for r in done.collect()}
+    assert [x["identifier"] for x in lines] == sorted(place, key=place.get) and lines[0]["split"] == "train" and "안녕" in next((tmp_path / "m").glob("part-*")).read_text()
+    files.write_manifest(done, str(tmp_path / "one"), one_file=True)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
     with pytest.raises(ValueError):
         dataset.split_groups(dataset.with_group(pairs.limit(3)), dataset.Ratios(0.5, 0.25, 0.25), 1)
     hashed = dataset.hashed_split(dataset.with_group(pairs), dataset.Ratios(0.5, 0.25, 0.25), 1)
@@ -118,7 +165,27 @@ def test_settings_and_manifests(spark, tmp_path):
     assert files.load_rules(spark, str(tmp_path / "rules.json"))[0].rule_id == "r"
 
 
-def test_mean_cer_of_all_samples(spark, tmp_path):
+def test_issues_and_transcripts_are_written(spark, tmp_path):
+    pairs = spark.createDataFrame([("a.wav", "a.txt", None), ("b.wav", None, "missing_text"), ("c.wav", "c.txt", "short_text")], "audio string, text string, issue string")
+    assert files.write_issues(pairs, str(tmp_path / "issues")) and not files.write_issues(pairs.where("issue is null"), str(tmp_path / "none"))
+    assert {(r.code, r.path) for r in spark.read.json(str(tmp_path / "issues")).collect()} == {("missing_text", "b.wav"), ("short_text", "c.txt")}
+    assert not (tmp_path / "none").exists()
+    segments = "array<struct<start:double,end:double,transcript:string,suspicion_score:double>>"
+    calls = spark.createDataFrame([("x", " said so ", [(0.0, 30.0, "said", 0.5), (30.0, 60.0, "so", 0.1)]), ("y", "none", [])], f"call_id string, raw_transcript string, reference_segments {segments}")
+    files.write_transcripts(calls, str(tmp_path / "out"))
+    assert next((tmp_path / "out/transcripts/call_id=x").glob("part-*")).read_text() == "said so\n"
+    assert [json.loads(x)["transcript"] for x in next((tmp_path / "out/segments/call_id=x").glob("part-*")).read_text().splitlines()] == ["said", "so"]
+
+
+def test_settings_file(spark, tmp_path):
+    (tmp_path / "run.yaml").write_text("data: {train_ratio: 0.8, validation_ratio: 0.1, test_ratio: 0.1}\nmodel_name: m\nlanguage: ko\ntask: t\nlora: {target_modules: [q_proj, v_proj]}\ntraining: {}\n")
+    assert files.load_settings(spark, str(tmp_path / "run.yaml"))["model_name"] == "m"
+    (tmp_path / "bad.yaml").write_text("language: en\n")
+    with pytest.raises(ValueError):
+        files.load_settings(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_mean_error_rates_of_all_samples(spark, tmp_path):
     """Against brute force by code points, with letters beyond ASCII."""
     from hearken.plans import queries
 
@@ -137,5 +204,5 @@ def test_mean_cer_of_all_samples(spark, tmp_path):
     for c, t, x in said:
         heard = x if c % 5 == 0 else x.replace("ation", "asion").replace(" the ", " " if t % 2 == 0 else " tha ")
         rates.append(distance(bare(x), bare(heard)) / len(bare(x)))
-    got = queries.QUERIES["mean_cer_all"](spark, str(tmp_path)).first()
+    got = queries.QUERIES["mean_error_rates"](spark, str(tmp_path)).first()
     assert got.n_samples == 5 and abs(got.mean_cer - sum(rates) / 5) < 1e-6

@@ -27,11 +27,31 @@ def test_jobs(spark):
     assert (rows[8].now_status, rows[8].now_progress) == ("failed", 70) and rows[10].now_status == "cancelled" and rows[12].now_status is None
 
 
+def test_job_fold_keeps_result_error_and_metadata(spark):
+    events = [
+        ("a", 1, "create", None, None, None, None, None, None), ("a", 2, "update", "running", "classifying", 70, "early", "x", {"total": "3"}), ("a", 3, "update", "completed", "completed", None, "done", "x", None),
+        ("a", 4, "update", "completed", "completed", None, None, None, {"total": "4"}), ("b", 1, "create", None, None, None, None, None, None), ("b", 2, "update", "failed", "failed", None, "r", "ANALYSIS.FAILED", None),
+        ("c", 1, "create", None, None, None, None, None, None), ("c", 2, "update", "running", "queued", None, None, None, {"k": "v"}), ("c", 3, "cancel", None, None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(events, "job_id string, seq long, op string, status string, stage string, progress int, result string, error string, metadata map<string,string>")
+    states = jobs.job_states(frame)
+    rows = states.orderBy("job_id", "seq").collect()
+    assert all(r.accepted for r in rows)
+    assert [(r.now_result, r.now_error, r.now_metadata) for r in rows] == [
+        (None, None, {}), (None, None, {"total": "3"}), ("done", None, {"total": "3"}), (None, None, {"total": "4"}), (None, None, {}), (None, "ANALYSIS.FAILED", {}), (None, None, {}), (None, None, {"k": "v"}), (None, None, {"k": "v"}),
+    ]
+    latest = {r.job_id: r for r in jobs.latest_jobs(states).collect()}
+    assert (latest["b"].status, latest["b"].error_code, latest["b"].progress) == ("failed", "ANALYSIS.FAILED", 0) and latest["c"].status == "cancelled"
+
+
 def test_admissions(spark):
-    rows = [(1, "analyze", None, True), (2, "analyze", None, True), (3, "finish", None, True), (4, "analyze", None, False), (5, "analyze", "AUDIO.EMPTY", True), (6, "analyze", None, True), (7, "analyze", None, True)]
-    asked = spark.createDataFrame([("o", float(k), k, op, e, r) for k, op, e, r in rows], "owner_key string, seconds double, request_id long, op string, error string, ready boolean")
+    rows = [
+        (1, "j1", "analyze", None, True), (2, "j2", "analyze", None, True), (3, "j2", "finish", None, True), (4, "j1", "finish", None, True), (5, "j1", "finish", None, True),
+        (6, "j3", "analyze", None, False), (7, "j4", "analyze", "AUDIO.EMPTY", True), (8, "j5", "analyze", None, True), (9, "j6", "analyze", None, True),
+    ]
+    asked = spark.createDataFrame([("o", float(k), k, j, op, e, r) for k, j, op, e, r in rows], "owner_key string, seconds double, request_id long, job_id string, op string, error string, ready boolean")
     got = {r.request_id: r.outcome for r in jobs.admissions(asked, 4, 60.0).collect()}
-    assert got == {1: "queued", 2: "JOB.DUPLICATE", 3: "released", 4: "MODEL.NOT_READY", 5: "AUDIO.EMPTY", 6: "queued", 7: "SERVICE.RATE_LIMITED"}
+    assert got == {1: "queued", 2: "JOB.DUPLICATE", 3: "not_held", 4: "released", 5: "not_held", 6: "MODEL.NOT_READY", 7: "AUDIO.EMPTY", 8: "queued", 9: "SERVICE.RATE_LIMITED"}
 
 
 def test_views_and_codes(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions import display, metrics, quality
 from hearken.functions.scoring import classified, lexicon_scorer, softmax
-from hearken.operators import tiling
+from hearken.operators import evaluation, tiling
 
 
 def test_gate(spark):
@@ -76,20 +76,22 @@ def test_error_rates(spark):
     pairs = [
         ("보이스피싱 조심하세요", "보이스피시 조심하세요"), ("", ""), ("", "x"), ("abc", ""), ("피해자: 네 (잡음) ①", "네 1"), ("a b c d", "a c d e f"), ("é가 나", "e나 가"), ("x_y", "x y"), ("㈜ 은행", "주 은행"), (None, "a"),
     ]
-    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, r string, h string").select("k", metrics.cer(F.col("r"), F.col("h")).alias("c"), metrics.wer(F.col("r"), F.col("h")).alias("w")).orderBy("k").collect()
-    assert (rows[0].c, rows[0].w) == (0.1, 0.5)
+    rows = evaluation.error_rates(spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, r string, h string"), "r", "h").orderBy("k").collect()
+    assert (rows[0].cer, rows[0].wer) == (0.1, 0.5)
     for row, (r, h) in zip(rows, pairs):
-        for got, spaces in ((row.c, False), (row.w, True)):
+        for got, spaces in ((row.cer, False), (row.wer, True)):
             a, b = plain_text(r or "", spaces), plain_text(h or "", spaces)
             a, b = (a.split(), b.split()) if spaces else (a, b)
             want = plain_distance(a, b) / len(a) if a else float(bool(b))
             assert math.isclose(got, want), (r, h)
 
 
-def test_word_distance_of_many_distinct_words(spark):
-    a, b = [f"w{k}" for k in range(3000)], [f"w{k}" for k in range(3000) if k % 10]
-    row = spark.createDataFrame([(a, b)], "a array<string>, b array<string>").select(metrics.word_distance(F.col("a"), F.col("b")).alias("d")).first()
-    assert row.d == 300
+def test_word_rate_of_many_distinct_words(spark):
+    a, b = " ".join(f"w{k}" for k in range(3000)), " ".join(f"w{k}" for k in range(3000) if k % 10)
+    row = evaluation.error_rates(spark.createDataFrame([(a, b)], "reference string, hypothesis string")).first()
+    assert row.wer == 0.1
+    words = [f"w{k}" for k in range(200_000)]
+    assert len(set(metrics.coded(words, {}))) == len(words)
 
 
 def test_progress(spark):
