@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule, checked
 from hearken.functions.quality import Gate
 from hearken.functions.scoring import ModelScorer
 from hearken.operators import calls
+from hearken.session import work_folder
 from hearken.sources.audio import audio_chunks
+from hearken.sources.transcribe import transcripts
 
 #: From (filename, chunk_index, total_chunks, start, end, wav) to the same with a transcript.
 Transcriber = Callable[[DataFrame], DataFrame]
@@ -19,9 +23,10 @@ Transcriber = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Engine:
-    """Holds what a deployment plugs in.  ``scorer`` maps arrays of texts to arrays of logit pairs, or wraps a Python model; ``transcriber`` adds texts.
+    """Holds what a deployment plugs in.  ``scorer`` maps arrays of texts to arrays of logit pairs, or wraps a Python model;
+    ``transcriber`` adds texts to rows of audio tiles, or ``speech`` loads a Python model that reads whole files.
 
-    Neither is shipped: both are trained models.  Without a scorer the engine is not ready to analyse.
+    None is shipped: all are trained models.  Without a scorer the engine is not ready to analyse.
     """
 
     scorer: calls.TileScorer | ModelScorer | None = None
@@ -31,13 +36,16 @@ class Engine:
     gate: Gate = field(default_factory=Gate)
     chunk_seconds: float = 30.0
     strict: bool = False
+    speech: Callable[[], Any] | None = None
+    decoders: dict[str, Callable[[bytes], Any]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.rules = checked(self.rules)
 
     def status(self) -> dict[str, object]:
         part = lambda x: "ready" if x is not None else "not_ready"
-        return {"stt": part(self.transcriber), "classifier": part(self.scorer), "analyzable": None not in (self.transcriber, self.scorer)}
+        stt = part(self.transcriber if self.transcriber is not None else self.speech)
+        return {"stt": stt, "classifier": part(self.scorer), "analyzable": stt == part(self.scorer) == "ready"}
 
     def analyze(self, chunks: DataFrame) -> DataFrame:
         if self.scorer is None:
@@ -49,13 +57,35 @@ class Engine:
             raise ValueError("no scorer is plugged in")
         return calls.analyze_whole(transcripts, self.rules, self.scorer, self.gate, self.kinds)
 
+    def analyze_with_progress(self, chunks: DataFrame, report_stage: Callable[[str], None], report_progress: Callable[[dict], None] | None = None) -> DataFrame:
+        """``analyze`` that reports: each stage as it begins, and the counts of chunks once they are prepared.
+
+        The prepared chunks are written to the shared folder, so what is reported has happened.
+        """
+        if self.scorer is None:
+            raise ValueError("no scorer is plugged in")
+        for stage in ("normalizing", "classifying"):
+            report_stage(stage)
+        spark = chunks.sparkSession
+        path = work_folder(spark, "prepared")
+        calls.prepared(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict).write.parquet(path)
+        rows = spark.read.parquet(path)
+        if report_progress is not None:
+            done = rows.agg(F.count("*").alias("transcribed_chunks"), F.count("normalized").alias("normalized_chunks"), F.count("result").alias("classified_chunks"), F.count("*").alias("total_chunks"))
+            report_progress(done.first().asDict())
+        report_stage("finalizing")
+        return calls.rolled_up_calls(rows)
+
     def analyze_audio(self, files: DataFrame) -> DataFrame:
-        """Files (filename, content) to calls named by file."""
-        if self.transcriber is None:
+        """Files (filename, content) to calls named by file.  Files of which a model gives one text only are analysed whole."""
+        if self.transcriber is not None:
+            heard = self.transcriber(audio_chunks(files, self.chunk_seconds, self.decoders).where("error is null"))
+            return self.analyze(heard.withColumnRenamed("filename", "call_id"))
+        if self.speech is None:
             raise ValueError("no transcriber is plugged in")
-        heard = self.transcriber(audio_chunks(files, self.chunk_seconds).where("error is null"))
-        return self.analyze(heard.withColumnRenamed("filename", "call_id"))
+        heard = transcripts(files, self.speech)
+        return self.analyze(heard.where("not whole").drop("whole")).unionByName(self.analyze_whole(heard.where("whole").select("call_id", "transcript")))
 
 
 def with_rules(engine: Engine, rules: Iterable[Rule]) -> Engine:
-    return Engine(engine.scorer, engine.transcriber, tuple(rules), engine.kinds, engine.gate, engine.chunk_seconds, engine.strict)
+    return replace(engine, rules=tuple(rules))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +70,14 @@ def encoded_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
     return out.getvalue()
 
 
-def audio_chunks(files: DataFrame, seconds: float = 30.0) -> DataFrame:
+def audio_chunks(files: DataFrame, seconds: float = 30.0, decoders: Mapping[str, Callable[[bytes], np.ndarray]] | None = None) -> DataFrame:
     """(filename, chunk_index, total_chunks, start, end, wav, error) of files (filename, content), a row per tile.
 
-    A file that cannot be decoded gives one row with an error and no audio; an empty one gives none.
+    ``decoders`` turn the bytes of files by their lower-case suffix into mono samples at RATE, which is how compressed formats
+    are plugged in; what has no decoder is read as PCM WAV.  A file that cannot be decoded gives one row with an error and
+    no audio; an empty one gives none.
     """
+    known = dict(decoders or {})
     size = max(1, int(RATE * seconds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +85,9 @@ def audio_chunks(files: DataFrame, seconds: float = 30.0) -> DataFrame:
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.string()]
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                decode = known.get(f".{(name or '').rpartition('.')[2].lower()}", decoded_wav)
                 try:
-                    samples = decoded_wav(blob.as_py() or b"")
+                    samples = decode(blob.as_py() or b"")
                 except (wave.Error, EOFError, ValueError) as problem:
                     rows = [(name, None, None, None, None, None, f"{type(problem).__name__}: {problem}")]
                 else:

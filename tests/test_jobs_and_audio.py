@@ -1,11 +1,13 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hearken.operators import calls, jobs
 from hearken.plans.engine import Engine
-from hearken.sources import audio
+from hearken.plans.settings import Settings, loaded
+from hearken.sources import audio, transcribe
 from hearken.streaming import calls as streaming
 
 
@@ -87,6 +89,10 @@ def test_wav_round_trip_and_chunks(spark, tmp_path):
     rows = audio.audio_chunks(audio.uploads(spark, str(tmp_path)), 0.4).orderBy("filename", "chunk_index").collect()
     assert [(r.chunk_index, r.total_chunks, r.start, r.end) for r in rows[:3]] == [(1, 3, 0.0, 0.4), (2, 3, 0.4, 0.8), (3, 3, 0.8, 1.0)]
     assert rows[3].error and rows[3].wav is None
+    (tmp_path / "c.MP3").write_bytes(b"123")
+    pressed = audio.audio_chunks(audio.uploads(spark, str(tmp_path)), 0.4, {".mp3": lambda blob: np.zeros(len(blob) * 1000, dtype=np.float32)}).where("filename like '%MP3'").collect()
+    assert [(r.chunk_index, r.start, r.end) for r in pressed] == [(1, 0.0, 0.1875)]
+    (tmp_path / "c.MP3").unlink()
     heard = lambda df: df.withColumn("transcript", F.concat(F.lit("part "), F.col("chunk_index").cast("string")))
     done = Engine(scorer=calls.per_tile(lambda t: F.array(F.lit(0.0), F.lit(1.0))), transcriber=heard, chunk_seconds=0.4).analyze_audio(audio.uploads(spark, str(tmp_path))).collect()
     assert len(done) == 1 and done[0].raw_transcript == "part 1 part 2 part 3"
@@ -118,3 +124,68 @@ def test_rate_limited_stream(spark, tmp_path):
     finally:
         query.stop()
     assert {r.request_id: r.allowed for r in spark.table("decided").collect()} == {0: True, 1: True, 2: False, 3: True}
+
+
+class Chunked:
+    def transcribe_chunks(self, audio):
+        return [(0.0, 30.0, "first part"), (30.0, 60.0, f"{len(audio)} bytes")]
+
+
+def test_transcribers_are_asked_in_their_fullest_form():
+    class Streamed(Chunked):
+        def transcribe_chunks_stream(self, audio):
+            yield 1, 1, (0.0, 1.0, "streamed")
+
+    class Single:
+        def transcribe(self, audio):
+            return "one text"
+
+    forms = [list(transcribe.heard_by(m, b"xy")) for m in (Streamed(), Chunked(), Single(), lambda audio: "called")]
+    assert forms == [[(1, 1, 0.0, 1.0, "streamed")], [(1, 2, 0.0, 30.0, "first part"), (2, 2, 30.0, 60.0, "2 bytes")], [(1, 1, None, None, "one text")], [(1, 1, None, None, "called")]]
+
+
+def test_speech_models(spark):
+    def chunked():
+        class Model:
+            def transcribe_chunks(self, audio):
+                return [(0.0, 30.0, "first part"), (30.0, 60.0, f"{len(audio)} bytes")]
+
+        return Model()
+
+    files = spark.createDataFrame([("a.wav", bytearray(b"xyz"))], "filename string, content binary")
+    scorer = calls.per_tile(lambda t: F.array(F.lit(0.0), F.lit(1.0)))
+    done = Engine(scorer=scorer, speech=chunked).analyze_audio(files).collect()
+    assert [(r.call_id, r.raw_transcript, len(r.reference_segments)) for r in done] == [("a.wav", "first part 3 bytes", 2)]
+    whole = Engine(scorer=scorer, speech=lambda: lambda audio: "one text").analyze_audio(files).collect()
+    assert [(r.call_id, r.raw_transcript, len(r.reference_segments)) for r in whole] == [("a.wav", "one text", 0)]
+    assert Engine(scorer=scorer, speech=chunked).status() == {"stt": "ready", "classifier": "ready", "analyzable": True}
+
+    def foreign():
+        model = lambda audio: "text"
+        model.language = "en"
+        return model
+
+    for load, said in ((lambda: lambda audio: " ", "empty transcript"), (foreign, "transcribes en")):
+        with pytest.raises(Exception, match=said):
+            transcribe.transcripts(files, load).collect()
+
+
+def test_progress_is_reported(spark):
+    chunks = spark.createDataFrame([("a", 0, 0.0, 30.0, "some words"), ("a", 1, 30.0, 60.0, "...")], "call_id string, chunk_index long, start double, end double, transcript string")
+    engine, stages, counts = Engine(scorer=calls.per_tile(lambda t: F.array(F.lit(0.0), F.lit(1.0)))), [], []
+    got = engine.analyze_with_progress(chunks, stages.append, counts.append).collect()
+    assert got == engine.analyze(chunks).collect() and stages == ["normalizing", "classifying", "finalizing"]
+    assert counts == [{"transcribed_chunks": 2, "normalized_chunks": 2, "classified_chunks": 1, "total_chunks": 2}]
+
+
+def test_settings_and_loaders():
+    env = {"RATE_LIMIT_MAX_REQUESTS": "3", "STT_AUDIO_CHUNK_SECONDS": "15", "STT_RUNTIME": ""}
+    made = Settings.from_env(env, timeout_seconds=5.0)
+    assert (made.max_requests, made.chunk_seconds, made.timeout_seconds, made.runtime) == (3, 15.0, 5.0, "faster-whisper")
+    with pytest.raises(ValueError):
+        Settings.from_env({"ANALYSIS_TIMEOUT_SECONDS": "0"})
+
+    def broken(settings):
+        raise OSError("no weights")
+
+    assert loaded({"stt": broken, "classifier": lambda s: s.runtime}, made) == ({"classifier": "faster-whisper"}, {"stt": "error", "classifier": "ready"})
