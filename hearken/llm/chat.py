@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.common import at_place, named, numbered
+
 #: Marks of the template.  Each turn is START role MIDDLE text END.
 START, MIDDLE, END = "<|turn|>", "<|text|>", "<|done|>"
 #: Strings that no text or role may show unescaped: an escaped one has a backslash after its first character, and every
@@ -113,22 +115,24 @@ def fingerprint(paths: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Fields | Messages, ...] = LAYOUTS) -> DataFrame:
-    """Adds ``layout_print`` (fingerprint) and ``turns`` (array of role, text) to records of JSON text.
+    """Adds ``layout_print`` (fingerprint) and ``turns`` (array of role, text) to records of JSON text; other columns pass through,
+    whatever their names, but for those two, which are replaced.
 
     A null or broken record, and one of no known layout, has null turns, so the caller can count or route it; an empty array of
     messages gives no turns.  Null texts and roles inside a turn become empty.  A record too long for a variant is read from its
     text; its layout shows once long runs without quotes, backslashes and brackets, which stand inside strings, are cut out.
     One whose layout cannot be read even so is an error.
     """
-    text = F.col(record_col)
-    parsed = records.withColumn("__v", F.try_parse_json(record_col)).withColumn("__long", F.col("__v").isNull() & (F.length(text) > LONG))
+    flat, text = numbered(records), F.col(at_place(records, record_col))
+    parsed = flat.withColumn("v", F.try_parse_json(text)).withColumn("long", F.col("v").isNull() & (F.length(text) > LONG))
     bare = F.try_parse_json(F.regexp_replace(text, r'[^"\\{}\[\]]{64,}+', ""))
-    parsed = parsed.withColumn("__shape", F.when(F.col("__long"), bare).otherwise(F.col("__v"))).withColumn("layout_print", fingerprint(field_paths(F.schema_of_variant("__shape"))))
-    turns = F.when(F.col("__long") & F.col("__shape").isNull() & F.from_json(text, "map<string,string>", ANY_LENGTH).isNotNull(), F.raise_error(F.lit("the layout of a record is too long to read")).cast(TURNS))
+    parsed = parsed.withColumn("shape", F.when(F.col("long"), bare).otherwise(F.col("v"))).withColumn("layout_print", fingerprint(field_paths(F.schema_of_variant("shape"))))
+    turns = F.when(F.col("long") & F.col("shape").isNull() & F.from_json(text, "map<string,string>", ANY_LENGTH).isNotNull(), F.raise_error(F.lit("the layout of a record is too long to read")).cast(TURNS))
     for layout in layouts:
         known = [fingerprint(F.array(*map(F.lit, p))) for p in layout.paths()]
-        turns = F.when(F.col("layout_print").isin(*known), F.when(F.col("__long"), layout.of_text(text)).otherwise(layout.canonical(F.col("__v")))).otherwise(turns)
-    return parsed.withColumn("turns", F.when(F.col("__v").isNotNull() | F.col("__long"), turns)).drop("__v", "__long", "__shape")
+        turns = F.when(F.col("layout_print").isin(*known), F.when(F.col("long"), layout.of_text(text)).otherwise(layout.canonical(F.col("v")))).otherwise(turns)
+    done = parsed.withColumn("turns", F.when(F.col("v").isNotNull() | F.col("long"), turns))
+    return named(done, records, {"layout_print": "layout_print", "turns": "turns"})
 
 
 def escaped(text: Column) -> Column:

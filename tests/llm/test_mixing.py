@@ -81,3 +81,22 @@ def test_edges(spark):
     twice = frame.where("doc_id = 4").unionByName(frame.where("doc_id = 4"))
     assert mixing.select(twice, Plan(share=1.0, epochs=1)).count() == 2
     assert mixing.select(frame.where("false"), plan).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    names = ("rest", "whole", "last_key", "of_domain", "domain", "tokens", "epoch", "passes", "__epoch")
+    rows = [(k, f"word {k} and more", "en", f"src{k % 3}", *range(len(names))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.select(docs, mixing.Plan(share=0.5, epochs=1), columns=False)
+    assert got.dtypes == docs.dtypes and {tuple(r)[4:] for r in got.collect()} == {tuple(range(len(names)))} and 5 < got.count() < 30
+    more = mixing.select(docs, mixing.Plan(share=0.5, epochs=1))
+    assert more.columns == [c for c in docs.columns if c != "__epoch"] + ["__domain", "__language", "__source", "__epoch", "__tokens", "__taken"]
+
+
+def test_more_leaves_than_are_broadcast(spark, monkeypatch):
+    rows = [(k, f"word {k} and more", "en", f"src{k % 9}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    pick = lambda: sorted(map(tuple, mixing.select(docs, mixing.Plan(share=0.5)).collect()))
+    few = pick()
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 2)
+    assert pick() == few

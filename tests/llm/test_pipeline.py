@@ -67,3 +67,13 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
         stage(spark, docs, "/root/testdata/sf0.001").collect()
     assert corpus_pipeline.shard(spark, docs, "").count() == len(rows)
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    names = ("__lang", "__score", "id", "rep", "node", "matches", "lang_pred", "rest", "whole", "_0", "epoch", "leaf", "hash")
+    text = " ".join(f"the word {k} and that" for k in range(30))
+    rows = [(k, f"{text} number {k % 3}", "en", f"src{k % 2}", 9, *range(len(names))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.dtypes == docs.dtypes and {tuple(r)[5:] for r in got.collect()} <= {tuple(range(len(names)))}
