@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hearken.functions.correct import Rule, correct
 from hearken.functions.metrics import rates, ready
 from hearken.functions.scoring import NORMAL, SUSPECT
+from hearken.session import spread
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -38,12 +39,6 @@ def parsed_case(spec: Column) -> Column:
     return F.when((path != "") & (label != ""), F.struct(path.alias("path"), label.alias("label")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small table in one file would be one task: its rows are dealt out where they are fewer parts than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def error_rates(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``pairs`` with cer and wer."""
     return spread(pairs).withColumn("__pair", ready(F.col(reference), F.col(hypothesis))).withColumns(rates(F.col("__pair"))).drop("__pair")

@@ -14,6 +14,7 @@ from hearken.functions.correct import Rule, correct
 from hearken.functions.expr import same_float
 from hearken.functions.scoring import NORMAL, SUSPECT, classified, lexicon_scorer, softmax
 from hearken.operators import calls, dataset, evaluation, jobs, tiling
+from hearken.session import spread
 from hearken.sources.audio import upload_error
 
 #: The surrogate's lexicon, and the rules that the correction queries apply.
@@ -53,7 +54,7 @@ MARKED_SQL = "'피해자: a/ ' || coalesce(text, '') || ' + (잡음) 1 2 3 4 5 6
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
     made = F.concat(F.lit("피해자: a/ "), F.coalesce("text", F.lit("")), F.lit(" + (잡음) 1 2 3 4 5 6 계좌 "), d, F.lit("/일 "), d, F.lit("-x/이 끝 쏐- 음/ 7/칠 (x"))
-    return table(spark, sf_dir, "documents").select("doc_id", made.alias("said"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", made.alias("said"))
 
 
 # RE2 forms of the patterns, with its spelling of Unicode classes.
@@ -166,7 +167,7 @@ def as_chunks(turns: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_chunks(table(spark, sf_dir, "conversations"))
+    return as_chunks(spread(table(spark, sf_dir, "conversations")))
 
 
 LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)

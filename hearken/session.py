@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,3 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder."""
     return f"{shared_folder(spark)}/hearken-{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in one file would be one task: its rows are dealt out where they are in fewer parts than there are cores.
+
+    A large table has many parts and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
