@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.session import shared_folder
+from hearken.session import shared_folder, spread
 
 #: Words are maximal runs of characters other than these six.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,7 +21,8 @@ CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; a small one is dealt out over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words(text: Column) -> Column:
