@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fingerprints that a leaf should hold, fingerprints drawn to divide an overfull leaf, and the fewest that are divided.
-LEAF, SAMPLE, LEAST = 4096, 4096, 32
+#: Fingerprints that a leaf should hold, those at which it goes on with the tree in memory, fingerprints drawn to divide an
+#: overfull leaf, and the fewest that are divided.
+LEAF, INNER, SAMPLE, LEAST = 16_384, 2048, 4096, 32
 #: Pairs held at a time before they are reduced to a spanning forest.
 PAIRS = 1 << 21
 Split = tuple[np.uint64, int]
@@ -193,7 +194,7 @@ def near_pairs(home: np.ndarray, guest: np.ndarray, reach: int) -> Iterator[tupl
         h, g, depth = todo.pop()
         if not len(h):
             continue
-        split = split_of(points[h], reach) if len(h) > LEAF and depth < 40 else None
+        split = split_of(points[h], reach) if len(h) > INNER and depth < 40 else None
         if split is None:
             yield from compared(h, g)
             continue
@@ -253,12 +254,12 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], weigh) -> t
 def links(points: DataFrame, tables: int, reach: int, least: float = 0.0, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """(a, b) of names: links that connect all fingerprints of a table within reach of each other.
 
-    ``points`` has rows (tab, fp, name, size, prints); few share a fingerprint of one table.  Of the links inside a leaf those of a
-    minimum spanning forest are returned, by distance over all of ``prints``; pairs whose sizes differ by more than the factor
-    ``least`` do not link.
+    ``points`` has rows (tab, fp, then, name, size); few share a fingerprint of one table.  Of the links inside a leaf those of a
+    minimum spanning forest are returned, by distance over both ``fp`` and ``then``, a second fingerprint; pairs whose sizes
+    differ by more than the factor ``least`` do not link.
     """
     trees = grown(points, tables, reach, leaf, sample)
-    names = ["tab", "leaf", "fp", "name", "size", "prints", "home"]
+    names = ["tab", "leaf", "fp", "then", "name", "size", "home"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,17 +272,18 @@ def links(points: DataFrame, tables: int, reach: int, least: float = 0.0, leaf:
                     yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(np.full(len(rows), at)), *taken.columns[1:], pa.array(np.arange(len(rows)) < len(home))], names)
 
     def joined(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("home", "descending"), ("name", "ascending")]).combine_chunks()
-        n = int(group.column("home").to_numpy().sum())
-        fp, name, size = group.column("fp").to_numpy().view(np.uint64), group.column("name").to_numpy(), group.column("size").to_numpy()
-        prints = group.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)
+        home, name = (group.column(k).to_numpy() for k in ("home", "name"))
+        order = np.lexsort((name, ~home))
+        fp, then, name, size = (group.column(k).to_numpy()[order] for k in ("fp", "then", "name", "size"))
+        fp, then = fp.view(np.uint64), then.view(np.uint64)
 
         def weigh(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            far = sum(np.bitwise_count(prints[a, k] ^ prints[b, k]).astype(np.int64) for k in range(prints.shape[1]))
+            far = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) + np.bitwise_count(then[a] ^ then[b])
             return np.where(np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9, far, -1)
 
+        n = int(home.sum())
         a, b = spanning(len(fp), near_pairs(fp[:n], fp[n:], reach), weigh)
         return pa.table({"a": name[a], "b": name[b]})
 
-    kinds = "tab long, leaf long, fp long, name long, size long, prints array<long>, home boolean"
-    return points.select("tab", "fp", "name", "size", "prints").mapInArrow(route, kinds).groupBy("tab", "leaf").applyInArrow(joined, "a long, b long")
+    kinds = "tab long, leaf long, fp long, then long, name long, size long, home boolean"
+    return points.select("tab", "fp", "then", "name", "size").mapInArrow(route, kinds).groupBy("tab", "leaf").applyInArrow(joined, "a long, b long")

@@ -91,7 +91,7 @@ def test_tree_and_leaves_lose_no_pair():
 
 
 def test_large_leaf_continues_the_tree(monkeypatch):
-    monkeypatch.setattr(vptree, "LEAF", 64)
+    monkeypatch.setattr(vptree, "INNER", 64)
     points = near(np.random.default_rng(4), 800)
     got = {(min(a, b), max(a, b)) for i, j in vptree.near_pairs(points, points[:0], 2) for a, b in zip(points[i].tolist(), points[j].tolist())}
     assert got == pairs_within(points, 2)
@@ -136,7 +136,7 @@ def test_forest_keeps_the_components_of_every_bound():
 def test_links_through_spark_with_many_leaves(spark, monkeypatch):
     """The tree grows in rounds, as each draw is too small for all leaves; components against brute force over all pairs."""
     points = near(np.random.default_rng(9), 3000)
-    frame = spark.createDataFrame([(0, int(p), k, 0, [int(p)]) for k, p in enumerate(points.view(np.int64))], "tab long, fp long, name long, size long, prints array<long>")
+    frame = spark.createDataFrame([(0, int(p), 0, k, 0) for k, p in enumerate(points.view(np.int64))], "tab long, fp long, then long, name long, size long")
     trees = vptree.grown(frame, 1, 2, leaf=100, sample=512)
     sizes = np.unique(trees[0].home(points), return_counts=True)[1]
     assert trees[0].leaves >= 30 and sizes.max() <= 200
