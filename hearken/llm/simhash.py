@@ -25,7 +25,7 @@ from hearken.llm.common import WordHashes, as_bytes, at_place, between_words, dr
 
 #: Fingerprints per text of ``near_copies`` and the bits in which one of them may differ: more fingerprints and a short reach, as
 #: the leaves that a fingerprint visits grow with the power 0.44 of their number at 2 bits and 0.63 at 3.
-TABLES, REACH = 10, 2
+TABLES, REACH = 12, 2
 #: A byte's bits, each in a byte of its own.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
