@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def sent_to_workers(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value with the classes it is made of, so that workers need no copy of this package; call it once per task."""
+    blob = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(blob.value)
+
+
 def pieces(blobs: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
     """Slices of consecutive texts that hold about ``limit`` bytes each; a longer text stands alone."""
     start = total = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearken.llm.common import WordHashes, as_bytes, mix, named, numbered, pieces, starts_of
+from hearken.llm.common import WordHashes, as_bytes, mix, named, numbered, pieces, sent_to_workers, starts_of
 
 #: Parameters of BM25; share of an item's own score that retrieves it; share of word pairs that verifies a part.
 K1, B, RETRIEVE, VERIFY = 1.2, 0.75, 0.6, 0.5
@@ -226,13 +226,13 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 def matched(docs: DataFrame, index: Index, text_at: str) -> DataFrame:
     """``docs`` with the column ``matches``."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # INDEX_BYTES of items, but for a single longer one
+    sent = sent_to_workers(docs.sparkSession, index)  # INDEX_BYTES of items, but for a single longer one
     at = docs.columns.index(text_at)
     names = ["item_id", "start", "bm25", "question_overlap", "answer_overlap"]
     kind = pa.list_(pa.struct(list(zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(sent.value)
+        searcher = Searcher(sent())
         for batch in batches:
             texts = lowered(batch.column(at).cast(pa.string()))
             rows = [r for part in pieces(texts) for r in searcher.matches(texts[part])]

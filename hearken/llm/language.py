@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hearken.llm.common import as_bytes, between_words, named, numbered, pieces, starts_of
+from hearken.llm.common import as_bytes, between_words, named, numbered, pieces, sent_to_workers, starts_of
 
 #: Which languages are close: one list per family.  A language named nowhere is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
@@ -197,13 +197,14 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text", least: float
     first.  Repeated rows are each predicted.  An empty table gives an empty result.  With ``least``, only the rows of a known
     language with that score at least, and no column more.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers per family and per pair of relatives
+    sent = sent_to_workers(docs.sparkSession, model)  # BUCKETS numbers per family and per pair of relatives
     flat, at, n = numbered(docs), docs.columns.index(text_col), len(docs.columns)
     names = [*flat.columns, "lang", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
-            labels, scores = sent.value.predict(lowered(batch.column(at)))
+            labels, scores = model.predict(lowered(batch.column(at)))
             letter = batch.column(n).to_pylist()
             labels = [lang if ok and lang else "und" for lang, ok in zip(labels, letter)]
             scores = [float(s) if lang != "und" else 0.0 for s, lang in zip(scores, labels)]

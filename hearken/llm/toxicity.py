@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import as_bytes, between_words, dropped, mix, pieces, starts_of, stored, sum_rows
+from hearken.llm.common import as_bytes, between_words, dropped, mix, pieces, sent_to_workers, starts_of, stored, sum_rows
 
 #: Labelled documents per class, features, factors, the z value a feature must reach, and letters of a stem.
 PER_CLASS, FEATURES, FACTORS, Z, STEM = 6000, 8192, 8, 4.5, 5
@@ -233,10 +233,10 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     Null and empty texts, and texts without a known term, get the score of the bias alone.  Repeated rows are each scored.
     Other columns are not read.  Without labels of both classes all texts get one score.  An empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x FACTORS numbers at most
+    sent = sent_to_workers(docs.sparkSession, model)  # FEATURES x FACTORS numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(sent())
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores([b or b"" for b in as_bytes(batch.column(1))]))], ["doc_id", "score"])
 

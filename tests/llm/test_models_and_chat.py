@@ -200,6 +200,21 @@ def test_repeated_labelled_rows_teach_once(spark):
     assert min(got[10 + k] for k in range(1, 60, 2)) > 0.7 > 0.3 > max(got[10 + k] for k in range(0, 60, 2))
 
 
+def test_models_reach_workers_without_the_package(tmp_path):
+    """What is broadcast carries its classes: it loads where the package is not on the path."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "model").write_bytes(cloudpickle.dumps([language.Model(), toxicity.Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, 8)))]))
+    code = "import pickle; print(*(type(m).__name__ for m in pickle.load(open('model', 'rb'))))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.split() == ["Model", "Machine"], done.stderr
+
+
 # ---- chat -------------------------------------------------------------------------------------------------------------------
 
 
