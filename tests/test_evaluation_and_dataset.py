@@ -185,6 +185,27 @@ def test_settings_file(spark, tmp_path):
         files.load_settings(spark, str(tmp_path / "bad.yaml"))
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from hearken import __main__ as command
+
+    (tmp_path / "run.yaml").write_text("data: {train_ratio: 0.5, validation_ratio: 0.25, test_ratio: 0.25, seed: 1, group_by_source: true, extensions: [.wav]}\nmodel_name: m\nlanguage: ko\ntask: t\nlora: {target_modules: [q_proj, v_proj]}\ntraining: {}\n")
+    (tmp_path / "data").mkdir()
+    for k in range(8):
+        (tmp_path / f"data/S{k // 2}__{k:04}.wav").write_bytes(b"x")
+        (tmp_path / f"data/S{k // 2}__{k:04}.txt").write_text("안녕")
+    (tmp_path / "data/alone.wav").write_bytes(b"x")
+    assert command.main(["prepare", "--settings", str(tmp_path / "run.yaml"), "--data", str(tmp_path / "data"), "--out", str(tmp_path / "out")]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert sum(told["counts"].values()) == 8 and all(n % 2 == 0 and n for n in told["counts"].values()) and told["issues"] == 1
+    assert spark.read.json(str(tmp_path / "out/manifest")).count() == 8 and spark.read.json(str(tmp_path / "out/issues")).first().code == "missing_text"
+    spark.createDataFrame([("a", "normal"), ("b", None)], "call_id string, label string").write.parquet(str(tmp_path / "calls"))
+    command.main(["evaluate", "--calls", str(tmp_path / "calls"), "--case", "a=normal", "--case", "b=normal"])
+    told = json.loads(capsys.readouterr().out)
+    assert told["metrics"]["true_negative"] == 1 == told["metrics"]["total"] and told["without_label"] == 1
+    with pytest.raises(ValueError):
+        command.evaluate(["nothing"], spark.read.parquet(str(tmp_path / "calls")))
+
+
 def test_mean_error_rates_of_all_samples(spark, tmp_path):
     """Against brute force by code points, with letters beyond ASCII."""
     from hearken.plans import queries
