@@ -26,6 +26,8 @@ FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr",
 #: Size of the hashed feature space, n-gram lengths, labelled documents read per language, and documents of the other families
 #: that a family's machine learns from.
 BUCKETS, ORDERS, PER_LANGUAGE, OTHERS = 8192, (2, 3, 4), 400, 1600
+#: Chosen documents up to which their ids are broadcast.
+BROADCAST_ROWS = 1_000_000
 GAP = b"\0\0\0\0"
 
 
@@ -166,7 +168,8 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     ids = rows.select("lang", "doc_id").join(F.broadcast(share), F.col("lang") == F.col("of_lang")).where(drawn).groupBy("lang", "doc_id").agg(F.lit(1).alias("one"))  # a row per language
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select(F.col("lang").alias("of_lang"), F.col("doc_id").alias("of_id"), "place")
-    taken = rows.join(chosen, (F.col("lang") == F.col("of_lang")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    few = per_language * len(counts) <= BROADCAST_ROWS
+    taken = rows.join(F.broadcast(chosen) if few else chosen, (F.col("lang") == F.col("of_lang")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: overfull leaf, and the fewest that are divided.
 LEAF, INNER, SAMPLE, LEAST = 16_384, 2048, 4096, 32
 #: Pairs held at a time before they are reduced to a spanning forest.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 Split = tuple[np.uint64, int]
 
 
