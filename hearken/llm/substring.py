@@ -3,8 +3,8 @@
 1. Texts are written once, compressed, with a row number.
 2. Every window is keyed by the highest recompressed symbol that rests inside it (see ``recompress``).  Neighbouring windows
    share keys, so a stretch of windows costs one entry.  Keys that two rows share reveal where repeats can be.
-3. Only windows on shared keys are compared, by a 128-bit digest of the words themselves: each learns the smallest document
-   with its words.  Two different windows of 1e13 share a digest with a chance below one in a trillion.
+3. Only windows on shared keys are compared, by a 96-bit digest of the words themselves: each learns the smallest document
+   with its words.  That any two different windows of 1e13 share a digest has a chance below one in a thousand.
 4. The flagged windows return to their texts, and the words that they cover are removed.
 
 Entries travel in packed, sorted columns per bucket of the hash space.  A task first settles what it can see itself: of all
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import WordHashes, as_bytes, pieces, starts_of, stored
+from hearken.llm.common import WordHashes, as_bytes, dropped, pieces, released, starts_of, stored
 from hearken.llm.recompress import windows
 
 #: Words per window, entries that a task gathers before it hands them on, text bytes per bucket, words per piece of a text.
@@ -200,13 +200,13 @@ def revealed(packed_docs: DataFrame, width: int, log2: int) -> DataFrame:
     return per_row(found, ("<u4", "<u2"))
 
 
-def digests(text: bytes, starts: np.ndarray, width: int) -> np.ndarray:
-    """(n, 2): the 128-bit digests of the windows of words that begin at ``starts``."""
+def digests(text: bytes, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digests of the windows of words that begin at ``starts``, in two parts."""
     import xxhash
 
     words = text.split()
     made = b"".join([xxhash.xxh3_128_digest(b" ".join(words[s : s + width])) for s in starts.tolist()])
-    return np.frombuffer(made, dtype=np.uint64).reshape(-1, 2)
+    return np.frombuffer(made, dtype="<u8")[::2].copy(), np.frombuffer(made, dtype="<u4")[2::4].copy()
 
 
 def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
@@ -237,8 +237,8 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
                 begin, end = at.astype(np.int64), at.astype(np.int64) + length
                 marks = np.bincount(begin, minlength=int(end.max()) + 1) - np.bincount(end, minlength=int(end.max()) + 1)
                 chosen = np.flatnonzero(np.cumsum(marks) > 0)
-                found = digests(unzip.decompress(batch.column(2)[i].as_py()), chosen, width)
-                held.append((found[:, 0], found[:, 1], np.full(len(chosen), ids[i]), np.full(len(chosen), rows[i]), chosen.astype(np.uint32)))
+                own, more = digests(unzip.decompress(batch.column(2)[i].as_py()), chosen, width)
+                held.append((own, more, np.full(len(chosen), ids[i]), np.full(len(chosen), rows[i]), chosen.astype(np.uint32)))
                 size += len(chosen)
                 if size > GATHER:
                     yield from out()
@@ -257,7 +257,7 @@ def verified(candidates: DataFrame, width: int, log2: int) -> DataFrame:
         lines = [(r, f) for r, f in zip(group.column("part").to_pylist(), group.column("found").to_pylist()) if r is not None]
         blobs = [b for b in group.column("sent").to_pylist() if b is not None]
         if blobs:
-            _, _, _, row, start, later = judged([np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<u8", "<i8", "<i8", "<u4")) for b in blobs))])
+            _, _, _, row, start, later = judged([np.concatenate(c) for c in zip(*(unpacked(b, ("<u8", "<u4", "<i8", "<i8", "<u4")) for b in blobs))])
             lines += by_row(row[later], [start[later]], GROUP)
         return pa.table({"part": pa.array([r for r, _ in lines], pa.int64()), "found": pa.array([f for _, f in lines], pa.binary())})
 
@@ -295,7 +295,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         gathered = found.withColumnRenamed("row", "of_row")
         return whole.join(gathered, whole["row"] == gathered["of_row"], "left").drop("of_row")
 
-    flagged = verified(with_findings(revealed(whole, width, log2)), width, log2)
+    # Each step's findings are written, so that its shuffles can go before the next one's come.
+    candidates = stored(revealed(whole, width, log2))
+    released(docs.sparkSession)
+    flagged = stored(verified(with_findings(candidates), width, log2))
+    dropped(candidates)
+    released(docs.sparkSession)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
