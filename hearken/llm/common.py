@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import uuid
@@ -59,6 +60,7 @@ def dropped(*frames: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Let the driver notice which shuffles nothing refers to any more, so that the executors delete their files now."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
