@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearken.functions import quality, text
-from hearken.functions.correct import Rule, correct
+from hearken.functions.correct import APPLIED, Rule, correct
 from hearken.functions.expr import let
 from hearken.functions.scoring import NORMAL, SUSPECT, ModelScorer, classified
 from hearken.operators.tiling import token_tiles
@@ -54,17 +54,29 @@ def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer |
     return logits.withColumn("result", rolled_up(F.col("__logits"))).drop("__logits")
 
 
+#: A prepared chunk as ``one_chunk`` packs it.
+CHUNK = f"struct<chunk_index:bigint,start:double,end:double,raw:string,corrected:string,corrections:{APPLIED},usable:boolean,quality:double,score:double>"
+
+
+def one_chunk() -> Column:
+    """What a call's row needs of a prepared chunk."""
+    return F.struct(
+        F.col("chunk_index"), F.col("start"), F.col("end"), F.coalesce("transcript", F.lit("")).alias("raw"), F.col("corrected"), F.col("corrections"),
+        F.col("quality.usable").alias("usable"), F.col("quality.score").alias("quality"), F.col("result.suspicion_score").alias("score"),
+    )
+
+
 def rolled_up_calls(rows: DataFrame) -> DataFrame:
     """One row per call_id from prepared chunks, with one shuffle on call_id.
 
     The score is the mean of the five highest chunk scores; equal scores rank by chunk_index.  Where no chunk is usable, label
     and score are null and the status is ``skipped``.
     """
-    chunk = F.struct(
-        F.col("chunk_index"), F.col("start"), F.col("end"), F.coalesce("transcript", F.lit("")).alias("raw"), F.col("corrected"), F.col("corrections"),
-        F.col("quality.usable").alias("usable"), F.col("quality.score").alias("quality"), F.col("result.suspicion_score").alias("score"),
-    )
-    calls = rows.groupBy("call_id").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.count_if(~F.col("quality.usable")).alias("excluded"), F.avg("quality.score").alias("mean_quality"))
+    return call_rows(rows.groupBy("call_id").agg(F.sort_array(F.collect_list(one_chunk())).alias("chunks"), F.count_if(~F.col("quality.usable")).alias("excluded"), F.avg("quality.score").alias("mean_quality")))
+
+
+def call_rows(calls: DataFrame, *more: str) -> DataFrame:
+    """Rows of calls from (call_id, chunks in order, excluded, mean_quality); no shuffle.  ``more`` columns are kept."""
     by_rank = F.sort_array(F.transform(F.filter("chunks", lambda c: c["usable"]), lambda c: F.struct((-c["score"]).alias("rank"), c["chunk_index"].alias("at"), c["start"].alias("start"), c["end"].alias("end"), c["corrected"].alias("transcript"), c["score"].alias("score"))))
     ranked = calls.withColumn("ranked", by_rank)
     top = F.slice("ranked", 1, TOP)
@@ -86,7 +98,7 @@ def rolled_up_calls(rows: DataFrame) -> DataFrame:
         F.struct(
             (F.col("excluded") == 0).alias("usable"), F.round("mean_quality", 4).alias("score"),
             F.when(skipped, "all_chunks_unusable").when(F.col("excluded") > 0, "some_chunks_unusable").alias("reason"), F.col("excluded").alias("excluded_chunk_count"),
-        ).alias("quality"),
+        ).alias("quality"), *more,
     )
 
 

@@ -67,7 +67,7 @@ class Engine:
         for stage in ("normalizing", "classifying"):
             report_stage(stage)
         spark = chunks.sparkSession
-        path = work_folder(spark, "prepared")
+        path = f"{work_folder(spark, 'prepared')}/chunks"
         calls.prepared(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict).write.parquet(path)
         rows = spark.read.parquet(path)
         if report_progress is not None:

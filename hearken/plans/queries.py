@@ -160,10 +160,10 @@ def quality_gate(spark, sf_dir):
 # ---- calls ------------------------------------------------------------------------------------------------------------------
 
 
-def as_chunks(turns: DataFrame) -> DataFrame:
+def as_chunks(turns: DataFrame, *more: str) -> DataFrame:
     """Turns as chunks; every seventh turn is made unusable, so that both kinds of calls occur."""
     said = F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, "아아 아아 아아 아아 아아").when(F.col("conv_id") % 11 == 5, "@@@ ### $$$ %%").otherwise(F.col("text"))
-    return turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("chunk_index"), (F.col("turn") * 30.0).alias("start"), (F.col("turn") * 30.0 + 30).alias("end"), said.alias("transcript"))
+    return turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("chunk_index"), (F.col("turn") * 30.0).alias("start"), (F.col("turn") * 30.0 + 30).alias("end"), said.alias("transcript"), *more)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -660,12 +660,18 @@ def step_states(spark, sf_dir):
 
 @query(CALLS_SQL)
 def stream_call_analysis(spark, sf_dir):
-    """The flagship as a stream: chunks prepared file by file into a table in the shared folder, then rolled up."""
+    """The flagship from the stream itself: turns come file by file, and a call's row leaves with its last chunk."""
     from hearken.session import work_folder
-    from hearken.streaming import calls as streaming
+    from hearken.streaming import rollup
 
-    turns = spark.readStream.schema("conv_id long, turn long, role string, text string").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/conversations.parquet*")
+    name = f"{sf_dir}/conversations.parquet"
+    turns = spark.readStream.schema("conv_id long, turn long, role string, text string").option("maxFilesPerTrigger", 8).parquet(f"{name}*")
+    totals = spark.read.parquet(name).groupBy(F.col("conv_id").alias("of_call")).agg(F.count("*").alias("total_chunks"))
     out = work_folder(spark, "calls")
-    prepare = lambda df: calls.prepared(as_chunks(df), CALL_RULES, calls.per_tile(lexicon_scorer(LEXICON)))
-    streaming.run(turns, prepare, f"{out}/chunks", f"{out}/log").awaitTermination()
-    return flat_calls(calls.rolled_up_calls(spark.read.parquet(f"{out}/chunks")))
+
+    def prepare(df: DataFrame) -> DataFrame:
+        known = df.join(totals, df["conv_id"] == F.col("of_call"), "left")
+        return calls.prepared(as_chunks(known, "total_chunks"), CALL_RULES, calls.per_tile(lexicon_scorer(LEXICON)))
+
+    rollup.run_calls(turns, prepare, f"{out}/calls", f"{out}/log").awaitTermination()
+    return flat_calls(spark.read.parquet(f"{out}/calls"))

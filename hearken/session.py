@@ -35,8 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_folder(spark)}/hearken-{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/hearken-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
 
 
 def spread(df: DataFrame) -> DataFrame:
