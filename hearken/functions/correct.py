@@ -1,19 +1,24 @@
-"""Ordered dictionary corrections, compiled into a chain of column expressions."""
+"""Ordered dictionary corrections: a few rules as a chain of column expressions, many by one search for all their sources."""
 
 from __future__ import annotations
 
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.functions.automaton import Finder, applied
 from hearken.functions.expr import let
+from hearken.session import sent_to_workers
 
 KINDS = ("typo", "spacing")
+#: Up to so many rules are a chain of columns; a longer chain would take the planner too long.
+CHAIN = 64
 APPLIED = "array<struct<rule_id:string,source:string,target:string,reason:string,kind:string>>"
 
 
@@ -94,18 +99,52 @@ def replaced(text: Column, rule: Rule) -> Column:
     return F.when(text.contains(rule.source), let(F.struct(text.alias("t"), pieces.alias("p")), lambda x: rebuilt(x["t"], x["p"]))).otherwise(text)
 
 
-def correct(df: DataFrame, text_col: str, rules: Iterable[Rule], kinds: Iterable[str] = ("typo",), out: str = "corrected", log: str = "corrections") -> DataFrame:
+FIELDS = ("rule_id", "source", "target", "reason", "kind")
+
+
+def by_search(df: DataFrame, text_col: str, active: tuple[Rule, ...], out: str, log: str) -> DataFrame:
+    """``correct`` for any number of rules, in a plan of one step: all sources are searched for at once, and only rules that can
+    fire are applied.
+
+    Rules and automata are broadcast; the automata's size is bounded by the rules', and is an error beyond two gigabytes.
+    """
+    finder = Finder.of([r.source for r in active])
+    if finder.size() > 2 << 30:
+        raise ValueError("too many rules for one set; apply them in several sets, in order")
+    sent = sent_to_workers(df.sparkSession, (finder, active))
+    kind = pa.struct([("out", pa.string()), ("log", pa.list_(pa.struct([(f, pa.string()) for f in FIELDS])))])
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        search, rules = sent()
+        steps = [(r.source, r.target, r.context_terms, r.context_window) for r in rules]
+        entries = [{f: getattr(r, f) for f in FIELDS} for r in rules]
+        for column in columns:
+            texts = column.to_pylist()
+            rows = []
+            for text, holds in zip(texts, search.found([t or "" for t in texts])):
+                done, fired = applied(text, holds, steps, search) if text and holds else (text, [])
+                rows.append(None if text is None else {"out": done, "log": [entries[k] for k in fired]})
+            yield pa.array(rows, kind)
+
+    step = F.arrow_udf(run, f"struct<out:string,log:{APPLIED}>")
+    made = df.withColumn("__corrected", step(F.col(text_col).cast("string")))
+    return made.withColumns({log: F.col("__corrected.log"), out: F.col("__corrected.out")}).drop("__corrected")
+
+
+def correct(df: DataFrame, text_col: str, rules: Iterable[Rule], kinds: Iterable[str] = ("typo",), out: str = "corrected", log: str = "corrections", chain: int = CHAIN) -> DataFrame:
     """Adds the corrected text and the rules that changed it, in order.  Each rule sees what the one before it left.
 
-    Every step is a column of its own, so no rule evaluates the rules before it twice.  A blank text stays as it is and logs
-    nothing; a null text gives nulls.
+    Every step is a column of its own, so no rule evaluates the rules before it twice; more than ``chain`` rules are searched for
+    at once instead, with the same result.  A blank text stays as it is and logs nothing; a null text gives nulls.
     """
     active = enabled(rules, kinds)
+    if len(active) > chain:
+        return by_search(df, text_col, active, out, log)
     names = [f"__corrected_{k}" for k in range(len(active) + 1)]
     made = df.withColumn(names[0], F.col(text_col))
     for k, rule in enumerate(active):
         made = made.withColumn(names[k + 1], replaced(F.col(names[k]), rule))
-    entry = lambda r: F.struct(*(F.lit(getattr(r, f)).alias(f) for f in ("rule_id", "source", "target", "reason", "kind")))
+    entry = lambda r: F.struct(*(F.lit(getattr(r, f)).alias(f) for f in FIELDS))
     fired = [F.when(F.col(names[k]) != F.col(names[k + 1]), entry(r)) for k, r in enumerate(active)]
     applied = F.filter(F.array(*fired), lambda x: x.isNotNull()) if fired else F.array()
     return made.withColumn(log, F.when(F.col(text_col).isNotNull(), applied.cast(APPLIED))).withColumn(out, F.col(names[-1])).drop(*names)

@@ -133,6 +133,27 @@ def domain_correct(spark, sf_dir):
     return correct(docs, "text", RULES).select("doc_id", F.md5("corrected").alias("digest"), F.array_join(F.transform("corrections", lambda c: c["rule_id"]), ",").alias("rules"))
 
 
+#: Two thousand rules from the documents' own words, each turning a word's first letter to its end, wherever it stands; the dialect
+#: folds them one after the other, with the names of those that fired behind a mark.
+MANY = 2000
+MANY_SQL = f"""
+WITH r AS (SELECT list(w ORDER BY md5(w)) AS rs FROM (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]{{4,10}}') AND substr(w, 2) || w[1] <> w ORDER BY md5(w) LIMIT {MANY})),
+d AS (SELECT doc_id, list_reduce(list_prepend(coalesce(text, '') || chr(2), rs), lambda x, w: CASE WHEN contains(split_part(x, chr(2), 1), w) THEN replace(split_part(x, chr(2), 1), w, substr(w, 2) || w[1]) || chr(2) || split_part(x, chr(2), 2) || w || ',' ELSE x END) AS x FROM documents, r)
+SELECT doc_id, md5(split_part(x, chr(2), 1)) AS digest, split_part(x, chr(2), 2) AS rules FROM d
+"""
+
+
+@query(MANY_SQL)
+def domain_correct_many(spark, sf_dir):
+    """Thousands of ordered rules, some of which only others bring about."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    w = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.col("w").rlike("^[a-z]{4,10}$")).distinct()
+    turned = w.withColumn("t", F.concat(F.expr("substr(w, 2)"), F.substring("w", 1, 1))).where("w <> t")
+    rules = [Rule(r.w, r.w, r.t, "a letter out of place") for r in turned.orderBy(F.md5("w")).limit(MANY).collect()]
+    fired = F.transform("corrections", lambda c: F.concat(c["rule_id"], F.lit(",")))
+    return correct(docs, "text", rules).select("doc_id", F.md5("corrected").alias("digest"), F.array_join(fired, "").alias("rules"))
+
+
 #: Texts that fail the gate in each way, by document number.
 GATED_SQL = "CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN repeat('x ', 5) || substr(text, 1, 1) WHEN 2 THEN repeat('#', 4 + (doc_id % 50)::INT) || 'ab' WHEN 3 THEN '...!' WHEN 4 THEN '   ' ELSE text || repeat(' §', (doc_id % 400)::INT) END"
 RATIO_SQL = r"length(regexp_replace(regexp_replace(t, '\s+', '', 'g'), '[^가-힣A-Za-z0-9.,!?%~()\-]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(t, '\s+', '', 'g')), 0)"

@@ -1,0 +1,112 @@
+"""Rules searched for at once against the chain of rules."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hearken.functions import automaton
+from hearken.functions.automaton import Automaton, Finder, applied
+from hearken.functions.correct import Rule, correct
+
+
+def word(rng, letters, a, b):
+    return "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+
+
+def some_rules(rng, letters, most):
+    rules, seen = [], set()
+    for k in range(rng.randint(1, most)):
+        source, target = word(rng, letters, 1, 4), word(rng, letters, 0, 4)
+        terms = tuple(t for t in (word(rng, letters, 1, 2) for _ in range(rng.choice([0, 0, 2]))) if t.strip())
+        if source != target and source.strip() and source not in seen:
+            seen.add(source)
+            rules.append(Rule(f"r{k}", source, target, "s", "typo", terms, rng.randint(1, 5)))
+    return rules
+
+
+def one_by_one(text, rules):
+    """Each rule over the whole text, in order."""
+    fired = []
+    for k, r in enumerate(rules):
+        out, at = "", 0
+        for piece in text.split(r.source)[:-1]:
+            at += len(piece)
+            near = text[max(0, at - r.context_window) : at + len(r.source) + r.context_window]
+            out += piece + (r.target if not r.context_terms or any(t in near for t in r.context_terms) else r.source)
+            at += len(r.source)
+        out += text.split(r.source)[-1]
+        if out != text:
+            fired.append(k)
+        text = out
+    return text, fired
+
+
+@pytest.mark.parametrize("table_bytes", [120, 1 << 20])
+def test_search_equals_one_rule_after_the_other(table_bytes):
+    rng = random.Random(table_bytes)
+    for _ in range(250):
+        letters = "ab가𝒳 "[: rng.randint(2, 5)]
+        rules = some_rules(rng, letters, 12)
+        if not rules:
+            continue
+        finder = Finder.of([r.source for r in rules], table_bytes)
+        texts = [word(rng, letters, 0, 40) for _ in range(5)]
+        for text, holds in zip(texts, finder.found(texts)):
+            assert holds == {k for k, r in enumerate(rules) if r.source in text}
+            assert applied(text, holds, [(r.source, r.target, r.context_terms, r.context_window) for r in rules], finder) == one_by_one(text, rules)
+
+
+def test_many_strings_make_several_automata():
+    strings = [f"{k:04d}x" for k in range(500)]
+    finder = Finder.of(strings, 4000)
+    assert len(finder.automata) > 5 and all(a.moves.nbytes <= 4000 for a in finder.automata)
+    assert finder.found(["..0007x0499x", "", "0007"]) == [{7, 499}, set(), set()]
+
+
+def test_long_texts_are_searched_in_parts(monkeypatch):
+    monkeypatch.setattr(automaton, "PIECE", 50)
+    finder = Finder.of(["abcdefgh", "h", "zz"])
+    text = "." * 47 + "abcdefgh" + "." * 95 + "zz"
+    assert finder.found(["q", text, "h", "abcdefg"]) == [set(), {0, 1, 2}, {1}, set()]
+
+
+def test_lanes_see_strings_across_their_borders():
+    rng = np.random.default_rng(0)
+    text = "".join(rng.choice(list("ab"), 6000))
+    strings = ["".join(rng.choice(list("ab"), 11)) for _ in range(40)] + [text[a : a + 30] for a in range(0, 5900, 97)]
+    strings = list(dict.fromkeys(strings))
+    assert Finder.of(strings).found([text])[0] == {k for k, s in enumerate(strings) if s in text}
+
+
+def test_moves_of_a_known_automaton():
+    a = Automaton.of({0: "he", 1: "she", 2: "his", 3: "hers"})
+    assert len(a.moves) == 10 and sorted(map(sorted, a.ends.values())) == [[0], [0, 1], [2], [3]]
+
+
+def rows(spark, rules, values, chain):
+    df = spark.createDataFrame([(k, v, "x") for k, v in enumerate(values)], "k int, v string, source string")
+    done = correct(df, "v", rules, chain=chain)
+    assert done.columns == ["k", "v", "source", "corrections", "corrected"]
+    return [tuple(r) for r in done.orderBy("k").collect()]
+
+
+def test_both_forms_give_the_same_columns(spark):
+    rng = random.Random(8)
+    rules = some_rules(rng, "ab가 ", 14)
+    values = [None, "", "  ", *[word(rng, "ab가 ", 0, 60) for _ in range(40)]]
+    assert rows(spark, rules, values, 64) == rows(spark, rules, values, 0)
+
+
+def test_five_thousand_rules_are_one_step(spark):
+    rng = random.Random(2)
+    sources = list(dict.fromkeys(word(rng, "etaoinshr", 4, 9) for _ in range(6000)))[:5000]
+    rules = [Rule(f"r{k}", s, s[1:] + s[0] + "!", "turned") for k, s in enumerate(sources)]
+    few, many = (correct(spark.range(1).select(F.lit("x").alias("v")), "v", rules[:n])._jdf.queryExecution().executedPlan().toString() for n in (100, 5000))
+    assert len(few) < 2000 and abs(len(few) - len(many)) < 50
+    texts = [" ".join(rng.choice(sources) for _ in range(60)) for _ in range(20)]
+    got = correct(spark.createDataFrame([(t,) for t in texts], "v string"), "v", rules).select("v", "corrected", F.transform("corrections", lambda c: c["rule_id"]).alias("ids")).collect()
+    for r in got:
+        text, fired = one_by_one(r.v, rules)
+        assert r.corrected == text and r.ids == [f"r{k}" for k in fired]
