@@ -335,11 +335,11 @@ def cleaned_sql(column: str) -> str:
 SLIPS_SQL = "SELECT conv_id, turn, text AS reference, CASE WHEN conv_id % 5 = 0 THEN text ELSE replace(replace(text, 'ation', 'asion'), ' the ', CASE WHEN turn % 2 = 0 THEN ' ' ELSE ' tha ' END) END AS hypothesis FROM conversations WHERE length(text) > 0"
 
 
-def rated_sql(pairs: str) -> str:
-    """Rates of pairs (sample_id, version, reference, hypothesis).
+def bare_sql(pairs: str) -> str:
+    """Cleaned characters and words of pairs (sample_id, version, reference, hypothesis).
 
     The dialect's distance counts bytes, so every letter beyond ASCII that occurs is first renamed to a byte that no cleaned text
-    holds.  The distance of words is a walk over the reference's words with one row of the table of distances as its state.
+    holds.
     """
     return f"""
 WITH RECURSIVE given AS ({pairs}),
@@ -347,7 +347,16 @@ clean AS (SELECT sample_id, version, {cleaned_sql("reference")} AS r, {cleaned_s
 letters AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS wide, coalesce(string_agg(chr((CASE WHEN k < 32 THEN k WHEN k < 47 THEN k + 1 ELSE k + 45 END)::INT), '' ORDER BY c), '') AS narrow
   FROM (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(string_split(r || h, '')) AS c FROM clean) WHERE ord(c) > 127)),
 bare AS (SELECT sample_id, version, translate(replace(r, ' ', ''), wide, narrow) AS rc, translate(replace(h, ' ', ''), wide, narrow) AS hc,
-  list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM clean, letters),
+  list_filter(string_split(r, ' '), lambda x: x <> '') AS rw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM clean, letters)
+"""
+
+
+def rated_sql(pairs: str) -> str:
+    """Rates of pairs.
+
+    The distance of words is a walk over the reference's words with one row of the table of distances as its state.
+    """
+    return bare_sql(pairs) + """,
 walk AS (SELECT sample_id, version, 0 AS i, rw, hw, range(0, len(hw) + 1) AS d FROM bare WHERE rw <> hw
   UNION ALL SELECT sample_id, version, i, rw, hw, list_transform(range(1, len(s) + 1), lambda j: j + list_min(s[1:j])) FROM (
     SELECT sample_id, version, i, rw, hw, list_transform(c, lambda x, k: x - k) AS s FROM (
@@ -376,6 +385,20 @@ def mean_error_rates(spark, sf_dir):
     return means.select(F.col("sample_count").alias("n_samples"), same_float(F.col("mean_cer")).alias("mean_cer"), same_float(F.col("mean_wer")).alias("mean_wer"))
 
 
+WHOLE_PAIRS_SQL = f"SELECT conv_id::VARCHAR AS sample_id, 'raw' AS version, string_agg(reference, ' ' ORDER BY turn, reference) AS reference, string_agg(hypothesis, ' ' ORDER BY turn, reference) AS hypothesis FROM ({SLIPS_SQL}) GROUP BY conv_id"
+
+
+@query(bare_sql(WHOLE_PAIRS_SQL) + "SELECT sample_id, round(CASE WHEN length(rc) = 0 THEN (length(hc) > 0)::INT ELSE levenshtein(rc, hc)::DOUBLE / length(rc) END, 6) AS cer FROM bare")
+def whole_call_error_rates(spark, sf_dir):
+    """Character error rates of whole calls, whose texts are long; the walk over words would take the dialect minutes there."""
+    turn = F.split("sample_id", "-")
+    said = stt_pairs(spark, sf_dir).select(turn[0].alias("sample_id"), F.struct(turn[1].cast("long").alias("turn"), "reference", "hypothesis").alias("m"))
+    whole = said.groupBy("sample_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    joined = lambda c: F.array_join(F.transform("ms", lambda m: m[c]), " ").alias(c)
+    rated = evaluation.error_rates(whole.select("sample_id", joined("reference"), joined("hypothesis")))
+    return rated.select("sample_id", same_float(F.col("cer")).alias("cer"))
+
+
 STT_RULES = (Rule("s-1", "asion", "ation", "slip of a consonant"), Rule("s-2", " tha ", " the ", "slip of a vowel"), Rule("s-3", "ing ", "in ", "a harmful rule"))
 STEPS_SQL = f"SELECT *, replace(h1, ' tha ', ' the ') AS h2, replace(replace(h1, ' tha ', ' the '), 'ing ', 'in ') AS h3 FROM (SELECT *, replace(hypothesis, 'asion', 'ation') AS h1 FROM ({SLIPS_SQL}))"
 FIXED_SQL = rated_sql(f"SELECT conv_id || '-' || turn AS sample_id, 'raw' AS version, reference, hypothesis FROM ({STEPS_SQL}) UNION ALL SELECT conv_id || '-' || turn, 'fixed', reference, h3 FROM ({STEPS_SQL})") + f"""

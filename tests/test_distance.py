@@ -1,0 +1,86 @@
+"""Bit-parallel distances against the plain table, and rates of long pairs against the built-in."""
+
+import random
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from hearken.functions import distance, metrics
+from hearken.functions.distance import edit_distance, in_band, in_columns, places
+from hearken.operators import evaluation
+
+
+def plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def slipped(rng, text, share, letters):
+    out = []
+    for c in text:
+        r = rng.random()
+        out += [] if r < share / 3 else [rng.choice(letters)] if r < 2 * share / 3 else [c, rng.choice(letters)] if r < share else [c]
+    return "".join(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", max_size=60), st.text("abc", max_size=60), st.integers(1, 9))
+def test_equals_the_plain_table(a, b, band):
+    assert edit_distance(a, b, band) == plain(a, b)
+
+
+def test_every_band_tells_whether_the_distance_fits():
+    rng = random.Random(3)
+    for _ in range(600):
+        a = "".join(rng.choice("ab가") for _ in range(rng.randint(2, 50)))
+        b = slipped(rng, a, rng.choice([0.1, 0.5, 1.0]), "ab가")
+        pattern, text = sorted((a, b), key=len)
+        m, true = len(pattern), plain(a, b)
+        if not m:
+            continue
+        bits = places(pattern)
+        assert in_columns(bits, m, text) == true
+        for k in range(max(1, len(text) - m), m):
+            assert in_band(bits, m, text, k) == (true if true <= k else None), (pattern, text, k)
+
+
+def test_lists_of_words():
+    assert edit_distance("the cat sat".split(), "the dog sat down".split()) == 2
+    assert edit_distance([], ["a"]) == 1 and edit_distance("", "") == 0 and edit_distance("kitten", "sitting", 1) == 3
+
+
+@pytest.mark.parametrize("share", [0.02, 1.0])
+def test_fifty_thousand_characters_in_seconds(share):
+    rng = random.Random(1)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(50_000))
+    b = slipped(rng, a, share, "abcdefgh ")
+    began = time.process_time()
+    found = edit_distance(a, b)
+    assert 0 < found <= share * 50_000 and time.process_time() - began < 20
+
+
+def test_long_pairs_have_the_rates_of_the_built_in(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):
+        a = " ".join("".join(rng.choice("abcé가") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(300, 420)))
+        rows.append((k, a, slipped(rng, a, rng.choice([0.0, 0.05, 0.6]), "abcé가 ")))
+    rows += [(20, "", "x " * 3000), (21, "x " * 3000, None), (22, "short", "shore"), (23, None, None), (24, "y" * 3000, "z")]
+    df = spark.createDataFrame(rows, "k int, reference string, hypothesis string")
+    assert max(len(a or "") * len(b or "") for _, a, b in rows) > metrics.LONG
+    got = {r.k: (r.cer, r.wer) for r in evaluation.error_rates(df).collect()}
+    pair = metrics.ready(F.col("reference"), F.col("hypothesis"))
+    assert any(r.d is not None for r in df.select(pair["distance"].alias("d")).collect())
+    for k, a, b in rows:
+        left, right = metrics.metric_text(a).split(), metrics.metric_text(b).split()
+        r, h = "".join(left), "".join(right)
+        want = [float(bool(y)) if not x else plain(x, y) / len(x) if len(x) * len(y) < 300_000 else distance.in_columns(places(x), len(x), y) / len(x) for x, y in ((r, h), (left, right))]
+        assert got[k] == pytest.approx(tuple(want)), k
