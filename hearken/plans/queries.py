@@ -15,7 +15,7 @@ from hearken.functions.expr import same_float
 from hearken.functions.scoring import NORMAL, SUSPECT, classified, lexicon_scorer, softmax
 from hearken.operators import calls, dataset, evaluation, jobs, tiling
 from hearken.session import spread
-from hearken.sources.audio import upload_error
+from hearken.sources.audio import resampled_column, upload_error
 
 #: The surrogate's lexicon, and the rules that the correction queries apply.
 LEXICON = ("worthless", "with", "that", "from", "dans", "pour", "nicht", "und", "para", "que")
@@ -281,6 +281,29 @@ def audio_tiles(spark, sf_dir):
     return tiles.select("doc_id", F.col("tile").cast("long").alias("tile"), "t.first", "t.last", same_float(F.col("t.start")).alias("start"), same_float(F.col("t.end")).alias("end_s"))
 
 
+#: Characters as samples at 24 kHz: two filters, of 23 taps, make 16 kHz of them.
+RESAMPLED_SQL = """
+WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: (ord(c) % 256 - 128) / 128.0::DOUBLE) AS x FROM documents),
+taps AS (SELECT p, k, d, CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) END * cos(pi() * d / 12) ** 2 * 0.66 AS w
+  FROM (SELECT p, k, greatest(-6, least(6, (k / 3.0::DOUBLE - p / 2.0::DOUBLE) * 1.98)) AS d FROM (SELECT unnest(range(2)) AS p), (SELECT unnest(range(-10, 13)) AS k))),
+bank AS (SELECT p, list(k ORDER BY k) AS ks, list(w ORDER BY k) AS ws FROM taps GROUP BY p),
+o AS (SELECT doc_id, x, unnest(range((2 * len(x) + 2) // 3)) AS n FROM s),
+y AS (SELECT doc_id, list_sum(list_transform(ks, lambda k, i: CASE WHEN 3 * (n // 2) + k >= 0 THEN coalesce(x[3 * (n // 2) + k + 1], 0) * ws[i] ELSE 0 END)) AS y FROM o JOIN bank ON p = n % 2)
+SELECT s.doc_id, count(y) AS n_samples, round(coalesce(sum(y * y), 0), 4) AS energy, round(coalesce(max(abs(y)), 0), 6) AS peak FROM s LEFT JOIN y USING (doc_id) GROUP BY s.doc_id
+"""
+
+
+@query(RESAMPLED_SQL)
+def resampled_audio(spark, sf_dir):
+    """Documents' characters as sound at 24 kHz, resampled to 16 kHz."""
+    given = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
+    sound = spread(table(spark, sf_dir, "documents")).select("doc_id", F.transform(given, lambda c: (F.ascii(c) % 256 - 128) / 128.0).alias("samples"))
+    made = sound.select("doc_id", resampled_column(F.col("samples"), 24_000).alias("y"))
+    energy = F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v)
+    peak = F.coalesce(F.array_max(F.transform("y", F.abs)), F.lit(0.0))
+    return made.select("doc_id", F.size("y").cast("long").alias("n_samples"), same_float(energy, 4).alias("energy"), same_float(peak).alias("peak"))
+
+
 @query("""
 WITH w AS (SELECT doc_id, said, list_filter(string_split_regex(said, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, coalesce(text, '') AS said FROM documents)),
 t AS (SELECT doc_id, len(w) AS n_tokens, CASE WHEN len(w) <= 126 THEN [said] ELSE list_transform(range(0, len(w), 126), lambda k: array_to_string(w[k + 1:k + 126], ' ')) END AS tiles FROM w)

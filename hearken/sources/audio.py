@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearken.functions.resample import resampled
+
 RATE = 16_000
 # Content types accepted for each suffix.
 TYPES = {".wav": ("audio/wav", "audio/x-wav", "audio/wave"), ".mp3": ("audio/mpeg", "audio/mp3"), ".m4a": ("audio/mp4", "audio/x-m4a", "video/mp4")}
@@ -41,8 +43,7 @@ def upload_error(filename: Column, content_type: Column, content: Column) -> Col
 
 
 def decoded_wav(blob: bytes) -> np.ndarray:
-    """Mono float samples at 16 kHz.  Channels are averaged; other rates are resampled linearly, which is not the filter of an
-    audio library and so not equal to one sample by sample."""
+    """Mono float samples at 16 kHz.  Channels are averaged, other rates are resampled."""
     with wave.open(io.BytesIO(blob)) as sound:
         width, channels, rate = sound.getsampwidth(), sound.getnchannels(), sound.getframerate()
         raw = sound.readframes(sound.getnframes())
@@ -54,9 +55,18 @@ def decoded_wav(blob: bytes) -> np.ndarray:
     else:
         samples = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
     mono = samples.reshape(-1, channels).mean(axis=1, dtype=np.float32)
-    if rate != RATE and len(mono):
-        mono = np.interp(np.arange(round(len(mono) * RATE / rate)) * rate / RATE, np.arange(len(mono)), mono).astype(np.float32)
-    return mono
+    return resampled(mono, rate, RATE)
+
+
+def resampled_column(samples: Column, rate: int, to: int = RATE) -> Column:
+    """An array of samples at another rate."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            made = [None if x is None else resampled(np.array(x, dtype=np.float64), rate, to) for x in column.to_pylist()]
+            yield pa.array(made, pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(samples.cast("array<double>"))
 
 
 def encoded_wav(samples: np.ndarray, rate: int = RATE) -> bytes:
