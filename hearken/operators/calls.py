@@ -37,17 +37,17 @@ def rolled_up(logits: Column) -> Column:
     return F.when(F.size(logits) > 0, let(F.transform(logits, classified), over))
 
 
-def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
+def prepared(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False, tiler: Callable[[Column], Column] = token_tiles) -> DataFrame:
     """Adds normalized, corrected, corrections, quality and result to rows with a transcript; no shuffle.
 
-    Unusable chunks keep their row and have no result.  A blank or null transcript is unusable (``strict``: an error).
+    ``tiler`` cuts a text into those that the scorer takes, such as ``WordPiece.tiles``; the default counts words.  Unusable chunks keep their row and have no result.  A blank or null transcript is unusable (``strict``: an error).
     """
     said = F.coalesce(F.col("transcript"), F.lit(""))
     done = chunks.withColumn("normalized", text.normalize(said))
     if strict:
         done = done.withColumn("normalized", F.when(F.col("normalized") != "", F.col("normalized")).otherwise(F.raise_error(F.lit("a transcript must not be blank"))))
     done = correct(done, "normalized", rules, kinds).withColumn("quality", quality.check(F.col("corrected"), gate))
-    tiles = token_tiles(F.when(F.col("quality.usable"), F.col("corrected")))
+    tiles = tiler(F.when(F.col("quality.usable"), F.col("corrected")))
     if scorer is None:
         return done.withColumn("result", F.lit(None).cast("struct<label:string,label_id:int,suspicion_score:double>"))
     logits = scorer.add(done, tiles, "__logits") if isinstance(scorer, ModelScorer) else done.withColumn("__logits", scorer(tiles))
@@ -102,17 +102,17 @@ def call_rows(calls: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def analyze(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False) -> DataFrame:
+def analyze(chunks: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), strict: bool = False, tiler: Callable[[Column], Column] = token_tiles) -> DataFrame:
     """Calls from chunks (call_id, chunk_index, start, end, transcript)."""
-    return rolled_up_calls(prepared(chunks, rules, scorer, gate, kinds, strict))
+    return rolled_up_calls(prepared(chunks, rules, scorer, gate, kinds, strict, tiler))
 
 
-def analyze_whole(transcripts: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",)) -> DataFrame:
+def analyze_whole(transcripts: DataFrame, rules: Iterable[Rule] = (), scorer: TileScorer | ModelScorer | None = None, gate: quality.Gate = quality.Gate(), kinds: Iterable[str] = ("typo",), tiler: Callable[[Column], Column] = token_tiles) -> DataFrame:
     """The path for calls that come as one transcript (call_id, transcript): no segments, and the label of the tiles' roll-up.
 
     Here raw_transcript is the normalised text.
     """
-    rows = prepared(transcripts, rules, scorer, gate, kinds)
+    rows = prepared(transcripts, rules, scorer, gate, kinds, tiler=tiler)
     usable = F.col("quality.usable")
     return rows.select(
         "call_id", F.col("result.label").alias("label"), F.col("result.suspicion_score").alias("suspicion_score"),

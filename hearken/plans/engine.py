@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule, checked
 from hearken.functions.quality import Gate
 from hearken.functions.scoring import ModelScorer
 from hearken.operators import calls
+from hearken.operators.tiling import token_tiles
 from hearken.session import work_folder
 from hearken.sources.audio import audio_chunks
 from hearken.sources.transcribe import transcripts
@@ -24,7 +25,7 @@ Transcriber = Callable[[DataFrame], DataFrame]
 @dataclass
 class Engine:
     """Holds what a deployment plugs in.  ``scorer`` maps arrays of texts to arrays of logit pairs, or wraps a Python model;
-    ``transcriber`` adds texts to rows of audio tiles, or ``speech`` loads a Python model that reads whole files.
+    ``tiler`` cuts texts into what the scorer takes, ``transcriber`` adds texts to rows of audio tiles, or ``speech`` loads a Python model that reads whole files.
 
     None is shipped: all are trained models.  Without a scorer the engine is not ready to analyse.
     """
@@ -38,6 +39,7 @@ class Engine:
     strict: bool = False
     speech: Callable[[], Any] | None = None
     decoders: dict[str, Callable[[bytes], Any]] = field(default_factory=dict)
+    tiler: Callable[[Column], Column] = token_tiles
 
     def __post_init__(self) -> None:
         self.rules = checked(self.rules)
@@ -50,12 +52,12 @@ class Engine:
     def analyze(self, chunks: DataFrame) -> DataFrame:
         if self.scorer is None:
             raise ValueError("no scorer is plugged in")
-        return calls.analyze(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict)
+        return calls.analyze(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict, self.tiler)
 
     def analyze_whole(self, transcripts: DataFrame) -> DataFrame:
         if self.scorer is None:
             raise ValueError("no scorer is plugged in")
-        return calls.analyze_whole(transcripts, self.rules, self.scorer, self.gate, self.kinds)
+        return calls.analyze_whole(transcripts, self.rules, self.scorer, self.gate, self.kinds, self.tiler)
 
     def analyze_with_progress(self, chunks: DataFrame, report_stage: Callable[[str], None], report_progress: Callable[[dict], None] | None = None) -> DataFrame:
         """``analyze`` that reports: each stage as it begins, and the counts of chunks once they are prepared.
@@ -68,7 +70,7 @@ class Engine:
             report_stage(stage)
         spark = chunks.sparkSession
         path = f"{work_folder(spark, 'prepared')}/chunks"
-        calls.prepared(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict).write.parquet(path)
+        calls.prepared(chunks, self.rules, self.scorer, self.gate, self.kinds, self.strict, self.tiler).write.parquet(path)
         rows = spark.read.parquet(path)
         if report_progress is not None:
             done = rows.agg(F.count("*").alias("transcribed_chunks"), F.count("normalized").alias("normalized_chunks"), F.count("result").alias("classified_chunks"), F.count("*").alias("total_chunks"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.functions import display, quality, text
+from hearken.functions import display, quality, text, wordpiece
 from hearken.functions.correct import Rule, correct
 from hearken.functions.expr import same_float
 from hearken.functions.scoring import NORMAL, SUSPECT, classified, lexicon_scorer, softmax
@@ -281,6 +281,57 @@ def audio_tiles(spark, sf_dir):
     return tiles.select("doc_id", F.col("tile").cast("long").alias("tile"), "t.first", "t.last", same_float(F.col("t.start")).alias("start"), same_float(F.col("t.end")).alias("end_s"))
 
 
+#: A vocabulary from the documents' own words: single letters but z, the commonest starts of words, and pieces that go on with them.
+PIECES = 300
+ALONE_SQL = r"[!-/:-@\[-`{-~\p{P}]"
+CLEANED_SQL = "x"
+for _spaced, _closed in wordpiece.CLEANED:
+    CLEANED_SQL = f"replace({CLEANED_SQL}, {_spaced.replace(chr(39), chr(39) * 2)!r}, {_closed.replace(chr(39), chr(39) * 2)!r})".replace('"', chr(39))
+PIECE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents),
+lower AS (SELECT w FROM w WHERE regexp_full_match(w, '[a-z]+')),
+starts AS (SELECT substr(w, 1, 3) AS p FROM lower WHERE length(w) > 2 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {PIECES}),
+later AS (SELECT '##' || substr(w, 4, 2) AS p FROM lower WHERE length(w) > 4 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {PIECES}),
+letters AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxy.', '')) AS c),
+vocabulary AS (SELECT DISTINCT p FROM (SELECT p FROM starts UNION ALL SELECT p FROM later UNION ALL SELECT c FROM letters UNION ALL SELECT '##' || c FROM letters WHERE c <> '.')),
+given AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{ALONE_SQL}|[^\s{ALONE_SQL[1:-1]}]+') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM given),
+walk AS (SELECT word, 1 AS pos, []::VARCHAR[] AS ps FROM (SELECT DISTINCT word FROM placed WHERE length(word) <= 100)
+  UNION ALL SELECT word, pos + n, list_append(ps, p) FROM (
+    SELECT word, pos, ps, v.p, length(v.p) - CASE WHEN pos > 1 THEN 2 ELSE 0 END AS n, row_number() OVER (PARTITION BY word, pos ORDER BY length(v.p) DESC) AS k
+    FROM walk JOIN (SELECT unnest([1, 2, 3]) AS size) ON pos + size - 1 <= length(word) JOIN vocabulary v ON v.p = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(word, pos, size)) WHERE k = 1),
+made AS (SELECT word, ps FROM walk WHERE pos = length(word) + 1 AND len(ps) > 0),
+tokens AS (SELECT doc_id, i, unnest(range(len(coalesce(ps, ['[UNK]'])))) AS j, unnest(coalesce(ps, ['[UNK]'])) AS p FROM placed LEFT JOIN made USING (word)),
+counted AS (SELECT doc_id, p, pos, pos // 14 AS tile FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS pos FROM tokens)),
+tiles AS (SELECT doc_id, tile, count(*) AS n, replace(coalesce(string_agg(p, ' ' ORDER BY pos) FILTER (WHERE p <> '[UNK]'), ''), ' ##', '') AS x FROM counted GROUP BY doc_id, tile),
+said AS (SELECT doc_id, tile, {CLEANED_SQL} AS t FROM tiles),
+per AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE p = '[UNK]') AS n_unknown FROM counted GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n_tiles, md5(string_agg(t, '|' ORDER BY tile)) AS digest FROM said WHERE trim(t) <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_unknown, 0)::BIGINT AS n_unknown, CASE WHEN coalesce(n_tokens, 0) <= 14 THEN 1 ELSE coalesce(n_tiles, 0) END::BIGINT AS n_tiles,
+  CASE WHEN coalesce(n_tokens, 0) <= 14 THEN md5(coalesce(text, '')) ELSE coalesce(digest, md5('')) END AS digest
+FROM documents LEFT JOIN per USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
+def piece_vocabulary(docs: DataFrame) -> list[str]:
+    w = docs.select(F.explode(F.split("text", " ")).alias("w")).where(F.col("w").rlike("^[a-z]+$"))
+    common = lambda of: [r.p for r in of.groupBy("p").count().orderBy(F.desc("count"), "p").limit(PIECES).collect()]
+    starts = common(w.where("length(w) > 2").select(F.substring("w", 1, 3).alias("p")))
+    later = common(w.where("length(w) > 4").select(F.concat(F.lit("##"), F.substring("w", 4, 2)).alias("p")))
+    letters = "abcdefghijklmnopqrstuvwxy"
+    return list(dict.fromkeys(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, ".", *("##" + c for c in letters), *starts, *later]))
+
+
+@query(PIECE_SQL)
+def piece_tiles(spark, sf_dir):
+    """Tiles of 14 pieces; words with capitals, accents or z are unknown, so some tiles are blank and go."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("said"))
+    pieces = wordpiece.WordPiece(piece_vocabulary(docs.select(F.col("said").alias("text"))))
+    made = docs.select("doc_id", pieces.encode(F.col("said")).alias("ids"), pieces.tiles(F.col("said"), 16).alias("tiles"))
+    unknown = F.size(F.filter("ids", lambda k: k == pieces.none))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), unknown.cast("long").alias("n_unknown"), F.size("tiles").cast("long").alias("n_tiles"), F.md5(F.array_join("tiles", "|")).alias("digest"))
+
+
 #: Characters as samples at 24 kHz: two filters, of 23 taps, make 16 kHz of them.
 RESAMPLED_SQL = """
 WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: (ord(c) % 256 - 128) / 128.0::DOUBLE) AS x FROM documents),
