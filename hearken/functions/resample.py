@@ -8,6 +8,7 @@ with a period, so there are as many filters as outputs in one; frames of input a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -31,23 +32,39 @@ def bank(rate: int, to: int) -> tuple[np.ndarray, int]:
     return weights(at - np.arange(to)[None, :] / to, band) * band / rate, reach
 
 
-def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Samples at another rate, as many as it has in the time of the given ones, rounded up; silence is taken to lie around them."""
+def resampled_part(between: Callable[[int, int], np.ndarray], n: int, rate: int, to: int, first: int, last: int) -> np.ndarray:
+    """Outputs first to last - 1 of n samples at another rate; ``between(a, b)`` reads those from a to b - 1, and no more than the
+    outputs need are read at a time."""
     if rate <= 0 or to <= 0:
         raise ValueError("rates must be positive")
-    samples = np.asarray(samples)
     common = math.gcd(rate, to)
     rate, to = rate // common, to // common
-    n = len(samples)
-    if rate == to or not n:
-        return samples
+    if rate == to:
+        return between(first, last)
     filters, reach = bank(rate, to)
-    taps, frames = len(filters), -(-n // rate)
-    out = np.empty((frames, to), dtype=samples.dtype if samples.dtype.kind == "f" else np.float64)
-    for first in range(0, frames, FRAMES):
-        last = min(first + FRAMES, frames)
-        low, high = first * rate - reach, (last - 1) * rate - reach + taps
+    taps, done = len(filters), []
+    frame, end = first // to, -(-last // to)
+    while frame < end:
+        stop = min(frame + FRAMES, end)
+        low, high = frame * rate - reach, (stop - 1) * rate - reach + taps
+        given = between(max(0, low), min(n, high)) if low < n and high > 0 else np.zeros(0)
         part = np.zeros(high - low, dtype=np.float64)
-        part[max(0, -low) : max(0, -low) + min(n, high) - max(0, low)] = samples[max(0, low) : min(n, high)]
-        out[first:last] = np.lib.stride_tricks.sliding_window_view(part, taps)[::rate] @ filters
-    return out.ravel()[: -(-n * to // rate)]
+        part[max(0, -low) : max(0, -low) + len(given)] = given
+        done.append(np.lib.stride_tricks.sliding_window_view(part, taps)[::rate] @ filters)
+        frame = stop
+    out = np.concatenate(done).ravel() if done else np.zeros(0)
+    return out[first - first // to * to :][: last - first]
+
+
+def size_after(n: int, rate: int, to: int) -> int:
+    """How many samples n samples are at another rate: as many as it has in their time, rounded up."""
+    return -(-n * to // rate)
+
+
+def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Samples at another rate; silence is taken to lie around the given ones."""
+    samples = np.asarray(samples)
+    if rate == to and rate > 0 or not len(samples):
+        return samples
+    out = resampled_part(lambda a, b: samples[a:b], len(samples), rate, to, 0, size_after(len(samples), rate, to) if rate > 0 and to > 0 else 0)
+    return out.astype(samples.dtype) if samples.dtype.kind == "f" else out

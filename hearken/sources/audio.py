@@ -42,11 +42,8 @@ def upload_error(filename: Column, content_type: Column, content: Column) -> Col
     )
 
 
-def decoded_wav(blob: bytes) -> np.ndarray:
-    """Mono float samples at 16 kHz.  Channels are averaged, other rates are resampled."""
-    with wave.open(io.BytesIO(blob)) as sound:
-        width, channels, rate = sound.getsampwidth(), sound.getnchannels(), sound.getframerate()
-        raw = sound.readframes(sound.getnframes())
+def mono_samples(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Whole PCM frames of so many bytes a sample as floats, channels averaged."""
     if width == 1:
         samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
     elif width == 3:
@@ -54,8 +51,15 @@ def decoded_wav(blob: bytes) -> np.ndarray:
         samples = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
     else:
         samples = np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    mono = samples.reshape(-1, channels).mean(axis=1, dtype=np.float32)
-    return resampled(mono, rate, RATE)
+    return samples.reshape(-1, channels).mean(axis=1, dtype=np.float32)
+
+
+def decoded_wav(blob: bytes) -> np.ndarray:
+    """Mono float samples at 16 kHz.  Channels are averaged, other rates are resampled."""
+    with wave.open(io.BytesIO(blob)) as sound:
+        width, channels, rate = sound.getsampwidth(), sound.getnchannels(), sound.getframerate()
+        raw = sound.readframes(sound.getnframes())
+    return resampled(mono_samples(raw, width, channels), rate, RATE)
 
 
 def resampled_column(samples: Column, rate: int, to: int = RATE) -> Column:
