@@ -69,12 +69,27 @@ def fold_in_order(df: DataFrame, key: str, order: list[str], used: list[str], in
 def rate_limited(requests: DataFrame, most: int = 10, window: float = 60.0, key: str = "owner_key", seconds: str = "seconds", tie: str = "request_id") -> DataFrame:
     """Requests with ``allowed``: at most ``most`` allowed ones of a key in any ``window`` seconds; refused ones do not count.
 
-    Equal times go by ``tie``.  The state of a key is its last ``most`` allowed times.
+    Equal times go by ``tie``.  The state of a key is its last ``most`` allowed times, and none after a pause of a window; so a key
+    is cut at its pauses and its parts are walked apart, by many tasks.  Pauses are found among the windows that hold requests, of
+    which there is a row each; rows without a time are a part of their own.
     """
     from collections import deque
 
+    if window <= 0:
+        raise ValueError("a window must be positive")
+    # Requests that are parted by two empty windows are more than a window apart, however quotients are rounded.
+    at = F.floor(F.col(seconds) / window)
+    seen = requests.select(F.col(key).alias("__key"), at.alias("__at")).distinct()
+    order = Window.partitionBy("__key").orderBy("__at")
+    begins = F.coalesce((F.col("__at") - F.lag("__at").over(order) > 2).cast("long"), F.lit(1))
+    parts = seen.withColumn("__begins", begins).withColumn("__part", F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__begins")
+    placed = requests.join(parts, requests[key].eqNullSafe(F.col("__key")) & at.eqNullSafe(F.col("__at")), "left").withColumn("__of", F.struct("__key", "__part"))
+    cut = placed.select(*[requests[c] for c in requests.columns], "__of")
+
     def step(log, row: dict) -> tuple:
         now = row[seconds]
+        if now is None:
+            return (None,)
         while log and now - log[0] >= window:
             log.popleft()
         if len(log) >= most:
@@ -82,7 +97,7 @@ def rate_limited(requests: DataFrame, most: int = 10, window: float = 60.0, key:
         log.append(now)
         return (True,)
 
-    return fold_in_order(requests, key, [seconds, tie], [seconds], deque, step, "allowed boolean")
+    return fold_in_order(cut, "__of", [seconds, tie], [seconds], deque, step, "allowed boolean").drop("__of")
 
 
 def job_states(events: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Some inputs are derived from the tables by fixed rules, since the tables themsel
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -725,6 +727,25 @@ def job_views(spark, sf_dir):
     return seen.select("job_id", "status", "stage", "progress", "error_code", "result", F.col("progress_details")["details"].alias("details"))
 
 
+@query(JOBS_SQL + """
+, last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS back FROM w WHERE k > 0)
+SELECT e.event_id AS request_id, e.job_id, now_status AS status, now_progress AS progress, CASE WHEN now_status IS NULL THEN 'JOB.NOT_FOUND' END AS error_code
+FROM (SELECT event_id, 'job_' || CASE WHEN event_id % 10 = 0 THEN -user_id ELSE user_id END AS job_id FROM events) e LEFT JOIN (SELECT * FROM last WHERE back = 1 AND now_status IS NOT NULL) l ON l.job_id = e.job_id
+""")
+def job_lookups(spark, sf_dir):
+    """Every event as a request for its job's status, of which each tenth names no job; both tables lie in the same buckets."""
+    from hearken.session import work_folder
+    from hearken.sources import jobstore
+
+    out, name = work_folder(spark, "lookups"), f"hearken_{uuid.uuid4().hex}"
+    stored = jobstore.write_jobs(jobs.latest_jobs(jobs.job_states(job_events(spark, sf_dir))), f"{name}_jobs", buckets=16, path=f"{out}/jobs")
+    user = F.when(F.col("event_id") % 10 == 0, -F.col("user_id")).otherwise(F.col("user_id")).cast("string")
+    asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("job_"), user).alias("job_id"))
+    requests = jobstore.write_jobs(asked, f"{name}_requests", buckets=16, path=f"{out}/requests")
+    found = jobstore.lookup_all(requests, stored)
+    return found.select("request_id", "job_id", "status", "progress", F.when(F.col("status").isNull(), "JOB.NOT_FOUND").alias("error_code"))
+
+
 @query("SELECT event_id, 'see [REDACTED] and [REDACTED]' AS message FROM events")
 def redaction(spark, sf_dir):
     said = F.concat(F.lit("see hf_aB"), F.col("event_id").cast("string"), F.lit("-x and s3cr3t"))

@@ -1,0 +1,118 @@
+"""Lookups by id: what a plan reads, and joins without a shuffle; the rate limiter's parts."""
+
+import random
+import re
+from collections import defaultdict, deque
+
+import pytest
+
+from hearken.operators import jobs
+from hearken.sources import jobstore
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("jobs"))
+    rows = [(f"job_{k}", "completed" if k % 2 else "queued", k) for k in range(4000)] + [(None, "queued", -1)]
+    df = spark.createDataFrame(rows, "job_id string, status string, progress int")
+    return jobstore.write_jobs(df, "stored_jobs", buckets=8, path=f"{path}/t"), f"{path}/t"
+
+
+def scan_metrics(df):
+    """Rows that the scan of a collected frame read."""
+    df.collect()
+    found = {}
+
+    def walk(node):
+        m = node.metrics()
+        for name in ("numOutputRows",):
+            if "Scan" in node.nodeName() and m.contains(name):
+                found[name] = m.apply(name).value()
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return found
+
+
+def test_a_lookup_reads_one_bucket(spark, stored):
+    found = jobstore.lookup(spark, "stored_jobs", ["job_77", None, "job_77"])
+    assert scan_metrics(found)["numOutputRows"] < 1000 and found.rdd.getNumPartitions() == 1
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # off, the plan tells the buckets
+    spark.conf.set(auto, "false")
+    try:
+        told = jobstore.lookup(spark, "stored_jobs", ["job_77"])
+        assert "SelectedBucketsCount: 1 out of 8" in told._jdf.queryExecution().executedPlan().toString()
+        assert scan_metrics(told)["numOutputRows"] < 1000
+    finally:
+        spark.conf.unset(auto)
+    assert [tuple(r) for r in found.select("job_id", "status", "progress").collect()] == [("job_77", "completed", 77)]
+    assert jobstore.lookup(spark, "stored_jobs", ["nobody"]).count() == 0 and jobstore.lookup(spark, "stored_jobs", []).count() == 0
+
+
+def test_a_file_per_bucket_with_filters(spark, stored):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob(f"{stored[1]}/*.parquet")
+    assert len(files) == 8
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in files]
+    assert sum(sizes) == 4001
+    for f in files:
+        ids = [x for x in pq.read_table(f, columns=["job_id"]).column(0).to_pylist() if x is not None]
+        assert ids == sorted(ids)
+
+
+def test_filters_skip_row_groups(spark, stored):
+    """An id inside the bounds of its bucket that no row has: the filter rules its row groups out, so no row is read."""
+    absent = [f"job_{k}x" for k in range(50)]
+    read = sum(scan_metrics(jobstore.lookup(spark, "stored_jobs", [x])).get("numOutputRows", 0) for x in absent)
+    assert read < 5 * 500  # of some 500 rows in each of 50 buckets
+
+
+def test_joins_of_equal_buckets_do_not_shuffle(spark, stored, tmp_path):
+    asked = spark.createDataFrame([(k, f"job_{k * 3}") for k in range(2000)] + [(-1, None)], "request_id int, job_id string")
+    requests = jobstore.write_jobs(asked, "stored_requests", buckets=8, path=f"{tmp_path}/r")
+    joined = jobstore.lookup_all(requests, stored[0])
+    rows = {r.request_id: r.progress for r in joined.collect()}
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert len(rows) == 2001 and rows[5] == 15 and rows[1999] is None and rows[-1] is None
+    with pytest.raises(ValueError):
+        jobstore.write_jobs(asked, "none", buckets=0)
+
+
+def plain(rows, most, window):
+    by = defaultdict(list)
+    for key, t, n in rows:
+        by[key].append((t, n))
+    out = {}
+    for asked in by.values():
+        log = deque()
+        for t, n in sorted(x for x in asked if x[0] is not None):
+            while log and t - log[0] >= window:
+                log.popleft()
+            out[n] = len(log) < most
+            if out[n]:
+                log.append(t)
+        out.update({n: None for t, n in asked if t is None})
+    return out
+
+
+def test_parts_of_a_key_decide_as_the_whole(spark):
+    rng = random.Random(5)
+    rows, t = [], 0.0
+    for n in range(900):
+        t += rng.choice([0.1, 1.0, 7.0, 10.0, 20.0, 30.0, 45.0])
+        rows.append((rng.choice(["hot", "hot", "hot", "o", None]), rng.choice([t, t, t, -t]), n))
+    rows += [("hot", None, 1000), (None, None, 1001)]
+    asked = spark.createDataFrame(rows, "owner_key string, seconds double, request_id long")
+    done = jobs.rate_limited(asked, 3, 10.0)
+    assert done.columns == ["owner_key", "seconds", "request_id", "allowed"]
+    assert {r.request_id: r.allowed for r in done.collect()} == plain(rows, 3, 10.0)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(__of", plan)  # by key and part, not by key alone
+    with pytest.raises(ValueError):
+        jobs.rate_limited(asked, 3, 0.0)
