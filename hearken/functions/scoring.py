@@ -6,11 +6,13 @@ tests and benchmarks, not a trained model; a real one goes into a ``ModelScorer`
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,15 +64,48 @@ def logit_rows(raw: Sequence, n: int) -> np.ndarray:
     return rows
 
 
+class Filled:
+    """Texts of many rows as full batches for a model, whose answers go back to the rows in order.
+
+    Less than a batch waits for the next rows; only the last batch of a task may be short.
+    """
+
+    def __init__(self, model: Callable[[list[str]], Sequence], batch: int):
+        self.model, self.batch = model, batch
+        self.texts: list[str] = []
+        self.answers: deque = deque()
+
+    def add(self, texts: list[str]) -> None:
+        self.texts += texts
+        full = len(self.texts) - len(self.texts) % self.batch
+        self.ask(full)
+
+    def ask(self, n: int) -> None:
+        for k in range(0, n, self.batch):
+            part = self.texts[k : min(k + self.batch, n)]
+            self.answers.extend(logit_rows(self.model(part), len(part)).tolist())
+        del self.texts[:n]
+
+    def flush(self) -> None:
+        self.ask(len(self.texts))
+
+    def take(self, n: int) -> list:
+        return [self.answers.popleft() for _ in range(n)]
+
+
 @dataclass(frozen=True)
 class ModelScorer:
-    """Scores tiles with a Python model.  ``load`` runs once per task; the model gets up to ``batch`` texts at a time.
+    """Scores tiles with a Python model.  ``load`` runs once per task; the model gets ``batch`` texts at a time, from as many rows
+    as it takes, and fewer only at a task's end.
 
-    It works on whole rows, as a step of its own in the plan.  Rows with null tiles are not scored.  A blank text is an error.
+    It works on whole rows, as a step of its own in the plan; with a ``profile`` that step runs on executors of that resource
+    profile, such as those with an accelerator, and the others do not ask for one.  Rows with null tiles are not scored.  A
+    blank text is an error.
     """
 
     load: Callable[[], Callable[[list[str]], Sequence]]
     batch: int = 8
+    profile: ResourceProfile | None = None
 
     def add(self, df: DataFrame, tiles: Column, out: str) -> DataFrame:
         """``df`` with the logits of an array of texts."""
@@ -79,16 +114,25 @@ class ModelScorer:
         pairs = pa.list_(pa.list_(pa.float64()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = load()
+            filled, waiting = Filled(load(), batch), deque()
+
+            def scored() -> Iterator[pa.RecordBatch]:
+                """Rows all of whose texts have been scored."""
+                while waiting and waiting[0][2] <= len(filled.answers):
+                    rows, sizes, _ = waiting.popleft()
+                    made = pa.array([None if n is None else filled.take(n) for n in sizes], pairs)
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:at], made], rows.schema.names)
+
             for rows in batches:
                 texts = rows.column(at).to_pylist()
                 flat = [t for row in texts if row is not None for t in row]
                 if any(not t or not t.strip() for t in flat):
                     raise ValueError("a text to score must not be blank")
-                parts = [logit_rows(model(flat[k : k + batch]), len(flat[k : k + batch])) for k in range(0, len(flat), batch)]
-                done = iter(np.concatenate(parts).tolist() if parts else [])
-                made = pa.array([None if row is None else [next(done) for _ in row] for row in texts], pairs)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:at], made], rows.schema.names)
+                waiting.append((rows, [None if row is None else len(row) for row in texts], len(flat)))
+                filled.add(flat)
+                yield from scored()
+            filled.flush()
+            yield from scored()
 
         logits = T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))
-        return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], logits]))
+        return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], logits]), profile=self.profile)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +32,11 @@ def heard_by(model: Any, audio: bytes) -> Iterator[tuple[int, int, float | None,
         yield 1, 1, None, None, getattr(model, "transcribe", model)(audio)
 
 
-def transcripts(files: DataFrame, load: Callable[[], Any], strict: bool = True) -> DataFrame:
+def transcripts(files: DataFrame, load: Callable[[], Any], strict: bool = True, profile: ResourceProfile | None = None) -> DataFrame:
     """HEARD of files (filename, content): a row per chunk, or one with ``whole`` set for a model that only gives one text.
 
     ``load`` builds the model, once per task.  A model for another language is an error, and so is audio without any chunk; blank
-    texts are errors too unless ``strict`` is False.
+    texts are errors too unless ``strict`` is False.  With a ``profile`` the step runs on executors of that resource profile.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,4 +54,4 @@ def transcripts(files: DataFrame, load: Callable[[], Any], strict: bool = True)
                 kinds = (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["call_id", "chunk_index", "total_chunks", "start", "end", "transcript", "whole"])
 
-    return files.select(F.col("filename").cast("string"), "content").mapInArrow(run, HEARD)
+    return files.select(F.col("filename").cast("string"), "content").mapInArrow(run, HEARD, profile=profile)
