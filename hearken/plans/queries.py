@@ -6,18 +6,21 @@ Some inputs are derived from the tables by fixed rules, since the tables themsel
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.functions import display, quality, text, wordpiece
 from hearken.functions.correct import Rule, correct
 from hearken.functions.expr import same_float
-from hearken.functions.scoring import NORMAL, SUSPECT, classified, lexicon_scorer, softmax
+from hearken.functions.scoring import NORMAL, SUSPECT, ModelScorer, classified, lexicon_scorer, softmax
 from hearken.operators import calls, dataset, evaluation, jobs, tiling
 from hearken.session import spread
-from hearken.sources.audio import resampled_column, upload_error
+from hearken.sources.audio import audio_chunks, decoded_wav, resampled_column, upload_error
 
 #: The surrogate's lexicon, and the rules that the correction queries apply.
 LEXICON = ("worthless", "with", "that", "from", "dans", "pour", "nicht", "und", "para", "que")
@@ -135,6 +138,21 @@ def domain_correct(spark, sf_dir):
     return correct(docs, "text", RULES).select("doc_id", F.md5("corrected").alias("digest"), F.array_join(F.transform("corrections", lambda c: c["rule_id"]), ",").alias("rules"))
 
 
+@query(
+    CORRECTED_SQL + """, fired AS (SELECT c0.doc_id, list_filter([CASE WHEN c0.t <> c1.t THEN 1 END, CASE WHEN c1.t <> c2.t THEN 2 END, CASE WHEN c2.t <> c3.t THEN 3 END, CASE WHEN c3.t <> c4.t THEN 4 END], lambda x: x IS NOT NULL) AS ks
+  FROM c0 JOIN c1 USING (doc_id) JOIN c2 USING (doc_id) JOIN c3 USING (doc_id) JOIN c4 USING (doc_id)),
+told AS (SELECT unnest([1, 2, 3, 4]) AS k, unnest(["""
+    + ", ".join("{" + ", ".join(f"'{f}': '{getattr(r, f)}'" for f in ("rule_id", "source", "target", "reason", "kind")) + "}" for r in RULES[:4])
+    + """]) AS r)
+SELECT doc_id, place, r.rule_id AS rule_id, r.source AS source, r.target AS target, r.reason AS reason, r.kind AS kind FROM (SELECT doc_id, unnest(range(len(ks))) AS place, unnest(ks) AS k FROM fired) JOIN told USING (k)"""
+)
+def applied_corrections(spark, sf_dir):
+    """Every correction of every document with all its fields, in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = correct(docs, "text", RULES).select("doc_id", F.posexplode("corrections").alias("at", "c"))
+    return rows.select("doc_id", F.col("at").cast("long").alias("place"), "c.rule_id", "c.source", "c.target", "c.reason", "c.kind")
+
+
 #: Two thousand rules from the documents' own words, each turning a word's first letter to its end, wherever it stands; the dialect
 #: folds them one after the other, with the names of those that fired behind a mark.
 MANY = 2000
@@ -259,6 +277,28 @@ def chunk_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("call_id", "chunk_index", F.col("quality.usable").alias("usable"), same_float(F.col("result.suspicion_score")).alias("score"), F.col("result.label").alias("label"))
 
 
+def lexicon_model():
+    """The surrogate as a Python model behind the plug-in: texts in, two logits each; a single text's come with a batch axis more."""
+
+    def model(texts: list[str]) -> list:
+        if len(texts) > 8:
+            raise ValueError("a batch has eight texts at most")
+        rows = []
+        for t in texts:
+            found = [w for w in re.split(r"[\W_]+", t.lower()) if w]
+            rows.append([0.0, 24.0 * sum(w in LEXICON for w in found) / max(len(found), 1) - 2.0])
+        return [rows] if len(texts) == 1 else rows
+
+    return model
+
+
+@query(ORACLE_SQL["chunk_scores"])
+def model_scores(spark, sf_dir):
+    """Chunk scores by a Python model, in batches of eight across rows."""
+    rows = calls.prepared(chunks(spark, sf_dir), CALL_RULES, ModelScorer(lexicon_model))
+    return rows.select("call_id", "chunk_index", F.col("quality.usable").alias("usable"), same_float(F.col("result.suspicion_score")).alias("score"), F.col("result.label").alias("label"))
+
+
 WHOLE_SQL = SCORED_SQL.replace(CHUNKS_SQL, f"SELECT call_id, 0 AS chunk_index, 0.0 AS start, 0.0 AS end_s, string_agg(said, ' ' ORDER BY chunk_index, said) AS said FROM ({CHUNKS_SQL}) GROUP BY call_id")
 
 
@@ -357,6 +397,43 @@ def resampled_audio(spark, sf_dir):
     return made.select("doc_id", F.size("y").cast("long").alias("n_samples"), same_float(energy, 4).alias("energy"), same_float(peak).alias("peak"))
 
 
+#: Characters as two channels of 16 bits at 16 kHz, the second silent, in tiles of a twentieth of a second.
+WAV_SQL = """
+WITH s AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda c: c <> ''), lambda c: ord(c) % 256 - 128) AS x FROM documents),
+t AS (SELECT doc_id, x, unnest(range(0, len(x), 800)) AS a FROM s)
+SELECT doc_id::VARCHAR || '.wav' AS filename, (a // 800 + 1)::INT AS chunk_index, ((len(x) + 799) // 800)::INT AS total_chunks, round(a / 16000.0::DOUBLE, 7) AS start, round(least(a + 800, len(x)) / 16000.0::DOUBLE, 7) AS end_s,
+  (44 + 2 * len(x[a + 1:a + 800]))::BIGINT AS wav_bytes, len(x[a + 1:a + 800])::BIGINT AS n_samples, (128 * list_sum(x[a + 1:a + 800]))::BIGINT AS total FROM t
+"""
+
+
+@query(WAV_SQL)
+def wav_tiles(spark, sf_dir):
+    """Documents' characters as stereo WAV files, decoded to one channel, cut into tiles, each written as WAV and read again."""
+    given = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != "")
+    hexed = F.transform(given, lambda c: F.concat(F.lit("00"), F.lpad(F.hex(F.pmod(F.ascii(c) % 256 - 128, F.lit(256))), 2, "0"), F.lit("0000")))
+    data = F.array_join(hexed, "")
+    size = F.size(given) * 4
+    little = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
+    head = F.concat(F.lit("52494646"), little(size + 36), F.lit("57415645666D74201000000001000200803E000000FA000004001000"), F.lit("64617461"), little(size))
+    files = spread(table(spark, sf_dir, "documents")).select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("filename"), F.unhex(F.concat(head, data)).alias("content"))
+    tiles = audio_chunks(files, 0.05).where("error is null")
+    return tiles.select(
+        "filename", "chunk_index", "total_chunks", same_float(F.col("start"), 7).alias("start"), same_float(F.col("end"), 7).alias("end_s"), F.length("wav").cast("long").alias("wav_bytes"),
+        *[sample_sums(F.col("wav"))[k].alias(k) for k in ("n_samples", "total")],
+    )
+
+
+def sample_sums(wav: Column) -> Column:
+    """struct(n_samples, total) of a WAV's samples as whole numbers of 16 bits."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            sounds = [decoded_wav(x) for x in column.to_pylist()]
+            yield pa.array([{"n_samples": len(x), "total": round(float((x.astype("float64") * 32768).sum()))} for x in sounds], pa.struct([("n_samples", pa.int64()), ("total", pa.int64())]))
+
+    return F.arrow_udf(run, "struct<n_samples:long,total:long>")(wav)
+
+
 @query("""
 WITH w AS (SELECT doc_id, said, list_filter(string_split_regex(said, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, coalesce(text, '') AS said FROM documents)),
 t AS (SELECT doc_id, len(w) AS n_tokens, CASE WHEN len(w) <= 126 THEN [said] ELSE list_transform(range(0, len(w), 126), lambda k: array_to_string(w[k + 1:k + 126], ' ')) END AS tiles FROM w)
@@ -789,6 +866,21 @@ def display_values(spark, sf_dir):
     return rows.select("event_id", same_float(percent).alias("percent"), bad.alias("suspicious"), display.risk_label(bad).alias("risk"), display.level_band(display.risk_level(bad)).alias("band"), display.upload_size(F.col("n")).alias("upload"), display.demo_stage(F.col("e")).alias("demo"))
 
 
+@query("SELECT event_id, format('{:.2f}%', (event_id % 1001) / 1000.0::DOUBLE * 100) AS shown, CASE WHEN event_id % 5 = 0 THEN '-' ELSE format('{:.2f}%', (event_id % 97) / 100.0::DOUBLE * 100) END AS other FROM events")
+def percent_texts(spark, sf_dir):
+    """Scores as they are shown, and the mark of those that are missing."""
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", display.percent_text((n % 1001) / 1000.0).alias("shown"), display.percent_text(F.when(n % 5 != 0, (n % 97) / 100.0)).alias("other"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_jobs, count(*) AS n_requests, true AS well_formed FROM events")
+def new_ids(spark, sf_dir):
+    """Random identifiers for every event: all of their form, no two alike."""
+    made = table(spark, sf_dir, "events").select(text.new_id("job", 32).alias("job"), text.new_id("req", 12).alias("request"))
+    formed = F.col("job").rlike("^job_[0-9a-f]{32}$") & F.col("request").rlike("^req_[0-9a-f]{12}$")
+    return made.agg(F.count("*").alias("n"), F.countDistinct("job").alias("n_jobs"), F.countDistinct("request").alias("n_requests"), F.bool_and(formed).alias("well_formed"))
+
+
 @query("SELECT s.stage, t.status, k.step, CASE WHEN t.status = 'completed' THEN 'completed' WHEN t.status = 'failed' AND s.stage = k.step THEN 'failed' WHEN k.i < s.i THEN 'completed' WHEN k.i = s.i THEN 'running' ELSE 'pending' END AS state FROM (SELECT unnest(x) AS stage, unnest(range(8)) AS i FROM (SELECT ['queued', 'preprocessing', 'transcribing', 'normalizing', 'classifying', 'risk_search', 'finalizing', 'completed'] AS x)) s, (SELECT unnest(['running', 'failed', 'completed']) AS status) t, (SELECT unnest(x) AS step, unnest(range(8)) AS i FROM (SELECT ['queued', 'preprocessing', 'transcribing', 'normalizing', 'classifying', 'risk_search', 'finalizing', 'completed'] AS x)) k")
 def step_states(spark, sf_dir):
     """All combinations of a job's stage and status with a step of the list."""
