@@ -786,9 +786,16 @@ def job_progress(spark, sf_dir):
     return jobs.shown_progress(made).select("job_id", "seq", "shown_progress", "shown_stage")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', {s}, '{g}', {str(r).lower()})" for c, s, g, r in jobs.ERRORS) + ") AS t(error_code, status_code, stage, retryable)")
+CODES_SQL = "(VALUES " + ", ".join(f"('{c}', {s}, '{g}', {str(r).lower()})" for c, s, g, r in jobs.ERRORS) + ") AS t(error_code, status_code, stage, retryable)"
+CODE_LIST_SQL = "[" + ", ".join(f"'{c}'" for c, *_ in jobs.ERRORS) + ", 'NO.SUCH_CODE']"
+
+
+@query(f"SELECT event_id, e.error_code, status_code, stage, retryable FROM (SELECT event_id, ({CODE_LIST_SQL})[1 + event_id % {len(jobs.ERRORS) + 1}] AS error_code FROM events) e LEFT JOIN {CODES_SQL} USING (error_code)")
 def error_codes(spark, sf_dir):
-    return jobs.error_codes(spark)
+    """What is answered to every event's error: status, stage and whether a retry can help; nothing for unknown codes."""
+    names = F.array(*[F.lit(c) for c, *_ in jobs.ERRORS], F.lit("NO.SUCH_CODE"))
+    seen = table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % (len(jobs.ERRORS) + 1) + 1).cast("int")).alias("error_code"))
+    return seen.join(F.broadcast(jobs.error_codes(spark)), "error_code", "left").select("event_id", "error_code", "status_code", "stage", "retryable")  # a row per code
 
 
 @query(JOBS_SQL + """
@@ -881,12 +888,18 @@ def new_ids(spark, sf_dir):
     return made.agg(F.count("*").alias("n"), F.countDistinct("job").alias("n_jobs"), F.countDistinct("request").alias("n_requests"), F.bool_and(formed).alias("well_formed"))
 
 
-@query("SELECT s.stage, t.status, k.step, CASE WHEN t.status = 'completed' THEN 'completed' WHEN t.status = 'failed' AND s.stage = k.step THEN 'failed' WHEN k.i < s.i THEN 'completed' WHEN k.i = s.i THEN 'running' ELSE 'pending' END AS state FROM (SELECT unnest(x) AS stage, unnest(range(8)) AS i FROM (SELECT ['queued', 'preprocessing', 'transcribing', 'normalizing', 'classifying', 'risk_search', 'finalizing', 'completed'] AS x)) s, (SELECT unnest(['running', 'failed', 'completed']) AS status) t, (SELECT unnest(x) AS step, unnest(range(8)) AS i FROM (SELECT ['queued', 'preprocessing', 'transcribing', 'normalizing', 'classifying', 'risk_search', 'finalizing', 'completed'] AS x)) k")
+@query(f"""
+WITH s AS (SELECT event_id, 1 + event_id % 8 AS i, ({STAGE_LIST_SQL})[1 + event_id % 8] AS stage, (['running', 'failed', 'completed'])[1 + event_id % 3] AS status FROM events),
+k AS (SELECT *, unnest(range(1, 9)) AS j FROM s)
+SELECT event_id, ({STAGE_LIST_SQL})[j] AS step, CASE WHEN status = 'completed' THEN 'completed' WHEN status = 'failed' AND j = i THEN 'failed' WHEN j < i THEN 'completed' WHEN j = i THEN 'running' ELSE 'pending' END AS state FROM k
+""")
 def step_states(spark, sf_dir):
-    """All combinations of a job's stage and status with a step of the list."""
+    """The list of steps as it is shown for every event's stage and status."""
     names = F.array(*map(F.lit, display.STAGES))
-    rows = spark.range(1).select(F.explode(names).alias("stage")).withColumn("status", F.explode(F.array(*map(F.lit, ("running", "failed", "completed"))))).withColumn("step", F.explode(names))
-    return rows.select("stage", "status", "step", display.step_state(F.col("step"), F.col("stage"), F.col("status")).alias("state"))
+    pick = lambda values, n: F.element_at(values, (F.col("event_id") % n + 1).cast("int"))
+    told = table(spark, sf_dir, "events").select("event_id", pick(names, 8).alias("stage"), pick(F.array(*map(F.lit, ("running", "failed", "completed"))), 3).alias("status"))
+    rows = told.withColumn("step", F.explode(names))
+    return rows.select("event_id", "step", display.step_state(F.col("step"), F.col("stage"), F.col("status")).alias("state"))
 
 
 @query(CALLS_SQL)
