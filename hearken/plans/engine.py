@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from hearken.functions.correct import Rule, checked
 from hearken.functions.quality import Gate
@@ -16,7 +17,9 @@ from hearken.operators import calls
 from hearken.operators.tiling import token_tiles
 from hearken.session import work_folder
 from hearken.sources.audio import audio_chunks
+from hearken.sources.recordings import recording_tiles
 from hearken.sources.transcribe import transcripts
+from hearken.streaming.rollup import PATIENCE, run_calls
 
 #: From (filename, chunk_index, total_chunks, start, end, wav) to the same with a transcript.
 Transcriber = Callable[[DataFrame], DataFrame]
@@ -78,6 +81,20 @@ class Engine:
         report_stage("finalizing")
         return calls.rolled_up_calls(rows)
 
+    def analyze_stream(self, chunks: DataFrame, out: str, checkpoint: str, patience: float = PATIENCE, seconds: float | None = None) -> StreamingQuery:
+        """A stream of chunks with ``total_chunks`` to rows of calls in ``out``, each as its last chunk comes (``run_calls``)."""
+        if self.scorer is None:
+            raise ValueError("no scorer is plugged in")
+        prepare = lambda df: calls.prepared(df, self.rules, self.scorer, self.gate, self.kinds, self.strict, self.tiler)
+        return run_calls(chunks, prepare, out, checkpoint, patience, seconds)
+
+    def analyze_recordings(self, spark: SparkSession, path: str) -> DataFrame:
+        """WAV recordings of any length below a path to calls named by file; many tasks read one."""
+        if self.transcriber is None:
+            raise ValueError("no transcriber of tiles is plugged in")
+        heard = self.transcriber(recording_tiles(spark, path, self.chunk_seconds).where("error is null"))
+        return self.analyze(heard.withColumnRenamed("filename", "call_id"))
+
     def analyze_audio(self, files: DataFrame) -> DataFrame:
         """Files (filename, content) to calls named by file.  Files of which a model gives one text only are analysed whole."""
         if self.transcriber is not None:

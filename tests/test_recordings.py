@@ -5,7 +5,10 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from hearken.operators import calls
+from hearken.plans.engine import Engine
 from hearken.sources import recordings
 from hearken.sources.audio import audio_chunks, decoded_wav
 from hearken.sources.recordings import Range, recording_tiles, tiles
@@ -79,3 +82,13 @@ def test_two_gigabytes_in_bounded_memory(tmp_path):
 def test_options_are_checked():
     with pytest.raises(ValueError):
         recordings.RecordingReader({"path": "x", "seconds": "0"})
+
+
+def test_recordings_become_calls(spark, tmp_path):
+    (tmp_path / "x.wav").write_bytes(wav(22050, 1, 2, 1.1))
+    heard = lambda df: df.withColumn("transcript", F.concat(F.lit("part "), F.col("chunk_index").cast("string")))
+    engine = Engine(scorer=calls.per_tile(lambda t: F.array(F.lit(0.0), F.lit(1.0))), transcriber=heard, chunk_seconds=0.4)
+    (call,) = engine.analyze_recordings(spark, str(tmp_path)).collect()
+    assert call.call_id.endswith("x.wav") and call.raw_transcript == "part 1 part 2 part 3"
+    with pytest.raises(ValueError):
+        Engine().analyze_recordings(spark, str(tmp_path))

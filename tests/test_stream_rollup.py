@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions.correct import Rule
 from hearken.operators import calls
+from hearken.plans.engine import Engine
 from hearken.streaming import calls as streaming
 from hearken.streaming import rollup
 
@@ -133,3 +134,20 @@ def test_progress_is_observed_and_failure_reported_once(spark, place):
         assert "must not be blank" in failures[0]
     finally:
         spark.streams.removeListener(progress)
+
+
+def test_batches_are_as_large_as_the_source_admits(spark, place, tmp_path):
+    """One file a batch, and the next only when that one is written."""
+    for call, n in ((1, 3), (2, 1), (3, 2)):
+        place.add([chunk(call, k, n, f"words {k}") for k in range(n)])
+    engine = Engine(scorer=READ, rules=RULES)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        query = engine.analyze_stream(streaming.chunk_stream(spark, f"{tmp_path}/in"), place.out, place.log)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    query.awaitTermination()
+    assert sorted(p.numInputRows for p in query.recentProgress) == [1, 2, 3]
+    assert {c: r.error_code for c, r in place.rows().items()} == {1: None, 2: None, 3: None}
+    with pytest.raises(ValueError):
+        Engine().analyze_stream(streaming.chunk_stream(spark, f"{tmp_path}/in"), place.out, place.log)
