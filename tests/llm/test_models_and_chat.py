@@ -292,8 +292,9 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
-    want = con.sql(queries.ORACLE_SQL[name]).df()
-    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    assert sorted(map(repr, got[columns].itertuples(index=False, name=None))) == sorted(map(repr, want[columns].itertuples(index=False, name=None)))
+    in_order = lambda rows, names: sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in rows)
+    assert in_order(got.collect(), got.columns) == in_order(want.fetchall(), want.columns)
