@@ -790,12 +790,12 @@ CODES_SQL = "(VALUES " + ", ".join(f"('{c}', {s}, '{g}', {str(r).lower()})" for
 CODE_LIST_SQL = "[" + ", ".join(f"'{c}'" for c, *_ in jobs.ERRORS) + ", 'NO.SUCH_CODE']"
 
 
-@query(f"SELECT event_id, e.error_code, status_code, stage, retryable FROM (SELECT event_id, ({CODE_LIST_SQL})[1 + event_id % {len(jobs.ERRORS) + 1}] AS error_code FROM events) e LEFT JOIN {CODES_SQL} USING (error_code)")
+@query(f"SELECT event_id, e.error_code, coalesce(status_code, 0) AS status_code, stage, coalesce(retryable, false) AS retryable FROM (SELECT event_id, ({CODE_LIST_SQL})[1 + event_id % {len(jobs.ERRORS) + 1}] AS error_code FROM events) e LEFT JOIN {CODES_SQL} USING (error_code)")
 def error_codes(spark, sf_dir):
     """What is answered to every event's error: status, stage and whether a retry can help; nothing for unknown codes."""
     names = F.array(*[F.lit(c) for c, *_ in jobs.ERRORS], F.lit("NO.SUCH_CODE"))
     seen = table(spark, sf_dir, "events").select("event_id", F.element_at(names, (F.col("event_id") % (len(jobs.ERRORS) + 1) + 1).cast("int")).alias("error_code"))
-    return seen.join(F.broadcast(jobs.error_codes(spark)), "error_code", "left").select("event_id", "error_code", "status_code", "stage", "retryable")  # a row per code
+    return seen.join(F.broadcast(jobs.error_codes(spark)), "error_code", "left").select("event_id", "error_code", F.coalesce("status_code", F.lit(0)).alias("status_code"), "stage", F.coalesce("retryable", F.lit(False)).alias("retryable"))  # a row per code
 
 
 @query(JOBS_SQL + """
@@ -813,7 +813,7 @@ def job_views(spark, sf_dir):
 
 @query(JOBS_SQL + """
 , last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY k DESC) AS back FROM w WHERE k > 0)
-SELECT e.event_id AS request_id, e.job_id, now_status AS status, now_progress AS progress, CASE WHEN now_status IS NULL THEN 'JOB.NOT_FOUND' END AS error_code
+SELECT e.event_id AS request_id, e.job_id, now_status AS status, coalesce(now_progress, -1) AS progress, CASE WHEN now_status IS NULL THEN 'JOB.NOT_FOUND' END AS error_code
 FROM (SELECT event_id, 'job_' || CASE WHEN event_id % 10 = 0 THEN -user_id ELSE user_id END AS job_id FROM events) e LEFT JOIN (SELECT * FROM last WHERE back = 1 AND now_status IS NOT NULL) l ON l.job_id = e.job_id
 """)
 def job_lookups(spark, sf_dir):
@@ -827,7 +827,7 @@ def job_lookups(spark, sf_dir):
     asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("job_"), user).alias("job_id"))
     requests = jobstore.write_jobs(asked, f"{name}_requests", buckets=16, path=f"{out}/requests")
     found = jobstore.lookup_all(requests, stored)
-    return found.select("request_id", "job_id", "status", "progress", F.when(F.col("status").isNull(), "JOB.NOT_FOUND").alias("error_code"))
+    return found.select("request_id", "job_id", "status", F.coalesce("progress", F.lit(-1)).alias("progress"), F.when(F.col("status").isNull(), "JOB.NOT_FOUND").alias("error_code"))
 
 
 @query("SELECT event_id, 'see [REDACTED] and [REDACTED]' AS message FROM events")
