@@ -82,6 +82,13 @@ def pieces(blobs: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[slice]:
         yield slice(start, len(blobs))
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, so that no more texts than these are copied at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column without decoding it."""
     return column.cast(pa.binary()).to_pylist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import CHUNK_BYTES, as_bytes, dropped, sent_to_workers, stored
+from hearken.llm.common import CHUNK_BYTES, as_bytes, dropped, in_slices, sent_to_workers, stored
 from hearken.llm.periodic import numbered_words
 
 STATISTICS = (
@@ -90,7 +90,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, stats) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(b) for b in as_bytes(batch.column(1))], pa.list_(pa.int32()))], ["doc_id", "stats"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<int>")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import as_bytes, between_words, let, mix, powers, words
+from hearken.llm.common import as_bytes, between_words, in_slices, let, mix, powers, words
 
 #: A run repeats its period so often at least, and has so many words at least.
 REPEATS, LEAST = 4, 6
@@ -210,7 +210,7 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat
     schema = pa.schema([(name, kind) for name, kind in zip(("n_words", "n_dropped", "runs", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"), [pa.int64()] * 2 + [pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))] + [pa.int64()] * 5 + [pa.string()] * 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [examined(b, repeats, least).row() for b in as_bytes(batch.column(1))]
             columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *schema.names])
