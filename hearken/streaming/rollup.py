@@ -13,6 +13,8 @@ from hearken.operators.calls import CHUNK, call_rows, one_chunk
 
 #: Seconds for which a call waits for its next chunk.
 PATIENCE = 3600.0
+#: Chunks of a call and batch that are held before they go to the state.
+FRESH = 256
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,27 +42,44 @@ class OpenCalls(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         came, total, gone, timer = self.call.get() if self.call.exists() else (0, None, False, None)
+        fresh: dict[int, str] = {}  # not in the state yet: a call that comes whole in one batch never is
         for row in rows:
             if gone:
                 continue
-            at = (row.chunk_index,)
-            came += not self.chunks.containsKey(at)
-            self.chunks.updateValue(at, (row.chunk,))
+            fresh[row.chunk_index] = row.chunk
             if row.total_chunks is not None:
                 total = max(total or 0, row.total_chunks)
+            if len(fresh) >= FRESH:
+                came += self.kept(fresh, came)
         now = timerValues.getCurrentProcessingTimeInMs()
         if timer is not None:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(now + self.patience)
-        if not gone and total is not None and came >= total:
-            yield self.leaving(key, total - came)
-            gone = True
+        if not gone:
+            if came or total is None or len(fresh) < total:
+                came += self.kept(fresh, came)
+            else:
+                came = len(fresh)
+            if total is not None and came >= total:
+                yield self.leaving(key, total - came, fresh)
+                gone = True
         self.call.update((came, total, gone, now + self.patience))
 
-    def leaving(self, key, missing: int | None) -> Row:
-        row = Row(call_id=key[0], missing_chunks=missing, packed=[v[0] for v in self.chunks.values()])
-        self.chunks.clear()
-        return row
+    def kept(self, fresh: dict[int, str], before: int) -> int:
+        """Puts chunks into the state; how many of them were not there."""
+        new = 0
+        for at, chunk in fresh.items():
+            new += not (before and self.chunks.containsKey((at,)))
+            self.chunks.updateValue((at,), (chunk,))
+        fresh.clear()
+        return new
+
+    def leaving(self, key, missing: int | None, fresh: dict[int, str]) -> Row:
+        packed = list(fresh.values())
+        if not packed:
+            packed = [v[0] for v in self.chunks.values()]
+            self.chunks.clear()
+        return Row(call_id=key[0], missing_chunks=missing, packed=packed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.call.exists():
@@ -68,7 +87,7 @@ class OpenCalls(StatefulProcessor):
             if timer is None or timer > expiredTimerInfo.getExpiryTimeInMs():
                 return
             if not gone:
-                yield self.leaving(key, None if total is None else total - came)
+                yield self.leaving(key, None if total is None else total - came, {})
             self.call.clear()
 
     def close(self) -> None:

@@ -73,6 +73,16 @@ def test_rows_leave_with_the_last_chunk_and_survive_a_restart(spark, place):
     assert place.state("chunks") == 0  # texts are dropped as a call leaves
 
 
+def test_calls_larger_than_what_is_held(place, monkeypatch):
+    monkeypatch.setattr(rollup, "FRESH", 2)
+    place.add([chunk(1, k, 5, f"t{k}") for k in (3, 0, 3, 4)] + [chunk(2, k, 2, f"u{k}") for k in range(2)] + [chunk(3, k, 3, f"v{k}") for k in range(3)])
+    place.start().awaitTermination()
+    assert sorted(place.rows()) == [2, 3] and place.state("chunks") == 3
+    place.add([chunk(1, k, 5, f"t{k}") for k in (1, 0, 2)])
+    place.start().awaitTermination()
+    assert {c: r.raw_transcript for c, r in place.rows().items()} == {1: "t0 t1 t2 t3 t4", 2: "u0 u1", 3: "v0 v1 v2"} and place.state("chunks") == 0
+
+
 def test_repeated_chunks_count_once(place):
     place.add([chunk(1, 0, 2, "a first"), chunk(1, 0, 2, "a first")])
     place.add([chunk(1, 0, 2, "a first")])
