@@ -72,11 +72,16 @@ def rolled_up_calls(rows: DataFrame) -> DataFrame:
     The score is the mean of the five highest chunk scores; equal scores rank by chunk_index.  Where no chunk is usable, label
     and score are null and the status is ``skipped``.
     """
-    return call_rows(rows.groupBy("call_id").agg(F.sort_array(F.collect_list(one_chunk())).alias("chunks"), F.count_if(~F.col("quality.usable")).alias("excluded"), F.avg("quality.score").alias("mean_quality")))
+    return call_rows(rows.groupBy("call_id").agg(F.sort_array(F.collect_list(one_chunk())).alias("chunks")))
 
 
 def call_rows(calls: DataFrame, *more: str) -> DataFrame:
-    """Rows of calls from (call_id, chunks in order, excluded, mean_quality); no shuffle.  ``more`` columns are kept."""
+    """Rows of calls from (call_id, chunks in order); no shuffle.  ``more`` columns are kept.
+
+    Means are summed in the order of the chunks, so they do not depend on how rows were dealt out.
+    """
+    total = F.aggregate("chunks", F.lit(0.0), lambda a, c: a + c["quality"])
+    calls = calls.withColumn("excluded", F.size(F.filter("chunks", lambda c: ~c["usable"])).cast("long")).withColumn("mean_quality", total / F.size("chunks"))
     by_rank = F.sort_array(F.transform(F.filter("chunks", lambda c: c["usable"]), lambda c: F.struct((-c["score"]).alias("rank"), c["chunk_index"].alias("at"), c["start"].alias("start"), c["end"].alias("end"), c["corrected"].alias("transcript"), c["score"].alias("score"))))
     ranked = calls.withColumn("ranked", by_rank)
     top = F.slice("ranked", 1, TOP)

@@ -106,10 +106,7 @@ def rolled_up_stream(prepared: DataFrame, patience: float = PATIENCE) -> DataFra
     kind = prepared.schema["call_id"].dataType.simpleString()
     gone = packed.groupBy("call_id").transformWithState(OpenCalls(patience), f"call_id {kind}, missing_chunks long, packed array<string>", "Append", "ProcessingTime")
     chunks = F.sort_array(F.transform("packed", lambda c: F.from_json(c, CHUNK)))
-    opened = gone.select("call_id", "missing_chunks", chunks.alias("chunks"))
-    total = F.aggregate("chunks", F.lit(0.0), lambda a, c: a + c["quality"])
-    made = opened.select("call_id", "missing_chunks", "chunks", F.size(F.filter("chunks", lambda c: ~c["usable"])).cast("long").alias("excluded"), (total / F.size("chunks")).alias("mean_quality"))
-    rows = call_rows(made, "missing_chunks")
+    rows = call_rows(gone.select("call_id", "missing_chunks", chunks.alias("chunks")), "missing_chunks")
     whole = F.coalesce(F.col("missing_chunks") <= 0, F.lit(False))
     return rows.withColumns({
         **{c: F.when(whole, F.col(c)) for c in ("label", "suspicion_score")},
