@@ -67,7 +67,7 @@ def resampled_column(samples: Column, rate: int, to: int = RATE) -> Column:
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            made = [None if x is None else resampled(np.array(x, dtype=np.float64), rate, to) for x in column.to_pylist()]
+            made = [resampled(x.values.to_numpy(zero_copy_only=False), rate, to) if x.is_valid else None for x in column]
             yield pa.array(made, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>")(samples.cast("array<double>"))
