@@ -46,8 +46,10 @@ def step_state(step: Column, stage: Column, status: Column) -> Column:
     return F.when(status == "completed", "completed").when((status == "failed") & (step == stage), "failed").otherwise(order)
 
 
-def upload_size(n: Column) -> Column:
-    mb = F.concat(F.format_string("%.1f", n / (1024 * 1024)), F.lit(" MB"))
+def upload_size(n: Column, even: bool = False) -> Column:
+    """Halves of the last digit go up, as on the screens, or to the even digit, as DuckDB's ``format`` takes them."""
+    size = n / (1024 * 1024)
+    mb = F.concat(F.format_string("%.1f", F.bround(size, 1) if even else size), F.lit(" MB"))
     return F.when(F.coalesce(n, F.lit(0)) == 0, "").when(n < 1024 * 1024, F.concat(F.ceil(n / 1024).cast("string"), F.lit(" KB"))).otherwise(mb)
 
 

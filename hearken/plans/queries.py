@@ -870,7 +870,7 @@ def display_values(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", ((n % 1001) / 1000.0).alias("s"), ((n * 4099) % 8000000).alias("n"), (n % 16).alias("e"))
     percent = display.percent_score(F.lit(None).cast("double"), F.col("s"))
     bad = display.is_suspicious(F.lit(None).cast("string"), percent)
-    return rows.select("event_id", same_float(percent).alias("percent"), bad.alias("suspicious"), display.risk_label(bad).alias("risk"), display.level_band(display.risk_level(bad)).alias("band"), display.upload_size(F.col("n")).alias("upload"), display.demo_stage(F.col("e")).alias("demo"))
+    return rows.select("event_id", same_float(percent).alias("percent"), bad.alias("suspicious"), display.risk_label(bad).alias("risk"), display.level_band(display.risk_level(bad)).alias("band"), display.upload_size(F.col("n"), even=True).alias("upload"), display.demo_stage(F.col("e")).alias("demo"))
 
 
 @query("SELECT event_id, format('{:.2f}%', (event_id % 1001) / 1000.0::DOUBLE * 100) AS shown, CASE WHEN event_id % 5 = 0 THEN '-' ELSE format('{:.2f}%', (event_id % 97) / 100.0::DOUBLE * 100) END AS other FROM events")

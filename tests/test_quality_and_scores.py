@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from hearken.functions import display, metrics, quality
 from hearken.functions.scoring import classified, lexicon_scorer, softmax
 from hearken.operators import evaluation, tiling
+from hearken.plans import queries
 
 
 def test_gate(spark):
@@ -104,3 +106,16 @@ def test_progress(spark):
     assert one(display.progress_of(lit("risk_search"))) == 80
     assert one(display.percent_text(lit(0.12345))) == "12.35%" and one(display.percent_text(lit(None).cast("double"))) == "-"
     assert one(display.file_size(lit(0))) == "0 B" and one(display.file_size(lit(2048))) == "2.0 KB" and one(display.upload_size(lit(3 * 1024 * 1024))) == "3.0 MB"
+
+
+def test_upload_sizes_halfway_between_two_shown_ones(spark, tmp_path):
+    """Sizes such as 1.25 MB: the query as its SQL, the screens upwards."""
+    halves = [262_144 * k for k in range(5, 31, 2)]
+    ids = [n * pow(4099, -1, 8_000_000) % 8_000_000 for n in [*halves, *[h + 1 for h in halves], *[h - 1 for h in halves]]]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = queries.QUERIES["display_values"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.ORACLE_SQL["display_values"]).select(*got.columns).fetchall())
+    shown = spark.createDataFrame([(h,) for h in halves], "n long").select(display.upload_size(F.col("n")).alias("up"), display.upload_size(F.col("n"), even=True).alias("even"))
+    assert [(r.up, r.even) for r in shown.collect()][:3] == [("1.3 MB", "1.2 MB"), ("1.8 MB", "1.8 MB"), ("2.3 MB", "2.2 MB")]
