@@ -9,6 +9,8 @@ shingles are similar enough:
 3. For each fingerprint a tree finds the nodes within reach; each leaf returns a minimum spanning forest of its links.
 4. Each link is checked on the sets of shingles themselves.
 5. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
+6. What the fingerprints miss is found exactly (``missed``): of texts that are similar enough, the first shingles of both, in one
+   order of all, share one.  Only shingles that lie in several components are paired; the pairs are checked as in 4.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.llm import vptree
-from hearken.llm.common import WordHashes, as_bytes, at_place, between_words, dropped, mix, named, numbered, pieces, starts_of, stored
+from hearken.llm.common import WordHashes, as_bytes, at_place, between_words, dropped, in_slices, mix, named, numbered, pieces, released, sent_to_workers, starts_of, stored
 
 #: Fingerprints per text of ``near_copies`` and the bits in which one of them may differ: more fingerprints and a short reach, as
 #: the leaves that a fingerprint visits grow with the power 0.44 of their number at 2 bits and 0.63 at 3.
 TABLES, REACH = 12, 2
+#: One in so many texts shows which shingles are frequent: those in so many of the drawn ones.  Up to so many come last in the order
+#: of shingles, which decides how many pairs are tried, not which are found.
+DRAWN, OFTEN, LATE = 32, 4, 65_536
+#: Allowed for rounding where a number of shingles meets a bound.
+_ROUND = 1e-6
 #: A byte's bits, each in a byte of its own.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -119,51 +126,92 @@ def word_prints(words: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * votes > sizes[None, :, None], axis=2, bitorder="little").view("<i8")[:, :, 0].T
 
 
-def sets(docs: DataFrame, width: int, whole: bool = False) -> DataFrame:
-    """(doc_id, node, size, prints), or (doc_id, node, hashes), of (doc_id, text): one row per input row; texts without words share node 0 and size 0."""
+def set_names(found: list[np.ndarray]) -> np.ndarray:
+    """Equal sets have equal names; 0 is that of the empty one."""
+    with np.errstate(over="ignore"):
+        return np.array([mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s)))[()] if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
+
+
+def sets(docs: DataFrame, width: int, of_set) -> DataFrame:
+    """(doc_id, node, size, told) of (doc_id, text): one row per input row; texts without words share node 0 and size 0.
+
+    ``of_set`` makes a list of numbers for each of some texts from their sets and words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [b or b"" for b in as_bytes(batch.column(1))]
             for part in pieces(texts):
                 flat, counts = hashes(texts[part])
                 bounds = starts_of(counts)
-                words = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
                 found = shingle_sets(flat, bounds, width)
-                with np.errstate(over="ignore"):
-                    node = np.array([mix(mix(s).sum(dtype=np.uint64) + np.uint64(len(s)))[()] if len(s) else 0 for s in found], dtype=np.uint64).view(np.int64)
-                if whole:
-                    more = [pa.array([s.tobytes() for s in found], pa.binary())]
-                else:
-                    more = [pa.array([len(s) for s in found], pa.int64()), pa.array(list(word_prints(words)), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(node), *more], ["doc_id", "node", *(["hashes"] if whole else ["size", "prints"])])
+                told = of_set(found, [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(set_names(found)), pa.array([len(s) for s in found], pa.int64()), pa.array(told, pa.list_(pa.int64()))], ["doc_id", "node", "size", "told"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, hashes binary" if whole else "doc_id long, node long, size long, prints array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, size long, told array<long>")
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough, by comparing the sets; only texts in a pair are read for them."""
+def whole_sets(found: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
+    return [s.view(np.int64) for s in found]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (left, right))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough, by comparing the sets; only texts in a pair are read for them."""
     asked = stored(nodes.select("node", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
     texts = docs.join(asked.select("rep").hint("shuffle_hash"), F.col("doc_id") == F.col("rep"), "left_semi")
-    held = stored(sets(texts, width, True).select("node", "hashes").join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    held = stored(sets(texts, width, whole_sets).select("node", "told").join(asked, "node", "left_semi").groupBy("node").agg(F.first("told").alias("hashes")))
     one = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a")
     both = one.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
-    true = stored(both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    true = stored(both.where(shared * (1 + least) >= least * (F.size("of_a") + F.size("of_b")) - _ROUND).select("a", "b"))
     dropped(asked, held)
     return true
 
 
+def late_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles that are frequent among texts drawn by their ids, the most frequent last."""
+    drawn = sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWN)) == 0), width, whole_sets)
+    counts = drawn.select(F.explode("told").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
+    most = counts.orderBy(F.desc("count"), "h").limit(LATE).collect()  # LATE rows at most
+    return np.array([r.h for r in reversed(most)], dtype=np.int64)
+
+
+def missed(docs: DataFrame, nodes: DataFrame, found: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): all pairs of nodes of unlike components ``found`` that can be similar enough, and others; to be checked.
+
+    A set needs ``least`` of its size in common with a similar one, so it shares one of its first shingles if as many others
+    as are fewer than that come after them.  The shared ones among the first of both, and all that come after, must be enough.
+    """
+    late = late_shingles(docs, width)
+    sent = sent_to_workers(docs.sparkSession, (np.sort(late), np.argsort(late)))  # LATE numbers at most
+
+    def first(found: list[np.ndarray], words: list[np.ndarray]) -> list[np.ndarray]:
+        known, place = sent()
+        out = []
+        for s in found:
+            s = s.view(np.int64)
+            at = np.searchsorted(known, s)
+            is_late = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), dtype=bool)
+            s = np.concatenate((s[~is_late], s[is_late][np.argsort(place[at[is_late]])]))
+            out.append(s[: len(s) - int(np.ceil(least * len(s) - _ROUND)) + 1])
+        return out
+
+    rooted = nodes.where("size > 0").select(F.col("node").alias("of"), "rep").join(found.select(F.col("node").alias("of"), "component"), "of", "left").select("of", "rep", F.coalesce("component", "of").alias("root"))
+    own = sets(docs, width, first).join(rooted.hint("shuffle_hash"), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("rep")))
+    each = own.select(F.explode("told").alias("h"), "node", "root", "size")
+    on_h = Window.partitionBy("h")
+    met = stored(each.withColumns({"low": F.min("root").over(on_h), "high": F.max("root").over(on_h)}).where("low <> high").select("h", "node", "root", "size"))
+    other = met.select(*[F.col(k).alias(f"of_{k}") for k in met.columns])
+    enough = F.least("size", "of_size") >= least * F.greatest("size", "of_size") - _ROUND
+    both = met.join(other, F.col("h") == F.col("of_h")).where((F.col("node") < F.col("of_node")) & (F.col("root") != F.col("of_root")) & enough)
+    counted = both.groupBy(F.col("node").alias("a"), F.col("of_node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("x"), F.first("of_size").alias("y"))
+    after = F.ceil(least * F.greatest("x", "y") - _ROUND) - 1
+    pairs = stored(counted.where((F.col("shared") + after) * (1 + least) >= least * (F.col("x") + F.col("y")) - _ROUND).select("a", "b"))
+    dropped(met)
+    return pairs
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) per input row: the smallest id reachable through links of similarity ``least`` or more.
 
@@ -172,7 +220,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets equal its own, null if there are none, and forms no link.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stored(sets(docs, width))
+    marked = stored(sets(docs, width, lambda found, words: list(word_prints(words))).withColumnRenamed("told", "prints"))
     nodes = stored(marked.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prints").alias("prints")))
     following = F.get("prints", F.pmod(F.col("tab") + 1, F.lit(TABLES)).cast("int")).alias("then")
     at = nodes.where("size > 0").select(F.posexplode("prints").alias("tab", "fp"), "node", "size", "prints").select("tab", "fp", following, "node", "size")
@@ -185,10 +233,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = vptree.links(points, TABLES, REACH, least).unionByName(met.select(F.col("node").alias("a"), "b"))
     pairs = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     true = similar(pairs, nodes, docs, width, least)
-    rooted = nodes.select("node", "rep").join(components(true).withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    known = stored(components(true))
+    dropped(points, pairs, true)
+    released(docs.sparkSession)
+    rest = missed(docs, nodes, known, width, least)
+    more = similar(rest, nodes, docs, width, least)
+    whole = stored(components(more.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    rooted = nodes.select("node", "rep").join(whole.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = stored(rooted.join(firsts, "root").select(F.col("node").alias("of_node"), "component_id"))
-    dropped(points, pairs, true)
+    dropped(known, rest, more, whole)
     return marked.select("doc_id", "node").join(label, F.col("node") == F.col("of_node"), "left").select("doc_id", "component_id")
 
 

@@ -89,3 +89,47 @@ def test_odd_rows(spark):
     rows = [(None, text), (5, text), (3, text + " tail"), (3, text + " tail"), (None, "alone"), (8, None), (9, "")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, 3), (5, 3), (3, 3), (3, 3), (None, None), (8, 8), (9, 8)], key=str)
+
+
+def partition(pairs, ids):
+    root = {i: i for i in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_no_link_is_lost(spark):
+    """Short and long texts with scattered changes, which move fingerprints by more than their reach; a line in all texts is late."""
+    rng = np.random.default_rng(21)
+    line, texts = " ".join(f"common{k}" for k in range(12)), []
+    for k in range(600):
+        n = int(rng.integers(30, 200))
+        text = [f"w{i}" for i in rng.integers(0, 3000, n)]
+        edited = list(text)
+        for i in rng.choice(n, max(1, round(n * rng.uniform(0.005, 0.035))), replace=False):
+            edited[i] = f"edited{rng.integers(0, 10**6)}"
+        texts += [(2 * k, f"{line} {' '.join(text)}"), (2 * k + 1, f"{line} {' '.join(edited)}")]
+    want = true_links(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert len(simhash.late_shingles(frame, 5)) >= 8
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert len(want) > 300 and got == partition(want, [i for i, _ in texts])
+
+
+def test_first_shingles_alone_find_all_links(spark, monkeypatch):
+    """Where the fingerprints find nothing, in a chain of near copies and at the bound itself."""
+    monkeypatch.setattr(simhash.vptree, "links", lambda points, *_: points.sparkSession.createDataFrame([], "a long, b long"))
+    words = [f"w{k}" for k in range(94)]
+    texts = [(k, " ".join([*words[k:], *[f"more{i}" for i in range(k)]])) for k in range(0, 60, 3)]
+    texts += [(100, " ".join(f"x{k}" for k in range(14))), (101, " ".join(f"x{k}" for k in range(12)))]  # 8 of 10 shingles
+    texts += [(102, " ".join(f"y{k}" for k in range(13))), (103, " ".join(f"y{k}" for k in range(11)))]  # 7 of 9
+    want = true_links(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == partition(want, [i for i, _ in texts]) and got[57] == 0 and got[101] == 100 and got[103] == 103
