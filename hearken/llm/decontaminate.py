@@ -11,8 +11,9 @@ once enough word pairs of both the question and the answer stand in the passage.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearken.llm.common import WordHashes, as_bytes, mix, named, numbered, pieces, sent_to_workers, starts_of
+from hearken.llm.common import WordHashes, as_bytes, in_slices, mix, named, numbered, pieces, sent_to_workers, starts_of
 
 #: Parameters of BM25; share of an item's own score that retrieves it; share of word pairs that verifies a part.
 K1, B, RETRIEVE, VERIFY = 1.2, 0.75, 0.6, 0.5
@@ -224,18 +225,18 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
                 yield Index.build(parsed, max(STRIDE << of["class"], max(len(q) + len(a) for _, q, a in parsed)))
 
 
-def matched(docs: DataFrame, index: Index, text_at: str) -> DataFrame:
-    """``docs`` with the column ``matches``."""
-    sent = sent_to_workers(docs.sparkSession, index)  # INDEX_BYTES of items, but for a single longer one
+def matched(docs: DataFrame, of: Iterable[Index], text_at: str) -> DataFrame:
+    """``docs`` with the column ``matches``: those of all indexes, which one worker searches in turn."""
+    sent = [sent_to_workers(docs.sparkSession, index) for index in of]  # INDEX_BYTES of items each, but for a single longer one
     at = docs.columns.index(text_at)
     names = ["item_id", "start", "bm25", "question_overlap", "answer_overlap"]
     kind = pa.list_(pa.struct(list(zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(sent())
-        for batch in batches:
+        searchers = [Searcher(index()) for index in sent]
+        for batch in in_slices(batches):
             texts = lowered(batch.column(at).cast(pa.string()))
-            rows = [r for part in pieces(texts) for r in searcher.matches(texts[part])]
+            rows = [chain(*r) for part in pieces(texts) for r in zip(*(s.matches(texts[part]) for s in searchers))] if searchers else [()] * len(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[dict(zip(names, m)) for m in r] for r in rows], kind)], [*batch.schema.names, "matches"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("matches", T._parse_datatype_string(MATCH))]))
@@ -247,7 +248,7 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", out: str = "ma
     ``start`` counts words that are not bare marks.  Null and empty texts match nothing.  Items with equal texts all match; of
     passages that score the same the first counts.  All other columns pass through, whatever their names, repeated rows too.
     """
-    return named(matched(numbered(docs), index, f"_{docs.columns.index(text_col)}"), docs, {"matches": out})
+    return named(matched(numbered(docs), [index], f"_{docs.columns.index(text_col)}"), docs, {"matches": out})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start long, bm25 double, question_overlap double, answer_overlap double")
     for index in indexes(benchmark):
-        found = found.unionByName(matched(narrow, index, "text").select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*"))
+        found = found.unionByName(matched(narrow, [index], "text").select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*"))
     return found
 
 
@@ -270,6 +271,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     whatever their names.
     """
     flat, at = numbered(docs), f"_{docs.columns.index(text_col)}"
-    for index in indexes(benchmark):
-        flat = matched(flat, index, at).where(F.size("matches") == 0).drop("matches")
-    return named(flat, docs)
+    return named(matched(flat, indexes(benchmark), at).where(F.size("matches") == 0).drop("matches"), docs)

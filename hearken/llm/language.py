@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hearken.llm.common import as_bytes, between_words, named, numbered, pieces, sent_to_workers, starts_of
+from hearken.llm.common import as_bytes, between_words, in_slices, named, numbered, pieces, sent_to_workers, starts_of
 
 #: Which languages are close: one list per family.  A language named nowhere is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca")}
@@ -206,7 +206,7 @@ def labelled(docs: DataFrame, model: Model, text_col: str = "text", least: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent()
-        for batch in batches:
+        for batch in in_slices(batches):
             labels, scores = model.predict(lowered(batch.column(at)))
             letter = batch.column(n).to_pylist()
             labels = [lang if ok and lang else "und" for lang, ok in zip(labels, letter)]

@@ -121,3 +121,13 @@ def test_columns_of_any_name_pass_through(spark):
     assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [(2, "clean text", "b", 2.0)]
     index = next(decontaminate.indexes(bench))
     assert decontaminate.search(docs, index).columns == ["doc_id", "text", "_0", "matches"]
+
+
+def test_all_indexes_are_searched_by_one_worker(spark):
+    """Items of two lengths have an index each; a step of each would keep as many Python workers per task."""
+    bench = spark.createDataFrame([(1, "what is the capital of france? it is paris"), (2, " ".join(f"w{k}" for k in range(400)))], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"some text {k} " + (" ".join(f"w{i}" for i in range(400)) if k == 3 else "")) for k in range(5)], "doc_id long, text string")
+    assert len(list(decontaminate.indexes(bench))) == 2
+    kept = decontaminate.clean(docs, bench)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4]
