@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each reading what the one before it kept.
 
 Every stage but the last returns the columns of ``documents``; the last returns the shards.  Each stage is written as Parquet
-and read again before the next.
+and read again before the next.  The stages that hand texts to Python do so in batches of bounded bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hearken.llm import decontaminate, language, mixing, sharding, simhash
 from hearken.llm.common import id_bucket, stored, table
 from hearken.llm.queries import MIX
+from hearken.session import batches_by_bytes
 
 #: Predictions below this score are rejected, with texts of no language.
 LEAST_SCORE = 0.4
@@ -24,17 +25,20 @@ SHARE = 0.7
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without letters and those of no clear language go."""
+    batches_by_bytes(spark)
     model = language.train(docs, id_bucket("doc_id", 5) != 0, "doc_id", "text", "lang")
     return language.labelled(docs, model, least=LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies."""
+    batches_by_bytes(spark)
     return simhash.one_of_each(docs, width=WIDTH, least=SIMILAR)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    batches_by_bytes(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

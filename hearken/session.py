@@ -25,6 +25,19 @@ def session(master: str = "local[8]", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes at which a batch of texts that goes to Python ends; by itself Spark counts rows only, 10,000 of any length.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
+
+
+def batches_by_bytes(spark: SparkSession) -> None:
+    """Arrow batches of the session end at ``BATCH_BYTES`` or at the row after; all rows go on.  The session's own limit wins.
+
+    Spark reads the limit when a query runs, so it stays for frames that are computed later.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set, as in local tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or None

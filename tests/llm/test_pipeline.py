@@ -2,6 +2,7 @@ from collections import Counter
 from dataclasses import replace
 
 import corpus_pipeline
+import pyarrow as pa
 from hearken.llm import mixing
 from hearken.llm.common import table
 
@@ -77,3 +78,26 @@ def test_stages_pass_columns_of_any_name(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         got = stage(spark, docs, "/root/testdata/sf0.001")
         assert got.dtypes == docs.dtypes and {tuple(r)[5:] for r in got.collect()} <= {tuple(range(len(names)))}
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "four words of text " * 256
+    few = spark.createDataFrame([(k, f"the word {k} and that", "en", "src1", 9) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    long = spark.range(0, 2500, 1, 1).selectExpr("id doc_id", f"'{text}' text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    own = spark.conf.get(key, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            spark.conf.unset(key)
+            stage(spark, few, "/root/testdata/sf0.001")
+            got = long.mapInArrow(sizes, "n long, bytes long").collect()
+            assert sum(r.n for r in got) == 2500 and max(r.bytes for r in got) < (1 << 20) + 2 * len(text)
+        spark.conf.set(key, "3m")  # a session's own limit stays
+        corpus_pipeline.decontaminate_benchmark(spark, few, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "3m"
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
