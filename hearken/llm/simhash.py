@@ -10,11 +10,13 @@ shingles are similar enough:
 4. Each link is checked on the sets of shingles themselves.
 5. Links become components through rounds of large and small stars on DataFrames, each written to the shared folder.
 6. What the fingerprints miss is found exactly (``missed``): of texts that are similar enough, the first shingles of both, in one
-   order of all, share one.  Only shingles that lie in several components are paired; the pairs are checked as in 4.
+   order of all, share one.  Only shingles that lie in several components are paired; the pairs are checked as in 4.  First
+   each text meets one hub for each of its shingles, so that a dense group is one component before the rest meet each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,11 +179,11 @@ def late_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.array([r.h for r in reversed(most)], dtype=np.int64)
 
 
-def missed(docs: DataFrame, nodes: DataFrame, found: DataFrame, width: int, least: float) -> DataFrame:
-    """(a, b): all pairs of nodes of unlike components ``found`` that can be similar enough, and others; to be checked.
+def first_shingles(docs: DataFrame, nodes: DataFrame, found: DataFrame, width: int, least: float) -> DataFrame:
+    """(h, at, node, size, root): the first shingles of each set, at their places, that lie in several components ``found``.
 
     A set needs ``least`` of its size in common with a similar one, so it shares one of its first shingles if as many others
-    as are fewer than that come after them.  The shared ones among the first of both, and all that come after, must be enough.
+    as are fewer than that come after them.
     """
     late = late_shingles(docs, width)
     sent = sent_to_workers(docs.sparkSession, (np.sort(late), np.argsort(late)))  # LATE numbers at most
@@ -199,17 +201,48 @@ def missed(docs: DataFrame, nodes: DataFrame, found: DataFrame, width: int, leas
 
     rooted = nodes.where("size > 0").select(F.col("node").alias("of"), "rep").join(found.select(F.col("node").alias("of"), "component"), "of", "left").select("of", "rep", F.coalesce("component", "of").alias("root"))
     own = sets(docs, width, first).join(rooted.hint("shuffle_hash"), (F.col("node") == F.col("of")) & (F.col("doc_id") == F.col("rep")))
-    each = own.select(F.explode("told").alias("h"), "node", "root", "size")
+    return apart(own.select(F.posexplode("told").alias("at", "h"), "node", "size", "root").select("h", "at", "node", "size", "root"))
+
+
+def apart(firsts: DataFrame) -> DataFrame:
+    """The rows whose shingle lies in several components."""
     on_h = Window.partitionBy("h")
-    met = stored(each.withColumns({"low": F.min("root").over(on_h), "high": F.max("root").over(on_h)}).where("low <> high").select("h", "node", "root", "size"))
-    other = met.select(*[F.col(k).alias(f"of_{k}") for k in met.columns])
-    enough = F.least("size", "of_size") >= least * F.greatest("size", "of_size") - _ROUND
-    both = met.join(other, F.col("h") == F.col("of_h")).where((F.col("node") < F.col("of_node")) & (F.col("root") != F.col("of_root")) & enough)
-    counted = both.groupBy(F.col("node").alias("a"), F.col("of_node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("x"), F.first("of_size").alias("y"))
-    after = F.ceil(least * F.greatest("x", "y") - _ROUND) - 1
-    pairs = stored(counted.where((F.col("shared") + after) * (1 + least) >= least * (F.col("x") + F.col("y")) - _ROUND).select("a", "b"))
-    dropped(met)
-    return pairs
+    return stored(firsts.withColumns({"low": F.min("root").over(on_h), "high": F.max("root").over(on_h)}).where("low <> high").drop("low", "high"))
+
+
+def rooted_again(met: DataFrame, found: DataFrame) -> DataFrame:
+    """``met`` by the components ``found``, which are larger."""
+    grown = found.select(F.col("node").alias("of"), "component")
+    return apart(met.join(grown, F.col("root") == F.col("of"), "left").select("h", "at", "node", "size", F.coalesce("component", "root").alias("root")))
+
+
+def missed(met: DataFrame, least: float, hubs: bool) -> DataFrame:
+    """(a, b): all pairs of nodes of unlike components that can be similar enough, and others; to be checked.
+
+    The least number of shingles in common follows from both sizes.  With as many others as are fewer than that left out at the
+    end of each set, one is still shared; so two sets meet in a shingle only where both have it at such a place, and a shingle
+    that all sets of a dense group have in their tails pairs none of them.  The shared ones among all first shingles of both,
+    and all that come after, must be enough.
+
+    With ``hubs`` each set meets, in place of all others, the one of about its size that has the shingle first: of a dense
+    group that is the one with the fewest shingles of its own.  These pairs are two for each first shingle at most.
+    """
+    own, other = met, met
+    if hubs:
+        step = -math.log(min(max(least, 0.5), 0.99))  # similar sets are at most one step apart in size
+        own = met.withColumn("step", F.floor(F.log("size") / step))
+        other = own.groupBy("h", "step").agg(F.min(F.struct("at", "node", "size", "root")).alias("hub")).select("h", "step", "hub.*")
+        own = own.withColumn("step", F.explode(F.array("step", F.col("step") - 1)))
+    other = other.select(*[F.col(k).alias(f"of_{k}") for k in other.columns])
+    enough = F.ceil((least * (F.col("size") + F.col("of_size")) - _ROUND) / (1 + least))
+    meet = (F.col("root") != F.col("of_root")) & (F.col("at") <= F.col("size") - enough) & (F.col("of_at") <= F.col("of_size") - enough)
+    meet &= (F.col("step") == F.col("of_step")) if hubs else (F.col("node") < F.col("of_node"))
+    both = own.join(other, F.col("h") == F.col("of_h")).where(meet)
+    pairs = both.select(F.col("node").alias("a"), F.col("of_node").alias("b"), F.col("size").alias("x"), F.col("of_size").alias("y")).distinct()
+    held = met.groupBy("node").agg(F.collect_list("h").alias("hashes"))
+    pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b")
+    most = F.size(F.array_intersect("of_a", "of_b")) + F.ceil(least * F.greatest("x", "y") - _ROUND) - 1
+    return stored(pairs.where(most * (1 + least) >= least * (F.col("x") + F.col("y")) - _ROUND).select("a", "b"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
@@ -236,13 +269,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = stored(components(true))
     dropped(points, pairs, true)
     released(docs.sparkSession)
-    rest = missed(docs, nodes, known, width, least)
-    more = similar(rest, nodes, docs, width, least)
-    whole = stored(components(more.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
-    rooted = nodes.select("node", "rep").join(whole.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
+    met = first_shingles(docs, nodes, known, width, least)
+    for hubs in (True, False):  # what the hubs link need not be paired
+        rest = missed(met, least, hubs)
+        more = similar(rest, nodes, docs, width, least)
+        whole = stored(components(more.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        dropped(known, rest, more)
+        known = whole
+        if hubs:
+            before, met = met, rooted_again(met, known)
+            dropped(before)
+    rooted = nodes.select("node", "rep").join(known.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     label = stored(rooted.join(firsts, "root").select(F.col("node").alias("of_node"), "component_id"))
-    dropped(known, rest, more, whole)
+    dropped(met, known)
     return marked.select("doc_id", "node").join(label, F.col("node") == F.col("of_node"), "left").select("doc_id", "component_id")
 
 

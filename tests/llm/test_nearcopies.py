@@ -133,3 +133,34 @@ def test_first_shingles_alone_find_all_links(spark, monkeypatch):
     want = true_links(texts)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == partition(want, [i for i, _ in texts]) and got[57] == 0 and got[101] == 100 and got[103] == 103
+
+
+def rows_of_joins(spark, after):
+    """The most rows that a join of the runs after that one made, and the number of the last run."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    numbers = [runs.apply(i).executionId() for i in range(runs.size())]
+    for k in numbers:
+        nodes = store.planGraph(k).allNodes() if k > after else None
+        for node in [nodes.apply(i) for i in range(nodes.size())] if nodes else []:
+            for m in [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []:
+                rows = store.executionMetrics(k).get(m.accumulatorId()) if m.name() == "number of output rows" else None
+                most = max(most, int(rows.get().replace(",", ""))) if rows and rows.isDefined() else most
+    return most, max(numbers, default=-1)
+
+
+def test_a_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    """Copies with 1 to 7 changed words, all still apart when the first shingles are compared; half are no near copies."""
+    monkeypatch.setattr(simhash.vptree, "links", lambda points, *_: points.sparkSession.createDataFrame([], "a long, b long"))
+    rng, words, texts = np.random.default_rng(5), [f"w{k}" for k in range(150)], []
+    for k in range(800):
+        edited = list(words)
+        for i in rng.choice(150, 1 + k % 7 if k else 0, replace=False):
+            edited[i] = f"edited{rng.integers(0, 10**7)}"
+        texts.append((k, " ".join(edited)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    _, last = rows_of_joins(spark, 1 << 60)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame).collect()}
+    assert got == partition(true_links(texts), [i for i, _ in texts]) and len(set(got.values())) > 300
+    most, _ = rows_of_joins(spark, last)
+    assert len(texts) <= most < 50 * len(texts)  # at most thirty first shingles each
